@@ -1,0 +1,101 @@
+"""The one Python kernel: longest-block matching of two sequences.
+
+Catalyst has no expression for it.  The kernel takes two string arrays per row in
+Arrow batches and returns only positions; every stream, label, hunk and audit is a
+native expression on top of them.
+"""
+
+from __future__ import annotations
+
+from difflib import SequenceMatcher
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType
+
+from ..functions import as_col
+from ..schemas import OPCODES
+from .scripts import trim_script
+
+# Product of the two lengths above which a pair takes the linear native script.
+PAIR_LIMIT = 400_000_000
+
+_ARROW_OPS = pa.list_(pa.struct([("tag", pa.string()), ("i1", pa.int32()), ("i2", pa.int32()),
+                                 ("j1", pa.int32()), ("j2", pa.int32())]))
+_FIELDS = ("tag", "i1", "i2", "j1", "j2")
+
+
+def _rows(ops):
+    return [dict(zip(_FIELDS, op)) for op in ops]
+
+
+@F.arrow_udf(OPCODES)
+def _opcodes(a: pa.Array, b: pa.Array) -> pa.Array:
+    out = [None if x is None or y is None
+           else _rows(SequenceMatcher(None, x, y).get_opcodes())
+           for x, y in zip(a.to_pylist(), b.to_pylist())]
+    return pa.array(out, type=_ARROW_OPS)
+
+
+def _grouped(context: int):
+    @F.arrow_udf(ArrayType(OPCODES))
+    def kernel(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a.to_pylist(), b.to_pylist()):
+            if x is None or y is None:
+                out.append(None)
+            elif x == y:
+                out.append([])
+            else:
+                groups = SequenceMatcher(None, x, y).get_grouped_opcodes(context)
+                out.append([_rows(g) for g in groups])
+        return pa.array(out, type=pa.list_(_ARROW_OPS))
+
+    return kernel
+
+
+def within_limit(a, b, limit: int = PAIR_LIMIT) -> Column:
+    return F.size(as_col(a)).cast("long") * F.size(as_col(b)) <= limit
+
+
+def with_opcodes(df: DataFrame, a: str, b: str, out: str = "ops",
+                 limit: int = PAIR_LIMIT) -> DataFrame:
+    """Add the edit script of array columns ``a`` and ``b``, and ``<out>_coarse``.
+
+    Pairs above ``limit`` get the trim script (still an exact script, only less
+    fine) and ``<out>_coarse`` is true for them.
+    """
+    ok = within_limit(a, b, limit)
+    fine = _opcodes(F.when(ok, F.col(a)), F.when(ok, F.col(b)))
+    return (df.withColumn(out, fine)
+            .withColumn(f"{out}_coarse", ~ok)
+            .withColumn(out, F.when(F.col(f"{out}_coarse"), trim_script(a, b))
+                        .otherwise(F.col(out))))
+
+
+def with_hunk_groups(df: DataFrame, a: str, b: str, out: str = "groups", context: int = 3,
+                     limit: int = PAIR_LIMIT) -> DataFrame:
+    """Edit scripts of line arrays cut into hunks with ``context`` kept lines around."""
+    ok = within_limit(a, b, limit)
+    fine = _grouped(context)(F.when(ok, F.col(a)), F.when(ok, F.col(b)))
+    return (df.withColumn(out, fine)
+            .withColumn(f"{out}_coarse", ~ok)
+            .withColumn(out, F.when(F.col(f"{out}_coarse"), trim_group(a, b, context))
+                        .otherwise(F.col(out))))
+
+
+def trim_group(a, b, context: int) -> Column:
+    """The trim script as one hunk: its kept ends cut down to ``context`` lines."""
+    def cut(op, i):
+        head = F.struct(op["tag"].alias("tag"),
+                        F.greatest(op["i1"], op["i2"] - context).alias("i1"), op["i2"].alias("i2"),
+                        F.greatest(op["j1"], op["j2"] - context).alias("j1"), op["j2"].alias("j2"))
+        tail = F.struct(op["tag"].alias("tag"), op["i1"].alias("i1"),
+                        F.least(op["i2"], op["i1"] + context).alias("i2"), op["j1"].alias("j1"),
+                        F.least(op["j2"], op["j1"] + context).alias("j2"))
+        return F.when(op["tag"] != "equal", op).when(i == 0, head).otherwise(tail)
+
+    script = trim_script(a, b)
+    group = F.transform(script, cut)
+    return F.when(F.exists(script, lambda op: op["tag"] != "equal"), F.array(group)).otherwise(
+        F.array().cast(ArrayType(OPCODES)))
