@@ -53,9 +53,9 @@ def edited(text, seed: str, key: str) -> Column:
         parts, lambda ln, i: let(lambda u: edit(ln, u), draw(seed, key, i + 1)))), "\n")
 
 
-def changes(spark: SparkSession, sf: str) -> DataFrame:
+def changes(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:
     """(doc_id, commit, repos, lang, message, old_contents, new_contents)."""
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents") if docs is None else docs
     return d.select("doc_id", F.col("doc_id").cast("string").alias("commit"),
                     F.col("source").alias("repos"), "lang",
                     F.substring_index("text", "\n", 1).alias("message"),
@@ -64,11 +64,20 @@ def changes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """(row_id, lang, source, gold, pred) token arrays: text, its edit, another edit."""
-    d = table(spark, sf, "documents")
-    return d.select(F.col("doc_id").alias("row_id"), "lang", words("text").alias("source"),
-                    words(edited(F.col("text"), "edit", "doc_id")).alias("gold"),
-                    words(edited(F.col("text"), "pred", "doc_id")).alias("pred"))
+    """(row_id, lang, text): the sides of a row are the expressions below."""
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "lang", "text")
+
+
+def src_words() -> Column:
+    return words("text")
+
+
+def gold_words() -> Column:
+    return words(edited(F.col("text"), "edit", "row_id"))
+
+
+def pred_words() -> Column:
+    return words(edited(F.col("text"), "pred", "row_id"))
 
 
 def conversation_pairs(spark: SparkSession, sf: str) -> DataFrame:

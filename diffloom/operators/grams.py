@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import let
+from ..functions import as_col, let
 from ..functions.text import ngrams
+from ..layout import by_key
 
 MAX_ORDER = 4
 SEP = "\u001f"
@@ -20,6 +21,9 @@ def gram_counts(df: DataFrame, keys: list[str], sides: dict[str, Column | str],
                 max_order: int = MAX_ORDER) -> DataFrame:
     """Rows (keys, n, gram, <side>...) with the count of each n-gram on each side.
 
+    Sides may be expressions over raw text (``words("pred")``): they are evaluated after
+    the rows are laid out by key, so only the text is shuffled.
+
     Order 0 carries one row per key with the token counts of the sides, so rows
     without any n-gram stay in the result.
     """
@@ -31,15 +35,16 @@ def gram_counts(df: DataFrame, keys: list[str], sides: dict[str, Column | str],
                 return F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), gram.alias("gram"),
                                 cnt.cast("long").alias("cnt"))
 
-            runs = [F.transform(ngrams(tokens, n, sep=SEP), lambda g, n=n: entry(n, g, F.lit(1)))
-                    for n in range(1, max_order + 1)]
-            return F.concat(F.array(entry(0, F.lit(""), F.size(tokens))), *runs)
+            def runs(n):
+                return F.transform(ngrams(tokens, n, sep=SEP), lambda g: entry(n, g, F.lit(1)))
+
+            return F.concat(F.array(entry(0, F.lit(""), F.size(tokens))),
+                            *[runs(n) for n in range(1, max_order + 1)])
 
         return let(build, F.coalesce(F.col(f"_s{side}"), F.array().cast("array<string>")))
 
-    staged = df.select(*keys, *[
-        (F.col(c) if isinstance(c, str) else c).alias(f"_s{i}") for i, c in enumerate(sides.values())
-    ]).repartition(*keys)
+    staged = by_key(df, *keys).select(
+        *keys, *[as_col(c).alias(f"_s{i}") for i, c in enumerate(sides.values())])
     flat = staged.select(*keys, F.inline(F.concat(*[one_side(i) for i in range(len(names))])))
     return flat.groupBy(*keys, "n", "gram").agg(*[
         F.sum(F.when(F.col("side") == i, F.col("cnt")).otherwise(0)).alias(name)
@@ -62,7 +67,7 @@ def document_frequency(counts: DataFrame, side: str) -> DataFrame:
             .groupBy("n", "gram").agg(F.count("*").alias("df")))
 
 
-def merge_references(refs: DataFrame, key: str, tokens: str, ref_id: str,
+def merge_references(refs: DataFrame, key: str, tokens: Column | str, ref_id: str,
                      max_order: int = MAX_ORDER) -> DataFrame:
     """(key, n, gram, ref): per n-gram the largest count over a row's references.
 

@@ -10,6 +10,7 @@ from ..functions import as_col, let
 from ..functions.draws import numbers, pick
 from ..functions.patch import side_lines, rebuild_single
 from ..functions.text import lines
+from ..layout import by_key
 from .matcher import PAIR_LIMIT, with_hunk_groups
 from .scripts import span
 
@@ -129,7 +130,7 @@ def line_delta(pairs: DataFrame, key: str, old: str = "old_contents", new: str =
     def tagged(c, side):
         return F.transform(lines(c), lambda ln: F.struct(ln.alias("line"), F.lit(side).alias("s")))
 
-    counts = (pairs.select(key, *slices, old, new).repartition(key)
+    counts = (by_key(pairs.select(key, *slices, old, new), key)
               .select(key, *slices, F.inline(F.concat(tagged(old, 0), tagged(new, 1))))
               .groupBy(key, *slices, "line")
               .agg(F.sum(1 - F.col("s")).alias("old_n"), F.sum("s").alias("new_n")))

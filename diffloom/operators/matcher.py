@@ -54,6 +54,15 @@ def _grouped(context: int):
     return kernel
 
 
+def once(kernel):
+    """The kernel as an expression the optimizer may neither copy nor move.
+
+    Its results feed several expressions and filters; without this each of them would
+    run the matcher again.
+    """
+    return kernel.asNondeterministic()
+
+
 def within_limit(a, b, limit: int = PAIR_LIMIT) -> Column:
     return F.size(as_col(a)).cast("long") * F.size(as_col(b)) <= limit
 
@@ -66,7 +75,7 @@ def with_opcodes(df: DataFrame, a: str, b: str, out: str = "ops",
     fine) and ``<out>_coarse`` is true for them.
     """
     ok = within_limit(a, b, limit)
-    fine = _opcodes(F.when(ok, F.col(a)), F.when(ok, F.col(b)))
+    fine = once(_opcodes)(F.when(ok, F.col(a)), F.when(ok, F.col(b)))
     return (df.withColumn(out, fine)
             .withColumn(f"{out}_coarse", ~ok)
             .withColumn(out, F.when(F.col(f"{out}_coarse"), trim_script(a, b))
@@ -77,7 +86,7 @@ def with_hunk_groups(df: DataFrame, a: str, b: str, out: str = "groups", context
                      limit: int = PAIR_LIMIT) -> DataFrame:
     """Edit scripts of line arrays cut into hunks with ``context`` kept lines around."""
     ok = within_limit(a, b, limit)
-    fine = _grouped(context)(F.when(ok, F.col(a)), F.when(ok, F.col(b)))
+    fine = once(_grouped(context))(F.when(ok, F.col(a)), F.when(ok, F.col(b)))
     return (df.withColumn(out, fine)
             .withColumn(f"{out}_coarse", ~ok)
             .withColumn(out, F.when(F.col(f"{out}_coarse"), trim_group(a, b, context))

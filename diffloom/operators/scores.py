@@ -51,8 +51,8 @@ def stats_from_counts(counts: DataFrame, keys: list[str], keywords: list[str] |
     return counts.groupBy(*keys).agg(*aggs)
 
 
-def multi_ref_stats(preds: DataFrame, refs: DataFrame, key: str, hyp: str, ref: str,
-                    ref_id: str) -> DataFrame:
+def multi_ref_stats(preds: DataFrame, refs: DataFrame, key: str, hyp: Column | str,
+                    ref: Column | str, ref_id: str) -> DataFrame:
     """As ``pair_stats`` with several references per row.
 
     An n-gram matches up to its largest count in any reference; ``ref_len`` is the
@@ -64,8 +64,8 @@ def multi_ref_stats(preds: DataFrame, refs: DataFrame, key: str, hyp: str, ref:
               .select(key, "n", "h", F.coalesce("ref", F.lit(0)).alias("r")))
     sums = counts.groupBy(key).agg(*[c for n in ORDERS for c in (
         per_order(F.least("h", "r"), n).alias(f"m{n}"), per_order(F.col("h"), n).alias(f"h{n}"))])
-    lengths = (preds.select(key, F.size(hyp).cast("long").alias("hyp_len"))
-               .join(refs.select(key, F.size(ref).cast("long").alias("len")), key)
+    lengths = (preds.select(key, F.size(as_col(hyp)).cast("long").alias("hyp_len"))
+               .join(refs.select(key, F.size(as_col(ref)).cast("long").alias("len")), key)
                .groupBy(key).agg(
                    F.first("hyp_len").alias("hyp_len"), F.min("len").alias("ref_len"),
                    F.min(F.struct(F.abs(F.col("len") - F.col("hyp_len")).alias("gap"), "len"))
@@ -99,7 +99,8 @@ def total(stats: DataFrame, *slices: str, exprs: dict[str, Column] | None = None
 
 def brevity(ref_len, hyp_len) -> Column:
     r, h = as_col(ref_len), as_col(hyp_len)
-    return F.when(h > r, F.lit(1.0)).when(h == 0, F.lit(0.0)).otherwise(F.exp(1 - r / h))
+    return F.when(h > r, F.lit(1.0)).when(h == 0, F.lit(0.0)).otherwise(
+        F.exp(1 - F.try_divide(r, h)))
 
 
 def geometric(precisions: list[Column], weights: list[Column] | None = None) -> Column:
@@ -114,8 +115,7 @@ def bleu_form(stats: DataFrame, smooth: bool = True, out: str = "bleu") -> DataF
         ps = [(F.col(f"m{n}") + 1.0) / (F.col(f"h{n}") + 1.0) for n in ORDERS]
         score = geometric(ps)
     else:
-        ps = [F.when(F.col(f"h{n}") > 0, F.col(f"m{n}") / F.col(f"h{n}")).otherwise(0.0)
-              for n in ORDERS]
+        ps = [F.coalesce(F.try_divide(f"m{n}", f"h{n}"), F.lit(0.0)) for n in ORDERS]
         score = F.when(F.least(*ps) > 0, geometric(ps)).otherwise(0.0)
     return stats.withColumn(out, score * brevity("ref_len", "hyp_len"))
 
@@ -162,7 +162,9 @@ def smoothing(method: int) -> Smoothing:
         return out
 
     def m4(num, den, hyp):
-        return [F.when((m == 0) & (hyp != 0), (F.lit(i) + K / F.ln(hyp)) / d).otherwise(m / d)
+        # No value for a one-token hypothesis: its logarithm is zero.
+        extra = F.try_divide(F.lit(K), F.ln(hyp))
+        return [F.when((m == 0) & (hyp != 0), (F.lit(i) + extra) / d).otherwise(m / d)
                 for i, (m, d) in enumerate(zip(num, den))]
 
     def averaged(ps, extra):
@@ -179,7 +181,7 @@ def smoothing(method: int) -> Smoothing:
     def m6(num, den, hyp):
         ps = plain(num, den)
         for i in range(2, len(ps)):
-            prior = F.when(ps[i - 2] == 0, 0.0).otherwise(ps[i - 1] * ps[i - 1] / ps[i - 2])
+            prior = F.coalesce(F.try_divide(ps[i - 1] * ps[i - 1], ps[i - 2]), F.lit(0.0))
             grams = F.greatest(hyp - i, F.lit(0))
             ps[i] = (num[i] + ALPHA * prior) / (grams + ALPHA)
         return ps
@@ -207,7 +209,8 @@ def smoothed_form(sums: DataFrame, method: int = 1, auto_reweigh: bool = False,
                            F.col("hyp_len"))
     hyp = F.col("hyp_len")
     short = F.lit(auto_reweigh) & (hyp < 4)
-    ws = [F.when(short, F.when(F.lit(n) <= hyp, 1 / hyp).otherwise(0.0)).otherwise(0.25)
+    even = F.try_divide(F.lit(1.0), hyp)
+    ws = [F.when(short, F.when(F.lit(n) <= hyp, even).otherwise(0.0)).otherwise(0.25)
           for n in ORDERS]
     score = brevity("ref_len", "hyp_len") * geometric(ps, ws)
     return sums.withColumn(out, F.when(F.col("num1") == 0, 0.0).otherwise(score))
@@ -255,7 +258,7 @@ def structure_match(features: DataFrame, key: str, side: str, sig: str, *slices:
         F.count_if(F.col(side) == "ref").alias("r"), F.count_if(F.col(side) == "cand").alias("c"))
     return per_sig.groupBy(*slices).agg(
         F.sum(F.when(F.col("c") > 0, F.col("r")).otherwise(0)).alias("matched"),
-        F.sum("r").alias("total")).withColumn("score", F.col("matched") / F.col("total"))
+        F.sum("r").alias("total")).withColumn("score", F.try_divide("matched", "total"))
 
 
 def normalize_flow(edges: DataFrame, key: str, side: str) -> DataFrame:
@@ -284,7 +287,7 @@ def flow_match(edges: DataFrame, key: str, side: str) -> DataFrame:
         F.count_if(F.col(side) == "ref").alias("r"), F.count_if(F.col(side) == "cand").alias("c"))
     return per_edge.agg(F.coalesce(F.sum(F.least("r", "c")), F.lit(0)).alias("matched"),
                         F.coalesce(F.sum("r"), F.lit(0)).alias("total")).withColumn(
-        "score", F.when(F.col("total") == 0, 0.0).otherwise(F.col("matched") / F.col("total")))
+        "score", F.coalesce(F.try_divide("matched", "total"), F.lit(0.0)))
 
 
 def composite(parts: dict[str, DataFrame], weights: dict[str, float]) -> DataFrame:
@@ -302,8 +305,8 @@ def gleu_form(sums: DataFrame, smooth: bool = False, out: str = "gleu") -> DataF
     names = ["hyp_len", "ref_len"] + [f"{p}{n}" for n in ORDERS for p in "gd"]
     val = {c: F.when(F.col(c) == 0, F.lit(1)).otherwise(F.col(c)) if smooth else F.col(c)
            for c in names}
-    score = F.exp(F.least(F.lit(0.0), 1 - val["ref_len"] / val["hyp_len"])) * geometric(
-        [val[f"g{n}"] / val[f"d{n}"] for n in ORDERS])
+    score = F.exp(F.least(F.lit(0.0), 1 - F.try_divide(val["ref_len"], val["hyp_len"]))) * geometric(
+        [F.try_divide(val[f"g{n}"], val[f"d{n}"]) for n in ORDERS])
     return sums.withColumn(out, F.when(F.least(*val.values()) == 0, 0.0).otherwise(score))
 
 
@@ -313,12 +316,12 @@ def gleu(preds: DataFrame, key: str, src, hyp, ref, *slices: str) -> DataFrame:
     return gleu_form(total(stats.drop(key), *slices))
 
 
-def gleu_multi(preds: DataFrame, refs: DataFrame, key: str, src: str, hyp: str, ref: str,
-               ref_id: str, seed: str | None = None) -> DataFrame:
-    """One reference is used per row: a drawn one, or the first without a seed."""
+def gleu_multi(preds: DataFrame, refs: DataFrame, key: str, src, hyp, ref: str, ref_id: str,
+               seed: str | None = None) -> DataFrame:
+    """One reference text is used per row: a drawn one, or the first without a seed."""
     order = draw(seed, key, ref_id) if seed else F.col(ref_id)
     chosen = refs.groupBy(key).agg(F.min_by(ref, order).alias("_ref"))
-    return gleu(preds.join(chosen, key), key, src, hyp, F.col("_ref"))
+    return gleu(preds.join(chosen, key), key, src, hyp, words("_ref"))
 
 
 # --- accuracy, bundles, resampling --------------------------------------------

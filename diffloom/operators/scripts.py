@@ -97,10 +97,10 @@ def edit_streams(a, b, ops, minimal: bool = False) -> Column:
         kept = F.filter(kept, lambda op: op["tag"] != "equal")
 
     def build(a, b, ops):
+        # An array of structs reads a field of all its elements.
         return let(
-            lambda parts: F.struct(*[
-                F.flatten(F.transform(parts, lambda p, f=f: p[f])).alias(f)
-                for f in ("spans", "tokens", "commands")]),
+            lambda parts: F.struct(*[F.flatten(parts[f]).alias(f)
+                                     for f in ("spans", "tokens", "commands")]),
             F.transform(ops, lambda op: _streams(a, b, op)))
 
     return let(build, a, b, kept)

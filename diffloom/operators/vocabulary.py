@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..layout import by_key
 from ..markers import EOS, PAD, UNK
 
 LABEL_IGNORE = -100
@@ -37,7 +38,7 @@ def encode(df: DataFrame, key: str, tokens: str, vocab: DataFrame, length: int,
     the vocabulary) and the ids of a row are gathered where they already are.
     """
     pad, eos, unk = (specials.index(t) for t in (PAD, EOS, UNK))
-    flat = (df.select(key, F.slice(tokens, 1, length - 1).alias("_t")).repartition(key)
+    flat = (by_key(df.select(key, F.slice(tokens, 1, length - 1).alias("_t")), key)
             .select(key, F.posexplode_outer("_t").alias("_pos", "token")))
     known = flat.join(F.broadcast(vocab), "token", "left")
     gathered = known.groupBy(key).agg(F.sort_array(F.collect_list(
@@ -55,7 +56,7 @@ def ignore_labels(length: int):
 
 def decode(df: DataFrame, key: str, ids: str, vocab: DataFrame, specials: list[str]) -> DataFrame:
     """(key, tokens): ids back to tokens, specials skipped."""
-    flat = (df.select(key, ids).repartition(key)
+    flat = (by_key(df.select(key, ids), key)
             .select(key, F.posexplode_outer(ids).alias("_pos", "id")))
     known = flat.join(F.broadcast(vocab.where(F.col("id") >= len(specials))), "id", "left")
     return known.groupBy(key).agg(F.sort_array(F.collect_list(

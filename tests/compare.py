@@ -62,7 +62,8 @@ def main(sf: str, names: list[str]) -> int:
     from diffloom.session import build_session
 
     spark = build_session("local[8]", spark_ui_enabled="false", spark_driver_memory="12g",
-                          spark_sql_shuffle_partitions="8")
+                          spark_sql_shuffle_partitions="8",
+                          spark_ui_showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"/root/testdata/{sf}"
     con = connect(sf_dir)
