@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import let
 from ..functions.draws import draw
 from ..functions.text import BLANK, LINE_BREAK, words
+from ..layout import by_key
 from ..operators.scripts import trim_script
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -53,9 +54,17 @@ def edited(text, seed: str, key: str) -> Column:
         parts, lambda ln, i: let(lambda u: edit(ln, u), draw(seed, key, i + 1)))), "\n")
 
 
-def changes(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:
-    """(doc_id, commit, repos, lang, message, old_contents, new_contents)."""
-    d = table(spark, sf, "documents") if docs is None else docs
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents hashed by id: a driver table is one row group and would be one task."""
+    return by_key(table(spark, sf, "documents"), "doc_id")
+
+
+def changes(spark: SparkSession, sf: str, spread: bool = True) -> DataFrame:
+    """(doc_id, commit, repos, lang, message, old_contents, new_contents).
+
+    Jobs that hash rows by themselves take the table as it is (``spread=False``).
+    """
+    d = documents(spark, sf) if spread else table(spark, sf, "documents")
     return d.select("doc_id", F.col("doc_id").cast("string").alias("commit"),
                     F.col("source").alias("repos"), "lang",
                     F.substring_index("text", "\n", 1).alias("message"),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import let
 from ..functions.patch import side_lines
 from ..functions.text import lines, words
-from ..layout import by_key
 from ..markers import KEEP
 from ..operators.anchors import anchor_edits, find_phrase
 from ..operators.hunks import (budget_groups, churn, expand_states, extract_hunks, line_delta,
@@ -16,7 +15,7 @@ from ..functions.lex import token_length, word_length
 from ..operators.matcher import with_opcodes
 from ..operators.nodes import merge_short_edits
 from ..operators.scripts import (edit_labels, edit_profile, edit_streams, payload, replay, side_labels)
-from .base import (CHANGES, TOKEN_PAIRS, changes, query, sql_draw, sql_join, sql_lines, sql_words, table,
+from .base import (CHANGES, TOKEN_PAIRS, changes, documents, query, sql_draw, sql_join, sql_lines, sql_words,
                    token_pairs)
 
 S = "chr(31)"
@@ -41,7 +40,7 @@ _DELTA = f"""{CHANGES}, l AS (
 
 
 def _delta(spark, sf):
-    return line_delta(changes(spark, sf), "commit", "old_contents", "new_contents", "lang")
+    return line_delta(changes(spark, sf, spread=False), "commit", "old_contents", "new_contents", "lang")
 
 
 query("line_delta", f"""WITH {_DELTA} SELECT "commit", lang, line, greatest(n - o, 0) AS added,
@@ -56,13 +55,8 @@ query("line_churn", f"""WITH {_DELTA} SELECT lang, sum(greatest(n - o, 0))::BIGI
 # pair has hunks exactly if its lines differ, and every hunk line is a line of its side.
 
 
-def laid_out(spark, sf):
-    """Changes spread over all tasks: a driver table is one row group, thus one task."""
-    return by_key(table(spark, sf, "documents"), "doc_id").transform(lambda d: changes(spark, sf, d))
-
-
 def _hunk_audit(spark, sf):
-    h = extract_hunks(laid_out(spark, sf))
+    h = extract_hunks(changes(spark, sf))
     old = F.flatten(F.transform("hunks", lambda x: side_lines(x, "-")))
     new = F.flatten(F.transform("hunks", lambda x: side_lines(x, "+")))
     staged = h.select("commit", "hunks", old.alias("o"), new.alias("n"),
@@ -79,7 +73,7 @@ query("hunk_audit", f"""WITH {CHANGES}, l AS (SELECT "commit", {sql_lines('old_c
     SELECT "commit", (a <> b)::INTEGER AS changed, CASE WHEN a <> b THEN len(b) - len(a) ELSE 0 END::BIGINT AS net,
         0::BIGINT AS foreign_lines FROM l""")(_hunk_audit)
 
-query("extract_hunks")(lambda spark, sf: with_hunks_only(extract_hunks(laid_out(spark, sf))).select(
+query("extract_hunks")(lambda spark, sf: with_hunks_only(extract_hunks(changes(spark, sf))).select(
     "commit", "repos", "message", F.array_join("hunks", "\n").alias("diff"),
     F.size("hunks").alias("n_hunks")))
 
@@ -102,7 +96,7 @@ def _signed_hunks(spark, sf):
     hunks = let(lambda ls: F.transform(
         F.sequence(F.lit(0), F.floor((F.size(ls) + 4) / 5).cast("int") - 1),
         lambda g: group(ls, g)), F.split("text", "\n", -1))
-    return by_key(table(spark, sf, "documents"), "doc_id").select(
+    return documents(spark, sf).select(
         F.col("doc_id").cast("string").alias("commit"), hunks.alias("hunks"))
 
 
@@ -298,7 +292,7 @@ query("find_phrase", f"""WITH {CHANGES}, t AS (SELECT doc_id, {sql_words('old_co
 
 
 def matched_pairs(spark, sf):
-    p = laid_out(spark, sf).select(
+    p = changes(spark, sf).select(
         "doc_id", "lang", words("message").alias("nl_tokens"), words("old_contents").alias("old_tokens"),
         words("new_contents").alias("new_tokens"))
     return with_opcodes(p, "old_tokens", "new_tokens")
