@@ -1,6 +1,6 @@
 """Registered queries over the driver tables and the SQL they are checked against."""
 
 from .base import REGISTRY
-from . import changes, examples, scores, text  # noqa: F401
+from . import assembly, changes, datasets, examples, scores, text  # noqa: F401
 
 __all__ = ["REGISTRY"]

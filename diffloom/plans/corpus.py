@@ -49,7 +49,9 @@ def assemble(annotated: DataFrame, commits: DataFrame, states: DataFrame) -> Dat
         conform(commits.where(real_change()), names, {"lang": "java", "type": "commitpack"}),
         conform(states.where(real_change()), names, {"lang": "java", "type": STATE_TYPE}),
     ]
-    return union_corpora(*parts).withColumn("row_key", F.concat_ws("/", "type", "row_key"))
+    keyed = [p.withColumn("row_key", F.concat_ws("/", "type", F.col("row_key").cast("string")))
+             for p in parts]
+    return union_corpora(*keyed)
 
 
 def shard_corpus(corpus: DataFrame, seed: str = "42", k: int = 30) -> DataFrame:
