@@ -237,9 +237,9 @@ for _name, _patience in (("early_stop", 3), ("early_stop_impatient", 1)):
     query(_name, _sql_stop(_patience))(
         lambda spark, sf, p=_patience: rounded(early_stop(epochs(spark, sf), patience=p), "best_score", digits=4))
 
-query("running_loss", """SELECT o_orderkey // 50 AS run, o_orderkey % 50 + 1 AS step, round(sum(o_totalprice) OVER (
+query("running_loss", """SELECT o_orderkey // 50 AS run, o_orderkey % 50 + 1 AS step, round(sum(round(o_totalprice * 100)) OVER (
     PARTITION BY o_orderkey // 50 ORDER BY o_orderkey) / (o_orderkey % 50 + 2), 2) AS train_loss FROM orders""")(
     lambda spark, sf: rounded(running_loss(table(spark, sf, "orders").select(
         F.floor(F.col("o_orderkey") / 50).alias("run"), (F.col("o_orderkey") % 50 + 1).alias("step"),
-        F.col("o_totalprice").cast("double").alias("loss"))).select("run", "step", "train_loss"),
+        F.round(F.col("o_totalprice") * 100).alias("loss"))).select("run", "step", "train_loss"),
         "train_loss", digits=2))

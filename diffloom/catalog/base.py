@@ -146,36 +146,36 @@ def sql_edited(text: str, seed: str, key: str) -> str:
              ELSE [ln] END)), chr(10))"""
 
 
-CHANGES = f"""changes AS (
+CHANGES = f"""changes AS MATERIALIZED (
     SELECT doc_id, CAST(doc_id AS VARCHAR) AS "commit", source AS repos, lang,
            split_part(text, chr(10), 1) AS message, text AS old_contents,
            coalesce({sql_edited('text', 'edit', 'doc_id')}, '') AS new_contents
     FROM documents)"""
 
-PREDICTIONS = f"""predictions AS (
+PREDICTIONS = f"""predictions AS MATERIALIZED (
     SELECT doc_id AS row_id, lang, {sql_words('text')} AS source,
            {sql_words("coalesce(" + sql_edited('text', 'edit', 'doc_id') + ", '')")} AS gold,
            {sql_words("coalesce(" + sql_edited('text', 'pred', 'doc_id') + ", '')")} AS pred
     FROM documents)"""
 
-CONVERSATION_PAIRS = """conversation_pairs AS (
+CONVERSATION_PAIRS = """conversation_pairs AS MATERIALIZED (
     SELECT conv_id * 1000 + turn AS row_id, role, text AS pred, nx AS gold
     FROM (SELECT conv_id, turn, role, text,
                  lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations) z
     WHERE nx IS NOT NULL)"""
 
 # Trim scripts: p common leading, s common trailing tokens, n and m lengths.
-TOKEN_PAIRS = CHANGES + f""", tp0 AS (
+TOKEN_PAIRS = CHANGES + f""", tp0 AS MATERIALIZED (
     SELECT doc_id, lang, {sql_words('message')} AS nl, {sql_words('old_contents')} AS a,
            {sql_words('new_contents')} AS b FROM changes),
-tp1 AS (
+tp1 AS MATERIALIZED (
     SELECT *, len(a) AS n, len(b) AS m,
            coalesce(list_position(list_transform(range(1, least(len(a), len(b)) + 1),
                     lambda i: a[i] = b[i]), false) - 1, least(len(a), len(b))) AS p FROM tp0),
-tp2 AS (
+tp2 AS MATERIALIZED (
     SELECT *, coalesce(list_position(list_transform(range(0, least(n, m) - p),
                     lambda i: a[n - i] = b[m - i]), false) - 1, least(n, m) - p) AS s FROM tp1),
-token_pairs AS (
+token_pairs AS MATERIALIZED (
     SELECT *, n - s - p AS dn, m - s - p AS dm,
            CASE WHEN n - s > p AND m - s > p THEN 'replace' WHEN n - s > p THEN 'delete'
                 WHEN m - s > p THEN 'insert' END AS mid,
@@ -188,7 +188,7 @@ _RUNS = " UNION ALL ".join(
         range(1, len({col}) - {n} + 2), lambda i: array_to_string({col}[i:i + {n - 1}], chr(31)))) AS gram
     FROM predictions"""
     for side, col in (("h", "pred"), ("r", "gold"), ("s", "source")) for n in (1, 2, 3, 4))
-GRAMS = PREDICTIONS + f""", grams AS (
+GRAMS = PREDICTIONS + f""", grams AS MATERIALIZED (
     SELECT row_id, lang, n, gram, count(*) FILTER (side = 'h') AS h,
            count(*) FILTER (side = 'r') AS r, count(*) FILTER (side = 's') AS s
     FROM ({_RUNS}) GROUP BY ALL)"""

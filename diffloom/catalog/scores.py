@@ -52,7 +52,7 @@ query("corpus_bleu_unsmoothed", f"WITH {GRAMS}, {sql_stats()} {sql_bleu(smooth=F
                                             smooth=False), "bleu").select("bleu"))
 
 # The same over conversation turns: what a score looks like with little overlap.
-CONV_GRAMS = (CONVERSATION_PAIRS + f""", predictions AS (
+CONV_GRAMS = (CONVERSATION_PAIRS + f""", predictions AS MATERIALIZED (
     SELECT row_id, role AS lang, {sql_words('pred')} AS pred, {sql_words('gold')} AS gold,
            []::VARCHAR[] AS source FROM conversation_pairs)""" + GRAMS[len(PREDICTIONS):])
 query("conversation_bleu_by_role", f"""WITH {CONV_GRAMS}, {sql_stats()}
@@ -393,7 +393,7 @@ query("gleu_by_lang", f"WITH {GRAMS}, {_sql_gleu_rows()} {_sql_gleu()}")(
     lambda spark, sf: rounded(S.gleu(predictions(spark, sf), "row_id", src_words(), pred_words(), gold_words(), "lang"),
                               "gleu").select("lang", "gleu"))
 
-_WITH_NULLS = PREDICTIONS.replace("predictions AS (", "predictions0 AS (") + """, predictions AS (
+_WITH_NULLS = PREDICTIONS.replace("predictions AS ", "predictions0 AS ") + """, predictions AS MATERIALIZED (
     SELECT * REPLACE (CASE WHEN row_id % 4 = 0 THEN source ELSE pred END AS pred) FROM predictions0)"""
 query("gleu_missing_hypothesis", f"""WITH {_WITH_NULLS}{GRAMS[len(PREDICTIONS):]}, {_sql_gleu_rows()}
     {_sql_gleu()}""")(
