@@ -13,7 +13,7 @@ from ..operators.hunks import expand_states, extract_hunks, with_hunks_only
 from ..operators.vocabulary import truncation_report
 from ..plans.corpus import assemble, commit_rejects, shard_corpus
 from ..plans.selection import early_stop, replay_epochs, running_loss, selection_score
-from .base import (CHANGES, CONVERSATION_PAIRS, changes, conversation_pairs, query, sql_draw, sql_lines,
+from .base import (documents, CHANGES, CONVERSATION_PAIRS, changes, conversation_pairs, query, sql_draw, sql_lines,
                    sql_strip, sql_words, table)
 from .changes import _BUDGET, _signed_hunks, _sql_states
 from .scores import rounded
@@ -98,7 +98,7 @@ query("corpus_composition", f"""WITH {ROWS} SELECT "type", lang, count(*) AS n_r
     lambda spark, sf: B.composition(corpus(spark, sf), "type", "lang"))
 
 query("conform_columns", """SELECT source AS proj, text AS nl, 'java' AS lang, 'commitpack' AS "type" FROM documents""")(
-    lambda spark, sf: B.conform(table(spark, sf, "documents"), {"proj": "source", "nl": "text"},
+    lambda spark, sf: B.conform(documents(spark, sf), {"proj": "source", "nl": "text"},
                                 {"lang": "java", "type": "commitpack"}))
 
 # --- ranks and shards ------------------------------------------------------------------
@@ -115,20 +115,20 @@ query("shuffled_rank", f"SELECT l_orderkey * 10 + l_linenumber AS k, {_rank('42'
 
 query("epoch_order", f"""SELECT doc_id, 1 AS epoch, {_rank('epoch-43', 'doc_id')} AS rank FROM documents UNION ALL
     SELECT doc_id, 2, {_rank('epoch-44', 'doc_id')} FROM documents""")(
-    lambda spark, sf: B.union_corpora(*[G.epoch_order(table(spark, sf, "documents").select(
+    lambda spark, sf: B.union_corpora(*[G.epoch_order(documents(spark, sf).select(
         "doc_id", F.lit(e).alias("epoch")), 42, e, "doc_id") for e in (1, 2)]))
 
 _SHARD = ("CASE WHEN total // 30 = 0 THEN 29 ELSE least(rank // (total // 30), 29) END")
 query("even_shards", f"""WITH r AS (SELECT doc_id, {_rank('42', 'doc_id')} AS rank, count(*) OVER () AS total FROM documents)
     SELECT doc_id, rank, {_SHARD} AS shard FROM r""")(
-    lambda spark, sf: G.with_shards(table(spark, sf, "documents").select("doc_id"), "42", "doc_id"))
+    lambda spark, sf: G.with_shards(documents(spark, sf).select("doc_id"), "42", "doc_id"))
 query("few_rows_shards", f"""WITH r AS (SELECT r_regionkey, {_rank('42', 'r_regionkey')} AS rank, count(*) OVER () AS total FROM region)
     SELECT r_regionkey, rank, {_SHARD} AS shard FROM r""")(
     lambda spark, sf: G.with_shards(table(spark, sf, "region").select("r_regionkey"), "42", "r_regionkey"))
 
 query("trainer_slots", f"""WITH r AS (SELECT doc_id, {_rank('t', 'doc_id')} AS rank, count(*) OVER () AS total FROM documents)
     SELECT doc_id, rank, rank % 3 AS slot FROM r WHERE rank < total - total % 3""")(
-    lambda spark, sf: G.trainer_slots(table(spark, sf, "documents").select("doc_id"), "t", "doc_id", 3))
+    lambda spark, sf: G.trainer_slots(documents(spark, sf).select("doc_id"), "t", "doc_id", 3))
 
 query("drawn_subset", """SELECT l_orderkey * 10 + l_linenumber AS k FROM lineitem
     ORDER BY md5(concat_ws('|', 'sub', l_orderkey * 10 + l_linenumber)), 1 LIMIT 5000""")(
@@ -139,7 +139,7 @@ query("drawn_subset", """SELECT l_orderkey * 10 + l_linenumber AS k FROM lineite
 query("drawn_positions", f"""WITH t AS (SELECT doc_id, len({sql_words('text')}) AS n FROM documents)
     SELECT doc_id, coalesce(array_to_string(list_sort(list_transform(list_sort(list_transform(range(1, n + 1),
         lambda i: {{'u': {sql_draw('g2', 'doc_id', 'i')}, 'i': i}}))[1:3], lambda z: z.i)), ' '), '') AS picked FROM t""")(
-    lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.size(words("text")).alias("n")).select(
+    lambda spark, sf: documents(spark, sf).select("doc_id", F.size(words("text")).alias("n")).select(
         "doc_id", F.array_join(F.transform(pick(F.col("n"), 3, "g2", "doc_id"), lambda i: i.cast("string")), " ")
         .alias("picked")))
 
@@ -237,9 +237,9 @@ for _name, _patience in (("early_stop", 3), ("early_stop_impatient", 1)):
     query(_name, _sql_stop(_patience))(
         lambda spark, sf, p=_patience: rounded(early_stop(epochs(spark, sf), patience=p), "best_score", digits=4))
 
-query("running_loss", """SELECT o_orderkey // 50 AS run, o_orderkey % 50 + 1 AS step, round(sum(round(o_totalprice * 100)) OVER (
-    PARTITION BY o_orderkey // 50 ORDER BY o_orderkey) / (o_orderkey % 50 + 2), 2) AS train_loss FROM orders""")(
-    lambda spark, sf: rounded(running_loss(table(spark, sf, "orders").select(
+query("running_loss", """SELECT o_orderkey // 50 AS run, o_orderkey % 50 + 1 AS step, floor(sum(round(o_totalprice * 100))
+    OVER (PARTITION BY o_orderkey // 50 ORDER BY o_orderkey) / (o_orderkey % 50 + 2))::BIGINT AS train_loss FROM orders""")(
+    lambda spark, sf: running_loss(table(spark, sf, "orders").select(
         F.floor(F.col("o_orderkey") / 50).alias("run"), (F.col("o_orderkey") % 50 + 1).alias("step"),
-        F.round(F.col("o_totalprice") * 100).alias("loss"))).select("run", "step", "train_loss"),
-        "train_loss", digits=2))
+        F.round(F.col("o_totalprice") * 100).alias("loss"))).select(
+        "run", "step", F.floor("train_loss").alias("train_loss")))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import let
 from ..functions.draws import draw
 from ..functions.text import BLANK, LINE_BREAK, words
-from ..layout import by_key
+from ..layout import spread_if_small
 from ..operators.scripts import trim_script
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -55,16 +55,13 @@ def edited(text, seed: str, key: str) -> Column:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents hashed by id: a driver table is one row group and would be one task."""
-    return by_key(table(spark, sf, "documents"), "doc_id")
+    """Documents; small driver tables are one row group each and are spread over all tasks."""
+    return spread_if_small(table(spark, sf, "documents"), "doc_id")
 
 
-def changes(spark: SparkSession, sf: str, spread: bool = True) -> DataFrame:
-    """(doc_id, commit, repos, lang, message, old_contents, new_contents).
-
-    Jobs that hash rows by themselves take the table as it is (``spread=False``).
-    """
-    d = documents(spark, sf) if spread else table(spark, sf, "documents")
+def changes(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, commit, repos, lang, message, old_contents, new_contents)."""
+    d = documents(spark, sf)
     return d.select("doc_id", F.col("doc_id").cast("string").alias("commit"),
                     F.col("source").alias("repos"), "lang",
                     F.substring_index("text", "\n", 1).alias("message"),
@@ -74,7 +71,7 @@ def changes(spark: SparkSession, sf: str, spread: bool = True) -> DataFrame:
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """(row_id, lang, text): the sides of a row are the expressions below."""
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "lang", "text")
+    return documents(spark, sf).select(F.col("doc_id").alias("row_id"), "lang", "text")
 
 
 def src_words() -> Column:

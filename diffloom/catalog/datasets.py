@@ -13,7 +13,7 @@ from ..sources import tasks as T
 from ..sources.readers import (numbered_lines, pair_lines, read_commits, read_jsonl, split_corrupt)
 from ..sources.writers import (append_metrics, cached_features, read_metrics, write_jsonl,
                                write_predictions, write_shards)
-from .base import (CHANGES, CONVERSATION_PAIRS, changes, conversation_pairs, query, sql_join, sql_strip,
+from .base import (CHANGES, CONVERSATION_PAIRS, changes, documents, edited, conversation_pairs, query, sql_join, sql_strip,
                    sql_words, table)
 from .text import SIGNED, q, signed
 
@@ -51,9 +51,11 @@ def _lines_written(spark, sf, column, name):
     """Text files per source, in document order: several files each, cut by key range."""
     path = scratch_path(spark, name)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (changes(spark, sf, spread=False).select(F.col("repos").alias("part"), "doc_id", collapse(column).alias("value"))
-     .repartitionByRange(n, "part", "doc_id").sortWithinPartitions("part", "doc_id")
-     .drop("doc_id").write.partitionBy("part").text(path))
+    rows = documents(spark, sf).select("doc_id", F.col("source").alias("part"), "text")
+    # The range is cut and sorted on raw rows, so that sampling evaluates nothing else.
+    text = F.col("text") if column == "old_contents" else edited(F.col("text"), "edit", "doc_id")
+    (rows.repartitionByRange(n, "part", "doc_id").sortWithinPartitions("part", "doc_id")
+     .select("part", collapse(text).alias("value")).write.partitionBy("part").text(path))
     return path
 
 
@@ -72,7 +74,7 @@ query("read_paired_lines", f"""WITH {CHANGES} SELECT repos AS part,
 
 def _shard_files(spark, sf):
     path = scratch_path(spark, "shards")
-    docs = with_shards(table(spark, sf, "documents").select("doc_id", "text"), "42", "doc_id")
+    docs = with_shards(documents(spark, sf).select("doc_id", "text"), "42", "doc_id")
     write_shards(docs, path, files_per_shard=2)
     back = spark.read.schema("doc_id bigint, text string, rank bigint, shard int").json(path)
     return back.groupBy("shard").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"),
@@ -103,7 +105,7 @@ query("write_predictions", f"WITH {CONVERSATION_PAIRS} " + " UNION ALL ".join(
 
 def _feature_cache(spark, sf):
     path = scratch_path(spark, "features")
-    docs = table(spark, sf, "documents").select("doc_id", F.size(words("text")).alias("n"))
+    docs = documents(spark, sf).select("doc_id", F.size(words("text")).alias("n"))
     cached_features(spark, path, lambda: docs, docs.schema)  # built
     return cached_features(spark, path, lambda: docs.limit(0), docs.schema)  # read
 
@@ -148,7 +150,7 @@ def _out(df):
 
 query("task_generation", f"""SELECT doc_id AS idx, {sql_strip("CASE WHEN doc_id % 2 = 0 THEN text ELSE source END")} AS source,
     {sql_strip("CASE WHEN doc_id % 2 = 0 THEN lang ELSE text END")} AS target, '' AS old_comm FROM documents""")(
-    lambda spark, sf: _out(T.shape_generation(_idx(table(spark, sf, "documents")).select(
+    lambda spark, sf: _out(T.shape_generation(_idx(documents(spark, sf)).select(
         "idx", *[F.when((F.col("idx") % 2 == 0) == even, F.col(src)).alias(name) for name, src, even in (
             ("nl", "text", True), ("code", "lang", True), ("input", "source", False), ("output", "text", False))]))))
 
@@ -180,7 +182,7 @@ query("task_comment_patch", f"""WITH {SIGNED}, t AS (SELECT s.doc_id, text, {_sq
     SELECT doc_id AS idx, 'c' || ' <s> ' || {sql_strip('o')} || ' <s> ' || replace({sql_strip('n')}, chr(10), ' ') AS source,
         {_sql_flat('text')} AS target, 'c' AS old_comm FROM t""")(
     lambda spark, sf: _out(T.shape_comment_patch(_idx(signed(spark, sf).join(
-        table(spark, sf, "documents").select("doc_id", "text"), "doc_id")).select(
+        documents(spark, sf).select("doc_id", "text"), "doc_id")).select(
         "idx", F.concat(F.lit("@@ -1,1 +1,1 @@\n\n"), "hunk").alias("diff"), F.lit(" c ").alias("old_nl"),
         F.col("text").alias("nl")))))
 
@@ -231,7 +233,7 @@ for _a, _b in (("java", "csharp"), ("csharp", "java")):
 
 
 def _refine(spark, sf):
-    train = changes(spark, sf, spread=False).select(
+    train = changes(spark, sf).select(
         F.col("doc_id").alias("idx"), F.col("old_contents").alias("old"), F.col("new_contents").alias("new"))
     rows = conversation_pairs(spark, sf).select("row_id", F.col("pred").alias("old"), F.col("gold").alias("comment"))
     return prompts(P.refine_prompts(rows, train))

@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import let
 from ..functions.text import words
-from ..layout import by_key
 from ..markers import C_SHARP_KEYWORDS, JAVA_KEYWORDS
 from ..operators import scores as S
 from ..operators.grams import document_frequency, gram_counts
-from .base import (CONVERSATION_PAIRS, GRAMS, PREDICTIONS, conversation_pairs, gold_words, pred_words,
+from .base import (documents, CONVERSATION_PAIRS, GRAMS, PREDICTIONS, conversation_pairs, gold_words, pred_words,
                    predictions, query, src_words, sql_brevity, sql_draw, sql_join, sql_stats, sql_strip, sql_words, table)
 from .text import sql_normalize, sql_rejoin
 
@@ -273,7 +272,7 @@ def features(spark, sf):
             F.lit(name).alias("side"), F.concat_ws(" ", w, F.get(t, i + 1)).alias("sig"),
             (i % 3).alias("depth"))), col)
 
-    p = by_key(predictions(spark, sf), "row_id").select(
+    p = predictions(spark, sf).select(
         "row_id", "lang", gold_words().alias("gold"), pred_words().alias("pred"))
     return p.select("row_id", "lang", F.inline(F.concat(side("gold", "ref"), side("pred", "cand"))))
 
@@ -450,7 +449,7 @@ from .base import edited, sql_edited  # noqa: E402
 
 
 def references(spark, sf):
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     return d.select(F.col("doc_id").alias("row_id"), F.posexplode(F.array(*[
         edited(F.col("text"), s, "doc_id") for s in ("edit", "ref1", "ref2")]))
         .alias("ref_id", "ref_text"))

@@ -15,7 +15,7 @@ from ..functions.text import (BLANK, CONNECTOR_RULES, EDGE_CHARS, PUNCTUATION, S
                               strip_symbols, subword_split, with_task_prefix, words)
 from ..markers import HUNK_MARKER, JAVA_KEYWORDS, pretraining_specials
 from ..operators.vocabulary import build_vocab, decode, encode, truncation_report
-from .base import CHANGES, changes, query, sql_join, sql_lines, sql_strip, sql_words, table
+from .base import documents, CHANGES, changes, query, sql_join, sql_lines, sql_strip, sql_words, table
 
 
 def q(s: str) -> str:
@@ -24,12 +24,12 @@ def q(s: str) -> str:
 
 
 def _doc(expr):
-    return lambda spark, sf: table(spark, sf, "documents").select("doc_id", expr().alias("out"))
+    return lambda spark, sf: documents(spark, sf).select("doc_id", expr().alias("out"))
 
 
 query("words", f"SELECT doc_id, len({sql_words('text')})::BIGINT AS n_words, "
                f"md5({sql_join(sql_words('text'), 'chr(31)')}) AS digest FROM documents")(
-    lambda spark, sf: table(spark, sf, "documents").select(
+    lambda spark, sf: documents(spark, sf).select(
         "doc_id", F.size(words("text")).cast("long").alias("n_words"),
         F.md5(F.array_join(words("text"), "\u001f")).alias("digest")))
 
@@ -38,7 +38,7 @@ query("collapse_whitespace", f"SELECT doc_id, {sql_join(sql_words('text'))} AS o
 
 query("word_frequency", f"""SELECT word, count(*) AS n FROM (
     SELECT unnest({sql_words('text')}) AS word FROM documents) GROUP BY word""")(
-    lambda spark, sf: table(spark, sf, "documents").select(F.explode(words("text")).alias("word"))
+    lambda spark, sf: documents(spark, sf).select(F.explode(words("text")).alias("word"))
     .groupBy("word").agg(F.count("*").alias("n")))
 
 PROSE = rf"[{WORD_CHARS}_]+(?:'[\p{{L}}]+)?|[^\t-\r\x1c-\x20\x{{a0}}{WORD_CHARS}_]"
@@ -119,7 +119,7 @@ query("padded_ngrams", f"""WITH t AS (SELECT conv_id, turn, {sql_words('text')}
 query("ngram_totals", f"""WITH t AS (SELECT {sql_words('text')} AS w FROM documents)
     SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w)),
         lambda i: array_to_string(w[i:i + 1], ' '))) AS gram FROM t) GROUP BY gram""")(
-    lambda spark, sf: table(spark, sf, "documents").select(
+    lambda spark, sf: documents(spark, sf).select(
         F.explode(ngrams(words("text"), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")))
 
 query("identifier_kinds", f"""WITH t AS (SELECT unnest({sql_lex('html')}) AS t FROM pages)
@@ -134,7 +134,7 @@ query("identifier_kinds", f"""WITH t AS (SELECT unnest({sql_lex('html')}) AS t F
 
 query("token_lengths", f"""SELECT lang, count(*) AS n, sum(len({sql_lex('text')}))::BIGINT AS tokens,
     sum(len({sql_words('text')}))::BIGINT AS words FROM documents GROUP BY lang""")(
-    lambda spark, sf: table(spark, sf, "documents").groupBy("lang").agg(
+    lambda spark, sf: documents(spark, sf).groupBy("lang").agg(
         F.count("*").alias("n"), F.sum(F.size(code_lex("text"))).alias("tokens"),
         F.sum(word_length("text")).alias("words")))
 
@@ -169,7 +169,7 @@ def signed(spark, sf):
         mark = F.when(k == 1, "-").when(k == 4, "+").when(k == 7, "").otherwise(" ")
         return F.concat(mark, ln)
 
-    return table(spark, sf, "documents").select("doc_id", F.array_join(
+    return documents(spark, sf).select("doc_id", F.array_join(
         F.transform(F.split("text", "\n", -1), sign), "\n").alias("hunk"))
 
 
@@ -207,7 +207,7 @@ query("rebuild_single_hunk_compat", _sql_single(True))(_single(True))
 # Hunks of a document: its sentences, so that packing has several parts.
 query("pack_hunks", f"""SELECT doc_id, array_to_string(h, chr(10) || '{HUNK_MARKER}' || chr(10)) AS packed,
     len(h)::BIGINT AS n FROM (SELECT doc_id, string_split(text, '. ') AS h FROM documents)""")(
-    lambda spark, sf: table(spark, sf, "documents").select(
+    lambda spark, sf: documents(spark, sf).select(
         "doc_id", pack_hunks(F.split("text", "\\. ", -1)).alias("packed")).select(
         "doc_id", "packed", F.size(unpack_hunks("packed")).cast("long").alias("n")))
 
@@ -254,7 +254,7 @@ LENGTH = 130
 
 
 def _vocab(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", words("text").alias("w"))
+    docs = documents(spark, sf).select("doc_id", words("text").alias("w"))
     return docs, build_vocab(docs, "w", VOCAB, SPECIALS)
 
 

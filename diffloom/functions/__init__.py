@@ -16,7 +16,8 @@ def let(fn: Callable[..., Column], *exprs: Column | str) -> Column:
 
     An expression captured by a lambda is evaluated again for every element, also
     when it came from an earlier ``select`` that the optimizer merged.  Binding it
-    to a lambda variable of a one-element array prevents that.
+    to a lambda variable of a one-element array prevents that.  The result is copied,
+    so bind what is large and return what is small.
     """
     if not exprs:
         return fn()

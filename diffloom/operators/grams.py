@@ -1,8 +1,7 @@
-"""N-gram multisets of several sides of a row, and their per-row statistics.
+"""N-gram multisets: per-row statistics as expressions, corpus-wide counts as tables.
 
-Every score needs only sums over rows, so the table is hashed by row key once;
-n-grams are exploded, counted and summed inside that layout.  Nothing but one row of
-sums per row key leaves the partition.
+What a score needs of one row (overlaps of its own sides) is folded inside the row:
+no explode, no shuffle.  Only counts that span rows are exploded and grouped.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from ..functions.text import ngrams
 from ..layout import by_key
 
 MAX_ORDER = 4
-SEP = "\u001f"
+SEP, MARK = "\u001f", "\u0001"
 
 
 def gram_counts(df: DataFrame, keys: list[str], sides: dict[str, Column | str],
@@ -51,6 +50,81 @@ def gram_counts(df: DataFrame, keys: list[str], sides: dict[str, Column | str],
         for i, name in enumerate(names)])
 
 
+def bind_orders(body, orders: int, *sides: Column) -> Column:
+    """``body`` applied to one list of n-gram arrays per side, order 1 first.
+
+    Each order extends the one before, and order 1 is the tokens themselves.
+    """
+    def extend(lists, todo):
+        if not todo:
+            return body(*lists)
+        side, n = todo[0]
+        grams = lists[side]
+        size = F.greatest(F.size(grams[0]) - (n - 1), F.lit(0))
+        grown = F.zip_with(F.slice(grams[-1], F.lit(1), size), F.slice(grams[0], F.lit(n), size),
+                           lambda g, x: F.concat(g, F.lit(SEP), x))
+        return let(lambda g: extend([x + [g] if i == side else x for i, x in enumerate(lists)],
+                                    todo[1:]), grown)
+
+    todo = [(i, n) for i in range(len(sides)) for n in range(2, orders + 1)]
+    return let(lambda *tokens: extend([[t] for t in tokens], todo), *sides)
+
+
+def repeats(ordered: Column) -> Column:
+    """A sorted multiset with one copy of each element taken away."""
+    return F.filter(ordered, lambda x, i: (i > 0) & (x == F.get(ordered, i - 1)))
+
+
+def run_starts(ordered: Column) -> Column:
+    marks = F.transform(ordered, lambda x, i: F.when(
+        (i == 0) | (x != F.get(ordered, i - 1)), i))
+    return F.filter(marks, lambda i: i.isNotNull())
+
+
+def numbered(ordered: Column, starts: Column) -> Column:
+    """A sorted multiset as a set: equal elements get running numbers."""
+    def run(at, r):
+        count = F.coalesce(F.get(starts, r + 1), F.size(ordered)) - at
+        return F.transform(F.sequence(F.lit(1), count), lambda k: F.concat(
+            F.get(ordered, at), F.lit(MARK), k.cast("string")))
+
+    return F.flatten(F.transform(starts, run))
+
+
+def shared_repeats(p: Column, q: Column) -> Column:
+    """Size of the multiset intersection of two sorted (bound) arrays."""
+    count = let(lambda sp, sq: F.size(F.array_intersect(numbered(p, sp), numbered(q, sq))),
+                run_starts(p), run_starts(q))
+    return F.when((F.size(p) == 0) | (F.size(q) == 0), 0).otherwise(count)
+
+
+def shared(a: Column, b: Column) -> Column:
+    """Size of the multiset intersection of two (bound) n-gram arrays.
+
+    First as sets, which is a hash intersection; then the repeats, numbered so that
+    they form sets too.  Most n-grams of a text do not repeat.
+    """
+    return F.size(F.array_intersect(a, b)) + let(
+        lambda x, y: let(shared_repeats, repeats(x), repeats(y)), F.sort_array(a), F.sort_array(b))
+
+
+def shared_without(a: Column, b: Column, c: Column) -> Column:
+    """As ``shared(a, b)``, but n-grams that occur in ``c`` do not count."""
+    def deeper(new):
+        def among(ordered):
+            return F.filter(repeats(ordered), lambda v: F.array_contains(new, v))
+
+        return F.when(F.size(new) == 0, 0).otherwise(F.size(new) + let(
+            lambda x, y: let(shared_repeats, among(x), among(y)),
+            F.sort_array(a), F.sort_array(b)))
+
+    return let(deeper, F.array_except(F.array_intersect(a, b), c))
+
+
+def gram_total(tokens: Column, n: int) -> Column:
+    return F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+
+
 def per_order(value: Column, n: int) -> Column:
     """Sum of ``value`` over the n-grams of one order."""
     return F.coalesce(F.sum(F.when(F.col("n") == n, value)), F.lit(0))
@@ -67,12 +141,18 @@ def document_frequency(counts: DataFrame, side: str) -> DataFrame:
             .groupBy("n", "gram").agg(F.count("*").alias("df")))
 
 
-def merge_references(refs: DataFrame, key: str, tokens: Column | str, ref_id: str,
-                     max_order: int = MAX_ORDER) -> DataFrame:
-    """(key, n, gram, ref): per n-gram the largest count over a row's references.
+def merge_references(preds: DataFrame, refs: DataFrame, key: str, hyp: Column | str,
+                     ref: Column | str, ref_id: str, max_order: int = MAX_ORDER) -> DataFrame:
+    """(key, n, gram, h, r): hypothesis counts, and the largest count in any reference.
 
-    Each reference is counted under its own key, so a row with very many references
-    is spread; only the maxima meet, combined before the shuffle.
+    Texts are hashed by (key, reference) and counted where they are, so a row with very
+    many references is spread; then n-grams of a row meet by n-gram, once.
     """
-    counts = gram_counts(refs, [key, ref_id], {"ref": tokens}, max_order)
-    return counts.where("n > 0").groupBy(key, "n", "gram").agg(F.max("ref").alias("ref"))
+    texts = preds.select(key, F.lit(None).cast(refs.schema[ref_id].dataType).alias(ref_id),
+                         as_col(hyp).alias("_t")).unionByName(
+        refs.select(key, ref_id, as_col(ref).alias("_t")))
+    counts = gram_counts(texts, [key, ref_id], {"c": "_t"}, max_order).where("n > 0")
+    own = F.col(ref_id).isNull()
+    return counts.groupBy(key, "n", "gram").agg(
+        F.coalesce(F.max(F.when(own, F.col("c"))), F.lit(0)).alias("h"),
+        F.coalesce(F.max(F.when(~own, F.col("c"))), F.lit(0)).alias("r"))

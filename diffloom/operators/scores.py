@@ -11,11 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import as_col
+from ..functions import as_col, let
 from ..functions.draws import draw
 from ..functions.text import (normalize_for_match, normalize_tokens_for_match, strip, words)
 from ..markers import KEYWORD_WEIGHT, OTHER_WEIGHT
-from .grams import gram_counts, merge_references, overlap, per_order
+from .grams import bind_orders, gram_total, merge_references, per_order, shared, shared_without
 
 ORDERS = (1, 2, 3, 4)
 EPSILON, ALPHA, K = 0.1, 5.0, 5.0  # fixed values: smoothing constants
@@ -25,30 +25,42 @@ Z95 = 1.959964  # fixed value: 95 % normal interval
 
 # --- statistics ---------------------------------------------------------------
 
-def keyword_weight(gram, keywords: list[str]) -> Column:
-    return F.when(as_col(gram).isin(keywords), F.lit(KEYWORD_WEIGHT)).otherwise(F.lit(OTHER_WEIGHT))
-
-
 def pair_stats(preds: DataFrame, keys: list[str], hyp: Column | str, ref: Column | str,
                keywords: list[str] | None = None, orders: tuple[int, ...] = ORDERS) -> DataFrame:
     """One row per key: lengths, and per order matches ``m``, hypothesis ``h`` and reference
-    ``r`` n-gram counts; with ``keywords`` also the weighted unigram sums ``wm``, ``wr``."""
-    counts = gram_counts(preds, keys, {"h": hyp, "r": ref}, max(orders))
-    return stats_from_counts(counts, keys, keywords, orders)
+    ``r`` n-gram counts; with ``keywords`` also the weighted unigram sums ``wm``, ``wr``.
 
+    A projection: rows stay where they are.
+    """
+    def build(hs, rs):
+        h, r = hs[0], rs[0]
+        cols = [F.size(h).alias("hyp_len"), F.size(r).alias("ref_len")]
+        for n in orders:
+            cols += [shared(hs[n - 1], rs[n - 1]).alias(f"m{n}"),
+                     gram_total(h, n).alias(f"h{n}"), gram_total(r, n).alias(f"r{n}")]
+        if keywords is None:
+            return F.struct(*cols)
 
-def stats_from_counts(counts: DataFrame, keys: list[str], keywords: list[str] | None = None,
-                      orders: tuple[int, ...] = ORDERS) -> DataFrame:
-    match = overlap("h", "r")
-    aggs = [per_order(F.col("h"), 0).alias("hyp_len"), per_order(F.col("r"), 0).alias("ref_len")]
-    for n in orders:
-        aggs += [per_order(match, n).alias(f"m{n}"), per_order(F.col("h"), n).alias(f"h{n}"),
-                 per_order(F.col("r"), n).alias(f"r{n}")]
-    if keywords is not None:
-        w = keyword_weight("gram", keywords)
-        aggs += [per_order(match * w, 1).cast("double").alias("wm"),
-                 per_order(F.col("r") * w, 1).cast("double").alias("wr")]
-    return counts.groupBy(*keys).agg(*aggs)
+        # Every token weighs OTHER_WEIGHT, a keyword that much more.
+        def weighted(kh, kr, m1):
+            extra = KEYWORD_WEIGHT - OTHER_WEIGHT
+            return F.struct(*cols, *[
+                (F.lit(OTHER_WEIGHT) * of + F.lit(extra) * kw).alias(name) for name, of, kw in (
+                    ("wm", m1, shared(kh, kr)), ("wr", F.size(r), F.size(kr)))])
+
+        def only(tokens):
+            return F.filter(tokens, lambda t: t.isin(keywords))
+
+        return let(weighted, only(h), only(r), shared(h, r))
+
+    return _per_row(preds, keys, build, max(orders), hyp, ref)
+
+
+def _per_row(df: DataFrame, keys: list[str], build, orders: int, *sides) -> DataFrame:
+    """keys plus the fields of ``build``; a generator, so it is evaluated once."""
+    none = F.array().cast("array<string>")
+    stats = bind_orders(build, orders, *[F.coalesce(as_col(s), none) for s in sides])
+    return df.select(*keys, F.inline(F.array(stats)))
 
 
 def multi_ref_stats(preds: DataFrame, refs: DataFrame, key: str, hyp: Column | str,
@@ -58,10 +70,7 @@ def multi_ref_stats(preds: DataFrame, refs: DataFrame, key: str, hyp: Column | s
     An n-gram matches up to its largest count in any reference; ``ref_len`` is the
     shortest and ``close_len`` the closest reference length.
     """
-    hyp_counts = gram_counts(preds, [key], {"h": hyp})
-    best = merge_references(refs, key, ref, ref_id)
-    counts = (hyp_counts.where("n > 0").join(best, [key, "n", "gram"], "left")
-              .select(key, "n", "h", F.coalesce("ref", F.lit(0)).alias("r")))
+    counts = merge_references(preds, refs, key, hyp, ref, ref_id)
     sums = counts.groupBy(key).agg(*[c for n in ORDERS for c in (
         per_order(F.least("h", "r"), n).alias(f"m{n}"), per_order(F.col("h"), n).alias(f"h{n}"))])
     lengths = (preds.select(key, F.size(as_col(hyp)).cast("long").alias("hyp_len"))
@@ -78,13 +87,14 @@ def gleu_stats(preds: DataFrame, keys: list[str], src: Column | str, hyp: Column
                ref: Column | str) -> DataFrame:
     """Per row: lengths and per order ``g`` = matches with the reference less matches with
     source n-grams the reference does not have, not below 0; ``d`` = hypothesis n-grams."""
-    counts = gram_counts(preds, keys, {"h": hyp, "r": ref, "s": src})
-    stale = F.when(F.col("r") == 0, overlap("h", "s")).otherwise(F.lit(0))
-    aggs = [per_order(F.col("h"), 0).alias("hyp_len"), per_order(F.col("r"), 0).alias("ref_len")]
-    for n in ORDERS:
-        aggs += [F.greatest(per_order(overlap("h", "r") - stale, n), F.lit(0)).alias(f"g{n}"),
-                 per_order(F.col("h"), n).alias(f"d{n}")]
-    return counts.groupBy(*keys).agg(*aggs)
+    def build(ss, hs, rs):
+        cols = [F.size(hs[0]).alias("hyp_len"), F.size(rs[0]).alias("ref_len")]
+        for n, s, h, r in zip(ORDERS, ss, hs, rs):
+            net = shared(h, r) - shared_without(h, s, r)
+            cols += [F.greatest(net, F.lit(0)).alias(f"g{n}"), gram_total(hs[0], n).alias(f"d{n}")]
+        return F.struct(*cols)
+
+    return _per_row(preds, keys, build, max(ORDERS), src, hyp, ref)
 
 
 def total(stats: DataFrame, *slices: str, exprs: dict[str, Column] | None = None,
