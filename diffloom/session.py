@@ -18,6 +18,8 @@ def build_session(master: str | None = None, app: str = "diffloom", **conf) -> S
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Plans here are large expressions; call sites of every part would be recorded.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
