@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.draws import pick
-from ..functions.lex import token_length, word_length
+from ..functions.lex import word_length
 from ..functions.text import first_line, words
 from ..markers import TASK_LIMITS
 from ..operators import filters as B, ranking as G
@@ -13,11 +13,11 @@ from ..operators.hunks import expand_states, extract_hunks, with_hunks_only
 from ..operators.vocabulary import truncation_report
 from ..plans.corpus import assemble, commit_rejects, shard_corpus
 from ..plans.selection import early_stop, replay_epochs, running_loss, selection_score
-from .base import (documents, CHANGES, CONVERSATION_PAIRS, changes, conversation_pairs, query, sql_draw, sql_lines,
+from .base import (CHANGES, CONVERSATION_PAIRS, changes, conversation_pairs, documents, query, sql_draw, sql_lines,
                    sql_strip, sql_words, table)
 from .changes import _BUDGET, _signed_hunks, _sql_states
 from .scores import rounded
-from .text import q, sql_lex
+from .text import sql_lex
 
 # Corpus rows with the faults that filters look for: empty, missing, blank, unchanged sides.
 ROWS = f"""{CHANGES}, corpus AS (SELECT doc_id AS row_key, lang, repos AS proj,

@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import let
 from ..functions.patch import side_lines
 from ..functions.text import lines, words
-from ..markers import KEEP
 from ..operators.anchors import anchor_edits, find_phrase
 from ..operators.hunks import (budget_groups, churn, expand_states, extract_hunks, line_delta,
                                with_hunks_only)
-from ..functions.lex import token_length, word_length
+from ..functions.lex import word_length
 from ..operators.matcher import with_opcodes
 from ..operators.nodes import merge_short_edits
-from ..operators.scripts import (edit_labels, edit_profile, edit_streams, payload, replay, side_labels)
+from ..operators.scripts import (edit_labels, edit_profile, edit_streams, payload, replay)
 from .base import (CHANGES, TOKEN_PAIRS, changes, documents, query, sql_draw, sql_join, sql_lines, sql_words,
                    token_pairs)
 

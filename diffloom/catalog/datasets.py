@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.text import collapse, first_line, words
+from ..functions.text import collapse, words
 from ..operators.ranking import with_shards
 from ..plans import prompts as P
 from ..session import scratch_path
@@ -13,8 +13,8 @@ from ..sources import tasks as T
 from ..sources.readers import (numbered_lines, pair_lines, read_commits, read_jsonl, split_corrupt)
 from ..sources.writers import (append_metrics, cached_features, read_metrics, write_jsonl,
                                write_predictions, write_shards)
-from .base import (CHANGES, CONVERSATION_PAIRS, changes, documents, edited, conversation_pairs, query, sql_join, sql_strip,
-                   sql_words, table)
+from .base import (CHANGES, CONVERSATION_PAIRS, changes, conversation_pairs, documents, edited, query,
+                   sql_join, sql_strip, sql_words, table)
 from .text import SIGNED, q, signed
 
 # --- files: written below the shared folder, then read back --------------------------------

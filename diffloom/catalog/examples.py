@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.masks import collapse_masks, message_mask, span_noise_mask
-from ..functions.text import words
 from ..markers import JAVA_KEYWORDS
 from ..operators.filters import STATE_TYPE
-from ..operators.scripts import side_labels
 from ..operators.vocabulary import ignore_labels
 from ..plans import examples as X
 from .base import TOKEN_PAIRS, query, sql_draw, sql_join, token_pairs

@@ -9,9 +9,9 @@ from ..functions.text import words
 from ..markers import C_SHARP_KEYWORDS, JAVA_KEYWORDS
 from ..operators import scores as S
 from ..operators.grams import document_frequency, gram_counts
-from .base import (documents, CONVERSATION_PAIRS, GRAMS, PREDICTIONS, conversation_pairs, gold_words, pred_words,
-                   predictions, query, src_words, sql_brevity, sql_draw, sql_join, sql_stats, sql_strip, sql_words, table)
-from .text import sql_normalize, sql_rejoin
+from .base import (CONVERSATION_PAIRS, GRAMS, PREDICTIONS, conversation_pairs, documents, edited,
+                   gold_words, pred_words, predictions, query, src_words, sql_brevity, sql_draw, sql_stats, sql_edited, sql_strip, sql_words, table)
+from .text import sql_normalize
 
 ORDERS = (1, 2, 3, 4)
 
@@ -445,9 +445,6 @@ query("bootstrap_interval", f"""WITH {GRAMS}, {_sql_gleu_rows()}, b AS (SELECT *
 # --- several references -----------------------------------------------------------------
 # Each document has three references: its gold edit and two more edits.
 
-from .base import edited, sql_edited  # noqa: E402
-
-
 def references(spark, sf):
     d = documents(spark, sf)
     return d.select(F.col("doc_id").alias("row_id"), F.posexplode(F.array(*[

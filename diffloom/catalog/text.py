@@ -14,8 +14,8 @@ from ..functions.text import (BLANK, CONNECTOR_RULES, EDGE_CHARS, PUNCTUATION, S
                               normalize_tokens_for_match, prose_tokens, rejoin_subwords,
                               strip_symbols, subword_split, with_task_prefix, words)
 from ..markers import HUNK_MARKER, JAVA_KEYWORDS, pretraining_specials
-from ..operators.vocabulary import build_vocab, decode, encode, truncation_report
-from .base import documents, CHANGES, changes, query, sql_join, sql_lines, sql_strip, sql_words, table
+from ..operators.vocabulary import build_vocab, decode, encode
+from .base import documents, query, sql_join, sql_lines, sql_strip, sql_words, table
 
 
 def q(s: str) -> str:

@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from diffloom import schemas
 from diffloom.functions.text import words
