@@ -14,7 +14,7 @@ SPACES = " \t\n\x0b\x0c\r"
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NON_WORD_CHARS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 
-__all__ = ["as_col", "ascii_lower", "hot_keys", "materialize", "normalized_words", "parts", "table", "whole"]
+__all__ = ["as_col", "ascii_lower", "fresh", "hot_keys", "materialize", "normalized_words", "parts", "table", "tokenizer_path", "whole"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -26,6 +26,14 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def whole(c: Column | str) -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(as_col(c), F.lit(""))
@@ -55,3 +63,9 @@ def hot_keys(df: DataFrame, key: str, limit: int, slices: str = "slices") -> Dat
     """
     return (df.groupBy(key).count().where(F.col("count") > limit)
             .select(key, F.ceil(F.col("count") / limit).alias(slices)))
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer file is installed."""
+    import public_tokenizers
+    return public_tokenizers.path(name)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACES, ascii_lower, hot_keys, materialize, parts, whole
+from .common import SPACES, ascii_lower, fresh, hot_keys, materialize, parts, whole
 
 WORD = 64
 
@@ -72,15 +72,21 @@ def kept_lines(lines: Column, keep: Column) -> Column:
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
-    """``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text``; bitmaps meet texts by id and digest."""
-    b = bitmaps.select(F.col(id_col).alias("_id"), F.col("text_digest").alias("_td"), F.col("keep").alias("_keep"))
-    joined = docs.join(b, docs[id_col].eqNullSafe(b["_id"]) & (F.xxhash64(whole(docs[text_col])) == b["_td"]), "left")
-    lines = F.split(whole(docs[text_col]), "\n", -1)
-    out = joined.select(*[docs[c] for c in docs.columns], F.size(lines).alias("n_lines"),
-                        F.when(F.col("_keep").isNotNull(), kept_lines(lines, F.col("_keep"))).alias("_kept"))
-    return out.select(*docs.columns, "n_lines",
-                      F.coalesce(F.col("n_lines") - F.size("_kept"), F.lit(0)).alias("n_dropped"),
-                      F.coalesce(F.array_join("_kept", "\n"), whole(text_col)).alias("kept_text"))
+    """``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text``, which replace columns of these names.
+
+    Bitmaps meet texts by identifier and digest.
+    """
+    i, td, keep, kept = (fresh(docs, x) for x in ("_id", "_td", "_keep", "_kept"))
+    b = bitmaps.select(F.col(id_col).alias(i), F.col("text_digest").alias(td), F.col("keep").alias(keep))
+    text = whole(docs[text_col])
+    joined = docs.join(b, docs[id_col].eqNullSafe(b[i]) & (F.xxhash64(text) == b[td]), "left")
+    lines = F.split(text, "\n", -1)
+    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept_text")]
+    out = joined.select(*[docs[c] for c in columns], F.size(lines).alias("n_lines"),
+                        F.when(F.col(keep).isNotNull(), kept_lines(lines, F.col(keep))).alias(kept))
+    return out.select(*columns, "n_lines",
+                      F.coalesce(F.col("n_lines") - F.size(kept), F.lit(0)).alias("n_dropped"),
+                      F.coalesce(F.array_join(kept, "\n"), whole(text_col)).alias("kept_text"))
 
 
 SQL = r"""

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.draws import draw
-from .common import materialize, parts, whole
+from .common import fresh, materialize, parts, whole
 
 BLOCKS = 4096
 SEED = "mix"
@@ -51,9 +51,7 @@ def water_fill(sources: DataFrame, total: float, max_epochs: float) -> DataFrame
     when a round clamps none.  Only sums travel to the driver.
     """
     cap = F.col("source_size") * F.lit(float(max_epochs))
-    rest, weights, clamped = float(total), None, -1
-    if weights is None:
-        weights = float(sources.agg(F.sum("weight")).first()[0] or 0)
+    rest, weights, clamped = float(total), float(sources.agg(F.sum("weight")).first()[0] or 0), -1
     while weights > 0:
         above = F.col("weight") * F.lit(rest) / F.lit(weights) > cap
         caps, free, count = sources.agg(
@@ -116,18 +114,17 @@ def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """``docs`` with every row as often as ``copies`` says; texts stay whole."""
     # Rows that share identifier and text also share the sum of their copies, as alike rows do.
-    m = (mixed.groupBy(id_col, "text_digest").agg(F.sum("copies").alias("_c"), F.count(F.lit(1)).alias("_rows"))
-         .select(F.col(id_col).alias("_id"), F.col("text_digest").alias("_td"), "_c", "_rows"))
+    i, td, c, rows, nth, one = (fresh(docs, x) for x in ("_id", "_td", "_copies", "_rows", "_nth", "_one"))
+    m = (mixed.groupBy(F.col(id_col).alias(i), F.col("text_digest").alias(td))
+         .agg(F.sum("copies").alias(c), F.count(F.lit(1)).alias(rows)))
     digest = F.xxhash64(whole(docs[text_col]))
-    joined = docs.join(m, docs[id_col].eqNullSafe(m["_id"]) & (digest == m["_td"]))
-    alike = Window.partitionBy("_id", "_td").orderBy(F.lit(0))
-    numbered = joined.withColumn("_nth", F.when(F.col("_rows") > 1, F.row_number().over(alike)).otherwise(1))
+    joined = docs.join(m, docs[id_col].eqNullSafe(m[i]) & (digest == m[td]))
+    alike = Window.partitionBy(i, td).orderBy(F.lit(0))
+    numbered = joined.withColumn(nth, F.when(F.col(rows) > 1, F.row_number().over(alike)).otherwise(1))
     # The first (copies mod rows) of alike rows get one more.
-    times = F.floor(F.col("_c") / F.col("_rows")) + F.when(
-        F.col("_nth") <= F.col("_c") % F.col("_rows"), 1).otherwise(0)
-    return (numbered.withColumn("_times", times.cast("int")).where(F.col("_times") > 0)
-            .select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("_times"))).alias("_one"))
-            .drop("_one"))
+    times = (F.floor(F.col(c) / F.col(rows)) + F.when(F.col(nth) <= F.col(c) % F.col(rows), 1).otherwise(0)).cast("int")
+    return (numbered.where(times > 0).select(*docs.columns, F.explode(F.array_repeat(F.lit(1), times)).alias(one))
+            .drop(one))
 
 
 SQL = r"""

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, mixing
-from .common import table
+from . import (decontaminate, exact_dedup, line_dedup, mixing, near_dup, quality, sharding, suffix_dedup,
+               token_files, url_filter)
+from .common import table, tokenizer_path
 
 Builder = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Builder, str | None]] = {}
@@ -46,3 +47,40 @@ def op10(spark, sf):
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"),
                       F.col("n_dropped").cast("long").alias("n_dropped"),
                       F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op1_quality")
+def op1(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = quality.train(docs, labels.where(~quality.held_out("doc_id")))
+    return quality.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", quality.held_out("doc_id").alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query("op2_suffix_dedup")
+def op2(spark, sf):
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents"), 100)
+
+
+@query("op3_token_files")
+def op3(spark, sf):
+    return token_files.tokenize_documents(table(spark, sf, "documents"), tokenizer_path(), end_id=2)
+
+
+@query("op4_near_dup")
+def op4(spark, sf):
+    return near_dup.near_duplicates(table(spark, sf, "documents")).drop("text_digest")
+
+
+@query("op6_url_filter", url_filter.SQL)
+def op6(spark, sf):
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    return url_filter.judge_urls(table(spark, sf, "pages"), rules)
+
+
+@query("op7_sharding")
+def op7(spark, sf):
+    rows = sharding.shard_rows(table(spark, sf, "documents"), 40)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
