@@ -11,11 +11,11 @@ from ..markers import TASK_LIMITS
 from ..operators import filters as B, ranking as G
 from ..operators.hunks import expand_states, extract_hunks, with_hunks_only
 from ..operators.vocabulary import truncation_report
-from ..plans.corpus import assemble, commit_rejects, shard_corpus
+from ..plans.corpus import assemble, commit_rejects, prepared, shard_corpus
 from ..plans.selection import early_stop, replay_epochs, running_loss, selection_score
 from .base import (CHANGES, CONVERSATION_PAIRS, changes, conversation_pairs, documents, query, sql_draw, sql_lines,
                    sql_strip, sql_words, table)
-from .changes import _BUDGET, _signed_hunks, _sql_states
+from .changes import _BUDGET, _signed_hunks, _sql_states, sql_prepared_states
 from .scores import rounded
 from .text import sql_lex
 
@@ -181,6 +181,15 @@ query("sharded_corpus", f"""{_ASSEMBLED}, r AS (SELECT row_key, "type", {_rank('
         count(*) OVER () AS total FROM kept) SELECT row_key, "type", rank, {_SHARD} AS shard FROM r""")(
     lambda spark, sf: shard_corpus(_assembled(spark, sf)).select("row_key", "type", "rank", "shard"))
 
+# Commits to sharded training rows: hunks of the anchored diff, states, gate, shuffle, shards.
+query("prepared_corpus", (lambda groups: f"""WITH {groups}, r AS (SELECT "commit" || '-' || group_idx || '-' || state_idx AS row_key, old, new, msg
+        FROM states WHERE len({sql_words('msg')}) >= 3 AND len({sql_words('old')}) <= 510 AND len({sql_words('new')}) <= 510
+        AND old <> '' AND new <> '' AND old <> new),
+    n AS (SELECT *, {_rank('42', 'row_key')} AS rank, count(*) OVER () AS total FROM r)
+    SELECT row_key, md5(old) AS old, md5(new) AS new, rank, {_SHARD} AS shard FROM n""")(sql_prepared_states()))(
+    lambda spark, sf: prepared(changes(spark, sf), word_length).select(
+        "row_key", F.md5("old").alias("old"), F.md5("new").alias("new"), "rank", "shard"))
+
 # --- limits ------------------------------------------------------------------------------
 
 

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import let
 from ..functions.draws import draw
 from ..functions.text import BLANK, LINE_BREAK, words
-from ..layout import spread_if_small
+from ..layout import by_key
 from ..operators.scripts import trim_script
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -55,8 +55,12 @@ def edited(text, seed: str, key: str) -> Column:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents; small driver tables are one row group each and are spread over all tasks."""
-    return spread_if_small(table(spark, sf, "documents"), "doc_id")
+    """Documents, hashed by their key.
+
+    Work per row is heavy here (lexing, edits, n-grams), so one exchange of the rows pays
+    for even tasks, whatever the files look like.
+    """
+    return by_key(table(spark, sf, "documents"), "doc_id")
 
 
 def changes(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,16 +91,27 @@ def pred_words() -> Column:
 
 
 def conversation_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """(row_id, role, pred, gold): a turn and the next one.
+    """(row_id, role, pred, gold): a turn and the next one there is."""
+    paired = next_in_order(table(spark, sf, "conversations"), "conv_id", "turn", "text", "gold")
+    return paired.where(F.col("gold").isNotNull()).select(
+        F.concat_ws("-", "conv_id", "turn").alias("row_id"), "role", F.col("text").alias("pred"), "gold")
+
 
-    Turns are numbered without gaps, so the next turn is an equi-join on
-    (conv_id, turn): a very long conversation is spread over all tasks.
+def next_in_order(df: DataFrame, group: str, order: str, value: str, out: str, block: int = 1024) -> DataFrame:
+    """``df`` with the ``value`` of the next row of its group, null at the end; numbers may have gaps.
+
+    A group is cut into blocks of ``order``; the last row of a block takes the first value of
+    the next block there is, so a very long group is spread over many tasks.
     """
-    c = table(spark, sf, "conversations")
-    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("gold"))
-    return c.join(nxt, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "role",
-        F.col("text").alias("pred"), "gold")
+    blocked = df.withColumn("_blk", F.floor(F.col(order) / block)).repartition(group, "_blk")
+    inside = F.lead(value).over(W.partitionBy(group, "_blk").orderBy(order))
+    firsts = blocked.groupBy(group, "_blk").agg(F.min_by(value, order).alias("_first"))
+    carried = firsts.withColumn("_next", F.lead("_first").over(W.partitionBy(group).orderBy("_blk")))
+    last = F.row_number().over(W.partitionBy(group, "_blk").orderBy(F.desc(order))) == 1
+    return (blocked.withColumn(out, inside).withColumn("_last", last)
+            .join(carried.select(group, "_blk", "_next"), [group, "_blk"])
+            .withColumn(out, F.when(F.col("_last"), F.col("_next")).otherwise(F.col(out)))
+            .drop("_blk", "_last", "_next"))
 
 
 def token_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,7 +171,7 @@ PREDICTIONS = f"""predictions AS MATERIALIZED (
     FROM documents)"""
 
 CONVERSATION_PAIRS = """conversation_pairs AS MATERIALIZED (
-    SELECT conv_id * 1000 + turn AS row_id, role, text AS pred, nx AS gold
+    SELECT conv_id || '-' || turn AS row_id, role, text AS pred, nx AS gold
     FROM (SELECT conv_id, turn, role, text,
                  lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations) z
     WHERE nx IS NOT NULL)"""
@@ -179,6 +194,35 @@ token_pairs AS MATERIALIZED (
            a[1:p] AS head, a[p + 1:n - s] AS gone, b[p + 1:m - s] AS came, a[n - s + 1:n] AS tail
     FROM tp2)"""
 
+# Anchored scripts of the sides (doc_id, a, b) of a CTE: tokens once on each side that cross no
+# other such token are anchors; between two anchors, prefix and suffix are taken off.
+def sql_edits(sides: str) -> str:
+    """edits(doc_id, k, i1, i2, j1, j2) and ops(doc_id, idx, tag, i1, i2, j1, j2), idx from 1."""
+    return f"""e_t AS (SELECT doc_id, 0 AS side, unnest(a) AS t, generate_subscripts(a, 1) - 1 AS ps FROM {sides} UNION ALL
+        SELECT doc_id, 1, unnest(b), generate_subscripts(b, 1) - 1 FROM {sides}),
+    e_u AS (SELECT doc_id, max(ps) FILTER (side = 0) AS i, max(ps) FILTER (side = 1) AS j FROM e_t GROUP BY doc_id, t
+        HAVING count(*) FILTER (side = 0) = 1 AND count(*) FILTER (side = 1) = 1),
+    e_c AS (SELECT *, max(j) OVER (PARTITION BY doc_id ORDER BY i) AS hi, min(j) OVER (PARTITION BY doc_id ORDER BY i
+        ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lo FROM e_u),
+    e_a AS (SELECT doc_id, i, j FROM e_c WHERE j = hi AND j = lo UNION ALL SELECT doc_id, len(a), len(b) FROM {sides}),
+    e_g AS (SELECT doc_id, coalesce(lag(i) OVER w, -1) + 1 AS i0, i AS i9, coalesce(lag(j) OVER w, -1) + 1 AS j0, j AS j9
+        FROM e_a WINDOW w AS (PARTITION BY doc_id ORDER BY i, j)),
+    e_x AS (SELECT g.*, a[i0 + 1:i9] AS x, b[j0 + 1:j9] AS y FROM e_g g JOIN {sides} USING (doc_id) WHERE i9 > i0 OR j9 > j0),
+    e_p AS (SELECT *, coalesce(list_position(list_transform(range(1, least(len(x), len(y)) + 1), lambda i: x[i] = y[i]), false) - 1,
+        least(len(x), len(y))) AS p FROM e_x),
+    e_s AS (SELECT *, coalesce(list_position(list_transform(range(0, least(len(x), len(y)) - p),
+        lambda i: x[len(x) - i] = y[len(y) - i]), false) - 1, least(len(x), len(y)) - p) AS s FROM e_p),
+    edits AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i0, j0) - 1 AS k, (i0 + p)::INTEGER AS i1,
+        (i9 - s)::INTEGER AS i2, (j0 + p)::INTEGER AS j1, (j9 - s)::INTEGER AS j2 FROM e_s WHERE i0 + p < i9 - s OR j0 + p < j9 - s),
+    e_k AS (SELECT doc_id, coalesce(lag(i2) OVER w, 0) AS i1, i1 AS i2, coalesce(lag(j2) OVER w, 0) AS j1, j1 AS j2
+        FROM edits WINDOW w AS (PARTITION BY doc_id ORDER BY k) UNION ALL
+        SELECT s.doc_id, coalesce(max(i2), 0), len(any_value(a)), coalesce(max(j2), 0), len(any_value(b))
+        FROM {sides} s LEFT JOIN edits e ON e.doc_id = s.doc_id GROUP BY s.doc_id),
+    e_o AS (SELECT doc_id, 'equal' AS tag, i1, i2, j1, j2 FROM e_k WHERE i1 < i2 UNION ALL
+        SELECT doc_id, CASE WHEN i1 < i2 AND j1 < j2 THEN 'replace' WHEN i1 < i2 THEN 'delete' ELSE 'insert' END, i1, i2, j1, j2 FROM edits),
+    ops AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i1, j1, i2, j2) AS idx FROM e_o)"""
+
+
 # N-gram counts of the sides in PREDICTIONS, as grams(row_id, lang, n, gram, h, r, s).
 _RUNS = " UNION ALL ".join(
     f"""SELECT row_id, lang, {n} AS n, '{side}' AS side, unnest(list_transform(

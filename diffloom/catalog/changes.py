@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import let
+from ..functions.draws import draw
 from ..functions.patch import side_lines
 from ..functions.text import lines, words
 from ..operators.anchors import anchor_edits, find_phrase
-from ..operators.hunks import (budget_groups, churn, expand_states, extract_hunks, line_delta,
+from ..operators.hunks import (budget_groups, budget_rejects, churn, expand_states, extract_hunks, line_delta,
                                with_hunks_only)
 from ..functions.lex import word_length
-from ..operators.matcher import with_opcodes
 from ..operators.nodes import merge_short_edits
-from ..operators.scripts import (edit_labels, edit_profile, edit_streams, payload, replay)
-from .base import (CHANGES, TOKEN_PAIRS, changes, documents, query, sql_draw, sql_join, sql_lines, sql_words,
+from ..operators.scripts import (edit_labels, edit_profile, edit_streams, is_edit_keyword, is_end, is_kind, is_new, is_start,
+                                 payload, replay, with_script)
+from .base import (CHANGES, TOKEN_PAIRS, changes, documents, query, sql_draw, sql_edits, sql_join, sql_lines, sql_words,
                    token_pairs)
 
 S = "chr(31)"
@@ -49,9 +50,9 @@ query("line_churn", f"""WITH {_DELTA} SELECT lang, sum(greatest(n - o, 0))::BIGI
     GROUP BY ROLLUP (lang)""")(lambda spark, sf: churn(_delta(spark, sf), "lang"))
 
 # --- hunks ---------------------------------------------------------------------------
-# Which lines a hunk holds is the matcher's choice; what must hold for any choice is
-# stated in SQL: sides rebuilt from hunks lose as many lines as the texts differ by, a
-# pair has hunks exactly if its lines differ, and every hunk line is a line of its side.
+# What must hold for any diff: sides rebuilt from hunks lose as many lines as the texts
+# differ by, a pair has hunks exactly if its lines differ, and every hunk line is a line
+# of its side.  The hunks themselves are stated below.
 
 
 def _hunk_audit(spark, sf):
@@ -72,9 +73,29 @@ query("hunk_audit", f"""WITH {CHANGES}, l AS (SELECT "commit", {sql_lines('old_c
     SELECT "commit", (a <> b)::INTEGER AS changed, CASE WHEN a <> b THEN len(b) - len(a) ELSE 0 END::BIGINT AS net,
         0::BIGINT AS foreign_lines FROM l""")(_hunk_audit)
 
-query("extract_hunks")(lambda spark, sf: with_hunks_only(extract_hunks(changes(spark, sf))).select(
-    "commit", "repos", "message", F.array_join("hunks", "\n").alias("diff"),
-    F.size("hunks").alias("n_hunks")))
+_LINE_SIDES = f"""{CHANGES}, sides AS MATERIALIZED (SELECT doc_id, "commit", repos, message, {sql_lines('old_contents')} AS a,
+        {sql_lines('new_contents')} AS b FROM changes), {sql_edits('sides')}"""
+
+
+def _pre(sign, part):
+    return f"list_transform({part}, lambda x: '{sign}' || x)"
+
+
+# Edits at most six kept lines apart share a hunk; three kept lines stay around it.
+_HUNKS = f"""{_LINE_SIDES}, h0 AS (SELECT *, lag(i2) OVER w AS last, lead(i1) OVER w AS next FROM edits
+        WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+    h1 AS (SELECT *, last IS NULL OR i1 - last > 6 AS opens, next IS NULL OR next - i2 > 6 AS closes FROM h0),
+    h2 AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM h1),
+    h3 AS (SELECT h.doc_id, "commit", repos, message, g, k, {_pre(' ', 'a[CASE WHEN opens THEN greatest(0, i1 - 3) ELSE last END + 1:i1]')}
+        || {_pre('-', 'a[i1 + 1:i2]')} || {_pre('+', 'b[j1 + 1:j2]')}
+        || CASE WHEN closes THEN {_pre(' ', 'a[i2 + 1:i2 + 3]')} ELSE [] END AS piece FROM h2 h JOIN sides USING (doc_id)),
+    hunks AS MATERIALIZED (SELECT doc_id, "commit", repos, message, g, array_to_string(flatten(list(piece ORDER BY k)), chr(10)) AS hunk
+        FROM h3 GROUP BY ALL)"""
+
+query("extract_hunks", f"""WITH {_HUNKS} SELECT "commit", repos, message, string_agg(hunk, chr(10) ORDER BY g) AS diff,
+    count(*) AS n_hunks FROM hunks GROUP BY ALL""")(
+    lambda spark, sf: with_hunks_only(extract_hunks(changes(spark, sf))).select(
+        "commit", "repos", "message", F.array_join("hunks", "\n").alias("diff"), F.size("hunks").alias("n_hunks")))
 
 # States from hunks that SQL can build too: lines are grouped by five, each group is a
 # hunk whose lines are signed by their number.
@@ -101,14 +122,18 @@ def _signed_hunks(spark, sf):
 
 _BUDGET = 120
 # Groups: whole, or the short hunks as one group, or pairs of them.
-_GROUPS = f"""{_SIGNED}, g0 AS (SELECT "commit", hunks, len({sql_words("array_to_string(hunks, chr(10))")}) AS total,
-        list_filter(hunks, lambda h: len({sql_words('h')}) <= {_BUDGET}) AS short FROM hunked),
+def _sql_groups(hunked, budget):
+    return f"""{hunked}, g0 AS (SELECT "commit", hunks, len({sql_words("array_to_string(hunks, chr(10))")}) AS total,
+        list_filter(hunks, lambda h: len({sql_words('h')}) <= {budget}) AS short FROM hunked),
     g1 AS (SELECT *, len({sql_words("coalesce(array_to_string(short, chr(10)), '')")}) AS rest FROM g0),
-    g2 AS (SELECT "commit", len(hunks) AS n, CASE WHEN len(hunks) = 1 OR total <= {_BUDGET} THEN [hunks]
-            WHEN len(short) = 0 THEN []::VARCHAR[][] WHEN rest < {_BUDGET} THEN [short]
+    g2 AS (SELECT "commit", len(hunks) AS n, CASE WHEN len(hunks) = 1 OR total <= {budget} THEN [hunks]
+            WHEN len(short) = 0 THEN []::VARCHAR[][] WHEN rest < {budget} THEN [short]
             ELSE list_transform(range(1, len(short) // 2 + 1), lambda i: short[2 * i - 1:2 * i]) END AS groups FROM g1),
     groups AS (SELECT "commit", n, unnest(groups) AS hs, generate_subscripts(groups, 1) - 1 AS group_idx FROM g2)"""
 
+
+_GROUPS = _sql_groups(_SIGNED, _BUDGET)
+
 query("budget_groups", f"""WITH {_GROUPS} SELECT "commit", group_idx, len(hs)::BIGINT AS n_hunks,
     md5(array_to_string(hs, chr(10))) AS digest FROM groups""")(
     lambda spark, sf: _signed_hunks(spark, sf).select("commit", F.posexplode(budget_groups(
@@ -116,8 +141,25 @@ query("budget_groups", f"""WITH {_GROUPS} SELECT "commit", group_idx, len(hs)::B
         "commit", "group_idx", F.size("hs").cast("long").alias("n_hunks"),
         F.md5(F.array_join("hs", "\n")).alias("digest")))
 
-
-def _sql_states(compat):
+query("budget_rejects", f"""WITH {_GROUPS}, hh AS (SELECT "commit", len(hunks) AS n, total, rest, unnest(hunks) AS h,
+        generate_subscripts(hunks, 1) - 1 AS hunk_idx FROM g1),
+    f AS (SELECT *, len({sql_words('h')}) <= {_BUDGET} AS fits FROM hh WHERE n > 1 AND total > {_BUDGET}),
+    o AS (SELECT *, count(*) FILTER (fits) OVER (PARTITION BY "commit") AS nfit,
+        max(hunk_idx) FILTER (fits) OVER (PARTITION BY "commit") AS last_fit FROM f)
+    SELECT "commit", hunk_idx, CASE WHEN fits THEN 'odd tail' ELSE 'over budget' END AS reason FROM o
+    WHERE NOT fits OR (hunk_idx = last_fit AND nfit % 2 = 1 AND rest >= {_BUDGET})""")(
+    lambda spark, sf: budget_rejects(_signed_hunks(spark, sf), word_length, _BUDGET))
+
+# Kept and rejected hunks are all hunks.
+query("budget_funnel", """SELECT 'all' AS part, sum((len(string_split(text, chr(10))) + 4) // 5)::BIGINT AS hunks FROM documents UNION ALL
+    SELECT 'kept and rejected', sum((len(string_split(text, chr(10))) + 4) // 5)::BIGINT FROM documents""")(
+    lambda spark, sf: (lambda h: h.agg(F.lit("all").alias("part"), F.sum(F.size("hunks")).alias("hunks")).unionByName(
+        h.select(F.explode(budget_groups("hunks", word_length, _BUDGET)).alias("g")).select(F.size("g").cast("long").alias("n"))
+        .unionByName(budget_rejects(h, word_length, _BUDGET).select(F.lit(1).cast("long").alias("n")))
+        .agg(F.lit("kept and rejected").alias("part"), F.sum("n").alias("hunks"))))(_signed_hunks(spark, sf)))
+
+
+def _sql_states(compat, groups=_GROUPS):
     def side(h, sign):
         return (f"list_transform(list_filter(string_split({h}, chr(10)), lambda ln: "
                 f"starts_with(ln, '{sign}') OR starts_with(ln, ' ')), lambda ln: substr(ln, 2))")
@@ -138,7 +180,7 @@ def _sql_states(compat):
         WHEN starts_with(ln, '-') THEN {'[substr(ln, 2)]' if compat else '[]::VARCHAR[]'}
         ELSE [substr(ln, 2)] END)), chr(10))""")
     u = sql_draw("states", '"commit"', "group_idx", "i")
-    return f"""WITH {_GROUPS}, st AS (SELECT *, len(hs) AS m, list_transform(hs, lambda h: {side('h', '-')}) AS olds,
+    return f"""WITH {groups}, st AS (SELECT *, len(hs) AS m, list_transform(hs, lambda h: {side('h', '-')}) AS olds,
             list_transform(hs, lambda h: {side('h', '+')}) AS news FROM groups),
         ids AS (SELECT *, CASE WHEN m <= 3 THEN range(0, m) ELSE [0] || list_sort(list_transform(list_sort(
             list_transform(range(1, m), lambda i: {{'u': {u}, 'i': i}}))[1:3], lambda s: s.i)) END AS ids FROM st),
@@ -153,6 +195,17 @@ for _name, _compat in (("expand_states", False), ("expand_states_compat", True))
         lambda spark, sf, c=_compat: expand_states(_signed_hunks(spark, sf), word_length,
                                                    budget=_BUDGET, compat=c))
 
+
+
+def sql_prepared_states():
+    """states("commit", group_idx, state_idx, old, new, msg) of the hunks of the anchored line diff."""
+    hunked = f"""{_HUNKS}, hunked AS (SELECT "commit", list(hunk ORDER BY g) AS hunks FROM hunks GROUP BY "commit")"""
+    whole = _sql_states(False, _sql_groups(hunked, 510))
+    cut = whole.rindex('SELECT "commit", group_idx, t AS state_idx')
+    head, body = whole[len("WITH "):cut].rstrip(), whole[cut:]
+    return f"""{head}, states AS (SELECT x.*, c.message AS msg FROM ({body}) x JOIN changes c ON c."commit" = x."commit")"""
+
+
 # --- scripts ---------------------------------------------------------------------------
 
 query("trim_script", f"""WITH {TOKEN_PAIRS}, o AS (
@@ -277,26 +330,44 @@ def _sql_anchor():
 query("anchor_edits", _sql_anchor())(
     lambda spark, sf: anchor_edits(token_pairs(spark, sf), "old_tokens", "new_tokens", "ops", "doc_id"))
 
-# Each document's first three words, looked up in its new side.
-query("find_phrase", f"""WITH {CHANGES}, t AS (SELECT doc_id, {sql_words('old_contents')}[1:2] AS ph,
-        {sql_words('new_contents')} AS w FROM changes),
+# Three words of each document at a drawn place, looked up in its new side.
+_PLACE = f"floor({sql_draw('phrase', 'doc_id')} * greatest(len(o) - 2, 1))::INTEGER"
+query("find_phrase", f"""WITH {CHANGES}, s AS (SELECT doc_id, {sql_words('old_contents')} AS o, {sql_words('new_contents')} AS w FROM changes),
+    t AS (SELECT doc_id, o[{_PLACE} + 1:{_PLACE} + 3] AS ph, w FROM s),
     h AS (SELECT doc_id, ph, list_filter(range(1, len(w) - len(ph) + 2), lambda i: len(ph) > 0 AND w[i:i + len(ph) - 1] = ph) AS hit FROM t)
     SELECT doc_id, CASE WHEN len(ph) = 0 THEN 0 WHEN len(hit) > 0 THEN hit[1] - 1 ELSE -1 END AS "first",
         len(hit) AS freq, (len(hit) > 1)::INTEGER AS ambiguous FROM h""")(
-    lambda spark, sf: changes(spark, sf).select("doc_id", find_phrase(
-        F.slice(words("old_contents"), 1, 2), words("new_contents")).alias("f")).select(
+    lambda spark, sf: changes(spark, sf).select("doc_id", words("old_contents").alias("o"), words("new_contents").alias("w")).select(
+        "doc_id", find_phrase(F.slice("o", (F.floor(draw("phrase", "doc_id") * F.greatest(F.size("o") - 2, F.lit(1))) + 1).cast("int"),
+                                      F.lit(3)), "w").alias("f")).select(
         "doc_id", "f.first", "f.freq", F.col("f.ambiguous").cast("int").alias("ambiguous")))
 
-# --- scripts of the matcher -------------------------------------------------------------
+# Keyword predicates over the span streams.
+_KIND = " ".join(f"WHEN contains(t, '{k}') THEN '{k.lower()}'" for k in ("INSERT", "KEEP", "REPLACE", "DELETE"))
+query("stream_keywords", f"""WITH {TOKEN_PAIRS}, s AS (SELECT unnest(x) AS t FROM (SELECT CASE mid
+        WHEN 'replace' THEN ['<REPLACE_OLD>', '<REPLACE_NEW>', '<REPLACE_END>'] WHEN 'insert' THEN ['<INSERT>', '<INSERT_END>']
+        WHEN 'delete' THEN ['<DELETE>', '<DELETE_END>'] END AS x FROM token_pairs WHERE mid IS NOT NULL))
+    SELECT CASE {_KIND} END AS kind, count(*) FILTER (contains(t, 'END')) AS ends, count(*) FILTER (contains(t, 'NEW')) AS news,
+        count(*) FILTER (NOT contains(t, 'END') AND NOT contains(t, 'NEW')) AS starts FROM s GROUP BY 1""")(
+    lambda spark, sf: token_pairs(spark, sf).select(F.explode(edit_streams("old_tokens", "new_tokens", "ops", True)["spans"]).alias("t"))
+    .where(F.col("t").rlike(r"\A<[A-Z_]+>\z") & is_edit_keyword("t")).select("t", F.coalesce(*[
+        F.when(is_kind("t", k), F.lit(k)) for k in ("insert", "keep", "replace", "delete")]).alias("kind"))
+    .groupBy("kind").agg(F.count_if(is_end("t")).alias("ends"), F.count_if(is_new("t")).alias("news"),
+                         F.count_if(is_start("t")).alias("starts")))
+
+# --- anchored scripts -------------------------------------------------------------------
 
 
-def matched_pairs(spark, sf):
+def scripted_pairs(spark, sf):
     p = changes(spark, sf).select(
         "doc_id", "lang", words("message").alias("nl_tokens"), words("old_contents").alias("old_tokens"),
         words("new_contents").alias("new_tokens"))
-    return with_opcodes(p, "old_tokens", "new_tokens")
+    return with_script(p, "old_tokens", "new_tokens")
 
 
+_SIDES = f"""{CHANGES}, sides AS MATERIALIZED (SELECT doc_id, lang, {sql_words('old_contents')} AS a, {sql_words('new_contents')} AS b
+    FROM changes), {sql_edits('sides')}"""
+
 # For any script: sides are restated, the replay gives the new side, kept tokens are equal
 # on both sides, and label counts follow from the lengths.
 query("replay_audit", f"""WITH {CHANGES} SELECT lang, count(*) AS n_rows, count(*) AS rebuilt, count(*) AS tiles,
@@ -304,7 +375,7 @@ query("replay_audit", f"""WITH {CHANGES} SELECT lang, count(*) AS n_rows, count(
         sum(len({sql_words('new_contents')}))::BIGINT AS new_tokens,
         sum(len({sql_words('new_contents')}) - len({sql_words('old_contents')}))::BIGINT AS net_labels
     FROM changes GROUP BY lang""")(
-    lambda spark, sf: matched_pairs(spark, sf).select(
+    lambda spark, sf: scripted_pairs(spark, sf).select(
         "lang", "old_tokens", "new_tokens", replay("old_tokens", payload("new_tokens", "ops"), "ops").alias("r"),
         edit_labels("old_tokens", "new_tokens", "ops").alias("l")).select(
         "lang",
@@ -315,13 +386,61 @@ query("replay_audit", f"""WITH {CHANGES} SELECT lang, count(*) AS n_rows, count(
     .groupBy("lang").agg(F.count("*").alias("n_rows"), F.sum("ok").alias("rebuilt"), F.sum("tiles").alias("tiles"),
                          F.sum("o").alias("old_tokens"), F.sum("n").alias("new_tokens"), F.sum("d").alias("net_labels")))
 
-query("edit_script")(lambda spark, sf: matched_pairs(spark, sf).select("doc_id", F.inline("ops")))
-query("edit_script_profile")(lambda spark, sf: edit_profile(matched_pairs(spark, sf), "ops", "lang"))
-query("edit_script_merged")(
-    lambda spark, sf: matched_pairs(spark, sf).select("doc_id", F.inline(merge_short_edits("ops"))))
-query("edit_script_anchors")(
-    lambda spark, sf: anchor_edits(matched_pairs(spark, sf), "old_tokens", "new_tokens", "ops", "doc_id"))
-query("comment_streams")(
-    lambda spark, sf: matched_pairs(spark, sf).select("doc_id", edit_streams(
+query("edit_script", f"""WITH {_SIDES} SELECT doc_id, tag, i1, i2, j1, j2 FROM ops""")(
+    lambda spark, sf: scripted_pairs(spark, sf).select("doc_id", F.inline("ops")))
+
+query("edit_script_profile", f"""WITH {_SIDES}, w AS (SELECT doc_id, CASE tag WHEN 'equal' THEN '<KEEP>' WHEN 'delete' THEN '<DELETE>'
+        ELSE '<REPLACE_OLD>' END AS keyword, i2 - i1 AS n FROM ops WHERE tag <> 'insert' UNION ALL
+        SELECT doc_id, CASE tag WHEN 'insert' THEN '<INSERT>' ELSE '<REPLACE_NEW>' END, j2 - j1 FROM ops WHERE tag IN ('insert', 'replace'))
+    SELECT lang, keyword, sum(n)::BIGINT AS tokens FROM w JOIN sides USING (doc_id) GROUP BY ALL""")(
+    lambda spark, sf: edit_profile(scripted_pairs(spark, sf), "ops", "lang"))
+
+# One-token nodes join a neighbour, then edits in a row become one.
+_MERGED = f"""{_SIDES}, m0 AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, tag <> 'replace' AND greatest(i2 - i1, j2 - j1) = 1 AS short FROM ops),
+    m1 AS (SELECT *, coalesce(lag(short) OVER w, false) AS s1, coalesce(lag(short, 2) OVER w, false) AS s2,
+        coalesce(lead(short) OVER w, false) AS n1 FROM m0 WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
+    m2 AS (SELECT *, tag = 'equal' AND (n = 1 OR (NOT short AND NOT (s1 AND NOT s2) AND NOT (idx = n - 1 AND n1))) AS keep FROM m1),
+    m3 AS (SELECT *, idx = 1 OR keep OR lag(keep) OVER (PARTITION BY doc_id ORDER BY idx) AS opens FROM m2),
+    m4 AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY idx) AS g FROM m3),
+    merged AS MATERIALIZED (SELECT doc_id, g, CASE WHEN bool_or(keep) THEN 'equal' ELSE 'replace' END AS tag, min(i1) AS i1,
+        max(i2) AS i2, min(j1) AS j1, max(j2) AS j2 FROM m4 GROUP BY doc_id, g)"""
+query("edit_script_merged", f"WITH {_MERGED} SELECT doc_id, tag, i1, i2, j1, j2 FROM merged")(
+    lambda spark, sf: scripted_pairs(spark, sf).select("doc_id", F.inline(merge_short_edits("ops"))))
+
+
+def _sql_edit_anchors():
+    def ctx(k, before):
+        x = f"a[i1 - {k} + 1:i2]" if before else f"a[i1 + 1:i2 + {k}]"
+        return _MARK.format(x=f"({x})")
+
+    def first(limit, before):
+        return (f"list_position(list_transform(range(1, {limit} + 1), lambda k: "
+                f"{_sql_once('txt', ctx('k', before))}), true)")
+
+    return f"""WITH {_SIDES}, r AS (SELECT *, coalesce(CASE WHEN lag(tag) OVER w = 'equal' THEN lag(i2 - i1) OVER w END, 0) AS rb,
+            coalesce(CASE WHEN lead(tag) OVER w = 'equal' THEN lead(i2 - i1) OVER w END, 0) AS ra
+            FROM ops WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
+        t AS (SELECT r.*, a, {_MARK.format(x='a')} AS txt, {_MARK.format(x='a[i1 + 1:i2]')} AS ph
+            FROM r JOIN sides USING (doc_id) WHERE tag <> 'equal'),
+        f AS (SELECT *, {_sql_once('txt', 'ph')} AS self FROM t),
+        b AS (SELECT *, CASE WHEN self THEN 0 ELSE {first('rb', True)} END AS kb FROM f),
+        c AS (SELECT *, CASE WHEN self OR kb IS NOT NULL THEN 0 ELSE {first('ra', False)} END AS ka FROM b)
+        SELECT doc_id, idx - 1 AS edit, tag, i1 AS "at",
+            CASE WHEN self THEN 'self' WHEN kb IS NOT NULL THEN 'before' WHEN ka IS NOT NULL THEN 'after' ELSE 'full' END AS anchor,
+            coalesce(CASE WHEN self THEN 0 WHEN kb IS NOT NULL THEN kb ELSE ka END, 0) AS context FROM c"""
+
+
+query("edit_script_anchors", _sql_edit_anchors())(
+    lambda spark, sf: anchor_edits(scripted_pairs(spark, sf), "old_tokens", "new_tokens", "ops", "doc_id"))
+
+query("comment_streams", f"""WITH {_MERGED}, p AS (SELECT m.doc_id, g, tag, a[i1 + 1:i2] AS o, b[j1 + 1:j2] AS n FROM merged m JOIN sides USING (doc_id)),
+    q AS (SELECT doc_id, g, CASE tag WHEN 'equal' THEN ['<KEEP>'] || o || ['<KEEP_END>']
+            ELSE ['<REPLACE_OLD>'] || o || ['<REPLACE_NEW>'] || n || ['<REPLACE_END>'] END AS spans,
+        CASE tag WHEN 'equal' THEN list_transform(o, lambda x: '<KEEP>')
+            ELSE list_transform(o, lambda x: '<REPLACE_OLD>') || flatten(list_transform(n, lambda x: ['<REPLACE_NEW>', x])) END AS commands FROM p)
+    SELECT doc_id, coalesce(array_to_string(flatten(list(spans ORDER BY g)), {S}), '') AS spans,
+        coalesce(array_to_string(flatten(list(commands ORDER BY g)), {S}), '') AS commands
+    FROM (SELECT doc_id FROM sides) LEFT JOIN q USING (doc_id) GROUP BY doc_id""")(
+    lambda spark, sf: scripted_pairs(spark, sf).select("doc_id", edit_streams(
         "old_tokens", "new_tokens", merge_short_edits("ops")).alias("s")).select(
         "doc_id", joined(F.col("s.spans")).alias("spans"), joined(F.col("s.commands")).alias("commands")))

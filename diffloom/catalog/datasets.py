@@ -10,7 +10,8 @@ from ..operators.ranking import with_shards
 from ..plans import prompts as P
 from ..session import scratch_path
 from ..sources import tasks as T
-from ..sources.readers import (numbered_lines, pair_lines, read_commits, read_jsonl, split_corrupt)
+from ..sources.readers import (jsonl_rejects, numbered_jsonl, numbered_lines, pair_lines, read_commits, read_json_records,
+                               read_jsonl, split_corrupt)
 from ..sources.writers import (append_metrics, cached_features, read_metrics, write_jsonl,
                                write_predictions, write_shards)
 from .base import (CHANGES, CONVERSATION_PAIRS, changes, conversation_pairs, documents, edited, query,
@@ -99,7 +100,7 @@ def _prediction_files(spark, sf):
 
 
 query("write_predictions", f"WITH {CONVERSATION_PAIRS} " + " UNION ALL ".join(
-    f"SELECT '{kind}' AS kind, count(*) AS n, sum(length(trim({c}, ' ')))::BIGINT AS chars FROM conversation_pairs"
+    f"SELECT '{kind}' AS kind, count(*) AS n, sum(length({sql_strip(c)}))::BIGINT AS chars FROM conversation_pairs"
     for c, kind in (("pred", "output"), ("gold", "gold"), ("role", "src"))))(_prediction_files)
 
 
@@ -192,6 +193,91 @@ query("task_nl_refinement", f"""WITH {CHANGES} SELECT doc_id AS idx, old_content
         "idx", F.col("old_contents").alias("old"), F.col("message").alias("comment"),
         F.col("new_contents").alias("new")))))
 
+# --- tasks from files ---------------------------------------------------------------------------
+# Files of every task are written from the changes in document order, then read by name.
+
+
+def _ordered(spark, sf):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return changes(spark, sf).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+
+
+def _task_files(spark, sf):
+    root = scratch_path(spark, "tasks")
+    d = _ordered(spark, sf)
+    flat = d.select(collapse("old_contents").alias("old"), collapse("new_contents").alias("new"))
+    flat.select(F.col("old").alias("nl"), F.col("new").alias("code")).write.json(f"{root}/dev_o.json")
+    stem = root.rsplit("/", 1)[-1]
+    for name, exts in (("java-cs.txt", ("java", "cs")), (stem, ("buggy", "fixed")), ("buggy-fixed", ("buggy", "fixed")),
+                       ("code-review", ("buggy", "fixed"))):
+        for side, ext in zip(("old", "new"), exts):
+            flat.select(F.col(side).alias("value")).write.text(f"{root}/valid.{name}.{ext}")
+    for suffix, kind in (("", "update"), ("_raw", "update-raw")):
+        record = F.struct(F.col("message").alias("old_comment" + suffix), F.col("old_contents").alias("old_code" + suffix),
+                          F.col("new_contents").alias("new_code" + suffix), F.col("new_contents").alias("new_comment" + suffix))
+        # Arrays of a hundred records, a file each.
+        (d.groupBy(F.floor(F.col("doc_id") / 100)).agg(F.to_json(F.collect_list(record)).alias("value")).select("value")
+         .write.option("maxRecordsPerFile", 1).text(f"{root}/{kind}/valid.json"))
+    d.select(F.col("old_contents").alias("old"), F.col("message").alias("comment"), F.col("new_contents").alias("new")
+             ).write.json(f"{root}/nl/valid.json")
+    signed(spark, sf).join(documents(spark, sf).select("doc_id", "text"), "doc_id").select(
+        F.concat(F.lit("@@ -1,1 +1,1 @@\n\n"), "hunk").alias("diff"), F.lit(" c ").alias("old_nl"),
+        F.col("text").alias("nl")).write.json(f"{root}/patches.json")
+    return root
+
+
+def _load_tasks(spark, sf):
+    root = _task_files(spark, sf)
+    places = {"comment-update": f"{root}/update", "comment-update-raw": f"{root}/update-raw", "nl-refinement": f"{root}/nl",
+              "comment-patch": f"{root}/patches.json"}
+    out = None
+    for task in T.READERS:
+        one = T.load_task(spark, task, places.get(task, root), "valid").select(
+            "task", F.md5("source").alias("source"), F.md5("target").alias("target"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_OLD, _NEW = sql_join(sql_words("old_contents")), sql_join(sql_words("new_contents"))
+_UPDATE = f"""{sql_strip('message')} || ' <s> ' || {sql_strip('old_contents')} || ' <s> ' || replace({sql_strip('new_contents')}, chr(10), ' ')"""
+query("load_task", f"""WITH {CHANGES}, {SIGNED}, sides AS (SELECT s.doc_id, text, {_sql_side('+')} AS o, {_sql_side('-')} AS n
+        FROM signed s JOIN documents d ON d.doc_id = s.doc_id),
+    x AS ({' UNION ALL '.join(f"SELECT '{t}' AS task, {a} AS source, {b} AS target FROM changes" for t, a, b in (
+        ('generation', _OLD, _NEW), ('java-to-csharp', _OLD, _NEW), ('csharp-to-java', _NEW, _OLD), ('bugfix', _OLD, _NEW),
+        ('refinement', _OLD, _NEW), ('review', _OLD, _NEW), ('comment-update', _UPDATE, _sql_flat('new_contents')),
+        ('comment-update-raw', _UPDATE, _sql_flat('new_contents')),
+        ('nl-refinement', "old_contents || ' <s> ' || message", 'new_contents')))} UNION ALL
+        SELECT 'comment-patch', 'c' || ' <s> ' || {sql_strip('o')} || ' <s> ' || replace({sql_strip('n')}, chr(10), ' '),
+            {_sql_flat('text')} FROM sides)
+    SELECT task, md5(source) AS source, md5(target) AS target FROM x""")(_load_tasks)
+
+
+def _json_records(spark, sf):
+    path = scratch_path(spark, "records")
+    (_ordered(spark, sf).groupBy(F.floor(F.col("doc_id") / 100)).agg(F.to_json(F.collect_list(F.struct(
+        F.col("message").alias("old"), F.col("old_contents").alias("comment"), F.col("new_contents").alias("new")))).alias("value"))
+     .select("value").write.option("maxRecordsPerFile", 1).text(path))
+    return read_json_records(spark, path, schemas.NL_REFINEMENT).select(
+        F.md5("old").alias("old"), F.md5("comment").alias("comment"), F.md5("new").alias("new"))
+
+
+query("read_json_records", f"""WITH {CHANGES} SELECT md5(message) AS old, md5(old_contents) AS comment, md5(new_contents) AS new
+    FROM changes""")(_json_records)
+
+
+def _line_rejects(spark, sf):
+    """Numbered JSON lines of which every tenth is cut off."""
+    path = scratch_path(spark, "numbered")
+    line = F.to_json(F.struct(F.col("old_contents").alias("old"), F.col("message").alias("comment")))
+    cut = F.when(F.col("doc_id") % 10 == 0, F.expr("substr(value, 1, length(value) - 2)")).otherwise(F.col("value"))
+    _ordered(spark, sf).select("doc_id", line.alias("value")).select(cut.alias("value")).write.text(path)
+    good = numbered_jsonl(spark, path, schemas.NL_REFINEMENT).select(F.lit("kept").alias("part"), "idx")
+    return good.unionByName(jsonl_rejects(spark, path, schemas.NL_REFINEMENT).select(F.col("reason").alias("part"), "idx"))
+
+
+query("numbered_jsonl", """SELECT CASE WHEN doc_id % 10 = 0 THEN 'unparsable' ELSE 'kept' END AS part,
+    row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents""")(_line_rejects)
+
 # --- prompts --------------------------------------------------------------------------------------
 
 
@@ -248,7 +334,7 @@ query("refine_prompts", f"""WITH {CHANGES}, {CONVERSATION_PAIRS}, shot AS (SELEC
 def _prompt_files(spark, sf):
     path = scratch_path(spark, "prompts")
     write_jsonl(P.refinement_prompts(inputs(spark, sf)), path)
-    return spark.read.schema("row_id bigint, input string, prompt string").json(path)
+    return spark.read.schema("row_id string, input string, prompt string").json(path)
 
 
 query("write_prompts", f"""WITH {INPUTS} SELECT row_id, input, {sql_fill(P.REFINEMENT, [*P.REFINEMENT_SHOT, ('input',)])}

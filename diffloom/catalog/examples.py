@@ -218,7 +218,3 @@ query("build_examples", f"""WITH {TOKEN_PAIRS}, kept AS (SELECT *, {SQL_OBJECTIV
     lambda spark, sf: X.build_examples(typed(spark, sf), "doc_id").select(
         "doc_id", "objective", F.array_join("input", SEP).alias("input"),
         F.array_join("target", SEP).alias("target")))
-
-query("ignore_labels", "SELECT doc_id, array_to_string(list_transform(range(0, 512), lambda x: -100), ' ') AS labels FROM documents")(
-    lambda spark, sf: typed(spark, sf).select("doc_id", F.array_join(F.transform(
-        ignore_labels(512), lambda x: x.cast("string")), " ").alias("labels")))

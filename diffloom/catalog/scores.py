@@ -152,11 +152,10 @@ query("smoothing_methods", f"WITH {GRAMS}, {sql_stats()}, {_sums('lang')} {_sql_
 def _sentence_smoothing(spark, sf):
     """Per-row smoothings 5, 6 and 7 (they read a fifth order)."""
     stats = S.pair_stats(predictions(spark, sf), ["row_id"], pred_words(), gold_words(), orders=(1, 2, 3, 4, 5))
-    out = None
+    out = stats.select("row_id", *[c.alias(k) for k, c in S.epsilon_inputs(orders=(1, 2, 3, 4, 5)).items()])
     for m in (5, 6, 7):
-        one = S.sentence_scores(stats, m, out=f"method{m}").select("row_id", f"method{m}")
-        out = one if out is None else out.join(one, "row_id")
-    return rounded(out, "method5", "method6", "method7")
+        out = S.smoothed_form(out, m, out=f"method{m}")
+    return rounded(out, "method5", "method6", "method7").select("row_id", "method5", "method6", "method7")
 
 
 _FIFTH = """fifth AS (SELECT row_id, sum(least(h, r))::DOUBLE AS m5, sum(h)::DOUBLE AS h5 FROM (
@@ -215,17 +214,13 @@ query("auto_reweigh", f"""WITH {CONV_GRAMS}, {sql_stats()}, esums AS (SELECT lan
         "score").select("row_id", "score"))
 
 # --- keyword-weighted recall -------------------------------------------------------
-# The words that count as keywords come from the benchmark table: its ten most frequent.
+# The words that count as keywords come from the benchmark table.
 
-TOP_WORDS = f"""kw AS (SELECT word FROM (SELECT unnest({sql_words('text')}) AS word FROM benchmark)
-    GROUP BY word ORDER BY count(*) DESC, word LIMIT 10)"""
+BENCH_WORDS = f"kw AS (SELECT DISTINCT unnest({sql_words('text')}) AS word FROM benchmark)"
 
 
-def top_words(spark, sf):
-    """Ten rows, so a broadcast join."""
-    return (table(spark, sf, "benchmark").select(F.explode(words("text")).alias("word"))
-            .groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(10)
-            .select("word"))
+def bench_words(spark, sf):
+    return table(spark, sf, "benchmark").select(F.explode(words("text")).alias("word")).distinct()
 
 
 def _sql_recall(true_length):
@@ -252,13 +247,13 @@ query("sentence_keyword_recall", f"""WITH {GRAMS}, {sql_stats(JAVA_KEYWORDS)}, e
         predictions(spark, sf), ["row_id"], pred_words(), gold_words(), JAVA_KEYWORDS).select(
         "row_id", *[c.alias(k) for k, c in S.keyword_inputs().items()])), "score").select("row_id", "score"))
 
-query("keyword_lookup", f"""WITH {PREDICTIONS}, {TOP_WORDS}, t AS (
+query("keyword_lookup", f"""WITH {PREDICTIONS}, {BENCH_WORDS}, t AS (
         SELECT lang, unnest(gold) AS word FROM predictions)
     SELECT lang, count(*) AS n, round(sum(CASE WHEN kw.word IS NULL THEN 0.2::DOUBLE ELSE 1 END), 6) AS weight
     FROM t LEFT JOIN kw ON kw.word = t.word GROUP BY lang""")(
     lambda spark, sf: rounded(predictions(spark, sf).select("lang", F.explode(gold_words()).alias("word"))
     .groupBy("lang", "word").agg(F.count("*").alias("c"))
-    .join(F.broadcast(top_words(spark, sf).withColumn("w", F.lit(1.0))), "word", "left")
+    .join(bench_words(spark, sf).withColumn("w", F.lit(1.0)), "word", "left")
     .groupBy("lang").agg(F.sum("c").alias("n"),
                          F.sum(F.col("c") * F.coalesce("w", F.lit(0.2))).alias("weight")), "weight"))
 
@@ -301,10 +296,12 @@ query("containment_join", f"""WITH {FEATURES} SELECT lang, count(*) AS n FROM fe
 
 
 def edges(spark, sf):
-    """Conversation turns as flows: every word feeds the next one."""
-    p = conversation_pairs(spark, sf).select("row_id", words("gold").alias("ref"),
-                                             words("pred").alias("cand"))
+    """Conversation turns as flows."""
+    return flows(conversation_pairs(spark, sf).select("row_id", words("gold").alias("ref"), words("pred").alias("cand")))
 
+
+def flows(p):
+    """Every word of ``ref`` and ``cand`` feeds the next one."""
     def side(col):
         return let(lambda t: F.transform(t, lambda w, i: F.struct(
             F.lit(col).alias("side"), i.alias("pos"), w.alias("name"), F.lit("comesFrom").alias("rel"),
@@ -350,9 +347,11 @@ def _composite(spark, sf):
         return S.smoothed_form(both.select(*[F.col(c).alias(c[2:]) for c in both.columns
                                              if c.startswith(prefix)]))
 
+    sides = p.select("row_id", gold_words().alias("ref"), pred_words().alias("cand"))
     parts = {"ngram": part("e_"), "keyword": part("k_"),
-             "structure": S.structure_match(features(spark, sf), "row_id", "side", "sig")}
-    out = S.composite(parts, {"ngram": 0.25, "keyword": 0.25, "structure": 0.5})
+             "structure": S.structure_match(features(spark, sf), "row_id", "side", "sig"),
+             "flow": S.flow_match(flows(sides), "row_id", "side")}
+    out = S.composite(parts, dict.fromkeys(parts, 0.25))
     return rounded(out, *out.columns)
 
 
@@ -364,9 +363,13 @@ query("composite_score", f"""WITH {FEATURES}{GRAMS[len(PREDICTIONS):]}, {sql_sta
           sum(hyp_len)::BIGINT AS hl, (2 * count(*))::BIGINT AS rl FROM stats),
     x AS ({_sql_eps(src='e', name='ngram').replace(', 6)', ', 12)')}),
     y AS ({_sql_eps(src='k', name='keyword').replace(', 6)', ', 12)')}),
-    z AS (SELECT coalesce(sum(r) FILTER (c > 0), 0)::DOUBLE / sum(r) AS structure FROM sigs)
-    SELECT round(ngram, 6) AS ngram, round(keyword, 6) AS keyword, round(structure, 6) AS structure,
-        round(0.25 * ngram + 0.25 * keyword + 0.5 * structure, 6) AS composite FROM x, y, z""")(_composite)
+    z AS (SELECT coalesce(sum(r) FILTER (c > 0), 0)::DOUBLE / sum(r) AS structure FROM sigs),
+    toks AS (SELECT row_id, gold AS ref, pred AS cand FROM predictions), {_sql_flow('ref')}, {_sql_flow('cand')},
+    v AS (SELECT sum(least(r, c))::DOUBLE / sum(r) AS flow FROM (SELECT row_id, edge, count(*) FILTER (side = 'ref') AS r,
+        count(*) FILTER (side = 'cand') AS c FROM (SELECT row_id, edge, 'ref' AS side FROM flow_ref UNION ALL
+        SELECT row_id, edge, 'cand' FROM flow_cand) GROUP BY ALL))
+    SELECT round(ngram, 6) AS ngram, round(keyword, 6) AS keyword, round(structure, 6) AS structure, round(flow, 6) AS flow,
+        round(0.25 * ngram + 0.25 * keyword + 0.25 * structure + 0.25 * flow, 6) AS composite FROM x, y, z, v""")(_composite)
 
 # --- edit-aware score ----------------------------------------------------------------
 
@@ -417,13 +420,15 @@ query("ngram_document_frequency", f"""WITH {GRAMS} SELECT n, replace(gram, chr(3
 query("ngram_normalizer", f"""WITH {GRAMS}, f AS (SELECT n, gram, count(*) AS df FROM grams WHERE r > 0 GROUP BY ALL),
     t AS (SELECT count(*) AS n_rows FROM predictions)
     SELECT n, count(*) AS n_grams, round(sum(df::DOUBLE / n_rows), 4) AS weight FROM f, t GROUP BY n""")(
-    lambda spark, sf: (lambda p: document_frequency(
-        gram_counts(p, ["row_id"], {"r": gold_words()}), "r").groupBy("n").agg(
-        F.count("*").alias("n_grams"), F.sum("df").alias("_df"))
-        .withColumn("_k", F.lit(1))
-        .join(F.broadcast(p.agg(F.count("*").alias("n_rows")).withColumn("_k", F.lit(1))), "_k")
-        .select("n", "n_grams", F.round(F.col("_df") / F.col("n_rows"), 4).alias("weight")))(
-        predictions(spark, sf)))
+    lambda spark, sf: _normalizer(predictions(spark, sf)))
+
+
+def _normalizer(p):
+    """Order 0 has one row per text: their number comes with the counts."""
+    counts = gram_counts(p, ["row_id"], {"r": gold_words()})
+    per_order = document_frequency(counts, "r").groupBy("n").agg(F.count("*").alias("n_grams"), F.sum("df").alias("_df"))
+    rows = counts.where("n = 0").agg(F.count("*").alias("n_rows")).first()["n_rows"]
+    return per_order.select("n", "n_grams", F.round(F.col("_df") / F.lit(rows), 4).alias("weight"))
 
 
 def _boot(spark, sf):
@@ -432,7 +437,7 @@ def _boot(spark, sf):
 
 
 _U = sql_draw("boot", "row_id", "round")
-_STEPS = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
+_STEPS = S.poisson_steps()
 query("bootstrap_interval", f"""WITH {GRAMS}, {_sql_gleu_rows()}, b AS (SELECT *, {' + '.join(
         f'({_U} >= {s}::DOUBLE)::INT' for s in _STEPS)} AS w FROM grows, unnest(range(1, 11)) t(round)),
     wr AS (SELECT round AS lang, w * hl AS hl, w * rl AS rl, {', '.join(

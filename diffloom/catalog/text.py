@@ -14,7 +14,8 @@ from ..functions.text import (BLANK, CONNECTOR_RULES, EDGE_CHARS, PUNCTUATION, S
                               normalize_tokens_for_match, prose_tokens, rejoin_subwords,
                               strip_symbols, subword_split, with_task_prefix, words)
 from ..markers import HUNK_MARKER, JAVA_KEYWORDS, pretraining_specials
-from ..operators.vocabulary import build_vocab, decode, encode
+from ..operators.vocabulary import build_vocab, decode, encode, ignore_labels, lookup_ids
+from ..session import materialize
 from .base import documents, query, sql_join, sql_lines, sql_strip, sql_words, table
 
 
@@ -219,23 +220,17 @@ def _sql_patch_side(drop):
         lambda ln: replace(ln, ' ', '') <> ''), chr(10))"""
 
 
-# Every third document gets a proper head; the others have none.
-query("split_patch", f"""WITH {SIGNED}, p AS (SELECT doc_id, hunk AS body FROM signed
-        WHERE doc_id % 3 = 0),
-    s AS (SELECT doc_id, coalesce({_sql_patch_side('+')}, '') AS old,
-          coalesce({_sql_patch_side('-')}, '') AS new FROM p)
-    SELECT d.doc_id, s.old, s.new FROM documents d LEFT JOIN s
-    ON s.doc_id = d.doc_id AND s.old <> s.new""")(
+# Every document is a patch with a head; unchanged ones have no sides.
+query("split_patch", f"""WITH {SIGNED}, p AS (SELECT doc_id, hunk AS body FROM signed),
+    s AS (SELECT doc_id, coalesce({_sql_patch_side('+')}, '') AS old, coalesce({_sql_patch_side('-')}, '') AS new FROM p)
+    SELECT doc_id, CASE WHEN old <> new THEN old END AS old, CASE WHEN old <> new THEN new END AS new FROM s""")(
     lambda spark, sf: signed(spark, sf).select("doc_id", split_patch(F.concat(
-        F.when(F.col("doc_id") % 3 == 0, "@@ -1,2 +3,4 @@\n").otherwise(""), "hunk")).alias("p"))
-    .select("doc_id", "p.old", "p.new"))
+        F.lit("@@ -1,2 +3,4 @@\n"), "hunk")).alias("p")).select("doc_id", "p.old", "p.new"))
 
 query("split_patch_after_blank", f"""WITH {SIGNED}, p AS (SELECT doc_id, hunk AS body FROM signed)
-    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN coalesce({_sql_patch_side('+')}, '') END AS old,
-    CASE WHEN doc_id % 3 = 0 THEN coalesce({_sql_patch_side('-')}, '') END AS new FROM p""")(
+    SELECT doc_id, coalesce({_sql_patch_side('+')}, '') AS old, coalesce({_sql_patch_side('-')}, '') AS new FROM p""")(
     lambda spark, sf: signed(spark, sf).select("doc_id", split_patch_after_blank(F.concat(
-        F.when(F.col("doc_id") % 3 == 0, "x @@\n\n").otherwise(""), "hunk")).alias("p"))
-    .select("doc_id", "p.old", "p.new"))
+        F.lit("x @@\n\n"), "hunk")).alias("p")).select("doc_id", "p.old", "p.new"))
 
 # --- vocabulary ---------------------------------------------------------------
 
@@ -253,9 +248,11 @@ PAD_ID, EOS_ID, UNK_ID = (SPECIALS.index(t) for t in ("<pad>", "</s>", "<unk>"))
 LENGTH = 130
 
 
-def _vocab(spark, sf):
+def _vocab(spark, sf, written=False):
+    """Tokens and their vocabulary; written once where it is looked up more than once."""
     docs = documents(spark, sf).select("doc_id", words("text").alias("w"))
-    return docs, build_vocab(docs, "w", VOCAB, SPECIALS)
+    vocab = build_vocab(docs, "w", VOCAB, SPECIALS)
+    return docs, materialize(vocab, "vocabulary") if written else vocab
 
 
 query("build_vocab", f"WITH {SQL_VOCAB} SELECT token, id FROM vocab")(
@@ -275,12 +272,19 @@ query("encode", f"""WITH {SQL_VOCAB}, {_SQL_IDS} SELECT doc_id, array_to_string(
         "doc_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"),
         F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("live")))(*_vocab(spark, sf)))
 
-# Round trip: what decoding returns is the text's own known words.
+# Labels of rows that are not trained on: one ignored label per id of the row.
+query("ignore_labels", f"""WITH {SQL_VOCAB}, {_SQL_IDS} SELECT doc_id, array_to_string(list_transform(ids, lambda x: -100), ' ') AS labels
+    FROM enc""")(
+    lambda spark, sf: (lambda docs, vocab: encode(docs, "doc_id", "w", vocab, LENGTH, SPECIALS).select(
+        "doc_id", F.array_join(F.transform(ignore_labels("ids"), lambda x: x.cast("string")), " ").alias("labels")))(
+        *_vocab(spark, sf)))
+
+# Round trip of whole texts: what decoding returns is the text's own known words.
 query("decode", f"""WITH {SQL_VOCAB} SELECT doc_id, coalesce(string_agg(t.token, ' ' ORDER BY pos)
         FILTER (v.id >= {_N}), '') AS out FROM (
-        SELECT doc_id, unnest(w[1:{LENGTH - 1}] || ['</s>']) AS token,
-               generate_subscripts(w[1:{LENGTH - 1}] || ['</s>'], 1) AS pos FROM tok) t
+        SELECT doc_id, unnest(w || ['</s>']) AS token, generate_subscripts(w || ['</s>'], 1) AS pos FROM tok) t
     LEFT JOIN vocab v ON v.token = t.token GROUP BY doc_id""")(
     lambda spark, sf: (lambda docs, vocab: decode(
-        encode(docs, "doc_id", "w", vocab, LENGTH, SPECIALS), "doc_id", "ids", vocab, SPECIALS)
-        .select("doc_id", F.array_join("tokens", " ").alias("out")))(*_vocab(spark, sf)))
+        lookup_ids(docs, "doc_id", "w", vocab, SPECIALS), "doc_id", "ids", vocab, SPECIALS)
+        .select("doc_id", F.array_join("tokens", " ").alias("out")))(*_vocab(spark, sf, written=True)))
+

@@ -1,33 +1,14 @@
-"""Row layout: where a shuffle goes, and how many parts it makes."""
+"""Row layout: where a shuffle goes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-SMALL_INPUT = 1 << 30
-
 
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows by ``keys`` into ``spark.sql.shuffle.partitions`` parts.
+    """Hash rows by ``keys``; adaptive execution sizes the parts.
 
     Done on the narrow input, before a row is exploded: aggregations whose keys
-    include ``keys`` then need no further shuffle.  The number is explicit because
-    adaptive coalescing would size the parts by the small input, not by what is
-    exploded from it.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; file sizes for a plain scan.  Runs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def spread_if_small(df: DataFrame, *keys: str, limit: int = SMALL_INPUT) -> DataFrame:
-    """Spread a small input over all tasks; a large one is left as its scan splits it.
-
-    A file of one row group is one task however many cores there are.  Work per row is
-    heavy here, so for inputs below ``limit`` a shuffle of the raw rows pays; above it
-    the scan has tasks enough and nothing is moved.
+    include ``keys`` then need no further shuffle.  The same plan for inputs of any size.
     """
-    return by_key(df, *keys) if estimated_bytes(df) < limit else df
+    return df.repartition(*keys)

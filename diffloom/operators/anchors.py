@@ -53,7 +53,8 @@ def _least_context(limit: Column, unique) -> Column:
     More context never makes a unique phrase ambiguous, so the largest ambiguous k
     is found bit by bit.
     """
-    bits = F.array(*[F.lit(2 ** b) for b in reversed(range(21))])
+    bits = F.reverse(F.transform(F.sequence(F.lit(0), F.ceil(F.log2(limit + 1)).cast("int")),
+                                 lambda b: F.call_function("shiftleft", F.lit(1), b)))
     last_bad = F.aggregate(bits, F.lit(0), lambda acc, b: F.when(
         (acc + b <= limit) & ~unique(acc + b), acc + b).otherwise(acc))
     return let(lambda k: F.when(k < limit, k + 1), last_bad)

@@ -108,6 +108,16 @@ def shared(a: Column, b: Column) -> Column:
         lambda x, y: let(shared_repeats, repeats(x), repeats(y)), F.sort_array(a), F.sort_array(b))
 
 
+def matched(a: Column, b: Column) -> Column:
+    """The multiset intersection of two (bound) n-gram arrays as a set: repeats are numbered."""
+    def again(x, y):
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), F.array().cast("array<string>")).otherwise(let(
+            lambda sx, sy: F.array_intersect(numbered(x, sx), numbered(y, sy)), run_starts(x), run_starts(y)))
+
+    return F.concat(F.array_intersect(a, b), let(
+        lambda x, y: let(again, repeats(x), repeats(y)), F.sort_array(a), F.sort_array(b)))
+
+
 def shared_without(a: Column, b: Column, c: Column) -> Column:
     """As ``shared(a, b)``, but n-grams that occur in ``c`` do not count."""
     def deeper(new):
@@ -125,34 +135,7 @@ def gram_total(tokens: Column, n: int) -> Column:
     return F.greatest(F.size(tokens) - (n - 1), F.lit(0))
 
 
-def per_order(value: Column, n: int) -> Column:
-    """Sum of ``value`` over the n-grams of one order."""
-    return F.coalesce(F.sum(F.when(F.col("n") == n, value)), F.lit(0))
-
-
-def overlap(a: str, b: str) -> Column:
-    """Multiset intersection of two counts."""
-    return F.least(a, b)
-
-
 def document_frequency(counts: DataFrame, side: str) -> DataFrame:
     """In how many rows an n-gram of ``side`` occurs."""
     return (counts.where((F.col("n") > 0) & (F.col(side) > 0))
             .groupBy("n", "gram").agg(F.count("*").alias("df")))
-
-
-def merge_references(preds: DataFrame, refs: DataFrame, key: str, hyp: Column | str,
-                     ref: Column | str, ref_id: str, max_order: int = MAX_ORDER) -> DataFrame:
-    """(key, n, gram, h, r): hypothesis counts, and the largest count in any reference.
-
-    Texts are hashed by (key, reference) and counted where they are, so a row with very
-    many references is spread; then n-grams of a row meet by n-gram, once.
-    """
-    texts = preds.select(key, F.lit(None).cast(refs.schema[ref_id].dataType).alias(ref_id),
-                         as_col(hyp).alias("_t")).unionByName(
-        refs.select(key, ref_id, as_col(ref).alias("_t")))
-    counts = gram_counts(texts, [key, ref_id], {"c": "_t"}, max_order).where("n > 0")
-    own = F.col(ref_id).isNull()
-    return counts.groupBy(key, "n", "gram").agg(
-        F.coalesce(F.max(F.when(own, F.col("c"))), F.lit(0)).alias("h"),
-        F.coalesce(F.max(F.when(~own, F.col("c"))), F.lit(0)).alias("r"))

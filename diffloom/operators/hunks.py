@@ -11,35 +11,20 @@ from ..functions.draws import numbers, pick
 from ..functions.patch import side_lines, rebuild_single
 from ..functions.text import lines
 from ..layout import by_key
-from .matcher import PAIR_LIMIT, with_hunk_groups
-from .scripts import span
+from .scripts import anchored_edits, hunks_of
 
 TOKEN_BUDGET = 510
 STATE_SAMPLE = 3
 
 
-def _render(a: Column, b: Column, group: Column) -> Column:
-    def signed(sign, part):
-        return F.transform(part, lambda ln: F.concat(F.lit(sign), ln))
-
-    def piece(op):
-        old, new = span(a, op["i1"], op["i2"]), span(b, op["j1"], op["j2"])
-        return F.when(op["tag"] == "equal", signed(" ", old)).otherwise(
-            F.concat(signed("-", old), signed("+", new)))
-
-    return F.array_join(F.flatten(F.transform(group, piece)), "\n")
-
-
 def extract_hunks(pairs: DataFrame, old: str = "old_contents", new: str = "new_contents",
-                  context: int = 3, limit: int = PAIR_LIMIT) -> DataFrame:
-    """Add ``hunks``: one string per hunk of the line diff, headers left out.
+                  context: int = 3) -> DataFrame:
+    """Add ``hunks``: one string per hunk of the anchored line diff, headers left out.
 
     One row in, one row out, no shuffle; equal sides give an empty array.
     """
-    staged = pairs.withColumn("_a", lines(old)).withColumn("_b", lines(new))
-    grouped = with_hunk_groups(staged, "_a", "_b", "_groups", context, limit)
-    hunks = F.transform(F.col("_groups"), lambda g: _render(F.col("_a"), F.col("_b"), g))
-    return grouped.withColumn("hunks", hunks).drop("_a", "_b", "_groups", "_groups_coarse")
+    hunks = let(lambda a, b: hunks_of(a, b, anchored_edits(a, b), context), lines(old), lines(new))
+    return pairs.withColumn("hunks", hunks)
 
 
 def with_hunks_only(df: DataFrame) -> DataFrame:
@@ -104,6 +89,35 @@ def budget_groups(hunks, measure: Callable[[Column], Column], budget: int = TOKE
         let(rest, F.filter(hs, lambda h: measure(h) <= budget))), hunks)
 
 
+def budget_rejects(df: DataFrame, measure: Callable[[Column], Column], budget: int = TOKEN_BUDGET) -> DataFrame:
+    """Rows of ``df`` (without ``hunks``) with (hunk_idx, reason): the hunks ``budget_groups`` leaves out.
+
+    ``over budget``: too long by itself; ``odd tail``: the last of an odd number of short hunks
+    that go in pairs.
+    """
+    rest = [c for c in df.columns if c != "hunks"]
+
+    def left_out(hs):
+        whole = (F.size(hs) == 1) | (measure(F.array_join(hs, "\n")) <= budget)
+        sized = F.transform(hs, lambda h, i: F.struct(i.alias("hunk_idx"), h.alias("hunk"), (measure(h) <= budget).alias("fits")))
+
+        def rejects(sized):
+            over = F.transform(F.filter(sized, lambda h: ~h["fits"]), lambda h: F.struct(
+                h["hunk_idx"].alias("hunk_idx"), F.lit("over budget").alias("reason")))
+
+            def tail(kept):
+                paired = measure(F.array_join(kept["hunk"], "\n")) >= budget
+                return F.when((F.size(kept) % 2 == 1) & paired, F.array(F.struct(
+                    F.element_at(kept, -1)["hunk_idx"].alias("hunk_idx"), F.lit("odd tail").alias("reason")))).otherwise(
+                    F.array().cast("array<struct<hunk_idx:int,reason:string>>"))
+
+            return F.concat(over, let(tail, F.filter(sized, lambda h: h["fits"])))
+
+        return F.when(whole, F.array().cast("array<struct<hunk_idx:int,reason:string>>")).otherwise(let(rejects, sized))
+
+    return df.select(*rest, F.inline(let(left_out, F.col("hunks"))))
+
+
 def expand_states(df: DataFrame, measure: Callable[[Column], Column], seed: str = "states",
                   k: int = STATE_SAMPLE, budget: int = TOKEN_BUDGET,
                   compat: bool = False) -> DataFrame:

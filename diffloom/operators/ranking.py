@@ -10,24 +10,27 @@ from ..functions.draws import digest
 BUCKET_HEX = 3  # 16**3 = 4096 buckets
 
 
-def shuffled_rank(df: DataFrame, seed: str, key: str, out: str = "rank",
+def shuffled_rank(df: DataFrame, seed: str, key: str, out: str = "rank", total: str | None = None,
                   bucket_hex: int = BUCKET_HEX) -> DataFrame:
     """Dense zero-based rank of rows in the order of their draw: a seeded full shuffle.
 
-    Rows are bucketed by the leading digits of the draw.  Ranks inside a bucket come
-    from a window per bucket; the start of each bucket is a running count over at most
-    ``16**bucket_hex`` rows, which is what gets broadcast.  Draws are hashes of unique
-    keys, so buckets are even whatever the data looks like.
+    Only keys and draws are ranked; other columns are joined back by the key, which is
+    unique.  Keys are bucketed by the leading digits of the draw, ranked by a window per
+    bucket, and the start of each bucket is a running count over at most
+    ``16**bucket_hex`` rows, which is what gets broadcast, with the ``total`` if asked for.
+    Draws are hashes of unique keys, so buckets are even whatever the data looks like.
     """
-    tagged = (df.withColumn("_d", digest(seed, key))
-              .withColumn("_b", F.substring("_d", 1, bucket_hex)))
-    counts = tagged.groupBy("_b").agg(F.count("*").alias("_n"))
-    starts = counts.select("_b", (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_start"))
+    narrow = df.select(key, digest(seed, key).alias("_d")).withColumn("_b", F.substring("_d", 1, bucket_hex))
+    every = W.orderBy("_b").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    starts = narrow.groupBy("_b").agg(F.count("*").alias("_n")).select(
+        "_b", (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_start"),
+        *([F.sum("_n").over(every).alias(total)] if total else []))
     inside = F.row_number().over(W.partitionBy("_b").orderBy("_d", key)) - 1
-    return (tagged.withColumn("_in", inside)
-            .join(F.broadcast(starts), "_b")
-            .withColumn(out, (F.col("_start") + F.col("_in")).cast("long"))
-            .drop("_b", "_d", "_in", "_start"))
+    ranked = (narrow.withColumn("_in", inside).join(F.broadcast(starts), "_b")
+              .select(key, (F.col("_start") + F.col("_in")).cast("long").alias(out), *([total] if total else [])))
+    if df.columns == [key]:
+        return ranked
+    return df.join(ranked, key).select(*df.columns, out, *([total] if total else []))
 
 
 def shard_of(rank, total, k: int = 30) -> Column:
@@ -37,23 +40,17 @@ def shard_of(rank, total, k: int = 30) -> Column:
         F.least(F.floor(as_col(rank) / size), F.lit(k - 1))).cast("int")
 
 
-def with_total(df: DataFrame, out: str = "total") -> DataFrame:
-    """Add the row count of ``df``: a one-row aggregate, joined on a constant key."""
-    total = df.agg(F.count("*").alias(out)).withColumn("_k", F.lit(1))
-    return df.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").drop("_k")
-
-
 def with_shards(df: DataFrame, seed: str, key: str, k: int = 30) -> DataFrame:
-    ranked = shuffled_rank(df, seed, key)
-    return with_total(ranked).withColumn("shard", shard_of("rank", "total", k)).drop("total")
+    ranked = shuffled_rank(df, seed, key, total="_total")
+    return ranked.withColumn("shard", shard_of("rank", "_total", k)).drop("_total")
 
 
 def trainer_slots(df: DataFrame, seed: str, key: str, workers: int) -> DataFrame:
     """Round-robin rows over trainers; the remainder that does not fill a round is left out."""
-    ranked = with_total(shuffled_rank(df, seed, key))
-    even = F.col("total") - F.pmod(F.col("total"), F.lit(workers))
+    ranked = shuffled_rank(df, seed, key, total="_total")
+    even = F.col("_total") - F.pmod(F.col("_total"), F.lit(workers))
     return (ranked.where(F.col("rank") < even)
-            .withColumn("slot", F.pmod("rank", F.lit(workers)).cast("int")).drop("total"))
+            .withColumn("slot", F.pmod("rank", F.lit(workers)).cast("int")).drop("_total"))
 
 
 def drawn_subset(df: DataFrame, n: int, seed: str, key: str) -> DataFrame:
@@ -81,7 +78,8 @@ def running(df: DataFrame, run: str, step: str, aggs: dict[str, Column], *,
     """
     merge = {"max": F.greatest, "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))}
     fn = {"max": F.max, "sum": F.sum}
-    blocked = df.withColumn("_blk", F.floor(F.col(step) / block))
+    # Blocks are laid out once: their totals and the windows inside read the same exchange.
+    blocked = df.withColumn("_blk", F.floor(F.col(step) / block)).repartition(run, "_blk")
     per_block = blocked.groupBy(run, "_blk").agg(
         *[fn[f](c).alias(f"_t_{name}") for name, (f, c) in aggs.items()])
     before = (W.partitionBy(run).orderBy("_blk")

@@ -6,16 +6,19 @@ score can be taken per corpus slice, per row, over resamples or over a stream.
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import as_col, let
 from ..functions.draws import draw
 from ..functions.text import (normalize_for_match, normalize_tokens_for_match, strip, words)
+from ..layout import by_key
 from ..markers import KEYWORD_WEIGHT, OTHER_WEIGHT
-from .grams import bind_orders, gram_total, merge_references, per_order, shared, shared_without
+from ..session import materialize
+from .grams import bind_orders, gram_total, matched, shared, shared_without
 
 ORDERS = (1, 2, 3, 4)
 EPSILON, ALPHA, K = 0.1, 5.0, 5.0  # fixed values: smoothing constants
@@ -67,20 +70,39 @@ def multi_ref_stats(preds: DataFrame, refs: DataFrame, key: str, hyp: Column | s
                     ref: Column | str, ref_id: str) -> DataFrame:
     """As ``pair_stats`` with several references per row.
 
-    An n-gram matches up to its largest count in any reference; ``ref_len`` is the
-    shortest and ``close_len`` the closest reference length.
+    An n-gram matches up to its largest count in any reference: with repeats numbered, the
+    matches are the union over references of the hypothesis' and the reference's sets.  The
+    hypothesis meets each reference in one row, and only matched n-grams, hashed, move on.
+    ``ref_len`` is the shortest and ``close_len`` the closest reference length.
     """
-    counts = merge_references(preds, refs, key, hyp, ref, ref_id)
-    sums = counts.groupBy(key).agg(*[c for n in ORDERS for c in (
-        per_order(F.least("h", "r"), n).alias(f"m{n}"), per_order(F.col("h"), n).alias(f"h{n}"))])
-    lengths = (preds.select(key, F.size(as_col(hyp)).cast("long").alias("hyp_len"))
-               .join(refs.select(key, F.size(as_col(ref)).cast("long").alias("len")), key)
-               .groupBy(key).agg(
-                   F.first("hyp_len").alias("hyp_len"), F.min("len").alias("ref_len"),
-                   F.min(F.struct(F.abs(F.col("len") - F.col("hyp_len")).alias("gap"), "len"))
-                   ["len"].alias("close_len")))
-    zero = {f"{p}{n}": 0 for p in "mh" for n in ORDERS}
-    return lengths.join(sums, key, "left").fillna(zero)
+    own = preds.select(key, as_col(hyp).alias("_h"))
+    paired = by_key(refs.select(key, ref_id, as_col(ref).alias("_r")), key).join(by_key(own, key), key)
+    none = F.array().cast("array<string>")
+
+    def hashed(n):
+        return lambda g: F.struct(F.lit(n).alias("n"), F.xxhash64(g).alias("h1"), F.xxhash64(F.lit("gram"), g).alias("h2"))
+
+    def build(hs, rs):
+        return F.struct(
+            F.size(rs[0]).cast("long").alias("len"),
+            F.flatten(F.array(*[F.transform(matched(h, r), hashed(n))
+                                for n, h, r in zip(ORDERS, hs, rs)])).alias("found"))
+
+    each = paired.select(key, F.size(F.coalesce("_h", none)).cast("long").alias("hyp_len"), F.inline(F.array(bind_orders(
+        build, max(ORDERS), F.coalesce("_h", none), F.coalesce("_r", none)))))
+    # One row per reference: lengths; and one row per matched n-gram, only those move on.
+    flat = each.select(key, F.inline(F.concat(
+        F.array(F.struct(F.lit(0).alias("n"), "len", "hyp_len", F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"))),
+        F.transform("found", lambda g: F.struct(
+            g["n"].alias("n"), F.lit(None).cast("long").alias("len"), F.lit(None).cast("long").alias("hyp_len"),
+            g["h1"].alias("h1"), g["h2"].alias("h2"))))))
+    once = flat.groupBy(key, "n", "h1", "h2").agg(
+        F.max("hyp_len").alias("hyp_len"), F.min("len").alias("ref_len"),
+        F.min(F.struct(F.abs(F.col("len") - F.col("hyp_len")).alias("gap"), "len"))["len"].alias("close_len"))
+    sums = once.groupBy(key).agg(
+        F.max("hyp_len").alias("hyp_len"), F.min("ref_len").alias("ref_len"), F.max("close_len").alias("close_len"),
+        *[F.count_if(F.col("n") == n).alias(f"m{n}") for n in ORDERS])
+    return sums.select("*", *[F.greatest(F.col("hyp_len") - (n - 1), F.lit(0)).alias(f"h{n}") for n in ORDERS])
 
 
 def gleu_stats(preds: DataFrame, keys: list[str], src: Column | str, hyp: Column | str,
@@ -277,18 +299,19 @@ def normalize_flow(edges: DataFrame, key: str, side: str) -> DataFrame:
     Input rows: ``pos``, ``name``, ``rel``, ``parents`` (names).  A text's parents count
     as seen before the variable they feed.
     """
-    per_text = edges.groupBy(key, side).agg(F.sort_array(F.collect_list(
-        F.struct("pos", "name", "rel", "parents"))).alias("_e"))
-    seen = F.array_distinct(F.flatten(F.transform(
-        "_e", lambda e: F.concat(e["parents"], F.array(e["name"])))))
-    staged = per_text.select(key, side, "_e", seen.alias("_seen"))
-
-    def number(n):
-        return F.array_position(F.col("_seen"), n).cast("string")
-
-    edge = F.transform("_e", lambda e: F.concat_ws(
-        "|", number(e["name"]), e["rel"], F.array_join(F.transform(e["parents"], number), ",")))
-    return staged.select(key, side, F.explode(edge).alias("edge"))
+    ids = edges.select(key, side, "pos", "name", "rel", "parents", F.monotonically_increasing_id().alias("_e"))
+    ids = materialize(by_key(ids, key, side), "edges")
+    # Every name of an edge in reading order: parents first, then the variable itself.
+    names = ids.select(key, side, "pos", "_e", "rel", F.posexplode(
+        F.concat(F.col("parents"), F.array("name"))).alias("_at", "_name"))
+    seen = names.groupBy(key, side, "_name").agg(F.min(F.struct("pos", "_e", "_at")).alias("_first"))
+    number = F.row_number().over(W.partitionBy(key, side).orderBy("_first")).cast("string")
+    numbered_names = seen.select(key, side, "_name", number.alias("_no"))
+    edge = names.join(numbered_names, [key, side, "_name"]).groupBy(key, side, "_e", "rel").agg(
+        F.sort_array(F.collect_list(F.struct("_at", "_no")))["_no"].alias("_nos"))
+    last = F.element_at("_nos", -1)
+    return edge.select(key, side, F.concat_ws("|", last, "rel", F.array_join(
+        F.slice("_nos", F.lit(1), F.size("_nos") - 1), ",")).alias("edge"))
 
 
 def flow_match(edges: DataFrame, key: str, side: str) -> DataFrame:
@@ -302,12 +325,13 @@ def flow_match(edges: DataFrame, key: str, side: str) -> DataFrame:
 
 def composite(parts: dict[str, DataFrame], weights: dict[str, float]) -> DataFrame:
     """One row: the named one-row scores and their weighted sum (null if one is missing)."""
-    joined = None
+    rows = None
     for name, df in parts.items():
-        one = df.select(F.lit(1).alias("_k"), F.col("score").alias(name))
-        joined = one if joined is None else joined.join(F.broadcast(one), "_k", "full")
+        one = df.select(F.lit(name).alias("_part"), F.col("score").cast("double").alias("_score"))
+        rows = one if rows is None else rows.unionByName(one)
+    scores = rows.agg(*[F.max(F.when(F.col("_part") == n, F.col("_score"))).alias(n) for n in parts])
     cols = [F.col(n) * F.lit(w) for n, w in weights.items()]
-    return joined.withColumn("composite", sum(cols[1:], cols[0])).drop("_k")
+    return scores.withColumn("composite", sum(cols[1:], cols[0]))
 
 
 def gleu_form(sums: DataFrame, smooth: bool = False, out: str = "gleu") -> DataFrame:
@@ -365,18 +389,31 @@ def bootstrap(stats: DataFrame, key: str, rounds: int, form: Callable[[DataFrame
               score: str, seed: str = "boot") -> DataFrame:
     """(mean, std, low, high) of a score over resamples of rows.
 
-    Each row's weight in a round is a drawn Poisson(1) count, so rounds need no
-    global sampling: one pass, ``rounds`` partial sums per task.
+    Each row's weight in a round is a drawn Poisson(1) count, so rounds need no global
+    sampling: one aggregate with a weighted sum per round and column, and no row is copied.
     """
-    u = F.col("_u")
-    # Poisson(1) distribution function at 0..5.
-    steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582]
-    weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    drawn = (stats.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-             .withColumn("_u", draw(seed, key, "round")).withColumn("_w", weight).drop("_u"))
-    cols = {c: F.col(c) for c in stats.columns if c != key}
-    sums = total(drawn, "round", exprs=cols, weight=F.col("_w"))
-    return interval(form(sums), score)
+    cols = [c for c in stats.columns if c != key]
+    weights = F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda r: poisson_one(draw(seed, key, r)))
+    sums = [F.sum(F.col(c) * F.get("_w", F.lit(r))).alias(f"{c}_{r}") for r in range(rounds) for c in cols]
+    wide = stats.withColumn("_w", weights).agg(*sums)
+    each = wide.select(F.inline(F.array(*[F.struct(*[F.col(f"{c}_{r}").alias(c) for c in cols])
+                                          for r in range(rounds)])))
+    return interval(form(each), score)
+
+
+def poisson_steps(bits: int = 32) -> list[float]:
+    """The Poisson(1) distribution function as far as a draw of ``bits`` bits can reach."""
+    steps, term, total_ = [], math.exp(-1), 0.0
+    while total_ < 1 - 2.0 ** -bits:
+        total_ += term
+        steps.append(round(total_, 15))
+        term /= len(steps)
+    return steps
+
+
+def poisson_one(u: Column) -> Column:
+    """Inverse transform of a uniform draw; no count is cut off."""
+    return F.size(F.filter(F.array(*[F.lit(s) for s in poisson_steps()]), lambda s: u >= s))
 
 
 def interval(scores: DataFrame, score: str) -> DataFrame:

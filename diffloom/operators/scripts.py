@@ -1,4 +1,4 @@
-"""Edit scripts: the native trim script and everything derived from opcodes.
+"""Edit scripts: native trim and anchored scripts and everything derived from opcodes.
 
 An edit script is ``array<struct<tag,i1,i2,j1,j2>>`` over two token arrays; ranges
 are zero-based and half-open, tags are equal / replace / insert / delete.
@@ -59,6 +59,153 @@ def trim_script(a, b) -> Column:
         a, b)
 
 
+def _unique_pairs(a: Column, b: Column) -> Column:
+    """array<struct(i, j)> of tokens that occur once on each side, by ``i``: one sort, then neighbours."""
+    def tagged(x, side):
+        return F.transform(x, lambda t, i: F.struct(t.alias("t"), F.lit(side).alias("side"), i.alias("at")))
+
+    def pick(s):
+        def token(k):
+            return F.get(s, k)["t"]
+
+        def once(k):
+            return ((F.get(s, k)["side"] == 0) & (F.get(s, k + 1)["side"] == 1) & (token(k) == token(k + 1))
+                    & ((k == 0) | (token(k - 1) != token(k)))
+                    & ((k + 2 >= F.size(s)) | (token(k + 2) != token(k))))
+
+        at = F.filter(F.when(F.size(s) > 1, F.sequence(F.lit(0), F.size(s) - 2)).otherwise(
+            F.array().cast("array<int>")), once)
+        return F.array_sort(F.transform(at, lambda k: F.struct(
+            F.get(s, k)["at"].alias("i"), F.get(s, k + 1)["at"].alias("j"))))
+
+    return let(pick, F.array_sort(F.concat(tagged(a, 0), tagged(b, 1))))
+
+
+def _in_order(pairs: Column) -> Column:
+    """The pairs that cross no other pair: the running maximum of ``j`` from the left and the
+    running minimum from the right both equal their own ``j``.
+
+    Running values are taken over blocks of about the square root of the length, so nothing
+    is copied per element.
+    """
+    def keep(pairs, j, width):
+        blocks = F.sequence(F.lit(0), F.floor((F.size(j) - 1) / width).cast("int"))
+
+        def block(g):
+            return F.slice(j, g * width + 1, width)
+
+        def test(highest, lowest):
+            def ok(x, k):
+                g = F.floor(k / width).cast("int")
+                before = F.greatest(F.array_max(F.slice(highest, F.lit(1), g)),
+                                    F.array_max(F.slice(j, g * width + 1, k - g * width + 1)))
+                after = F.least(F.array_min(F.slice(lowest, g + 2, F.size(lowest))),
+                                F.array_min(F.slice(j, k + 1, width - (k - g * width))))
+                return (before == x["j"]) & (after == x["j"])
+
+            return F.filter(pairs, ok)
+
+        return let(test, F.transform(blocks, lambda g: F.array_max(block(g))),
+                   F.transform(blocks, lambda g: F.array_min(block(g))))
+
+    return let(lambda pairs: F.when(F.size(pairs) == 0, pairs).otherwise(
+        let(keep, pairs, pairs["j"], F.ceil(F.sqrt(F.size(pairs))).cast("int"))), pairs)
+
+
+def anchored_edits(a, b) -> Column:
+    """array<struct(i1, i2, j1, j2)>: the parts that differ, in order; one algorithm for all sizes.
+
+    Tokens that occur once on each side and cross no other such token are anchors; between
+    neighbouring anchors, what is left after the common prefix and suffix is one edit.
+    """
+    def gaps(a, b, anchors):
+        def edit(k):
+            last, here = F.get(anchors, k - 1), F.get(anchors, k)
+            i1, j1 = F.coalesce(last["i"] + 1, F.lit(0)), F.coalesce(last["j"] + 1, F.lit(0))
+            i2, j2 = F.coalesce(here["i"], F.size(a)), F.coalesce(here["j"], F.size(b))
+
+            def trim(x, y, i1, j1, i2, j2):
+                def cut(p):
+                    def rest(z):
+                        return F.reverse(F.slice(z, p + 1, F.size(z)))
+
+                    return let(lambda s: F.struct((i1 + p).alias("i1"), (i2 - s).alias("i2"),
+                                                  (j1 + p).alias("j1"), (j2 - s).alias("j2")),
+                               let(common_prefix, rest(x), rest(y)))
+
+                return let(cut, common_prefix(x, y))
+
+            return F.when((i1 < i2) | (j1 < j2), let(trim, span(a, i1, i2), span(b, j1, j2), i1, j1, i2, j2))
+
+        # Index -1 and the one after the last anchor are the texts' ends.
+        return F.filter(F.transform(F.sequence(F.lit(0), F.size(anchors)), edit),
+                        lambda e: e.isNotNull() & ((e["i1"] < e["i2"]) | (e["j1"] < e["j2"])))
+
+    return let(lambda a, b: let(lambda anchors: gaps(a, b, anchors), _in_order(_unique_pairs(a, b))), a, b)
+
+
+def script_of(edits, n, m) -> Column:
+    """The whole script of two sides of ``n`` and ``m`` tokens: edits and the kept parts between them."""
+    none = F.array().cast(OPCODES)
+
+    def kept(i1, i2, j1, j2):
+        return F.when(i1 < i2, F.array(_op("equal", i1, i2, j1, j2))).otherwise(none)
+
+    def build(edits, n, m):
+        def one(e, k):
+            last = F.get(edits, k - 1)
+            tag = (F.when((e["i1"] < e["i2"]) & (e["j1"] < e["j2"]), "replace")
+                   .when(e["i1"] < e["i2"], "delete").otherwise("insert"))
+            return F.concat(kept(F.coalesce(last["i2"], F.lit(0)), e["i1"], F.coalesce(last["j2"], F.lit(0)), e["j1"]),
+                            F.array(_op(tag, e["i1"], e["i2"], e["j1"], e["j2"])))
+
+        last = F.get(edits, F.size(edits) - 1)
+        return F.concat(F.flatten(F.transform(edits, one)),
+                        kept(F.coalesce(last["i2"], F.lit(0)), n, F.coalesce(last["j2"], F.lit(0)), m))
+
+    return let(build, edits, n, m)
+
+
+def anchored_script(a, b) -> Column:
+    """The anchored edit script of two token arrays."""
+    return let(lambda a, b: script_of(anchored_edits(a, b), F.size(a), F.size(b)), a, b)
+
+
+def with_script(df: DataFrame, a: str, b: str, out: str = "ops") -> DataFrame:
+    """Add the anchored edit script of array columns ``a`` and ``b``."""
+    return df.withColumn(out, anchored_script(a, b))
+
+
+def hunks_of(a, b, edits, context: int = 3) -> Column:
+    """array<string>: the edits as hunks of signed lines with up to ``context`` kept lines around.
+
+    Edits at most twice ``context`` lines apart share a hunk.
+    """
+    def signed(sign, part):
+        return F.transform(part, lambda ln: F.concat(F.lit(sign), ln))
+
+    def build(a, b, edits):
+        starts = F.filter(F.sequence(F.lit(0), F.size(edits) - 1), lambda k: (k == 0) | (
+            F.get(edits, k)["i1"] - F.get(edits, k - 1)["i2"] > 2 * context))
+
+        def hunk(first, end):
+            def piece(e, k):
+                before = F.when(k == 0, F.greatest(F.lit(0), e["i1"] - context)).otherwise(
+                    F.get(edits, first + k - 1)["i2"])
+                return F.concat(signed(" ", span(a, before, e["i1"])), signed("-", span(a, e["i1"], e["i2"])),
+                                signed("+", span(b, e["j1"], e["j2"])))
+
+            last = F.get(edits, end - 1)["i2"]
+            return F.array_join(F.concat(
+                F.flatten(F.transform(F.slice(edits, first + 1, end - first), piece)),
+                signed(" ", span(a, last, F.least(last + context, F.size(a))))), "\n")
+
+        return let(lambda starts: F.transform(starts, lambda s, g: hunk(
+            s, F.coalesce(F.get(starts, g + 1), F.size(edits)))), starts)
+
+    return let(lambda a, b, e: F.when(F.size(e) == 0, F.array().cast(STRINGS)).otherwise(build(a, b, e)), a, b, edits)
+
+
 def _labelled(label: str, tokens: Column) -> Column:
     return F.flatten(F.transform(tokens, lambda t: F.array(F.lit(label), t)))
 
@@ -138,38 +285,50 @@ def payload(b, ops) -> Column:
 def replay(a, incoming, ops) -> Column:
     """struct(tokens, tiles): the new side rebuilt from the old side and incoming tokens.
 
-    Two running pointers, never the script's own target positions, say which tokens
-    come next; ``tiles`` is true when those pointers agree with the script throughout.
+    Incoming tokens are taken in order, by running sums of the lengths the script's
+    target ranges state; ``tiles`` is true when source and target ranges of the script
+    follow each other without gaps and use up both inputs.
     """
-    fresh = F.array().cast("array<struct<tag:string,i:int,p:int,n:int>>")
-
-    def step(acc, op):
-        takes = op["tag"].isin("insert", "replace")
-        uses = op["tag"] != "insert"
-        adds = F.when(takes, op["j2"] - op["j1"]).otherwise(F.lit(0))
-        n = F.when(op["tag"] == "equal", op["i2"] - op["i1"]).otherwise(adds)
-        piece = F.struct(op["tag"].alias("tag"), acc["i"].alias("i"), acc["p"].alias("p"),
-                         n.alias("n"))
-        grown = F.when(op["tag"] == "delete", 0).otherwise(n)
+    def build(a, inc, ops):
+        def takes(op):
+            return F.when(op["tag"].isin("insert", "replace"), op["j2"] - op["j1"]).otherwise(F.lit(0))
+
+        def piece(op, came):
+            return (F.when(op["tag"] == "equal", span(a, op["i1"], op["i2"]))
+                    .when(op["tag"] == "delete", F.array().cast(STRINGS))
+                    .otherwise(F.slice(inc, came + 1, takes(op))))
+
+        def follows(k):
+            op, prev = F.get(ops, k), F.get(ops, k - 1)
+            return ((op["i1"] == F.coalesce(prev["i2"], F.lit(0))) & (op["j1"] == F.coalesce(prev["j2"], F.lit(0))))
+
+        last = F.get(ops, F.size(ops) - 1)
+        used = F.aggregate(ops, F.lit(0), lambda acc, op: acc + takes(op))
         return F.struct(
-            (acc["i"] + F.when(uses, op["i2"] - op["i1"]).otherwise(0)).alias("i"),
-            (acc["p"] + adds).alias("p"),
-            (acc["j"] + grown).alias("j"),
-            (acc["ok"] & (acc["i"] == op["i1"]) & (acc["j"] == op["j1"])).alias("ok"),
-            F.concat(acc["pieces"], F.array(piece)).alias("pieces"))
-
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("p"), F.lit(0).alias("j"),
-                     F.lit(True).alias("ok"), fresh.alias("pieces"))
-
-    def build(a, inc, run):
-        tokens = F.flatten(F.transform(run["pieces"], lambda p: F.when(
-            p["tag"] == "equal", F.slice(a, p["i"] + 1, p["n"])).otherwise(
-            F.slice(inc, p["p"] + 1, p["n"]))))
-        return F.struct(tokens.alias("tokens"),
-                        (run["ok"] & (run["i"] == F.size(a)) & (run["p"] == F.size(inc)))
-                        .alias("tiles"))
-
-    return let(build, a, incoming, F.aggregate(as_col(ops), start, step))
+            F.flatten(F.zip_with(ops, prefix_sums(F.transform(ops, takes)), piece)).alias("tokens"),
+            (F.forall(F.transform(ops, lambda _, k: follows(k)), lambda ok: ok)
+             & (F.coalesce(last["i2"], F.lit(0)) == F.size(a)) & (used == F.size(inc))).alias("tiles"))
+
+    return let(build, a, incoming, as_col(ops))
+
+
+def prefix_sums(values) -> Column:
+    """Sums of all values before each place; blocks of about the square root of the length."""
+    def total(x):
+        return F.aggregate(x, F.lit(0), lambda acc, v: acc + v)
+
+    def build(values, width):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / width).cast("int")),
+                             lambda g: total(F.slice(values, g * width + 1, width)))
+
+        def before(k, blocks):
+            g = F.floor(k / width).cast("int")
+            return total(F.slice(blocks, F.lit(1), g)) + total(F.slice(values, g * width + 1, k - g * width))
+
+        return let(lambda blocks: F.transform(values, lambda _, k: before(k, blocks)), blocks)
+
+    return let(lambda v: F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(
+        let(build, v, F.ceil(F.sqrt(F.size(v))).cast("int"))), values)
 
 
 def edit_profile(df: DataFrame, ops: str, *slices: str) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions import as_col
 from ..layout import by_key
 from ..markers import EOS, PAD, UNK
 
 LABEL_IGNORE = -100
-MAX_VOCAB = 1_000_000  # what may be broadcast
 
 
 def build_vocab(df: DataFrame, tokens: str, size: int, specials: list[str]) -> DataFrame:
@@ -17,8 +17,6 @@ def build_vocab(df: DataFrame, tokens: str, size: int, specials: list[str]) -> D
     Counting combines before the shuffle; the ranking window runs over at most
     ``size`` rows kept by a top-k.
     """
-    if size > MAX_VOCAB:
-        raise ValueError(f"vocabulary of {size} entries is too large to broadcast")
     fixed = df.sparkSession.createDataFrame(
         list(zip(specials, range(len(specials)))), "token string, id int")
     counted = (df.select(F.explode(tokens).alias("token"))
@@ -30,35 +28,43 @@ def build_vocab(df: DataFrame, tokens: str, size: int, specials: list[str]) -> D
     return fixed.unionByName(ranked)
 
 
-def encode(df: DataFrame, key: str, tokens: str, vocab: DataFrame, length: int,
-           specials: list[str], out: str = "ids") -> DataFrame:
-    """(key, ids, mask): ids cut and padded to ``length`` with exactly one end marker.
+def lookup_ids(df: DataFrame, key: str, tokens: str, vocab: DataFrame, specials: list[str],
+               out: str = "ids") -> DataFrame:
+    """(key, ids): the ids of all tokens in order, then one end marker.
 
-    Rows are hashed by key once; the lookup is a broadcast join (``build_vocab`` bounds
-    the vocabulary) and the ids of a row are gathered where they already are.
+    The lookup is an ordinary join: adaptive execution broadcasts a vocabulary it has
+    measured to be small and shuffles tokens for a larger one.
     """
-    pad, eos, unk = (specials.index(t) for t in (PAD, EOS, UNK))
-    flat = (by_key(df.select(key, F.slice(tokens, 1, length - 1).alias("_t")), key)
+    eos, unk = specials.index(EOS), specials.index(UNK)
+    flat = (by_key(df.select(key, F.col(tokens).alias("_t")), key)
             .select(key, F.posexplode_outer("_t").alias("_pos", "token")))
-    known = flat.join(F.broadcast(vocab), "token", "left")
+    known = flat.join(vocab, "token", "left")
     gathered = known.groupBy(key).agg(F.sort_array(F.collect_list(
         F.when(F.col("token").isNotNull(),
                F.struct("_pos", F.coalesce("id", F.lit(unk)).alias("id"))))).alias("_p"))
-    ids = F.concat(F.col("_p.id"), F.array(F.lit(eos)))
-    padded = gathered.select(key, ids.alias("_ids")).select(
+    return gathered.select(key, F.concat(F.col("_p.id"), F.array(F.lit(eos))).alias(out))
+
+
+def encode(df: DataFrame, key: str, tokens: str, vocab: DataFrame, length: int,
+           specials: list[str], out: str = "ids") -> DataFrame:
+    """(key, ids, mask): ids cut and padded to ``length`` with exactly one end marker."""
+    pad = specials.index(PAD)
+    ids = lookup_ids(df.select(key, F.slice(tokens, 1, length - 1).alias("_c")), key, "_c", vocab, specials, "_ids")
+    padded = ids.select(
         key, F.concat("_ids", F.array_repeat(F.lit(pad), F.lit(length) - F.size("_ids"))).alias(out))
     return padded.withColumn("mask", F.transform(out, lambda x: (x != pad).cast("int")))
 
 
-def ignore_labels(length: int):
-    return F.array_repeat(F.lit(LABEL_IGNORE), length)
+def ignore_labels(ids) -> Column:
+    """Labels of encoded rows whose target is not trained on: one ignored label per id."""
+    return F.transform(as_col(ids), lambda _: F.lit(LABEL_IGNORE))
 
 
 def decode(df: DataFrame, key: str, ids: str, vocab: DataFrame, specials: list[str]) -> DataFrame:
     """(key, tokens): ids back to tokens, specials skipped."""
     flat = (by_key(df.select(key, ids), key)
             .select(key, F.posexplode_outer(ids).alias("_pos", "id")))
-    known = flat.join(F.broadcast(vocab.where(F.col("id") >= len(specials))), "id", "left")
+    known = flat.join(vocab.where(F.col("id") >= len(specials)), "id", "left")
     return known.groupBy(key).agg(F.sort_array(F.collect_list(
         F.when(F.col("token").isNotNull(), F.struct("_pos", "token")))).alias("_p")).select(
         key, F.col("_p.token").alias("tokens"))
@@ -66,7 +72,7 @@ def decode(df: DataFrame, key: str, ids: str, vocab: DataFrame, specials: list[s
 
 def truncation_report(lengths: DataFrame, limits: DataFrame, task: str = "task") -> DataFrame:
     """Share of rows cut by each task's limits; ``limits`` is the small fixed table."""
-    joined = lengths.join(F.broadcast(limits), task)
+    joined = lengths.join(limits, task)
     return joined.groupBy(task).agg(
         F.count("*").alias("n_rows"),
         F.avg((F.col("source_len") > F.col("source_limit")).cast("double")).alias("source_cut"),

@@ -11,8 +11,9 @@ from ..functions.text import words
 from ..operators.filters import (STATE_TYPE, conform, length_gate, real_change, real_change_nonblank,
                                  reject_reason, union_corpora)
 from ..operators.hunks import expand_states, extract_hunks, with_hunks_only
-from ..operators.matcher import with_opcodes
 from ..operators.ranking import with_shards
+from ..operators.scripts import with_script
+from ..session import materialize
 
 
 def commit_rejects(commits: DataFrame) -> DataFrame:
@@ -25,6 +26,14 @@ def commit_rejects(commits: DataFrame) -> DataFrame:
     return commits.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
+def prepared(commits: DataFrame, measure: Callable[[Column], Column] = token_length, seed: str = "42",
+             k: int = 30) -> DataFrame:
+    """(row_key, repos, msg, old, new, rank, shard): commits to gated, sharded states in one chain."""
+    states = state_rows(hunked(commits), measure).where(real_change())
+    keyed = states.withColumn("row_key", F.concat_ws("-", "commit", "group_idx", "state_idx"))
+    return shard_corpus(keyed, seed, k)
+
+
 def hunked(commits: DataFrame) -> DataFrame:
     """(commit, repos, msg, hunks) of commits that change a line."""
     usable = commits.where(F.col("old_contents") != F.col("new_contents"))
@@ -55,14 +64,17 @@ def assemble(annotated: DataFrame, commits: DataFrame, states: DataFrame) -> Dat
 
 
 def shard_corpus(corpus: DataFrame, seed: str = "42", k: int = 30) -> DataFrame:
-    """Add ``rank`` and ``shard``: a seeded full shuffle cut into even shards."""
-    return with_shards(corpus, seed, "row_key", k)
+    """Add ``rank`` and ``shard``: a seeded full shuffle cut into even shards.
+
+    The corpus is written once: its keys are counted and ranked, and its rows joined back.
+    """
+    return with_shards(materialize(corpus, "corpus"), seed, "row_key", k)
 
 
 def scripted(corpus: DataFrame, tokens: Callable[[Column], Column] = code_lex) -> DataFrame:
     """Add nl_tokens, old_tokens, new_tokens and the edit script."""
     usable = corpus.where(real_change_nonblank())
-    return with_opcodes(
+    return with_script(
         usable.withColumn("nl_tokens", words("nl"))
         .withColumn("old_tokens", tokens(F.col("old")))
         .withColumn("new_tokens", tokens(F.col("new"))), "old_tokens", "new_tokens")

@@ -17,7 +17,7 @@ from ..functions.text import strip
 from ..markers import (CHANGED_MARK, CORRUPT_TAG, GENERATE_TAG, JAVA_KEYWORDS, KEEP,
                        KEEP_SPAN_TAG, MSG_TAG, SEGMENT_TAG, STATE_TAG, UPDATED_TAG)
 from ..operators.filters import STATE_TYPE
-from ..operators.scripts import edit_streams, side_labels
+from ..operators.scripts import edit_streams, prefix_sums, side_labels
 
 # Shares and bands.
 KEEP_SHARE = 0.3
@@ -60,24 +60,18 @@ def _nl_mask(nl, seed, key):
 
 def kept_span_mask(ops, seed: str, key) -> Column:
     """Mask over old tokens: spans of kept tokens only, 30 % of them."""
-    pieces0 = F.array().cast("array<struct<keep:boolean,at:int,n:int>>")
+    def kept(op):
+        return F.when(op["tag"] == "equal", op["i2"] - op["i1"]).otherwise(F.lit(0))
 
-    def step(acc, op):
-        n = op["i2"] - op["i1"]
-        keep = op["tag"] == "equal"
-        return F.struct(
-            (acc["at"] + F.when(keep, n).otherwise(0)).alias("at"),
-            F.concat(acc["pieces"], F.array(F.struct(keep.alias("keep"), acc["at"].alias("at"),
-                                                     n.alias("n")))).alias("pieces"))
+    def build(ops, total, before):
+        # Kept tokens have the mask's places in order: a part starts after all kept before it.
+        return let(lambda m: F.flatten(F.zip_with(ops, before, lambda op, at: F.when(
+            op["tag"] == "equal", F.slice(m, at + 1, op["i2"] - op["i1"])).otherwise(
+            F.array_repeat(F.lit(0), op["i2"] - op["i1"])))),
+            span_noise_mask(total, KEEP_SHARE, seed, key))
 
-    def build(run):
-        return let(lambda m: F.flatten(F.transform(run["pieces"], lambda p: F.when(
-            p["keep"], F.slice(m, p["at"] + 1, p["n"])).otherwise(
-            F.array_repeat(F.lit(0), p["n"])))),
-            span_noise_mask(run["at"], KEEP_SHARE, seed, key))
-
-    start = F.struct(F.lit(0).alias("at"), pieces0.alias("pieces"))
-    return let(build, F.aggregate(as_col(ops), start, step))
+    return let(lambda ops: let(build, ops, F.aggregate(ops, F.lit(0), lambda acc, op: acc + kept(op)),
+                               prefix_sums(F.transform(ops, kept))), as_col(ops))
 
 
 def keep_span_example(nl, lang, old, new, ops, seed: str, key, compat: bool = False) -> Column:
@@ -181,8 +175,9 @@ def edit_content_example(nl, lang, old, new, ops, seed: str, key, compat: bool =
                 F.slice(changed, F.lit(1), s.cast("int") - 1)), F.array_position(stays, True))
 
         changed = F.filter(numbers(F.size(labels)), lambda i: F.element_at(labels, i) != 0)
-        return let(lambda hit: F.transform(
-            labels, lambda l, i: F.array_contains(hit, i + 1).cast("int")), let(prefix, changed))
+        # The hits are a prefix of the changed places: all changed ones up to the last hit.
+        last = let(lambda hit: F.coalesce(F.get(hit, F.size(hit) - 1), F.lit(0)), let(prefix, changed))
+        return let(lambda last: F.transform(labels, lambda l, i: ((l != 0) & (i < last)).cast("int")), last)
 
     body_mask = let(mask, side_labels(ops, "old"))
     return example(collapse_masks(framed(nl, lang, old),

@@ -173,10 +173,9 @@ def translation_prompts(df: DataFrame, from_lang: str, to_lang: str,
 
 def refine_prompts(df: DataFrame, train: DataFrame, old: str = "old",
                    comment: str = "comment", idx: str = "idx") -> DataFrame:
-    """The shot is the second training row; one row, so it is broadcast."""
-    shot = train.where(F.col(idx) == 1).limit(1).select(
-        F.col("old").alias("_shot_old"), F.col("new").alias("_shot_new"), F.lit(1).alias("_k"))
-    joined = df.withColumn("_k", F.lit(1)).join(F.broadcast(shot), "_k")
-    return joined.withColumn("prompt", fill_template(REVIEW, [
-        F.col("_shot_old"), REFINE_DESCRIPTION, F.col("_shot_new"), strip(old), strip(comment),
-    ])).drop("_k", "_shot_old", "_shot_new")
+    """The shot is the second training row: one row, read once; without it there is no prompt to build."""
+    shot = train.where(F.col(idx) == 1).select("old", "new").take(1)
+    if not shot:
+        raise ValueError("the training table has no second row to show")
+    return df.withColumn("prompt", fill_template(REVIEW, [
+        shot[0]["old"], REFINE_DESCRIPTION, shot[0]["new"], strip(old), strip(comment)]))

@@ -21,14 +21,14 @@ def replay_epochs(log: DataFrame, run: str = "run", epoch: str = "epoch", score:
 
     Epochs of a run count from 0 without gaps.
     """
-    best = running(log, run, epoch, {"_best": ("max", F.col(score))}, include_current=False)
-    marked = best.withColumn(
-        "improved", F.col(score) > F.greatest(F.coalesce("_best", F.lit(start)), F.lit(start)))
-    hit = F.when(F.col("improved"), F.col(epoch))
-    seen = running(marked.drop("_best"), run, epoch, {"best_so_far": ("max", hit)},
-                   include_current=True)
-    return seen.withColumn(
-        "misses", (F.col(epoch) - F.coalesce("best_so_far", F.lit(-1))).cast("long"))
+    # The running best is (score, earliest epoch): it changes exactly where a score beats
+    # everything before, so one running value tells improvements and the misses since.
+    beats = F.when(F.col(score) > start, F.struct(F.col(score).alias("s"), (-F.col(epoch)).alias("e")))
+    seen = running(log, run, epoch, {"_best": ("max", beats)}, include_current=True)
+    at = -F.col("_best.e")
+    return (seen.withColumn("improved", F.coalesce(at == F.col(epoch), F.lit(False)))
+            .withColumn("best_so_far", at).withColumn("best_score_so_far", F.col("_best.s")).drop("_best")
+            .withColumn("misses", (F.col(epoch) - F.coalesce("best_so_far", F.lit(-1))).cast("long")))
 
 
 def early_stop(log: DataFrame, run: str = "run", epoch: str = "epoch", score: str = "score",
@@ -38,15 +38,15 @@ def early_stop(log: DataFrame, run: str = "run", epoch: str = "epoch", score: st
     Epochs after the stop do not count; ``stop_epoch`` is null for runs that end first.
     """
     played = replay_epochs(log, run, epoch, score)
-    stop = played.groupBy(run).agg(
-        F.min(F.when(F.col("misses") > patience, F.col(epoch))).alias("stop_epoch"))
-    counted = played.join(stop, run).where(
-        F.col("stop_epoch").isNull() | (F.col(epoch) <= F.col("stop_epoch")))
-    won = F.when(F.col("improved"), F.col(epoch))
-    return counted.groupBy(run).agg(
-        F.max(won).alias("best_epoch"),
-        F.max(F.when(F.col("improved"), F.col(score))).alias("best_score"),
-        F.max("stop_epoch").alias("stop_epoch"))
+    best = F.struct(F.col("best_so_far").alias("e"), F.col("best_score_so_far").alias("s"))
+    over = F.col("misses") > patience
+    # What is best at the stop is known there; without a stop it is what is best at the end.
+    ends = played.groupBy(run).agg(
+        F.min(F.when(over, F.col(epoch))).alias("stop_epoch"), F.min_by(best, F.when(over, F.col(epoch))).alias("at_stop"),
+        F.max_by(best, F.col(epoch)).alias("at_end"))
+    last = F.when(F.col("stop_epoch").isNotNull(), F.col("at_stop")).otherwise(F.col("at_end"))
+    return ends.withColumn("_last", last).select(
+        run, F.col("_last.e").alias("best_epoch"), F.col("_last.s").alias("best_score"), "stop_epoch")
 
 
 def running_loss(steps: DataFrame, run: str = "run", step: str = "step", loss: str = "loss",

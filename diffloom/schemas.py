@@ -8,10 +8,6 @@ def strings(*names: str) -> T.StructType:
 
 
 COMMITS = strings("commit", "repos", "message", "old_contents", "new_contents")
-PACKED_DIFFS = strings("commit", "repos", "msg", "diff")
-STATES = strings("commit", "repos", "msg", "old", "new")
-ANNOTATED = strings("proj", "msg", "old", "new", "lang")
-ASSEMBLED = strings("proj", "nl", "old", "new", "lang", "type")
 GENERATION = strings("nl", "code", "input", "output")
 COMMENT_UPDATE = strings("old_comment", "old_code", "new_code", "new_comment")
 COMMENT_UPDATE_RAW = strings("old_comment_raw", "old_code_raw", "new_code_raw", "new_comment_raw")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +28,16 @@ def build_session(master: str | None = None, app: str = "diffloom", **conf) -> S
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is set."""
+    """The shared folder named by the cluster; where none is set, one inside the warehouse.
+
+    Both are seen by the driver and all executors.
+    """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="diffloom-")
-        spark.conf.set(CHECKPOINT_CONF, root)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+        if not warehouse:
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+        root = f"{warehouse.rstrip('/')}/_scratch"
     return root.rstrip("/")
 
 

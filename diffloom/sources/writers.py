@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.text import strip
+
 METRICS = T.StructType([T.StructField("run", T.StringType()), T.StructField("epoch", T.IntegerType()),
                         T.StructField("metric", T.StringType()), T.StructField("value", T.DoubleType())])
 
@@ -15,15 +17,14 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def write_predictions(df: DataFrame, root: str, name: str, mode: str = "errorifexists") -> None:
     """Predictions, references and sources as three datasets that share ``idx``."""
     for column, kind in (("pred", "output"), ("gold", "gold"), ("source", "src")):
-        write_jsonl(df.select("idx", F.trim(column).alias(column)), f"{root}/{name}.{kind}", mode)
+        write_jsonl(df.select("idx", strip(column).alias(column)), f"{root}/{name}.{kind}", mode)
 
 
-def write_shards(df: DataFrame, path: str, shard: str = "shard", fmt: str = "json",
-                 files_per_shard: int = 1, mode: str = "errorifexists") -> None:
-    """One directory per shard.
+def write_shards(df: DataFrame, path: str, files_per_shard: int, shard: str = "shard", fmt: str = "json",
+                 mode: str = "errorifexists") -> None:
+    """One directory per shard, each written by ``files_per_shard`` tasks.
 
-    A shard may hold a large part of all rows when there are few; raise
-    ``files_per_shard`` to spread each over several tasks and files.
+    The caller knows the size of a shard: choose files of some hundred megabytes.
     """
     # Rows of a shard are dealt by a hash of the row, so a retry deals them alike.
     spread = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_shard))

@@ -7,12 +7,12 @@ table and the closed form is read off the totals, so no n-gram is ever kept as s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
-from ..operators.hunks import extract_hunks, with_hunks_only
 from ..operators.scores import bleu_form, pair_stats, total
+from ..plans.corpus import hunked
 
 
 def stream_commits(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -22,9 +22,7 @@ def stream_commits(spark: SparkSession, path: str, files_per_trigger: int = 1000
 
 def stream_hunks(commits: DataFrame) -> DataFrame:
     """(commit, repos, msg, hunks) of arriving commits that change a line."""
-    usable = commits.where(F.col("old_contents") != F.col("new_contents"))
-    return with_hunks_only(extract_hunks(usable)).select(
-        "commit", "repos", F.col("message").alias("msg"), "hunks")
+    return hunked(commits)
 
 
 def start_hunks(commits: DataFrame, path: str, checkpoint: str, available_now: bool = False

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from decimal import Decimal
@@ -57,11 +58,11 @@ def compare(df, con, sql: str):
 
 
 def main(sf: str, names: list[str]) -> int:
-    sys.path.insert(0, "/root/repo")
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as entry
     from diffloom.session import build_session
 
-    spark = build_session("local[8]", spark_ui_enabled="false", spark_driver_memory="12g",
+    spark = build_session(f"local[{os.environ.get('CORES', 8)}]", spark_ui_enabled="false", spark_driver_memory="12g",
                           spark_sql_shuffle_partitions="8",
                           spark_ui_showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")

@@ -3,14 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from diffloom.catalog import REGISTRY as CATALOG
 from compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
-# The slow n-gram oracles are run by the driver and by ``python tests/compare.py sf0.01``.
-SLOW = {"corpus_bleu", "corpus_bleu_unsmoothed", "epsilon_bleu_by_lang", "keyword_recall_csharp",
-        "keyword_recall_true_length", "sentence_keyword_recall", "gleu_missing_hypothesis",
-        "edit_bundle", "ngram_document_frequency", "bootstrap_interval", "multi_reference_gleu",
-        "ngram_totals", "composite_score", "sentence_bleu", "ngram_normalizer"}
 
 
 @pytest.fixture(scope="module")
@@ -18,13 +14,13 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if n not in SLOW])
+@pytest.mark.parametrize("name", [n for n, (_, sql) in CATALOG.items() if sql])
 def test_query_matches_sql(spark, con, name):
     problem, _ = compare(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name])
     assert problem is None
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", [n for n, (_, sql) in CATALOG.items() if not sql])
 def test_query_without_sql_has_rows(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 
