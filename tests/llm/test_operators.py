@@ -230,8 +230,8 @@ def cut(texts, n):
     return out
 
 
-@pytest.mark.parametrize("n", [40, 100])
-def test_repeated_strings(spark, n):
+@pytest.mark.parametrize("n, min_slice", [(40, 1000), (100, 1000), (64, 2)])
+def test_repeated_strings(spark, n, min_slice):
     rng = random.Random(11)
     passages = [prose(rng, 60) for _ in range(4)]
     rows = [r for r in odd_rows() if r[0] not in (None, 8)] + [(None, prose(rng, 50) + passages[0])]
@@ -240,7 +240,7 @@ def test_repeated_strings(spark, n):
         a, b = sorted((rng.randint(0, len(p)), rng.randint(0, len(p))))
         rows.append((100 + i, prose(rng, rng.randint(0, 20)) + p[a:b] + prose(rng, rng.randint(0, 20)) + p[:rng.randint(0, 200)]))
     want = cut(brute_repeats(rows, n), n)
-    got = suffix_dedup.remove_repeats(docs(spark, rows).repartition(5), n, with_text=True).collect()
+    got = suffix_dedup.remove_repeats(docs(spark, rows).repartition(5), n, with_text=True, min_slice=min_slice).collect()
     assert len(got) == len(rows)
     by_id = collections.defaultdict(list)
     for (i, _), v in want.items():
