@@ -11,9 +11,9 @@ from ..markers import TASK_LIMITS
 from ..operators import filters as B, ranking as G
 from ..operators.hunks import expand_states, extract_hunks, with_hunks_only
 from ..operators.vocabulary import truncation_report
-from ..plans.corpus import assemble, commit_rejects, prepared, shard_corpus
+from ..plans.corpus import assemble, commit_rejects, prepared, scripted, shard_corpus
 from ..plans.selection import early_stop, replay_epochs, running_loss, selection_score
-from .base import (CHANGES, CONVERSATION_PAIRS, changes, conversation_pairs, documents, query, sql_draw, sql_lines,
+from .base import (CHANGES, CONVERSATION_PAIRS, changes, conversation_pairs, documents, query, sql_draw, sql_edits, sql_lines,
                    sql_strip, sql_words, table)
 from .changes import _BUDGET, _signed_hunks, _sql_states, sql_prepared_states
 from .scores import rounded
@@ -181,6 +181,12 @@ query("sharded_corpus", f"""{_ASSEMBLED}, r AS (SELECT row_key, "type", {_rank('
         count(*) OVER () AS total FROM kept) SELECT row_key, "type", rank, {_SHARD} AS shard FROM r""")(
     lambda spark, sf: shard_corpus(_assembled(spark, sf)).select("row_key", "type", "rank", "shard"))
 
+# Lexer tokens of both sides and their script, for rows with two different sides that are not blank.
+query("scripted_corpus", f"""WITH {ROWS}, sides AS MATERIALIZED (SELECT row_key AS doc_id, {sql_lex('old')} AS a, {sql_lex('new')} AS b
+        FROM corpus WHERE old <> new AND {sql_strip('old')} <> '' AND {sql_strip('new')} <> ''), {sql_edits('sides')}
+    SELECT doc_id AS row_key, tag, i1, i2, j1, j2 FROM ops""")(
+    lambda spark, sf: scripted(corpus(spark, sf)).select("row_key", F.inline("ops")))
+
 # Commits to sharded training rows: hunks of the anchored diff, states, gate, shuffle, shards.
 query("prepared_corpus", (lambda groups: f"""WITH {groups}, r AS (SELECT "commit" || '-' || group_idx || '-' || state_idx AS row_key, old, new, msg
         FROM states WHERE len({sql_words('msg')}) >= 3 AND len({sql_words('old')}) <= 510 AND len({sql_words('new')}) <= 510
