@@ -65,22 +65,26 @@ query("line_bleu", f"""WITH {CONV_GRAMS}, {sql_stats()}
 
 # --- exact match and accuracy ---------------------------------------------------
 
-query("exact_match", f"""WITH {CONVERSATION_PAIRS}, p AS (SELECT role, pred, CASE WHEN row_id % 3 = 0
+def _turn():
+    return F.substring_index("row_id", "-", -1).cast("long")
+
+
+query("exact_match", f"""WITH {CONVERSATION_PAIRS}, p AS (SELECT role, pred, CASE WHEN split_part(row_id, '-', 2)::BIGINT % 3 = 0
         THEN ' ' || pred || chr(10) ELSE gold END AS gold FROM conversation_pairs)
     SELECT role, round(100 * avg(CASE WHEN {sql_strip('pred')} = {sql_strip('gold')}
         THEN 1.0::DOUBLE ELSE 0 END), 6) AS em, count(*) AS n_rows FROM p GROUP BY role""")(
     lambda spark, sf: rounded(S.exact_match(conversation_pairs(spark, sf).withColumn(
-        "gold", F.when(F.col("row_id") % 3 == 0, F.concat(F.lit(" "), "pred", F.lit("\n")))
+        "gold", F.when(_turn() % 3 == 0, F.concat(F.lit(" "), "pred", F.lit("\n")))
         .otherwise(F.col("gold"))), "pred", "gold", "role"), "em"))
 
-_NOISY = """CASE WHEN row_id % 2 = 0 THEN upper(substr(pred, 1, 1)) || substr(pred, 2) || ' !'
+_NOISY = """CASE WHEN split_part(row_id, '-', 2)::BIGINT % 2 = 0 THEN upper(substr(pred, 1, 1)) || substr(pred, 2) || ' !'
     ELSE gold END"""
 
 
 def _noisy(spark, sf):
     p = conversation_pairs(spark, sf)
     loud = F.concat(F.upper(F.substring("pred", 1, 1)), F.substring("pred", 2, 2**31 - 1), F.lit(" !"))
-    return p.withColumn("gold", F.when(F.col("row_id") % 2 == 0, loud).otherwise(F.col("gold")))
+    return p.withColumn("gold", F.when(_turn() % 2 == 0, loud).otherwise(F.col("gold")))
 
 
 query("normalized_accuracy", f"""WITH {CONVERSATION_PAIRS}, p AS (
