@@ -4,11 +4,14 @@
    sketch (bounded whatever the corpus), which gives inverse document frequencies.
 2. One pass draws consistent weighted samples of every text's TF-IDF weights.  Texts with
    the same weighted set collapse to one node; everything after this is narrow.
-3. Samples are banded.  Members of a bucket are linked to its smallest node, the links are
-   verified by weighted Jaccard similarity of the whole texts, and components are formed.
-4. In buckets whose members are still in several components, all pairs across components
-   whose samples agree often enough are verified as well, so no link between different
-   texts is lost to the star of step 3.  Large buckets are cut into pairs of tiles.
+3. Samples are banded.  Members of a bucket are linked to its centre, the member that agrees
+   most with the samples the bucket's members have most often; the links are verified by
+   weighted Jaccard similarity of the whole texts, and components are formed.
+4. In buckets whose members are still in several components, pairs across components whose
+   samples agree often enough are verified as well: first each member's best few; then, as
+   components have merged, all that are left, inside the tasks that hold a tile of members,
+   which return links only.  So no link between different texts is lost to the star of
+   step 3, and no group is expanded into pairs.  Large buckets are cut into pairs of tiles.
 """
 
 from __future__ import annotations
@@ -24,7 +27,6 @@ from .common import fresh, materialize, whole
 from .graph import components
 
 CELLS, ROWS_OF_CELLS = 1 << 16, 2
-NO_SHINGLE = U(0)
 
 
 @dataclass(frozen=True)
@@ -35,7 +37,8 @@ class Params:
     ``floor``: a shingle in a smaller share of the documents counts as in that share, which also
     hides the sketch's error.  ``tile``: members of a bucket that are compared in one task.
     ``agree``: samples of two texts that must be the same for a pair across components to be
-    verified; a pair at 0.8 has fewer with a probability below 1e-5.
+    verified; a pair at 0.8 has fewer with a probability below 0.001.  ``widths``: partners a
+    member of a tile proposes in each round before the last one, which takes all.
     """
 
     shingle: int = 5
@@ -44,7 +47,8 @@ class Params:
     rows: int = 4
     floor: float = 0.01
     tile: int = 512
-    agree: int = 20
+    agree: int = 24
+    widths: tuple[int, ...] = (8,)
 
     @property
     def samples(self) -> int:
@@ -210,29 +214,108 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, idf, p: Params) -> DataFra
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a binary, b binary")
 
 
-def _cross_pairs(p: Params):
-    """Pairs of a tile pair that are in different components and agree in enough samples."""
+def _cross_pairs(p: Params, width: int):
+    """Best pairs of a tile's probes with its base members of other components."""
     def pairs(table: pa.Table) -> pa.Table:
+        probe = np.asarray(table.column("probe"))
         node, label = table.column("node").to_pylist(), table.column("label").to_pylist()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(node), p.samples)
         total = np.asarray(table.column("total"))
         names: dict = {}
         part = np.array([names.setdefault(x, len(names)) for x in label])
-        a, b = [], []
-        for i in range(len(node) - 1):
-            rest = slice(i + 1, None)
-            maybe = np.flatnonzero((part[rest] != part[i])
-                                   & (np.minimum(total[rest], total[i])
-                                      >= (p.threshold - 1e-6) * np.maximum(total[rest], total[i]))) + i + 1
-            if len(maybe):
-                hit = maybe[(sig[maybe] == sig[i]).sum(axis=1) >= p.agree]
-                a += [min(node[i], node[j]) for j in hit]
-                b += [max(node[i], node[j]) for j in hit]
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        base, found = np.flatnonzero(~probe), set()
+        for i in np.flatnonzero(probe):
+            maybe = base[(part[base] != part[i]) & (np.minimum(total[base], total[i])
+                                                    >= (p.threshold - 1e-6) * np.maximum(total[base], total[i]))]
+            same = (sig[maybe] == sig[i]).sum(axis=1)
+            best = np.argsort(-same, kind="stable")[:width]
+            found.update((min(node[i], node[k]), max(node[i], node[k])) for k in maybe[best[same[best] >= p.agree]])
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
     return pairs
 
 
+def _tile_links(p: Params, shared):
+    """All links of a tile's probes with its base members of other components, by whole texts."""
+    def links(table: pa.Table) -> pa.Table:
+        probe = np.asarray(table.column("probe"))
+        node, label = table.column("node").to_pylist(), table.column("label").to_pylist()
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(node), p.samples)
+        names: dict = {}
+        part = np.array([names.setdefault(x, len(names)) for x in label])
+        buf, off = buffers(table.column("text"))
+        sets = []
+        for i, j in chunks(off):
+            h, doc, count = weighted_set(*shingles(buf[off[i]:off[j]], off[i:j + 1] - off[i], p.shingle))
+            sets.append((h, doc + i, weights(h, count, shared.value).astype(np.float64)))
+        h, doc, w = (np.concatenate([s[c] for s in sets]) for c in range(3))
+        begin = np.searchsorted(doc, np.arange(len(node) + 1))
+        size, total = np.diff(begin), np.bincount(doc, w, minlength=len(node))
+        base, found = np.flatnonzero(~probe), set()
+        for i in np.flatnonzero(probe):
+            maybe = base[(part[base] != part[i]) & (np.minimum(total[base], total[i])
+                                                    >= (p.threshold - 1e-6) * np.maximum(total[base], total[i]))]
+            maybe = maybe[(sig[maybe] == sig[i]).sum(axis=1) >= p.agree]
+            if not len(maybe):
+                continue
+            n = size[maybe]
+            at = np.arange(n.sum()) + np.repeat(begin[maybe] - (np.cumsum(n) - n), n)
+            own = slice(begin[i], begin[i + 1])
+            spot = np.minimum(np.searchsorted(h[own], h[at]), size[i] - 1)
+            both = np.bincount(np.repeat(np.arange(len(maybe)), n),
+                               np.where(h[own][spot] == h[at], np.minimum(w[own][spot], w[at]), 0), minlength=len(maybe))
+            good = both >= p.threshold * (total[maybe] + total[i] - both) - 1e-9
+            found.update((min(node[i], node[k]), max(node[i], node[k])) for k in maybe[good])
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+    return links
+
+
+def centres(members: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
+    """(band, key, a): the centre of each bucket of ``members`` (band, key, node, n).
+
+    Of two members either will do; of more, the one that agrees best with the bucket's
+    most frequent samples.  Counts are pre-aggregated, so a large bucket is no hot spot.
+    """
+    two = members.where("n = 2").groupBy("band", "key").agg(F.min("node").alias("a"))
+    several = members.where("n > 2").select("band", "key", "node").join(nodes.select("node", "sig"), "node")
+    # Samples are four bytes each.
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(p.samples - 1)), lambda i: F.substring(F.col("sig"), i * 4 + 1, F.lit(4)))
+    flat = several.select("band", "key", "node", F.posexplode(numbers).alias("at", "sample"))
+    often = (flat.groupBy("band", "key", "at", "sample").agg(F.count(F.lit(1)).alias("c"))
+             .groupBy("band", "key", "at").agg(F.max(F.struct("c", "sample"))["sample"].alias("sample")))
+    agree = (flat.join(often, ["band", "key", "at", "sample"]).groupBy("band", "key", "node").agg(F.count(F.lit(1)).alias("c")))
+    return two.unionByName(agree.groupBy("band", "key").agg(F.max(F.struct("c", "node"))["node"].alias("a")))
+
+
+def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, p: Params, compare) -> DataFrame | None:
+    """What ``compare`` finds across components of mixed buckets; None if all are of one component.
+
+    ``nodes`` has node and what ``compare`` reads of it.
+
+    Only members outside a bucket's largest component are probes, and every pair across
+    components has one.  A group holds one tile of probes and one tile of members.
+    """
+    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = (labelled.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("band", "key")
+             .agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
+             .where(F.col("all") > F.col("most")))
+    mixed = materialize(mixed, "mixed")
+    if not mixed.count():
+        return None
+    rows = labelled.drop("n").join(mixed, ["band", "key"]).join(nodes, "node")
+    probe_tiles = F.ceil((F.col("all") - F.col("most")) / p.tile).cast("int")
+    base_tiles = F.ceil(F.col("all") / p.tile).cast("int")
+    own = F.xxhash64("node")
+    shape = ["band", "key", "label", *nodes.columns]
+    probes = rows.where("label <> main").select(*shape, F.lit(True).alias("probe"), F.pmod(own, probe_tiles).cast("int").alias("t1"),
+                                                F.explode(F.sequence(F.lit(0), base_tiles - 1)).alias("t2"))
+    base = rows.select(*shape, F.lit(False).alias("probe"), F.explode(F.sequence(F.lit(0), probe_tiles - 1)).alias("t1"),
+                       F.pmod(own, base_tiles).cast("int").alias("t2"))
+    return (probes.unionByName(base).groupBy("band", "key", "t1", "t2")
+            .applyInArrow(compare, "a binary, b binary").distinct())
+
+
 def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(id, text_digest, class_id, class_size, kept), one row per row of ``docs``.
@@ -251,31 +334,35 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
         F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_td")).alias("r"), F.first("total").alias("total"),
         F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
     bands = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    stars = bands.groupBy("band", "key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(bands.join(stars, ["band", "key"]).select("band", "key", "node", "a", "n"), "members")
+    counts = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialize(bands.join(counts, ["band", "key"]).select("band", "key", "node", "n"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "r"), "node").select(
         "node", F.col("r._id").alias("_rid"), F.col("r._td").alias("_rtd"))
     text = whole(text_col)
     have = docs.select(F.col(id_col).alias("_did"), F.xxhash64(text).alias("_dtd"), text.alias("text"))
     texts = materialize(have.join(wanted, F.col("_did").eqNullSafe(F.col("_rid")) & (F.col("_dtd") == F.col("_rtd")))
                         .select("node", "text").dropDuplicates(["node"]), "candidates")
-    star_pairs = members.where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    links = materialize(similar_pairs(star_pairs, texts, idf, p), "links")
+    stars = members.join(centres(members, nodes, p), ["band", "key"]).where("a <> node")
+    tested = materialize(stars.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
+    links = materialize(similar_pairs(tested, texts, idf, p), "links")
     labels = components(links)
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    tiles = F.ceil(F.col("n") / p.tile).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    other = F.sequence(F.lit(0), F.col("tiles") - 1)
-    # Every pair of members meets in the group (smaller tile, larger tile).
-    spread = (labelled.join(mixed.select("band", "key"), ["band", "key"])
-              .join(nodes.select("node", "total", "sig"), "node")
-              .withColumn("tiles", tiles).withColumn("mine", mine)
-              .withColumn("other", F.explode(other))
-              .withColumn("t1", F.least("mine", "other")).withColumn("t2", F.greatest("mine", "other")))
-    cross = spread.groupBy("band", "key", "t1", "t2").applyInArrow(_cross_pairs(p), "a binary, b binary").distinct()
-    more = materialize(similar_pairs(materialize(cross, "cross"), texts, idf, p), "links")
-    labels = components(links.union(more))
+    drawn = nodes.select("node", "total", "sig")
+    for width in p.widths:
+        proposed = open_pairs(members, labels, drawn, p, _cross_pairs(p, width))
+        if proposed is None:
+            break
+        new = materialize(proposed.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = materialize(similar_pairs(new, texts, idf, p), "links")
+        tested = tested.union(new)
+        if found.count():
+            links = links.union(found)
+            labels = components(links)
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    rest = open_pairs(members, labels, nodes.select("node", "sig").join(texts, "node"), p, _tile_links(p, shared))
+    if rest is not None:
+        found = materialize(rest, "links")
+        if found.count():
+            labels = components(links.union(found))
     classed = materialize(rows.select("_id", "_td", "node").join(labels, "node", "left").select(
         "_id", "_td", F.coalesce("label", "node").alias("label")), "classed")
     first = classed.groupBy("label").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_td")).alias("f"),
