@@ -16,7 +16,10 @@ suffix array of the whole corpus:
    A string at offset j before the trigger equals another phrase's iff both agree in j bytes
    before and ``length`` - j bytes after it, which the two arrays tell for all phrases at
    once; the parse tells which of the equal ones comes first in the corpus.
-4. Repeats are merged into spans per document and cut out.
+4. A context with more phrases than a task's share is cut into slices.  A slice settles its
+   own repeats; the strings that are first in their slice then meet by content, at most one
+   per slice, so neither step gathers the context.
+5. Repeats are merged into spans per document and cut out.
 
 Deviation from the textbook method: strings are only ordered to depth ``length`` and only
 within a trigger context, since no order between different contexts is needed.
@@ -32,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bytes_np import U, RangeHash, buffers, chunks, mix
-from .common import materialize, whole
+from .common import hot_keys, materialize, parts, whole
 
 GRAM = 8
 #: Phrases resolved at once; a larger trigger context is resolved by itself.
@@ -173,7 +176,7 @@ def repeated_strings(group: np.ndarray, snippets: list[bytes], hi: np.ndarray, l
 def _resolve(length: int):
     margin, places = layout(length)
 
-    def settle(t: pa.Table) -> pa.RecordBatch:
+    def settle(t: pa.Table) -> list[pa.RecordBatch]:
         t = t.sort_by([("key", "ascending"), ("_id", "ascending"), ("_td", "ascending"), ("t", "ascending")])
         ids = t.column("_id")
         if ids.null_count:  # nulls come first
@@ -192,11 +195,27 @@ def _resolve(length: int):
         row, first = np.nonzero(step == 1)
         _, end = np.nonzero(step == -1)
         # Offsets first .. end - 1 (plus margin) are repeats: starts t - offset.
-        pick = pa.array(row)
+        out = [spans(t, row, at[row] - (end - 1 + margin), at[row] - (first + margin) + length)]
+        hot = np.asarray(t.column("hot"))
+        if hot.any():
+            offsets = np.arange(margin, margin + places)
+            open_ = ~flags & hot[:, None] & (lo[:, None] <= offsets) & (hi[:, None] >= offsets)
+            row, place = np.nonzero(open_)
+            snippets = t.column("snip").to_pylist()
+            begin = np.concatenate([[0], np.cumsum([len(x) for x in snippets])])[:-1][row] + hi[row] - (place + margin)
+            buf = np.frombuffer(b"".join(snippets), np.uint8)
+            w = [RangeHash(buf, salt).of(begin, begin + length).view(np.int64) for salt in (0, 1)]
+            start = at[row] - (place + margin)
+            out.append(spans(t, row, start, start + length, *w))
+        return out
+
+    def spans(t, row, start, end, w1=None, w2=None):
+        pick, none = pa.array(row), pa.nulls(len(row), pa.int64())
         return pa.RecordBatch.from_arrays(
             [t.column("_id").combine_chunks().take(pick), t.column("_td").combine_chunks().take(pick),
-             pa.array((at[row] - (end - 1 + margin)).astype(np.int64)),
-             pa.array((at[row] - (first + margin) + length).astype(np.int64))], ["_id", "_td", "from", "to"])
+             pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64)),
+             none if w1 is None else pa.array(w1), none if w2 is None else pa.array(w2)],
+            ["_id", "_td", "from", "to", "w1", "w2"])
 
     def run(batches):
         held, rows = [], 0
@@ -211,16 +230,16 @@ def _resolve(length: int):
             last = t.column("key")[-1]
             cut = pc.index(t.column("key"), last).as_py()  # the last context may go on
             if cut:
-                yield settle(t.slice(0, cut))
+                yield from settle(t.slice(0, cut))
                 held, rows = t.slice(cut).to_batches(), t.num_rows - cut
         if held:
-            yield settle(pa.Table.from_batches(held))
+            yield from settle(pa.Table.from_batches(held))
 
     return run
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text",
-                   keyed: DataFrame | None = None) -> DataFrame:
+                   keyed: DataFrame | None = None, min_slice: int = 1000) -> DataFrame:
     """(_id, _td, from, to) byte spans covered by strings that also start earlier; spans may overlap.
 
     Earlier: a smaller identifier (nulls first), or the same document and a smaller place.
@@ -247,14 +266,24 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     whole_phrases = told.where("repeat").select(
         "_id", "_td", (F.col("t") - F.col("hi")).cast("long").alias("from"),
         (F.col("t") - F.col("lo") + length).cast("long").alias("to"))
-    asked = (told.where("NOT repeat").groupBy("_id", "_td").agg(
-        F.collect_set(F.struct("key", "t", "hi", "lo")).alias("asked")))
+    firsts = told.where("NOT repeat")
+    limit = max(min_slice, firsts.count() // (2 * parts(rows.sparkSession)))
+    hot = F.broadcast(hot_keys(firsts, "key", limit))  # at most twice as many keys as partitions
+    sliced = firsts.join(hot, "key", "left").select(
+        "_id", "_td", "t", "hi", "lo", F.col("slices").isNotNull().alias("hot"),
+        F.when(F.col("slices").isNotNull(), F.xxhash64("key", F.pmod(F.xxhash64("_id", "_td", "t"), F.col("slices"))))
+        .otherwise(F.col("key")).alias("key"))
+    asked = sliced.groupBy("_id", "_td").agg(F.collect_set(F.struct("key", "t", "hi", "lo", "hot")).alias("asked"))
     cut = lambda p: F.substring(F.col("_text"), p["t"] - p["hi"] + 1, p["hi"] - p["lo"] + F.lit(length))
     snippets = by_document(rows, asked).select("_id", "_td", F.inline(F.transform("asked", lambda p: F.struct(
-        p["key"].alias("key"), p["t"].alias("t"), p["hi"].alias("hi"), p["lo"].alias("lo"), cut(p).alias("snip")))))
-    settled = (snippets.repartition("key").sortWithinPartitions("key")
-               .mapInArrow(_resolve(length), f"_id {kind}, _td bigint, `from` bigint, `to` bigint"))
-    return whole_phrases.union(settled)
+        *[p[c].alias(c) for c in ("key", "t", "hi", "lo", "hot")], cut(p).alias("snip")))))
+    settled = materialize(snippets.repartition("key").sortWithinPartitions("key").mapInArrow(
+        _resolve(length), f"_id {kind}, _td bigint, `from` bigint, `to` bigint, w1 bigint, w2 bigint"), "settled")
+    # First strings of slices: one row per slice and content.
+    content = Window.partitionBy("w1", "w2").orderBy(F.col("_id").asc_nulls_first(), "_td", "from")
+    across = (settled.where("w1 IS NOT NULL").withColumn("nth", F.row_number().over(content)).where("nth > 1")
+              .select("_id", "_td", "from", "to"))
+    return whole_phrases.union(settled.where("w1 IS NULL").select("_id", "_td", "from", "to")).union(across)
 
 
 def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -269,7 +298,7 @@ def by_document(rows: DataFrame, info: DataFrame, how: str = "inner") -> DataFra
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text",
-                   with_text: bool = False) -> DataFrame:
+                   with_text: bool = False, min_slice: int = 1000) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]), one row per row of ``docs``.
 
     ``n_spans`` counts maximal runs of removed bytes, ``kept`` is what is left (binary: a cut
@@ -277,7 +306,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     """
     rows = with_keys(docs, id_col, text_col)
     kind = rows.schema["_id"].dataType.simpleString()
-    spans = repeated_spans(docs, length, id_col, text_col, rows).groupBy("_id", "_td").agg(
+    spans = repeated_spans(docs, length, id_col, text_col, rows, min_slice).groupBy("_id", "_td").agg(
         F.sort_array(F.collect_set(F.struct("from", "to"))).alias("spans"))
 
     def cut(batches):
