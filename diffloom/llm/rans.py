@@ -84,8 +84,8 @@ def encode(ids: np.ndarray, table: Table, lanes: int = 1024, interval: int = 128
         out = (x[big] & U(0xFFFFFFFF)).astype("<u4")
         words.append(out)
         x[big] >>= U(32)
-        q, r = np.divmod(x, f)
-        x = (q << scale) + r + c
+        q = x // f
+        x = (q << scale) + (x - q * f) + c
         if s % interval == 0:
             marks[s] = x.copy()
     words.reverse()

@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from dataclasses import dataclass
 
@@ -20,11 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import scratch_path
+from .bytes_np import buffers
 from .common import materialize, parts, whole
 from .rans import Table, decode, encode, normalize
 
 BLOCK_IDS = 1 << 18
-CACHE = 400_000
+CACHE = 1_000_000
 
 
 class WordCachedEncoder:
@@ -42,65 +44,97 @@ class WordCachedEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
+        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.clear()
 
     def clear(self):
-        self.flat, self.starts, self.lens, self.size = [], [], [], 0
-        self.number: dict[str, int] = {}
-        self.table = (np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32),
-                      np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.memo = _Memo()
+        self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
+        self.starts, self.lens = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _direct(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _direct(self, texts: list[str]):
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.number) > self.limit:
+        if not texts:
+            return []
+        if len(self.memo) > self.limit:
             self.clear()
-        number, dtype = self.number, self.table[0].dtype
-        split = [t.split(" ") for t in texts]
-        fresh = {}
-        plans = []
-        for pieces in split:
-            keys = [pieces[0], *[" " + w for w in pieces[1:]]]
-            plans.append(keys)
-            for k in keys:
-                if k not in number and k not in fresh:
-                    fresh[k] = None
-        if fresh:
-            self._learn(list(fresh))
-        flat, starts, lens = self.table
-        out: list[np.ndarray | None] = []
-        whole_texts = []
-        for i, keys in enumerate(plans):
-            at = np.fromiter(map(number.__getitem__, keys), np.int64, len(keys))
-            if (at < 0).any():
-                out.append(None)
-                whole_texts.append(i)
-                continue
-            n = lens[at]
-            ends = np.cumsum(n)
-            out.append(flat[np.arange(ends[-1]) + np.repeat(starts[at] - (ends - n), n)])
-        for i, ids in zip(whole_texts, self._direct([texts[i] for i in whole_texts])):
-            out[i] = np.array(ids, dtype)
+        pieces, counts = [], []
+        for t in texts:
+            p = t.split(" ")
+            p[0] = " " + p[0]  # no space stands before it; see _learn
+            pieces += p
+            counts.append(len(p))
+        known = len(self.memo)
+        at = np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces))
+        self._learn(known)
+        n = self.lens[at]
+        begin = np.cumsum(counts) - counts
+        unsafe = np.minimum.reduceat(n, begin) < 0
+        n = np.maximum(n, 0)
+        ends = np.cumsum(n)
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[at] - (ends - n), n)]
+        sizes = np.add.reduceat(n, begin)
+        out = np.split(ids, np.cumsum(sizes)[:-1])
+        whole_texts = np.flatnonzero(unsafe)
+        for i, e in zip(whole_texts, self._direct([texts[i] for i in whole_texts])):
+            out[i] = np.array(e.ids, self.dtype)
         return out
 
-    def _learn(self, keys: list[str]):
-        """Ids of new pieces; -1 marks one whose neighbours may matter."""
-        def safe(k: str) -> bool:
-            w = k[1:] if k[:1] == " " else k
-            return bool(w) and not w[0].isspace() and not w[-1].isspace() and "<|" not in w
-
-        ok = [k for k in keys if safe(k)]
-        for k in keys:
-            self.number[k] = -1
-        flat, starts, lens = self.table
-        ids = self._direct(ok)
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        for i, k in enumerate(ok):
-            self.number[k] = len(starts) + i
-        new = np.fromiter((x for e in ids for x in e), flat.dtype, int(n.sum()))
-        self.table = (np.concatenate([flat, new]), np.concatenate([starts, len(flat) + np.cumsum(n) - n]),
-                      np.concatenate([lens, n]))
+    def _learn(self, known: int):
+        """Ids of pieces numbered from ``known`` on; a length of -1 marks one whose neighbours may matter.
+
+        Pieces hold no space, so a leading one says that none stands before the piece.
+        """
+        fresh = self.memo.since(known)
+        if not fresh:
+            return
+        bare = [k[1:] if k[:1] == " " else k for k in fresh]
+        ok = [bool(w) and not w[0].isspace() and not w[-1].isspace() and "<|" not in w for w in bare]
+        # Pieces without a line break are encoded as lines of one text: a line break between two
+        # of them is a token of its own and does not change its neighbours.
+        lines, single = [], []
+        for n, (k, w, good) in enumerate(zip(fresh, bare, ok)):
+            if good:
+                (single if "\n" in w else lines).append((n, w if k[:1] == " " else " " + w))
+        lens, parts = np.full(len(fresh), -1, np.int64), []
+        place = np.zeros(len(fresh), np.int64)
+        at = 0
+        for block in (lines[i:i + 1000] for i in range(0, len(lines), 1000)):
+            ids = np.array(self._direct(["\n".join(t for _, t in block)])[0].ids, self.dtype)
+            ends = np.append(np.flatnonzero(ids == self.line_break), len(ids))
+            begin = np.concatenate([[0], ends[:-1] + 1])
+            who = np.array([n for n, _ in block])
+            place[who], lens[who] = at + begin, ends - begin
+            parts.append(ids)
+            at += len(ids)
+        for (n, _), e in zip(single, self._direct([t for _, t in single])):
+            place[n], lens[n] = at, len(e)
+            parts.append(np.array(e.ids, self.dtype))
+            at += len(e)
+        ids = np.concatenate(parts) if parts else np.zeros(0, self.dtype)
+        end, size = self.used + len(ids), known + len(fresh)
+        if end > len(self.flat):
+            self.flat = np.concatenate([self.flat[:self.used], np.zeros(end, self.dtype)])
+        if size > len(self.starts):
+            self.starts, self.lens = (np.concatenate([x[:known], np.zeros(size, np.int64)]) for x in (self.starts, self.lens))
+        self.flat[self.used:end] = ids
+        self.starts[known:size] = self.used + place
+        self.lens[known:size] = lens
+        self.used = end
+
+
+class _Memo(dict):
+    """Numbers keys in the order they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+    def since(self, n: int) -> list[str]:
+        return list(itertools.islice(reversed(self), len(self) - n))[::-1]
 
 
 _encoders: dict[str, WordCachedEncoder] = {}
@@ -159,11 +193,13 @@ def count_ids(staged: DataFrame) -> np.ndarray:
     def count(batches):
         n = np.zeros(1, np.int64)
         for b in batches:
-            for raw, width in zip(b.column("ids"), b.column("width").to_pylist()):
-                c = np.bincount(_ids(raw.as_buffer(), width))
-                if len(c) > len(n):
-                    n = np.pad(n, (0, len(c) - len(n)))
-                n[:len(c)] += c
+            if not b.num_rows:
+                continue
+            raw, _ = buffers(b.column("ids"))  # all rows have one width
+            c = np.bincount(_ids(raw, b.column("width")[0].as_py()))
+            if len(c) > len(n):
+                n = np.pad(n, (0, len(c) - len(n)))
+            n[:len(c)] += c
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["id", "n"])
 
