@@ -7,11 +7,11 @@
 3. Samples are banded.  Members of a bucket are linked to its centre, the member that agrees
    most with the samples the bucket's members have most often; the links are verified by
    weighted Jaccard similarity of the whole texts, and components are formed.
-4. In buckets whose members are still in several components, pairs across components whose
-   samples agree often enough are verified as well: first each member's best few; then, as
-   components have merged, all that are left, inside the tasks that hold a tile of members,
-   which return links only.  So no link between different texts is lost to the star of
-   step 3, and no group is expanded into pairs.  Large buckets are cut into pairs of tiles.
+4. In buckets whose members are still in several components, pairs across components are
+   verified as well: first each member's best few by samples; then, as components have merged,
+   all that are left, by whole texts inside the tasks that hold a tile of members, which
+   return links only.  So no link of two members of a bucket is lost to the star of step 3,
+   and no group is expanded into pairs.  Large buckets are cut into pairs of tiles.
 """
 
 from __future__ import annotations
@@ -36,9 +36,9 @@ class Params:
     A pair at similarity s shares a band with probability 1 - (1 - s**rows)**bands: 0.995 at 0.8.
     ``floor``: a shingle in a smaller share of the documents counts as in that share, which also
     hides the sketch's error.  ``tile``: members of a bucket that are compared in one task.
-    ``agree``: samples of two texts that must be the same for a pair across components to be
-    verified; a pair at 0.8 has fewer with a probability below 0.001.  ``widths``: partners a
-    member of a tile proposes in each round before the last one, which takes all.
+    ``widths``: partners a member of a tile proposes in each round before the last one, best
+    first and with at least ``agree`` samples the same; the last round takes all, whatever
+    their samples, so neither decides what is linked.
     """
 
     shingle: int = 5
@@ -235,38 +235,85 @@ def _cross_pairs(p: Params, width: int):
     return pairs
 
 
+def _overlaps(h: np.ndarray, doc: np.ndarray, count: np.ndarray, unit: np.ndarray, probe: np.ndarray,
+              block: int = 1024, step: int = 1 << 22) -> np.ndarray:
+    """Weight shared by texts [probe, base]: minima summed over shingles; ``probe`` tells texts apart.
+
+    A shingle of weight ``unit`` that a text has c times is the elements (shingle, 0 .. c - 1), so
+    minima become common elements.  Elements in few pairs of texts add to each by an inverted
+    list; those in many are columns of two matrices, multiplied ``block`` columns at a time.
+    """
+    n_probe, n_base = int(probe.sum()), int((~probe).sum())
+    place = np.where(probe, np.cumsum(probe), np.cumsum(~probe)) - 1
+    level = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    h, doc, unit = (np.repeat(x, count) for x in (h, doc, unit))
+    order = np.lexsort((level, h))
+    h, doc, unit, level = h[order], doc[order], unit[order], level[order]
+    e = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]) | (level[1:] != level[:-1])])) if len(h) else level
+    mine = probe[doc]
+    in_probe, in_base = np.bincount(e[mine], minlength=len(h)), np.bincount(e[~mine], minlength=len(h))
+    many = in_probe * in_base > max(n_probe * n_base // 64, 1)
+    out = np.zeros(n_probe * n_base)
+    few = ~many[e] & (in_probe * in_base > 0)[e]
+    a, b = np.flatnonzero(few & mine), np.flatnonzero(few & ~mine)
+    n, first = in_base[e[a]], np.searchsorted(e[b], e[a])
+    ends = np.cumsum(n)
+    i = 0
+    while i < len(a):
+        j = max(int(np.searchsorted(ends, (ends[i - 1] if i else 0) + step, side="right")), i + 1)
+        m = n[i:j]
+        at = b[np.arange(m.sum()) + np.repeat(first[i:j] - (np.cumsum(m) - m), m)]
+        own = np.repeat(a[i:j], m)
+        out += np.bincount(place[doc[own]] * n_base + place[doc[at]], unit[own], minlength=len(out))
+        i = j
+    out = out.reshape(n_probe, n_base)
+    column = np.cumsum(many) - 1
+    at = np.flatnonzero(many[e])
+    for k in range(0, int(many.sum()), block):
+        part = at[np.searchsorted(column[e[at]], k):np.searchsorted(column[e[at]], k + block)]
+        left, right = np.zeros((n_probe, block)), np.zeros((n_base, block))
+        x, y = part[mine[part]], part[~mine[part]]
+        left[place[doc[x]], column[e[x]] - k] = unit[x]
+        right[place[doc[y]], column[e[y]] - k] = 1
+        out += left @ right.T
+    return out
+
+
 def _tile_links(p: Params, shared):
-    """All links of a tile's probes with its base members of other components, by whole texts."""
+    """Links of a tile's probes with its base members of other components, by whole texts.
+
+    Every pair that the total weights allow is verified.  One link of two components is enough.
+    """
     def links(table: pa.Table) -> pa.Table:
         probe = np.asarray(table.column("probe"))
         node, label = table.column("node").to_pylist(), table.column("label").to_pylist()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(node), p.samples)
         names: dict = {}
         part = np.array([names.setdefault(x, len(names)) for x in label])
         buf, off = buffers(table.column("text"))
         sets = []
         for i, j in chunks(off):
             h, doc, count = weighted_set(*shingles(buf[off[i]:off[j]], off[i:j + 1] - off[i], p.shingle))
-            sets.append((h, doc + i, weights(h, count, shared.value).astype(np.float64)))
-        h, doc, w = (np.concatenate([s[c] for s in sets]) for c in range(3))
-        begin = np.searchsorted(doc, np.arange(len(node) + 1))
-        size, total = np.diff(begin), np.bincount(doc, w, minlength=len(node))
-        base, found = np.flatnonzero(~probe), set()
-        for i in np.flatnonzero(probe):
-            maybe = base[(part[base] != part[i]) & (np.minimum(total[base], total[i])
-                                                    >= (p.threshold - 1e-6) * np.maximum(total[base], total[i]))]
-            maybe = maybe[(sig[maybe] == sig[i]).sum(axis=1) >= p.agree]
-            if not len(maybe):
-                continue
-            n = size[maybe]
-            at = np.arange(n.sum()) + np.repeat(begin[maybe] - (np.cumsum(n) - n), n)
-            own = slice(begin[i], begin[i + 1])
-            spot = np.minimum(np.searchsorted(h[own], h[at]), size[i] - 1)
-            both = np.bincount(np.repeat(np.arange(len(maybe)), n),
-                               np.where(h[own][spot] == h[at], np.minimum(w[own][spot], w[at]), 0), minlength=len(maybe))
-            good = both >= p.threshold * (total[maybe] + total[i] - both) - 1e-9
-            found.update((min(node[i], node[k]), max(node[i], node[k])) for k in maybe[good])
-        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+            sets.append((h, doc + i, count, weights(h, np.ones(len(h)), shared.value)))
+        h, doc, count, unit = (np.concatenate([s[c] for s in sets]) for c in range(4))
+        total = np.bincount(doc, count * unit, minlength=len(node))
+        one, two = np.flatnonzero(probe), np.flatnonzero(~probe)
+        t1, t2 = total[one][:, None], total[two]
+        open_ = (part[one][:, None] != part[two]) & (np.minimum(t1, t2) >= (p.threshold - 1e-6) * np.maximum(t1, t2))
+        one, two = one[open_.any(axis=1)], two[open_.any(axis=0)]
+        open_ = open_[open_.any(axis=1)][:, open_.any(axis=0)]
+        found = {}
+        if len(one):
+            used = np.zeros(len(node), bool)
+            used[one] = used[two] = True
+            new = np.cumsum(used) - 1
+            keep = used[doc]
+            both = _overlaps(h[keep], new[doc[keep]], count[keep], unit[keep], probe[used])
+            good = open_ & (both >= p.threshold * (total[one][:, None] + total[two] - both) - 1e-9)
+            for i, k in zip(*np.nonzero(good)):
+                i, k = one[i], two[k]
+                found.setdefault((part[i], part[k]), (min(node[i], node[k]), max(node[i], node[k])))
+        return pa.table({"a": pa.array([a for a, _ in found.values()], pa.binary()),
+                         "b": pa.array([b for _, b in found.values()], pa.binary())})
 
     return links
 
@@ -358,7 +405,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
             links = links.union(found)
             labels = components(links)
     shared = docs.sparkSession.sparkContext.broadcast(idf)
-    rest = open_pairs(members, labels, nodes.select("node", "sig").join(texts, "node"), p, _tile_links(p, shared))
+    rest = open_pairs(members, labels, texts, p, _tile_links(p, shared))
     if rest is not None:
         found = materialize(rest, "links")
         if found.count():

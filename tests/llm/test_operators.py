@@ -4,9 +4,11 @@ import collections
 import hashlib
 import random
 import re
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -384,6 +386,49 @@ def test_near_duplicates(spark):
     assert kept.columns == docs(spark, rows[:1]).columns and kept.count() >= len(classes)
 
 
+def test_near_duplicates_links_whatever_the_samples_agree_on(spark):
+    rng = random.Random(14)
+    rows = []
+    for g in range(2):
+        base = prose(rng, 300).split()
+        for k in range(16):
+            w = list(base) + base[:10] * rng.randrange(2)
+            for _ in range(rng.randint(1, 4)):
+                w[rng.randrange(len(w))] = rng.choice(WORDS)
+            rows.append((100 * g + k, " ".join(w)))
+    # One sample a band: a bucket for any pair near the threshold; no pair agrees in 41 of 40.
+    p = near_dup.Params(bands=40, rows=1, agree=41, tile=8)
+    links = [x for x in brute_near([r[1] for r in rows], p) if x[2] >= p.threshold]
+    label = list(range(len(rows)))
+    for _ in rows:
+        for i, j, _ in links:
+            label[i] = label[j] = min(label[i], label[j])
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs(spark, rows), p).collect()}
+    assert 3 < len(set(label)) < len(rows) - 10
+    assert [got[r[0]] for r in rows] == [rows[x][0] for x in label]
+
+
+def test_tile_links_against_brute_force():
+    rng = random.Random(15)
+    base = prose(rng, 150).split()
+    texts = []
+    for _ in range(60):
+        w = base + base[:rng.randrange(12)] * rng.randrange(3)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice(WORDS)
+        texts.append(" ".join(w))
+    p = near_dup.Params(floor=1.0)  # all shingles weigh 1
+    idf = np.ones(near_dup.CELLS * near_dup.ROWS_OF_CELLS, np.float32)
+    node = [b"%02d" % i for i in range(len(texts))]
+    table = pa.table({"probe": pa.array([i < 25 for i in range(len(texts))]), "node": pa.array(node, pa.binary()),
+                      "label": pa.array(node, pa.binary()), "text": pa.array(texts),
+                      "sig": pa.array([np.full(p.samples, i, np.uint32).tobytes() for i in range(len(texts))], pa.binary())})
+    got = near_dup._tile_links(p, types.SimpleNamespace(value=idf))(table)
+    want = {(node[i], node[j]) for i, j, s in brute_near(texts, p) if i < 25 <= j and s >= p.threshold - 1e-9}
+    assert 100 < len(want) < 25 * 35 - 100
+    assert set(zip(got.column("a").to_pylist(), got.column("b").to_pylist())) == want
+
+
 def test_consistent_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(5)
     h = rng.integers(0, 1 << 63, 400).astype(np.uint64)
