@@ -1,7 +1,7 @@
 """Near-dedup: improved consistent weighted sampling over TF-IDF word shingles.
 
-1. One pass counts in how many documents each shingle occurs, in a fixed-size count-min
-   sketch (bounded whatever the corpus), which gives inverse document frequencies.
+1. One pass counts in how many documents each shingle occurs, in a count-min sketch sized
+   by the documents' mean length, not by their number; it gives inverse document frequencies.
 2. One pass draws consistent weighted samples of every text's TF-IDF weights.  Texts with
    the same weighted set collapse to one node; everything after this is narrow.
 3. Samples are banded.  Members of a bucket are linked to its centre, the member that agrees
@@ -22,10 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .bytes_np import U, buffers, chunks, mix, shingles, weighted_set
+from .bytes_np import U, buffers, chunks, mix, shingles, weighted_set, word_spans
 from .common import fresh, materialize, whole
 from .graph import components
 
+#: At least so many cells a row of the sketch.
 CELLS, ROWS_OF_CELLS = 1 << 16, 2
 
 
@@ -35,7 +36,7 @@ class Params:
 
     A pair at similarity s shares a band with probability 1 - (1 - s**rows)**bands: 0.995 at 0.8.
     ``floor``: a shingle in a smaller share of the documents counts as in that share, which also
-    hides the sketch's error.  ``tile``: members of a bucket that are compared in one task.
+    hides the sketch's error: its cells are loaded to half of ``floor`` at most.  ``tile``: members of a bucket that are compared in one task.
     ``widths``: partners a member of a tile proposes in each round before the last one, best
     first and with at least ``agree`` samples the same; the last round takes all, whatever
     their samples, so neither decides what is linked.
@@ -55,23 +56,44 @@ class Params:
         return self.bands * self.rows
 
 
-def _cells(h: np.ndarray) -> np.ndarray:
+def _cells(h: np.ndarray, cells: int) -> np.ndarray:
     a = mix(h ^ U(0xA0761D6478BD642F))
-    return np.stack([(a & U(CELLS - 1)).astype(np.int64),
-                     ((a >> U(32)) & U(CELLS - 1)).astype(np.int64) + CELLS])
+    return np.stack([(a & U(cells - 1)).astype(np.int64),
+                     ((a >> U(32)) & U(cells - 1)).astype(np.int64) + cells])
+
+
+def sketch_cells(docs: DataFrame, text_col: str, p: Params) -> int:
+    """Cells a row of the sketch needs so that the mean load of a cell is at most half of floor * N.
+
+    A document adds one to at most as many cells as it has shingles; these are counted here.
+    """
+    def count(batches):
+        total = found = 0
+        for b in batches:
+            buf, off = buffers(b.column(0))
+            total += len(off) - 1
+            for i, j in chunks(off):
+                words = np.bincount(word_spans(buf[off[i]:off[j]], off[i:j + 1] - off[i])[2], minlength=j - i)
+                found += int(np.maximum(words - p.shingle + 1, words > 0).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([found])], ["total", "found"])
+
+    got = docs.select(F.col(text_col)).mapInArrow(count, "total bigint, found bigint").agg(F.sum("total"), F.sum("found")).first()
+    mean = (got[1] or 0) / max(got[0] or 0, 1)
+    return max(CELLS, 1 << int(np.ceil(np.log2(max(2 * mean / p.floor, 1)))))
 
 
 def inverse_frequencies(docs: DataFrame, text_col: str, p: Params) -> np.ndarray:
     """IDF by cell of the sketch (float32): log((1 + N) / (1 + n)) + 1, n at least floor * N."""
+    cells = sketch_cells(docs, text_col, p)
+
     def count(batches):
-        n, total = np.zeros(CELLS * ROWS_OF_CELLS, np.int64), 0
+        n, total = np.zeros(cells * ROWS_OF_CELLS, np.int64), 0
         for b in batches:
             buf, off = buffers(b.column(0))
             total += len(off) - 1
             for i, j in chunks(off):
                 h, _, _ = weighted_set(*shingles(buf[off[i]:off[j]], off[i:j + 1] - off[i], p.shingle))
-                for c in _cells(h):
-                    n += np.bincount(c, minlength=len(n))
+                n += np.bincount(_cells(h, cells).ravel(), minlength=len(n))
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)),
                                           pa.array(np.append(n[at], total))], ["cell", "n"])
@@ -81,14 +103,14 @@ def inverse_frequencies(docs: DataFrame, text_col: str, p: Params) -> np.ndarray
         F.sum("n").alias("n")).toArrow()
     cell, n = np.asarray(got.column("cell")), np.asarray(got.column("n"))
     total = int(n[cell == -1].sum())
-    counts = np.zeros(CELLS * ROWS_OF_CELLS)
+    counts = np.zeros(cells * ROWS_OF_CELLS)
     counts[cell[cell >= 0]] = n[cell >= 0]
     return (np.log((1 + total) / (1 + np.maximum(counts, p.floor * total))) + 1).astype(np.float32)
 
 
 def weights(h: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """TF-IDF; the larger IDF of the sketch's rows belongs to the smaller, better count."""
-    a, b = _cells(h)
+    a, b = _cells(h, len(idf) // ROWS_OF_CELLS)
     return count * np.maximum(idf[a], idf[b])
 
 

@@ -408,6 +408,16 @@ def test_near_duplicates_links_whatever_the_samples_agree_on(spark):
     assert [got[r[0]] for r in rows] == [rows[x][0] for x in label]
 
 
+def test_frequencies_of_long_texts_are_no_collisions(spark):
+    rng = random.Random(16)
+    texts = [prose(rng, 2000) for _ in range(200)]
+    idf = near_dup.inverse_frequencies(docs(spark, list(enumerate(texts))), "text", near_dup.Params())
+    buf = np.frombuffer(texts[0].encode(), np.uint8)
+    h, _, _ = near_dup.weighted_set(*near_dup.shingles(buf, np.array([0, len(buf)]), 5))
+    rare = np.log(201 / 3) + 1  # in one document, which counts as the floor's two
+    assert (np.abs(near_dup.weights(h, np.ones(len(h)), idf) - rare) < 1e-4).mean() > 0.9
+
+
 def test_tile_links_against_brute_force():
     rng = random.Random(15)
     base = prose(rng, 150).split()
