@@ -5,6 +5,7 @@ Everything here works on a run of texts at once, a few MB at a time, and knows n
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,11 +78,11 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
         first = end
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, text index) of the words of the texts in ``buf``."""
+def word_spans(buf: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text index) of the words, runs of ``word_bytes``, of the texts in ``buf``."""
     if not len(buf):
         return (np.zeros(0, np.int64),) * 3
-    inside = IS_WORD[buf]
+    inside = word_bytes[buf]
     first = np.zeros(len(buf) + 1, bool)
     first[offsets[:-1]] = True
     fresh = first[:-1].copy()
@@ -94,6 +95,34 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, longest: int = 64) -> np.ndarray:
+    """64-bit hashes of byte ranges, eight bytes folded in at a time; longer than ``longest``: a digest."""
+    length = end - start
+    h = mix(length.astype(U) * U(0x2545F4914F6CDD1D) + U(0x9E3779B97F4A7C15))
+    eights = np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    live, at = np.flatnonzero((length > 0) & (length <= longest)), 0
+    while len(live):
+        rest = length[live] - at
+        part = eights[start[live] + at].astype(U)
+        part &= np.where(rest < 8, (U(1) << (U(8) * np.minimum(rest, 7).astype(U))) - U(1), ~U(0))
+        h[live] = mix(h[live] ^ part)
+        live, at = live[rest > 8], at + 8
+    for i in np.flatnonzero(length > longest):
+        h[i] = np.frombuffer(hashlib.blake2b(buf[start[i]:end[i]].tobytes(), digest_size=8).digest(), U)[0]
+    return h
+
+
+def folded(ids: np.ndarray, start: np.ndarray, length: np.ndarray, salt: int) -> np.ndarray:
+    """64-bit hashes of the runs ids[start : start + length]; every id passes through ``mix``, so order counts."""
+    h = np.full(len(start), mix(np.array([salt], U))[0]) ^ length.astype(U)
+    live, at = np.arange(len(start)), 0
+    while len(live):
+        live = live[length[live] > at]
+        h[live] = mix(h[live] ^ ids[start[live] + at]) + U(at)
+        at += 1
+    return h
+
+
 def shingles(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text index) of word shingles, lower-cased; a text of fewer words is one shingle."""
     start, end, doc = word_spans(buf, offsets)

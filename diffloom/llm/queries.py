@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (decontaminate, exact_dedup, line_dedup, mixing, near_dup, quality, sharding, suffix_dedup,
+from . import (automata_dedup, decontaminate, exact_dedup, hard_negatives, importance, line_dedup, mixing, near_dup, quality, sharding, suffix_dedup,
                token_files, url_filter)
 from .common import table, tokenizer_path
 
@@ -84,3 +84,19 @@ def op7(spark, sf):
     rows = sharding.shard_rows(table(spark, sf, "documents"), 40)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op11_importance", importance.SQL)
+def op11(spark, sf):
+    return importance.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("n_words")
+
+
+@query("op13_hard_negatives", hard_negatives.SQL)
+def op13(spark, sf):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+@query("op12_automata_dedup", automata_dedup.SQL)
+def op12(spark, sf):
+    return automata_dedup.remove_repeated_runs(table(spark, sf, "documents"), 20).drop("spans")
