@@ -129,7 +129,7 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
     n = len(start)
     if not n:
         return np.zeros(0, U), np.zeros(0, np.int64)
-    words = RangeHash(LOWER[buf]).of(start, end)
+    words = word_hashes(LOWER[buf], start, end)
     counts = np.bincount(doc, minlength=len(offsets) - 1)
     out, owner = [], []
     if n >= size:

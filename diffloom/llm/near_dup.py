@@ -36,7 +36,8 @@ class Params:
 
     A pair at similarity s shares a band with probability 1 - (1 - s**rows)**bands: 0.995 at 0.8.
     ``floor``: a shingle in a smaller share of the documents counts as in that share, which also
-    hides the sketch's error: its cells are loaded to half of ``floor`` at most.  ``tile``: members of a bucket that are compared in one task.
+    hides the sketch's error: its cells are loaded to half of ``floor`` at most.  ``tile``: members of a bucket that are compared
+    in one task, and ``tile_bytes`` of their texts, a side (on average; one text may be longer).
     ``widths``: partners a member of a tile proposes in each round before the last one, best
     first and with at least ``agree`` samples the same; the last round takes all, whatever
     their samples, so neither decides what is linked.
@@ -48,6 +49,7 @@ class Params:
     rows: int = 4
     floor: float = 0.01
     tile: int = 512
+    tile_bytes: int = 1 << 20
     agree: int = 24
     widths: tuple[int, ...] = (8,)
 
@@ -258,7 +260,7 @@ def _cross_pairs(p: Params, width: int):
 
 
 def _overlaps(h: np.ndarray, doc: np.ndarray, count: np.ndarray, unit: np.ndarray, probe: np.ndarray,
-              block: int = 1024, step: int = 1 << 22) -> np.ndarray:
+              block: int = 256, step: int = 1 << 18) -> np.ndarray:
     """Weight shared by texts [probe, base]: minima summed over shingles; ``probe`` tells texts apart.
 
     A shingle of weight ``unit`` that a text has c times is the elements (shingle, 0 .. c - 1), so
@@ -304,7 +306,7 @@ def _overlaps(h: np.ndarray, doc: np.ndarray, count: np.ndarray, unit: np.ndarra
 def _tile_links(p: Params, shared):
     """Links of a tile's probes with its base members of other components, by whole texts.
 
-    Every pair that the total weights allow is verified.  One link of two components is enough.
+    Every pair that the total weights allow is verified, in the first bucket it shares.  One link of two components is enough.
     """
     def links(table: pa.Table) -> pa.Table:
         probe = np.asarray(table.column("probe"))
@@ -317,10 +319,15 @@ def _tile_links(p: Params, shared):
             h, doc, count = weighted_set(*shingles(buf[off[i]:off[j]], off[i:j + 1] - off[i], p.shingle))
             sets.append((h, doc + i, count, weights(h, np.ones(len(h)), shared.value)))
         h, doc, count, unit = (np.concatenate([s[c] for s in sets]) for c in range(4))
+        del sets
         total = np.bincount(doc, count * unit, minlength=len(node))
         one, two = np.flatnonzero(probe), np.flatnonzero(~probe)
         t1, t2 = total[one][:, None], total[two]
         open_ = (part[one][:, None] != part[two]) & (np.minimum(t1, t2) >= (p.threshold - 1e-6) * np.maximum(t1, t2))
+        # Two texts that share an earlier band meet in its bucket, which is mixed as well.
+        keys = np.array(table.column("bands").to_pylist(), np.int64)
+        for band in range(int(table.column("band")[0].as_py())):
+            open_ &= keys[one, band][:, None] != keys[two, band]
         one, two = one[open_.any(axis=1)], two[open_.any(axis=0)]
         open_ = open_[open_.any(axis=1)][:, open_.any(axis=0)]
         found = {}
@@ -360,7 +367,7 @@ def centres(members: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
 def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, p: Params, compare) -> DataFrame | None:
     """What ``compare`` finds across components of mixed buckets; None if all are of one component.
 
-    ``nodes`` has node and what ``compare`` reads of it.
+    ``nodes`` has node and what ``compare`` reads of it; with ``size``, tiles are cut by bytes too.
 
     Only members outside a bucket's largest component are probes, and every pair across
     components has one.  A group holds one tile of probes and one tile of members.
@@ -372,11 +379,18 @@ def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, p: Param
     mixed = materialize(mixed, "mixed")
     if not mixed.count():
         return None
-    rows = labelled.drop("n").join(mixed, ["band", "key"]).join(nodes, "node")
-    probe_tiles = F.ceil((F.col("all") - F.col("most")) / p.tile).cast("int")
-    base_tiles = F.ceil(F.col("all") / p.tile).cast("int")
+    rows = labelled.drop("n").join(mixed, ["band", "key"])
+    probe_tiles, base_tiles = F.ceil((F.col("all") - F.col("most")) / p.tile), F.ceil(F.col("all") / p.tile)
+    if "size" in nodes.columns:
+        mine = F.when(F.col("label") != F.col("main"), F.col("size"))
+        rows = rows.join(rows.join(nodes.select("node", "size"), "node").groupBy("band", "key").agg(
+            F.coalesce(F.sum(mine), F.lit(0)).alias("probe_bytes"), F.sum("size").alias("all_bytes")), ["band", "key"])
+        probe_tiles = F.greatest(probe_tiles, F.ceil(F.col("probe_bytes") / p.tile_bytes))
+        base_tiles = F.greatest(base_tiles, F.ceil(F.col("all_bytes") / p.tile_bytes))
+    probe_tiles, base_tiles = probe_tiles.cast("int"), base_tiles.cast("int")
+    rows = rows.join(nodes.drop("size"), "node")
     own = F.xxhash64("node")
-    shape = ["band", "key", "label", *nodes.columns]
+    shape = ["band", "key", "label", *[c for c in nodes.columns if c != "size"]]
     probes = rows.where("label <> main").select(*shape, F.lit(True).alias("probe"), F.pmod(own, probe_tiles).cast("int").alias("t1"),
                                                 F.explode(F.sequence(F.lit(0), base_tiles - 1)).alias("t2"))
     base = rows.select(*shape, F.lit(False).alias("probe"), F.explode(F.sequence(F.lit(0), probe_tiles - 1)).alias("t1"),
@@ -405,12 +419,12 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
     bands = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     counts = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(bands.join(counts, ["band", "key"]).select("band", "key", "node", "n"), "members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "r"), "node").select(
-        "node", F.col("r._id").alias("_rid"), F.col("r._td").alias("_rtd"))
+    wanted = members.select("node").distinct().join(nodes.select("node", "r", "bands"), "node").select(
+        "node", "bands", F.col("r._id").alias("_rid"), F.col("r._td").alias("_rtd"))
     text = whole(text_col)
     have = docs.select(F.col(id_col).alias("_did"), F.xxhash64(text).alias("_dtd"), text.alias("text"))
     texts = materialize(have.join(wanted, F.col("_did").eqNullSafe(F.col("_rid")) & (F.col("_dtd") == F.col("_rtd")))
-                        .select("node", "text").dropDuplicates(["node"]), "candidates")
+                        .select("node", "text", "bands", F.octet_length("text").alias("size")).dropDuplicates(["node"]), "candidates")
     stars = members.join(centres(members, nodes, p), ["band", "key"]).where("a <> node")
     tested = materialize(stars.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
     links = materialize(similar_pairs(tested, texts, idf, p), "links")

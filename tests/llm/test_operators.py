@@ -430,11 +430,13 @@ def test_tile_links_against_brute_force():
     p = near_dup.Params(floor=1.0)  # all shingles weigh 1
     idf = np.ones(near_dup.CELLS * near_dup.ROWS_OF_CELLS, np.float32)
     node = [b"%02d" % i for i in range(len(texts))]
+    bands = [[i, i % 7, i + 100] for i in range(len(texts))]  # those alike in i % 7 meet in band 1
     table = pa.table({"probe": pa.array([i < 25 for i in range(len(texts))]), "node": pa.array(node, pa.binary()),
+                      "band": pa.array([2] * len(texts), pa.int32()), "bands": pa.array(bands, pa.list_(pa.int64())),
                       "label": pa.array(node, pa.binary()), "text": pa.array(texts),
                       "sig": pa.array([np.full(p.samples, i, np.uint32).tobytes() for i in range(len(texts))], pa.binary())})
     got = near_dup._tile_links(p, types.SimpleNamespace(value=idf))(table)
-    want = {(node[i], node[j]) for i, j, s in brute_near(texts, p) if i < 25 <= j and s >= p.threshold - 1e-9}
+    want = {(node[i], node[j]) for i, j, s in brute_near(texts, p) if i < 25 <= j and i % 7 != j % 7 and s >= p.threshold - 1e-9}
     assert 100 < len(want) < 25 * 35 - 100
     assert set(zip(got.column("a").to_pylist(), got.column("b").to_pylist())) == want
 
