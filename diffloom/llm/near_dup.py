@@ -7,9 +7,8 @@
 3. Samples are banded.  Members of a bucket are linked to its centre, the member that agrees
    most with the samples the bucket's members have most often; the links are verified by
    weighted Jaccard similarity of the whole texts, and components are formed.
-4. In buckets whose members are still in several components, pairs across components are
-   verified as well: first each member's best few by samples; then, as components have merged,
-   all that are left, by whole texts inside the tasks that hold a tile of members, which
+4. In buckets whose members are still in several components, all pairs across components are
+   verified as well, by whole texts inside the tasks that hold a tile of members, which
    return links only.  So no link of two members of a bucket is lost to the star of step 3,
    and no group is expanded into pairs.  Large buckets are cut into pairs of tiles.
 """
@@ -38,9 +37,6 @@ class Params:
     ``floor``: a shingle in a smaller share of the documents counts as in that share, which also
     hides the sketch's error: its cells are loaded to half of ``floor`` at most.  ``tile``: members of a bucket that are compared
     in one task, and ``tile_bytes`` of their texts, a side (on average; one text may be longer).
-    ``widths``: partners a member of a tile proposes in each round before the last one, best
-    first and with at least ``agree`` samples the same; the last round takes all, whatever
-    their samples, so neither decides what is linked.
     """
 
     shingle: int = 5
@@ -50,8 +46,6 @@ class Params:
     floor: float = 0.01
     tile: int = 512
     tile_bytes: int = 1 << 20
-    agree: int = 24
-    widths: tuple[int, ...] = (8,)
 
     @property
     def samples(self) -> int:
@@ -238,27 +232,6 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, idf, p: Params) -> DataFra
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a binary, b binary")
 
 
-def _cross_pairs(p: Params, width: int):
-    """Best pairs of a tile's probes with its base members of other components."""
-    def pairs(table: pa.Table) -> pa.Table:
-        probe = np.asarray(table.column("probe"))
-        node, label = table.column("node").to_pylist(), table.column("label").to_pylist()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(node), p.samples)
-        total = np.asarray(table.column("total"))
-        names: dict = {}
-        part = np.array([names.setdefault(x, len(names)) for x in label])
-        base, found = np.flatnonzero(~probe), set()
-        for i in np.flatnonzero(probe):
-            maybe = base[(part[base] != part[i]) & (np.minimum(total[base], total[i])
-                                                    >= (p.threshold - 1e-6) * np.maximum(total[base], total[i]))]
-            same = (sig[maybe] == sig[i]).sum(axis=1)
-            best = np.argsort(-same, kind="stable")[:width]
-            found.update((min(node[i], node[k]), max(node[i], node[k])) for k in maybe[best[same[best] >= p.agree]])
-        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
-
-    return pairs
-
-
 def _overlaps(h: np.ndarray, doc: np.ndarray, count: np.ndarray, unit: np.ndarray, probe: np.ndarray,
               block: int = 256, step: int = 1 << 18) -> np.ndarray:
     """Weight shared by texts [probe, base]: minima summed over shingles; ``probe`` tells texts apart.
@@ -364,13 +337,12 @@ def centres(members: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
     return two.unionByName(agree.groupBy("band", "key").agg(F.max(F.struct("c", "node"))["node"].alias("a")))
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, p: Params, compare) -> DataFrame | None:
-    """What ``compare`` finds across components of mixed buckets; None if all are of one component.
-
-    ``nodes`` has node and what ``compare`` reads of it; with ``size``, tiles are cut by bytes too.
+def open_links(members: DataFrame, labels: DataFrame, texts: DataFrame, p: Params, shared) -> DataFrame | None:
+    """Links (a, b) across components of mixed buckets; None if every bucket is of one component.
 
-    Only members outside a bucket's largest component are probes, and every pair across
-    components has one.  A group holds one tile of probes and one tile of members.
+    ``texts`` has node, text, bands and size (bytes).  Only members outside a bucket's largest
+    component are probes, and every pair across components has one.  A group holds one tile of
+    probes and one tile of members.
     """
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = (labelled.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("band", "key")
@@ -379,24 +351,24 @@ def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, p: Param
     mixed = materialize(mixed, "mixed")
     if not mixed.count():
         return None
-    rows = labelled.drop("n").join(mixed, ["band", "key"])
-    probe_tiles, base_tiles = F.ceil((F.col("all") - F.col("most")) / p.tile), F.ceil(F.col("all") / p.tile)
-    if "size" in nodes.columns:
-        mine = F.when(F.col("label") != F.col("main"), F.col("size"))
-        rows = rows.join(rows.join(nodes.select("node", "size"), "node").groupBy("band", "key").agg(
-            F.coalesce(F.sum(mine), F.lit(0)).alias("probe_bytes"), F.sum("size").alias("all_bytes")), ["band", "key"])
-        probe_tiles = F.greatest(probe_tiles, F.ceil(F.col("probe_bytes") / p.tile_bytes))
-        base_tiles = F.greatest(base_tiles, F.ceil(F.col("all_bytes") / p.tile_bytes))
-    probe_tiles, base_tiles = probe_tiles.cast("int"), base_tiles.cast("int")
-    rows = rows.join(nodes.drop("size"), "node")
+    rows = labelled.drop("n").join(mixed, ["band", "key"]).join(texts.select("node", "size"), "node")
+    probe = F.col("label") != F.col("main")
+    sizes = rows.groupBy("band", "key").agg(F.sum(F.when(probe, F.col("size")).otherwise(0)).alias("probe_bytes"), F.sum("size").alias("all_bytes"))
+    rows = rows.drop("size").join(sizes, ["band", "key"])
+
+    def tiles(count, size):
+        return F.greatest(F.ceil(count / p.tile), F.ceil(F.col(size) / p.tile_bytes)).cast("int")
+
+    probe_tiles, base_tiles = tiles(F.col("all") - F.col("most"), "probe_bytes"), tiles(F.col("all"), "all_bytes")
     own = F.xxhash64("node")
-    shape = ["band", "key", "label", *[c for c in nodes.columns if c != "size"]]
-    probes = rows.where("label <> main").select(*shape, F.lit(True).alias("probe"), F.pmod(own, probe_tiles).cast("int").alias("t1"),
-                                                F.explode(F.sequence(F.lit(0), base_tiles - 1)).alias("t2"))
-    base = rows.select(*shape, F.lit(False).alias("probe"), F.explode(F.sequence(F.lit(0), probe_tiles - 1)).alias("t1"),
-                       F.pmod(own, base_tiles).cast("int").alias("t2"))
-    return (probes.unionByName(base).groupBy("band", "key", "t1", "t2")
-            .applyInArrow(compare, "a binary, b binary").distinct())
+    shape = ["band", "key", "label", "node", "probe", "t1", "t2"]
+    probes = rows.where(probe).withColumns({
+        "probe": F.lit(True), "t1": F.pmod(own, probe_tiles).cast("int"), "t2": F.explode(F.sequence(F.lit(0), base_tiles - 1))})
+    base = rows.withColumns({
+        "probe": F.lit(False), "t1": F.explode(F.sequence(F.lit(0), probe_tiles - 1)), "t2": F.pmod(own, base_tiles).cast("int")})
+    # Texts join once a place in a tile; until then rows are narrow.
+    placed = probes.select(*shape).unionByName(base.select(*shape)).join(texts.drop("size"), "node")
+    return (placed.groupBy("band", "key", "t1", "t2").applyInArrow(_tile_links(p, shared), "a binary, b binary").distinct())
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id",
@@ -429,19 +401,8 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
     tested = materialize(stars.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
     links = materialize(similar_pairs(tested, texts, idf, p), "links")
     labels = components(links)
-    drawn = nodes.select("node", "total", "sig")
-    for width in p.widths:
-        proposed = open_pairs(members, labels, drawn, p, _cross_pairs(p, width))
-        if proposed is None:
-            break
-        new = materialize(proposed.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(similar_pairs(new, texts, idf, p), "links")
-        tested = tested.union(new)
-        if found.count():
-            links = links.union(found)
-            labels = components(links)
     shared = docs.sparkSession.sparkContext.broadcast(idf)
-    rest = open_pairs(members, labels, texts, p, _tile_links(p, shared))
+    rest = open_links(members, labels, texts, p, shared)
     if rest is not None:
         found = materialize(rest, "links")
         if found.count():

@@ -397,7 +397,7 @@ def test_near_duplicates_links_whatever_the_samples_agree_on(spark):
                 w[rng.randrange(len(w))] = rng.choice(WORDS)
             rows.append((100 * g + k, " ".join(w)))
     # One sample a band: a bucket for any pair near the threshold; no pair agrees in 41 of 40.
-    p = near_dup.Params(bands=40, rows=1, agree=41, tile=8)
+    p = near_dup.Params(bands=40, rows=1, tile=8, tile_bytes=3000)
     links = [x for x in brute_near([r[1] for r in rows], p) if x[2] >= p.threshold]
     label = list(range(len(rows)))
     for _ in rows:
