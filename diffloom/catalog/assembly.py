@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import once
 from ..functions.draws import pick
 from ..functions.lex import word_length
 from ..functions.text import first_line, words
 from ..markers import TASK_LIMITS
 from ..operators import filters as B, ranking as G
-from ..operators.hunks import expand_states, extract_hunks, with_hunks_only
+from ..operators.hunks import changed_lines, expand_states, extract_hunks
 from ..operators.vocabulary import truncation_report
 from ..plans.corpus import assemble, commit_rejects, prepared, scripted, shard_corpus
 from ..plans.selection import early_stop, replay_epochs, running_loss, selection_score
@@ -57,7 +58,7 @@ query("length_gate_words", f"""WITH {ROWS} SELECT row_key FROM corpus WHERE len(
 
 query("hunked_commits", f"""WITH {CHANGES} SELECT "commit", message FROM changes
     WHERE {sql_lines('old_contents')} <> {sql_lines('new_contents')}""")(
-    lambda spark, sf: with_hunks_only(extract_hunks(changes(spark, sf))).select("commit", "message"))
+    lambda spark, sf: extract_hunks(changed_lines(changes(spark, sf))).select("commit", "message"))
 
 query("keep_with_message", f"""WITH {ROWS} SELECT row_key FROM corpus
     WHERE "type" = '{B.STATE_TYPE}' OR len({sql_words('nl')}) > 0""")(
@@ -185,7 +186,7 @@ query("sharded_corpus", f"""{_ASSEMBLED}, r AS (SELECT row_key, "type", {_rank('
 query("scripted_corpus", f"""WITH {ROWS}, sides AS MATERIALIZED (SELECT row_key AS doc_id, {sql_lex('old')} AS a, {sql_lex('new')} AS b
         FROM corpus WHERE old <> new AND {sql_strip('old')} <> '' AND {sql_strip('new')} <> ''), {sql_edits('sides')}
     SELECT doc_id AS row_key, tag, i1, i2, j1, j2 FROM ops""")(
-    lambda spark, sf: scripted(corpus(spark, sf)).select("row_key", F.inline("ops")))
+    lambda spark, sf: scripted(corpus(spark, sf)).select("row_key", F.inline(once("ops"))))
 
 # Commits to sharded training rows: hunks of the anchored diff, states, gate, shuffle, shards.
 query("prepared_corpus", (lambda groups: f"""WITH {groups}, r AS (SELECT "commit" || '-' || group_idx || '-' || state_idx AS row_key, old, new, msg

@@ -194,6 +194,37 @@ token_pairs AS MATERIALIZED (
            a[1:p] AS head, a[p + 1:n - s] AS gone, b[p + 1:m - s] AS came, a[n - s + 1:n] AS tail
     FROM tp2)"""
 
+# Longest matching blocks of the sides: equal tokens, runs on diagonals, then intervals split at their best run.
+def sql_block_edits(sides: str) -> str:
+    """edits and ops as ``sql_edits`` gives them."""
+    interval = "PARTITION BY doc_id, alo, ahi, blo, bhi ORDER BY n DESC, i, d"
+    block = f"""SELECT *, greatest(bs.fi, alo, blo - bs.d) AS x, least(bs.fi + bs.fn, ahi, bhi - bs.d) AS e, bs.d AS bd FROM (
+        SELECT *, first_value({{'fi': fi, 'fn': fn, 'd': d}}) OVER ({interval}) AS bs FROM b_s)"""
+    return f"""b_o AS (SELECT doc_id, unnest(a) AS t, generate_subscripts(a, 1) - 1 AS i FROM {sides}),
+    b_n AS (SELECT *, m >= 200 AND count(*) OVER (PARTITION BY doc_id, t) > m // 100 + 1 AS popular FROM (
+        SELECT doc_id, len(b) AS m, unnest(b) AS t, generate_subscripts(b, 1) - 1 AS j FROM {sides})),
+    b_f AS (SELECT doc_id, i, j - i AS d, popular, i - row_number() OVER (PARTITION BY doc_id, j - i ORDER BY i) AS g
+        FROM b_o JOIN b_n USING (doc_id, t)),
+    b_h AS (SELECT *, min(i) OVER f AS fi, count(*) OVER f AS fn FROM b_f WINDOW f AS (PARTITION BY doc_id, d, g)),
+    b_c AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, d ORDER BY i) AS h FROM b_h WHERE NOT popular),
+    b_r AS MATERIALIZED (SELECT doc_id, d, min(i) AS i, count(*) AS n, any_value(fi) AS fi, any_value(fn) AS fn FROM b_c GROUP BY doc_id, d, h),
+    b_s AS (SELECT doc_id, 0 AS alo, len(a) AS ahi, 0 AS blo, len(b) AS bhi, i, d, n, fi, fn FROM b_r JOIN {sides} USING (doc_id)
+        UNION ALL SELECT doc_id, lo, hi, lo2, hi2, s, d, e2 - s, fi, fn FROM (
+            SELECT *, greatest(i, lo, lo2 - d) AS s, least(i + n, hi, hi2 - d) AS e2 FROM (
+                SELECT *, unnest([alo, e]) AS lo, unnest([x, ahi]) AS hi, unnest([blo, e + bd]) AS lo2, unnest([x + bd, bhi]) AS hi2
+                FROM ({block}))) WHERE e2 > s),
+    b_b AS (SELECT DISTINCT doc_id, x, x + bd AS y, e - x AS z FROM ({block})),
+    b_a AS (SELECT * FROM b_b UNION ALL SELECT doc_id, len(a), len(b), 0 FROM {sides}),
+    b_g AS (SELECT doc_id, coalesce(lag(x + z) OVER w, 0) AS i0, x AS i9, coalesce(lag(y + z) OVER w, 0) AS j0, y AS j9
+        FROM b_a WINDOW w AS (PARTITION BY doc_id ORDER BY x, y, z DESC)),
+    b_x AS (SELECT g.*, a[i0 + 1:i9] AS l, b[j0 + 1:j9] AS r FROM b_g g JOIN {sides} USING (doc_id) WHERE i9 > i0 OR j9 > j0),
+    b_p AS (SELECT *, coalesce(list_position(list_transform(range(1, least(len(l), len(r)) + 1), lambda i: l[i] = r[i]), false) - 1,
+        least(len(l), len(r))) AS p FROM b_x),
+    edits AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i0, j0) - 1 AS k, (i0 + p)::INTEGER AS i1,
+        i9::INTEGER AS i2, (j0 + p)::INTEGER AS j1, j9::INTEGER AS j2 FROM b_p WHERE i0 + p < i9 OR j0 + p < j9),
+    {sql_ops(sides)}"""
+
+
 # Anchored scripts of the sides (doc_id, a, b) of a CTE: tokens once on each side that cross no
 # other such token are anchors; between two anchors, prefix and suffix are taken off.
 def sql_edits(sides: str) -> str:
@@ -214,7 +245,12 @@ def sql_edits(sides: str) -> str:
         lambda i: x[len(x) - i] = y[len(y) - i]), false) - 1, least(len(x), len(y)) - p) AS s FROM e_p),
     edits AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i0, j0) - 1 AS k, (i0 + p)::INTEGER AS i1,
         (i9 - s)::INTEGER AS i2, (j0 + p)::INTEGER AS j1, (j9 - s)::INTEGER AS j2 FROM e_s WHERE i0 + p < i9 - s OR j0 + p < j9 - s),
-    e_k AS (SELECT doc_id, coalesce(lag(i2) OVER w, 0) AS i1, i1 AS i2, coalesce(lag(j2) OVER w, 0) AS j1, j1 AS j2
+    {sql_ops(sides)}"""
+
+
+def sql_ops(sides: str) -> str:
+    """ops(doc_id, idx, tag, i1, i2, j1, j2) of edits(doc_id, k, i1, i2, j1, j2)."""
+    return f"""e_k AS (SELECT doc_id, coalesce(lag(i2) OVER w, 0) AS i1, i1 AS i2, coalesce(lag(j2) OVER w, 0) AS j1, j1 AS j2
         FROM edits WINDOW w AS (PARTITION BY doc_id ORDER BY k) UNION ALL
         SELECT s.doc_id, coalesce(max(i2), 0), len(any_value(a)), coalesce(max(j2), 0), len(any_value(b))
         FROM {sides} s LEFT JOIN edits e ON e.doc_id = s.doc_id GROUP BY s.doc_id),

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import let
+from ..functions import let, once
 from ..functions.draws import draw
 from ..functions.patch import side_lines
 from ..functions.text import lines, words
 from ..operators.anchors import anchor_edits, find_phrase
-from ..operators.hunks import (budget_groups, budget_rejects, churn, expand_states, extract_hunks, line_delta,
-                               with_hunks_only)
+from ..operators.hunks import (budget_groups, budget_rejects, changed_lines, churn, expand_states, extract_hunks, line_delta)
 from ..functions.lex import word_length
 from ..operators.nodes import merge_short_edits
 from ..operators.scripts import (edit_labels, edit_profile, edit_streams, is_edit_keyword, is_end, is_kind, is_new, is_start,
@@ -94,7 +93,7 @@ _HUNKS = f"""{_LINE_SIDES}, h0 AS (SELECT *, lag(i2) OVER w AS last, lead(i1) OV
 
 query("extract_hunks", f"""WITH {_HUNKS} SELECT "commit", repos, message, string_agg(hunk, chr(10) ORDER BY g) AS diff,
     count(*) AS n_hunks FROM hunks GROUP BY ALL""")(
-    lambda spark, sf: with_hunks_only(extract_hunks(changes(spark, sf))).select(
+    lambda spark, sf: extract_hunks(changed_lines(changes(spark, sf))).select(
         "commit", "repos", "message", F.array_join("hunks", "\n").alias("diff"), F.size("hunks").alias("n_hunks")))
 
 # States from hunks that SQL can build too: lines are grouped by five, each group is a
@@ -213,7 +212,7 @@ query("trim_script", f"""WITH {TOKEN_PAIRS}, o AS (
     SELECT doc_id, mid, p, n - s, p, m - s FROM token_pairs WHERE mid IS NOT NULL UNION ALL
     SELECT doc_id, 'equal', n - s, n, m - s, m FROM token_pairs WHERE s > 0)
     SELECT doc_id, tag, i1, i2, j1, j2 FROM o""")(
-    lambda spark, sf: token_pairs(spark, sf).select("doc_id", F.inline("ops")))
+    lambda spark, sf: token_pairs(spark, sf).select("doc_id", F.inline(once("ops"))))
 
 
 def _sql_stream(minimal):
@@ -387,7 +386,7 @@ query("replay_audit", f"""WITH {CHANGES} SELECT lang, count(*) AS n_rows, count(
                          F.sum("o").alias("old_tokens"), F.sum("n").alias("new_tokens"), F.sum("d").alias("net_labels")))
 
 query("edit_script", f"""WITH {_SIDES} SELECT doc_id, tag, i1, i2, j1, j2 FROM ops""")(
-    lambda spark, sf: scripted_pairs(spark, sf).select("doc_id", F.inline("ops")))
+    lambda spark, sf: scripted_pairs(spark, sf).select("doc_id", F.inline(once("ops"))))
 
 query("edit_script_profile", f"""WITH {_SIDES}, w AS (SELECT doc_id, CASE tag WHEN 'equal' THEN '<KEEP>' WHEN 'delete' THEN '<DELETE>'
         ELSE '<REPLACE_OLD>' END AS keyword, i2 - i1 AS n FROM ops WHERE tag <> 'insert' UNION ALL

@@ -24,3 +24,12 @@ def let(fn: Callable[..., Column], *exprs: Column | str) -> Column:
     head, *rest = exprs
     return F.element_at(
         F.transform(F.array(as_col(head)), lambda v: let(lambda *vs: fn(v, *vs), *rest)), 1)
+
+
+def once(c: Column | str) -> Column:
+    """An array column for a generator (explode, inline) that leaves it evaluated once.
+
+    Of a plain column the optimizer infers a filter on its size, and pushes it below the
+    projection that computes it.
+    """
+    return F.concat(as_col(c))

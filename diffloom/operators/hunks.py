@@ -31,6 +31,15 @@ def with_hunks_only(df: DataFrame) -> DataFrame:
     return df.where(F.size("hunks") > 0)
 
 
+def changed_lines(pairs: DataFrame, old: str = "old_contents", new: str = "new_contents") -> DataFrame:
+    """The pairs that have hunks, told by their lines before any diff is made.
+
+    A condition on ``hunks`` itself would be pushed below the projection, which evaluates the
+    diff twice.
+    """
+    return pairs.where(lines(old) != lines(new))
+
+
 def state_ids(m: Column, k: int, seed: str, *key) -> Column:
     """States of an ``m``-hunk change: all when few, else 0 and ``k`` drawn ones."""
     return F.when(m <= k, F.transform(numbers(m), lambda i: i - 1)).otherwise(

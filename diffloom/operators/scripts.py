@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import as_col, let
+from ..functions import as_col, let, once
 from ..markers import (DELETE, DELETE_END, INSERT, INSERT_END, KEEP, KEEP_END, REPLACE_END,
                        REPLACE_NEW, REPLACE_OLD)
 from ..schemas import OPCODES
@@ -343,7 +343,7 @@ def edit_profile(df: DataFrame, ops: str, *slices: str) -> DataFrame:
               .when(op["tag"] == "insert", F.array(row(INSERT, new_n)))
               .when(op["tag"] == "delete", F.array(row(DELETE, old_n)))
               .otherwise(F.array(row(REPLACE_OLD, old_n), row(REPLACE_NEW, new_n))))
-    return (df.select(*slices, F.explode(ops).alias("op"))
+    return (df.select(*slices, F.explode(once(ops)).alias("op"))
             .select(*slices, F.inline(per_op))
             .groupBy(*slices, "keyword").agg(F.sum("n").alias("tokens")))
 

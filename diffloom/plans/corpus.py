@@ -10,7 +10,7 @@ from ..functions.lex import code_lex, token_length
 from ..functions.text import words
 from ..operators.filters import (STATE_TYPE, conform, length_gate, real_change, real_change_nonblank,
                                  reject_reason, union_corpora)
-from ..operators.hunks import expand_states, extract_hunks, with_hunks_only
+from ..operators.hunks import changed_lines, expand_states, extract_hunks
 from ..operators.ranking import with_shards
 from ..operators.scripts import with_script
 from ..session import materialize
@@ -36,8 +36,7 @@ def prepared(commits: DataFrame, measure: Callable[[Column], Column] = token_len
 
 def hunked(commits: DataFrame) -> DataFrame:
     """(commit, repos, msg, hunks) of commits that change a line."""
-    usable = commits.where(F.col("old_contents") != F.col("new_contents"))
-    return with_hunks_only(extract_hunks(usable)).select(
+    return extract_hunks(changed_lines(commits)).select(
         "commit", "repos", F.col("message").alias("msg"), "hunks")
 
 
