@@ -12,7 +12,7 @@ from ..session import scratch_path
 from ..sources import tasks as T
 from ..sources.readers import (jsonl_rejects, numbered_jsonl, numbered_lines, pair_lines, read_commits, read_json_records,
                                read_jsonl, split_corrupt)
-from ..sources.writers import (append_metrics, cached_features, read_metrics, write_jsonl,
+from ..sources.writers import (append_metrics, cached_features, compact_metrics, read_metrics, write_jsonl,
                                write_predictions, write_shards)
 from .base import (CHANGES, CONVERSATION_PAIRS, changes, conversation_pairs, documents, edited, query,
                    sql_join, sql_strip, sql_words, table)
@@ -115,14 +115,16 @@ query("feature_cache", f"SELECT doc_id, len({sql_words('text')}) AS n FROM docum
 
 
 def _metrics_log(spark, sf):
-    """One append per event type, then the last value per run and metric."""
+    """Two appends, one of them retried, and a compaction; then the last value per run and metric."""
     path = scratch_path(spark, "metrics")
     ev = table(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("run"), F.dayofmonth("ts").alias("epoch"),
         F.col("event_type").alias("metric"), "value")
-    append_metrics(ev.where("metric < 'e'"), path)
-    append_metrics(ev.where("metric >= 'e'"), path)
-    return read_metrics(spark, path).groupBy("run", "metric").agg(
+    for batch, rows in (("a-d", "metric < 'e'"), ("e-z", "metric >= 'e'"), ("a-d", "metric < 'e'")):
+        append_metrics(ev.where(rows), path, batch)
+    compacted = scratch_path(spark, "metrics")
+    compact_metrics(spark, path, compacted)
+    return read_metrics(spark, compacted).groupBy("run", "metric").agg(
         F.count("*").alias("n"), F.max("epoch").alias("last_epoch"), F.max("value").alias("best"))
 
 

@@ -14,6 +14,8 @@ from ..markers import (DELETE, DELETE_END, INSERT, INSERT_END, KEEP, KEEP_END, R
 from ..schemas import OPCODES
 
 STRINGS = "array<string>"
+#: Keywords of token and command streams.
+COMMANDS = (INSERT, DELETE, REPLACE_OLD, REPLACE_NEW, KEEP)
 
 
 def span(tokens: Column, start: Column, end: Column) -> Column:
@@ -312,6 +314,47 @@ def replay(a, incoming, ops) -> Column:
     return let(build, a, incoming, as_col(ops))
 
 
+def replay_tokens(stream) -> Column:
+    """The new side, read from a token stream alone.
+
+    Every keyword holds for the tokens up to the next one; what comes before the first counts as
+    kept.  Kept and arriving tokens are the new side.  A token that looks like a keyword is taken
+    for one, so such a text does not come back as it was.  Linear: the stream is cut at its keywords.
+    """
+    def build(s, marks):
+        def part(p, k):
+            n = F.coalesce(F.get(marks, k + 1), F.size(s)) - p - 1
+            return F.when(F.get(s, p).isin(INSERT, REPLACE_NEW, KEEP), F.slice(s, p + 2, n)).otherwise(F.array().cast(STRINGS))
+
+        return F.concat(F.slice(s, F.lit(1), F.coalesce(F.get(marks, F.lit(0)), F.size(s))), F.flatten(F.transform(marks, part)))
+
+    return let(lambda s: let(lambda marks: build(s, marks), _places(s, lambda t: t.isin(*COMMANDS))), stream)
+
+
+def replay_commands(a, commands) -> Column:
+    """The new side, read from the old side's tokens and a command stream.
+
+    The r-th command that uses up an old token (kept, deleted or replaced) stands for token r;
+    kept ones and tokens that are no command are the new side, in the stream's order.  Commands
+    beyond the old side's end keep nothing.
+    """
+    def build(a, s):
+        using = _places(s, lambda t: t.isin(KEEP, DELETE, REPLACE_OLD))
+        kept = let(lambda u: F.filter(
+            F.transform(u, lambda p, r: F.struct(p.alias("at"), F.when(F.get(s, p) == KEEP, F.get(a, r)).alias("t"))),
+            lambda x: x["t"].isNotNull()), using)
+        own = F.transform(_places(s, lambda t: ~t.isin(*COMMANDS)), lambda p: F.struct(p.alias("at"), F.get(s, p).alias("t")))
+        return let(lambda x: x["t"], F.array_sort(F.concat(kept, own)))
+
+    return let(build, a, commands)
+
+
+def _places(stream: Column, test) -> Column:
+    """Zero-based places of the tokens that pass ``test``."""
+    marked = F.filter(F.transform(stream, lambda t, i: F.when(test(t), i)), lambda i: i.isNotNull())
+    return marked.cast("array<int>")
+
+
 def prefix_sums(values) -> Column:
     """Sums of all values before each place; blocks of about the square root of the length."""
     def total(x):

@@ -42,11 +42,20 @@ def cached_features(spark: SparkSession, path: str, build, schema: T.StructType)
     return spark.read.schema(schema).parquet(path)
 
 
-def append_metrics(df: DataFrame, path: str) -> None:
-    """Append (run, epoch, metric, value) rows to the log."""
-    df.select("run", F.col("epoch").cast("int"), "metric", F.col("value").cast("double")
-              ).write.mode("append").parquet(path)
+def append_metrics(df: DataFrame, path: str, batch: str) -> None:
+    """Write (run, epoch, metric, value) rows to the log as the append ``batch``, say run and epoch.
+
+    An append replaces what was written under its name: done again, or after a job that died
+    half-way, it counts once.
+    """
+    rows = df.select("run", F.col("epoch").cast("int"), "metric", F.col("value").cast("double"), F.lit(batch).alias("batch"))
+    rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("batch").parquet(path)
+
+
+def compact_metrics(spark: SparkSession, path: str, target: str) -> None:
+    """The log in few files ordered by run, for logs of many small appends."""
+    read_metrics(spark, path).repartitionByRange("run", "epoch", "metric").write.mode("overwrite").parquet(target)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(METRICS).parquet(path)
+    return spark.read.schema(METRICS).parquet(path).select(*METRICS.names)

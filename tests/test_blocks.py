@@ -71,3 +71,43 @@ def test_matching_runs_know_popular_neighbours(spark):
     df = spark.createDataFrame([(1, 2, a, a)], "_p long, _q long, a array<string>, b array<string>")
     runs = blocks.matching_runs(df).where(F.col("i") == F.col("j")).orderBy("i").collect()
     assert [(r.i, r.n, r.fi, r.fn) for r in runs] == [(5, 1, 0, len(a)), (9, 220, 0, len(a))]
+
+
+def test_streams_replay(spark):
+    """Against a reading token by token, on streams of any keywords and words."""
+    from diffloom.operators.scripts import COMMANDS, replay_commands, replay_tokens
+    rng = random.Random(2)
+    insert, delete, old_, new_, keep = COMMANDS
+    rows = []
+    for k in range(200):
+        a = [f"t{i}" for i in range(rng.randint(0, 12))]
+        rows.append((k, a, [rng.choice([*COMMANDS, "x", "y", "z"]) for _ in range(rng.randint(0, 30))]))
+    rows.append((300, None, None))
+    df = spark.createDataFrame(rows, "k int, a array<string>, s array<string>")
+    got = {r.k: r for r in df.select("k", replay_tokens("s").alias("t"), replay_commands("a", "s").alias("c")).collect()}
+    assert got.pop(300)[1:] == (None, None)
+    for k, a, s in rows[:-1]:
+        state, tokens, commands, at = keep, [], [], 0
+        for t in s:
+            if t in COMMANDS:
+                state = t
+            elif state in (insert, new_, keep):
+                tokens.append(t)
+            if t in (keep, delete, old_):
+                if t == keep and at < len(a):
+                    commands.append(a[at])
+                at += 1
+            elif t not in COMMANDS:
+                commands.append(t)
+        assert (got[k].t, got[k].c) == (tokens, commands), k
+
+
+def test_metrics_written_twice_count_once(spark, tmp_path):
+    from diffloom.sources.writers import append_metrics, compact_metrics, read_metrics
+    rows = spark.createDataFrame([("r", 1, "bleu", 0.5), ("r", 1, "em", None), (None, None, None, 1.0)], "run string, epoch int, metric string, value double")
+    for batch in ("r-1", "r-2", "r-1"):
+        append_metrics(rows, f"{tmp_path}/log", batch)
+    append_metrics(rows.limit(0), f"{tmp_path}/log", "r-3")
+    compact_metrics(spark, f"{tmp_path}/log", f"{tmp_path}/small")
+    for path in ("log", "small"):
+        assert sorted(map(str, read_metrics(spark, f"{tmp_path}/{path}").collect())) == sorted(map(str, rows.collect() * 2))
