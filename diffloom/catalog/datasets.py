@@ -12,7 +12,7 @@ from ..session import scratch_path
 from ..sources import tasks as T
 from ..sources.readers import (jsonl_rejects, numbered_jsonl, numbered_lines, pair_lines, read_commits, read_json_records,
                                read_jsonl, split_corrupt)
-from ..sources.writers import (append_metrics, cached_features, compact_metrics, read_metrics, write_jsonl,
+from ..sources.writers import (append_metrics, cached_features, compact_metrics, fingerprint, read_metrics, write_jsonl,
                                write_predictions, write_shards)
 from .base import (CHANGES, CONVERSATION_PAIRS, changes, conversation_pairs, documents, edited, query,
                    sql_join, sql_strip, sql_words, table)
@@ -105,10 +105,13 @@ query("write_predictions", f"WITH {CONVERSATION_PAIRS} " + " UNION ALL ".join(
 
 
 def _feature_cache(spark, sf):
+    """Two entries of one cache: of all documents, read again, and of another split."""
     path = scratch_path(spark, "features")
     docs = documents(spark, sf).select("doc_id", F.size(words("text")).alias("n"))
-    cached_features(spark, path, lambda: docs, docs.schema)  # built
-    return cached_features(spark, path, lambda: docs.limit(0), docs.schema)  # read
+    key, other = (fingerprint(split=split, limit=None, files=f"{sf}/documents.parquet") for split in ("train", "valid"))
+    cached_features(spark, path, lambda: docs, docs.schema, key)  # built
+    cached_features(spark, path, lambda: docs.where("n < 0"), docs.schema, other)  # another entry
+    return cached_features(spark, path, lambda: docs.limit(0), docs.schema, key)  # read
 
 
 query("feature_cache", f"SELECT doc_id, len({sql_words('text')}) AS n FROM documents")(_feature_cache)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import strip
@@ -33,13 +37,33 @@ def write_shards(df: DataFrame, path: str, files_per_shard: int, shard: str = "s
      .write.mode(mode).partitionBy(shard).format(fmt).save(path))
 
 
-def cached_features(spark: SparkSession, path: str, build, schema: T.StructType) -> DataFrame:
-    """Features written under ``path``: built on first use, read afterwards."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+def fingerprint(**parts) -> str:
+    """A name for a cache entry: split, row limit, input files and whatever else its rows depend on."""
+    return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()[:24]
+
+
+def cached_features(spark: SparkSession, path: str, build, schema: T.StructType, key: str = "all") -> DataFrame:
+    """Features written under ``path`` by ``key``: built on first use, read afterwards.
+
+    An entry is written aside and published by one rename, so it is whole or absent; of two
+    builders of one key the later reads what the first published.  Other keys are other entries.
+    (On a store without atomic renames the rename is only as safe as the store makes it.)
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target, aside = f"{path}/{key}", f"{path}/_{key}-{uuid.uuid4().hex}"
+    final, draft = jvm.org.apache.hadoop.fs.Path(target), jvm.org.apache.hadoop.fs.Path(aside)
+    fs = final.getFileSystem(conf)
+    if not fs.exists(final):
+        build().write.parquet(aside)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+        options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            context.rename(draft, final, options)
+        except Exception:
+            if not fs.exists(final):
+                raise
+            fs.delete(draft, True)  # another builder was first
+    return spark.read.schema(schema).parquet(target)
 
 
 def append_metrics(df: DataFrame, path: str, batch: str) -> None:
