@@ -6,14 +6,17 @@ no explode, no shuffle.  Only counts that span rows are exploded and grouped.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import as_col, let
+from ..functions.draws import numbers
 from ..functions.text import ngrams
 from ..layout import by_key
 
 MAX_ORDER = 4
-SEP, MARK = "\u001f", "\u0001"
+SEP = "\u001f"
 
 
 def gram_counts(df: DataFrame, keys: list[str], sides: dict[str, Column | str],
@@ -50,29 +53,43 @@ def gram_counts(df: DataFrame, keys: list[str], sides: dict[str, Column | str],
         for i, name in enumerate(names)])
 
 
+class Bag(NamedTuple):
+    """The n-grams of one order of one side, as 64-bit hashes in text order, and the
+    sorted copies left after the first of each is taken away; both bound."""
+
+    grams: Column
+    again: Column
+
+
 def bind_orders(body, orders: int, *sides: Column) -> Column:
-    """``body`` applied to one list of n-gram arrays per side, order 1 first.
+    """``body`` applied to one list of bags per side, order 1 first.
 
-    Each order extends the one before, and order 1 is the tokens themselves.
+    Each order extends the hashes of the one before by a token, so no string is built.
+    Every bag is made once per side.  Only n-grams of one row meet, so a collision needs
+    two of its n-grams to share 64 bits (for 10,000 n-grams about 1 in 10**11 rows).
     """
-    def extend(lists, todo):
-        if not todo:
-            return body(*lists)
-        side, n = todo[0]
-        grams = lists[side]
+    names = [(f"g{n}", f"a{n}") for n in range(1, orders + 1)]
+
+    def extend(grams):
+        n = len(grams) + 1
+        if n > orders:
+            return F.struct(*[col.alias(name) for g, pair in zip(grams, names)
+                              for col, name in zip((g, repeats(g)), pair)])
         size = F.greatest(F.size(grams[0]) - (n - 1), F.lit(0))
         grown = F.zip_with(F.slice(grams[-1], F.lit(1), size), F.slice(grams[0], F.lit(n), size),
-                           lambda g, x: F.concat(g, F.lit(SEP), x))
-        return let(lambda g: extend([x + [g] if i == side else x for i, x in enumerate(lists)],
-                                    todo[1:]), grown)
+                           lambda g, x: F.xxhash64(g, x))
+        return let(lambda g: extend([*grams, g]), grown)
 
-    todo = [(i, n) for i in range(len(sides)) for n in range(2, orders + 1)]
-    return let(lambda *tokens: extend([[t] for t in tokens], todo), *sides)
+    # One bound struct per side: lambdas nested per bag would make the plan slow to analyse.
+    made = [let(lambda g: extend([g]), F.transform(side, lambda t: F.xxhash64(t))) for side in sides]
+    return let(lambda *bound: body(*[[Bag(v[g], v[again]) for g, again in names] for v in bound]), *made)
 
 
-def repeats(ordered: Column) -> Column:
-    """A sorted multiset with one copy of each element taken away."""
-    return F.filter(ordered, lambda x, i: (i > 0) & (x == F.get(ordered, i - 1)))
+def repeats(items: Column) -> Column:
+    """The (bound) items sorted, one copy of each taken away; most n-grams do not repeat."""
+    again = let(lambda s: F.filter(s, lambda x, i: (i > 0) & (x == F.get(s, i - 1))), F.sort_array(items))
+    return F.when(F.size(F.array_distinct(items)) == F.size(items),
+                  F.array().cast("array<bigint>")).otherwise(again)
 
 
 def run_starts(ordered: Column) -> Column:
@@ -81,54 +98,75 @@ def run_starts(ordered: Column) -> Column:
     return F.filter(marks, lambda i: i.isNotNull())
 
 
-def numbered(ordered: Column, starts: Column) -> Column:
-    """A sorted multiset as a set: equal elements get running numbers."""
-    def run(at, r):
-        count = F.coalesce(F.get(starts, r + 1), F.size(ordered)) - at
-        return F.transform(F.sequence(F.lit(1), count), lambda k: F.concat(
-            F.get(ordered, at), F.lit(MARK), k.cast("string")))
+def numbered(ordered: Column) -> Column:
+    """A sorted (bound) multiset as a set of hashes: equal elements get running numbers."""
+    def runs(starts):
+        def run(at, r):
+            count = F.coalesce(F.get(starts, r + 1), F.size(ordered)) - at
+            return F.transform(F.sequence(F.lit(1), count), lambda k: F.xxhash64(F.get(ordered, at), k))
+
+        return F.flatten(F.transform(starts, run))
 
-    return F.flatten(F.transform(starts, run))
+    return F.when(F.size(ordered) == 0, F.array().cast("array<bigint>")).otherwise(
+        let(runs, run_starts(ordered)))
 
 
 def shared_repeats(p: Column, q: Column) -> Column:
     """Size of the multiset intersection of two sorted (bound) arrays."""
-    count = let(lambda sp, sq: F.size(F.array_intersect(numbered(p, sp), numbered(q, sq))),
-                run_starts(p), run_starts(q))
-    return F.when((F.size(p) == 0) | (F.size(q) == 0), 0).otherwise(count)
+    return F.when((F.size(p) == 0) | (F.size(q) == 0), 0).otherwise(
+        F.size(F.array_intersect(numbered(p), numbered(q))))
 
 
-def shared(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two (bound) n-gram arrays.
+def shared(a: Bag, b: Bag) -> Column:
+    """Size of the multiset intersection of two bags.
 
     First as sets, which is a hash intersection; then the repeats, numbered so that
-    they form sets too.  Most n-grams of a text do not repeat.
+    they form sets too.
     """
-    return F.size(F.array_intersect(a, b)) + let(
-        lambda x, y: let(shared_repeats, repeats(x), repeats(y)), F.sort_array(a), F.sort_array(b))
-
+    return F.size(F.array_intersect(a.grams, b.grams)) + shared_repeats(a.again, b.again)
 
-def matched(a: Column, b: Column) -> Column:
-    """The multiset intersection of two (bound) n-gram arrays as a set: repeats are numbered."""
-    def again(x, y):
-        return F.when((F.size(x) == 0) | (F.size(y) == 0), F.array().cast("array<string>")).otherwise(let(
-            lambda sx, sy: F.array_intersect(numbered(x, sx), numbered(y, sy)), run_starts(x), run_starts(y)))
 
-    return F.concat(F.array_intersect(a, b), let(
-        lambda x, y: let(again, repeats(x), repeats(y)), F.sort_array(a), F.sort_array(b)))
+def shared_items(a: Column, b: Column) -> Column:
+    """As ``shared`` for two bound arrays of hashes."""
+    return let(lambda x, y: shared(Bag(a, x), Bag(b, y)), repeats(a), repeats(b))
 
 
-def shared_without(a: Column, b: Column, c: Column) -> Column:
+def shared_without(a: Bag, b: Bag, c: Bag) -> Column:
     """As ``shared(a, b)``, but n-grams that occur in ``c`` do not count."""
     def deeper(new):
-        def among(ordered):
-            return F.filter(repeats(ordered), lambda v: F.array_contains(new, v))
+        def among(again):
+            return F.filter(again, lambda v: F.array_contains(new, v))
+
+        more = F.when((F.size(a.again) == 0) | (F.size(b.again) == 0), 0).otherwise(
+            let(shared_repeats, among(a.again), among(b.again)))
+        return F.when(F.size(new) == 0, 0).otherwise(F.size(new) + more)
+
+    return let(deeper, F.array_except(F.array_intersect(a.grams, b.grams), c.grams))
+
+
+def as_set(bag: Bag) -> Column:
+    """The bag as a set: each n-gram once in text order, then its repeats, numbered."""
+    return F.concat(F.array_distinct(bag.grams), numbered(bag.again))
+
+
+def place_bits(items: Column, found: Column) -> Column:
+    """Words of 64 bits: which places of the (bound) set ``items`` its (bound) subset
+    ``found``, in the same order, takes."""
+    def word(acc, w):
+        def bit(s, j):
+            taken = F.get(items, w * 64 + j) == F.get(found, s["next"])
+            return F.when(taken, F.struct((s["next"] + 1).alias("next"), s["bits"].bitwiseOR(
+                F.call_function("shiftleft", F.lit(1).cast("long"), j)).alias("bits"))).otherwise(s)
 
-        return F.when(F.size(new) == 0, 0).otherwise(F.size(new) + let(
-            lambda x, y: let(shared_repeats, among(x), among(y)),
-            F.sort_array(a), F.sort_array(b)))
+        places = F.sequence(F.lit(0), F.least(F.lit(63), F.size(items) - 1 - w * 64))
+        done = F.aggregate(places, F.struct(acc["next"].alias("next"), F.lit(0).cast("long").alias("bits")), bit)
+        return let(lambda s: F.struct(s["next"].alias("next"), F.concat(acc["words"], F.array(s["bits"])).alias(
+            "words")), done)
 
-    return let(deeper, F.array_except(F.array_intersect(a, b), c))
+    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<bigint>").alias("words"))
+    count = F.ceil(F.size(items) / 64).cast("int")
+    return F.when(F.size(found) == 0, F.array().cast("array<bigint>")).otherwise(F.aggregate(
+        F.transform(numbers(count), lambda i: i - 1), start, word, lambda acc: acc["words"]))
 
 
 def gram_total(tokens: Column, n: int) -> Column:

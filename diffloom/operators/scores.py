@@ -18,7 +18,7 @@ from ..functions.text import (normalize_for_match, normalize_tokens_for_match, s
 from ..layout import by_key
 from ..markers import KEYWORD_WEIGHT, OTHER_WEIGHT
 from ..session import materialize
-from .grams import bind_orders, gram_total, matched, shared, shared_without
+from .grams import as_set, bind_orders, gram_total, place_bits, shared, shared_items, shared_without
 
 ORDERS = (1, 2, 3, 4)
 EPSILON, ALPHA, K = 0.1, 5.0, 5.0  # fixed values: smoothing constants
@@ -36,7 +36,7 @@ def pair_stats(preds: DataFrame, keys: list[str], hyp: Column | str, ref: Column
     A projection: rows stay where they are.
     """
     def build(hs, rs):
-        h, r = hs[0], rs[0]
+        h, r = hs[0].grams, rs[0].grams
         cols = [F.size(h).alias("hyp_len"), F.size(r).alias("ref_len")]
         for n in orders:
             cols += [shared(hs[n - 1], rs[n - 1]).alias(f"m{n}"),
@@ -49,12 +49,12 @@ def pair_stats(preds: DataFrame, keys: list[str], hyp: Column | str, ref: Column
             extra = KEYWORD_WEIGHT - OTHER_WEIGHT
             return F.struct(*cols, *[
                 (F.lit(OTHER_WEIGHT) * of + F.lit(extra) * kw).alias(name) for name, of, kw in (
-                    ("wm", m1, shared(kh, kr)), ("wr", F.size(r), F.size(kr)))])
+                    ("wm", m1, shared_items(kh, kr)), ("wr", F.size(r), F.size(kr)))])
 
         def only(tokens):
-            return F.filter(tokens, lambda t: t.isin(keywords))
+            return F.filter(tokens, lambda t: t.isin(*[F.xxhash64(F.lit(k)) for k in keywords]))
 
-        return let(weighted, only(h), only(r), shared(h, r))
+        return let(weighted, only(h), only(r), shared(hs[0], rs[0]))
 
     return _per_row(preds, keys, build, max(orders), hyp, ref)
 
@@ -72,36 +72,45 @@ def multi_ref_stats(preds: DataFrame, refs: DataFrame, key: str, hyp: Column | s
 
     An n-gram matches up to its largest count in any reference: with repeats numbered, the
     matches are the union over references of the hypothesis' and the reference's sets.  The
-    hypothesis meets each reference in one row, and only matched n-grams, hashed, move on.
+    hypothesis' set is made once, a reference leaves a bitmap of its matched places, and
+    bitmaps are united word by word: no n-gram leaves its row, and only the texts are shuffled.
     ``ref_len`` is the shortest and ``close_len`` the closest reference length.
     """
-    own = preds.select(key, as_col(hyp).alias("_h"))
-    paired = by_key(refs.select(key, ref_id, as_col(ref).alias("_r")), key).join(by_key(own, key), key)
     none = F.array().cast("array<string>")
+    hyps, places = [f"_h{n}" for n in ORDERS], [f"_p{n}" for n in ORDERS]
 
-    def hashed(n):
-        return lambda g: F.struct(F.lit(n).alias("n"), F.xxhash64(g).alias("h1"), F.xxhash64(F.lit("gram"), g).alias("h2"))
+    def sets(bags):
+        return F.struct(F.size(bags[0].grams).cast("long").alias("len"),
+                        *[as_set(bag).alias(name) for bag, name in zip(bags, hyps)])
 
-    def build(hs, rs):
-        return F.struct(
-            F.size(rs[0]).cast("long").alias("len"),
-            F.flatten(F.array(*[F.transform(matched(h, r), hashed(n))
-                                for n, h, r in zip(ORDERS, hs, rs)])).alias("found"))
-
-    each = paired.select(key, F.size(F.coalesce("_h", none)).cast("long").alias("hyp_len"), F.inline(F.array(bind_orders(
-        build, max(ORDERS), F.coalesce("_h", none), F.coalesce("_r", none)))))
-    # One row per reference: lengths; and one row per matched n-gram, only those move on.
-    flat = each.select(key, F.inline(F.concat(
-        F.array(F.struct(F.lit(0).alias("n"), "len", "hyp_len", F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"))),
-        F.transform("found", lambda g: F.struct(
-            g["n"].alias("n"), F.lit(None).cast("long").alias("len"), F.lit(None).cast("long").alias("hyp_len"),
-            g["h1"].alias("h1"), g["h2"].alias("h2"))))))
-    once = flat.groupBy(key, "n", "h1", "h2").agg(
-        F.max("hyp_len").alias("hyp_len"), F.min("len").alias("ref_len"),
+    own = by_key(preds, key).select(key, F.inline(F.array(bind_orders(
+        sets, max(ORDERS), F.coalesce(as_col(hyp), none))))).withColumnRenamed("len", "hyp_len")
+    each = by_key(refs, key).select(key, F.coalesce(as_col(ref), none).alias("_r"))
+
+    def bits(bags):
+        return F.struct(F.size(bags[0].grams).cast("long").alias("len"), *[
+            let(place_bits, h, F.array_intersect(h, as_set(bag))).alias(p)
+            for bag, h, p in zip(bags, hyps, places)])
+
+    paired = each.join(own, key).select(key, "hyp_len", F.inline(F.array(bind_orders(bits, max(ORDERS), F.col("_r")))))
+
+    def entry(n, word, mask, size):
+        return F.struct(F.lit(n).alias("n"), word.alias("word"), mask.alias("mask"), size.cast("long").alias("len"))
+
+    def of_order(n):
+        return lambda mask, word: entry(n, word, mask, F.lit(None))
+
+    # One row per reference for its length, and one per 64 places of an order.
+    flat = paired.select(key, "hyp_len", F.inline(F.concat(
+        F.array(entry(0, F.lit(0), F.lit(0).cast("long"), F.col("len"))),
+        *[F.transform(p, of_order(n)) for n, p in zip(ORDERS, places)])))
+    once = flat.groupBy(key, "n", "word").agg(
+        F.max("hyp_len").alias("hyp_len"), F.bit_or("mask").alias("mask"), F.min("len").alias("ref_len"),
         F.min(F.struct(F.abs(F.col("len") - F.col("hyp_len")).alias("gap"), "len"))["len"].alias("close_len"))
     sums = once.groupBy(key).agg(
-        F.max("hyp_len").alias("hyp_len"), F.min("ref_len").alias("ref_len"), F.max("close_len").alias("close_len"),
-        *[F.count_if(F.col("n") == n).alias(f"m{n}") for n in ORDERS])
+        F.max("hyp_len").alias("hyp_len"), F.min("ref_len").alias("ref_len"),
+        F.max(F.when(F.col("n") == 0, F.col("close_len"))).alias("close_len"),
+        *[F.sum(F.when(F.col("n") == n, F.bit_count("mask")).otherwise(0)).alias(f"m{n}") for n in ORDERS])
     return sums.select("*", *[F.greatest(F.col("hyp_len") - (n - 1), F.lit(0)).alias(f"h{n}") for n in ORDERS])
 
 
@@ -110,10 +119,10 @@ def gleu_stats(preds: DataFrame, keys: list[str], src: Column | str, hyp: Column
     """Per row: lengths and per order ``g`` = matches with the reference less matches with
     source n-grams the reference does not have, not below 0; ``d`` = hypothesis n-grams."""
     def build(ss, hs, rs):
-        cols = [F.size(hs[0]).alias("hyp_len"), F.size(rs[0]).alias("ref_len")]
+        cols = [F.size(hs[0].grams).alias("hyp_len"), F.size(rs[0].grams).alias("ref_len")]
         for n, s, h, r in zip(ORDERS, ss, hs, rs):
             net = shared(h, r) - shared_without(h, s, r)
-            cols += [F.greatest(net, F.lit(0)).alias(f"g{n}"), gram_total(hs[0], n).alias(f"d{n}")]
+            cols += [F.greatest(net, F.lit(0)).alias(f"g{n}"), gram_total(hs[0].grams, n).alias(f"d{n}")]
         return F.struct(*cols)
 
     return _per_row(preds, keys, build, max(ORDERS), src, hyp, ref)
