@@ -28,14 +28,15 @@ def build_session(master: str | None = None, app: str = "diffloom", **conf) -> S
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; where none is set, one inside the warehouse.
+    """The shared folder named by the cluster.
 
-    Both are seen by the driver and all executors.
+    Where none is set, a local session takes one inside its warehouse; on a cluster that
+    may be a folder of one machine, so there it is an error.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
         warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
-        if not warehouse:
+        if not warehouse or not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         root = f"{warehouse.rstrip('/')}/_scratch"
     return root.rstrip("/")
