@@ -1,63 +1,29 @@
-"""Phrase search in token arrays and unique anchors for edits."""
+"""Phrase search in token arrays and unique anchors for edits, both by suffix ranks."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import as_col, let
-from ..functions.draws import numbers
-from .scripts import span
-
-# Token boundaries that cannot occur inside a token.
-OPEN, CLOSE = "\u0001", "\u0002"
+from ..functions import as_col, let, once
+from .suffixes import phrase_positions, unique_lengths
 
 
 def positions(phrase, tokens) -> Column:
-    """All zero-based positions of ``phrase`` in ``tokens`` (none for an empty phrase)."""
-
-    def build(p, t):
-        hits = F.filter(numbers(F.size(t) - F.size(p) + 1), lambda i: (
-            F.element_at(t, i) == F.element_at(p, 1)) & (F.slice(t, i, F.size(p)) == p))
-        return F.when(F.size(p) > 0, F.transform(hits, lambda i: i - 1)).otherwise(
-            F.array().cast("array<int>"))
+    """All zero-based positions of ``phrase`` in ``tokens``.
 
-    return let(build, phrase, tokens)
+    None for an empty or null phrase; a null token is equal to a null token.
+    """
+    return F.coalesce(phrase_positions(as_col(phrase), as_col(tokens)), F.array().cast("array<int>"))
 
 
 def find_phrase(phrase, tokens) -> Column:
     """struct(first, freq, ambiguous); first is -1 when absent, 0 for an empty phrase."""
     return let(
-        lambda p, at: F.struct(
-            F.when(F.size(p) == 0, 0).when(F.size(at) > 0, F.get(at, F.lit(0))).otherwise(-1)
+        lambda at: F.struct(
+            F.when(F.size(as_col(phrase)) == 0, 0).when(F.size(at) > 0, F.get(at, F.lit(0))).otherwise(-1)
             .alias("first"),
             F.size(at).alias("freq"), (F.size(at) > 1).alias("ambiguous")),
-        phrase, positions(phrase, tokens))
-
-
-def marked(tokens) -> Column:
-    """Tokens as one string with boundaries, so that phrases can be searched as text."""
-    return F.concat(F.array_join(F.transform(
-        as_col(tokens), lambda t: F.concat(F.lit(OPEN), t, F.lit(CLOSE))), ""), F.lit(""))
-
-
-def _once(text: Column, phrase: Column) -> Column:
-    """True if ``phrase`` (a marked string) stands exactly once in ``text``."""
-    return let(lambda p: let(
-        lambda at: (p != "") & (at > 0) & (F.call_function("locate", p, text, at + 1) == 0),
-        F.call_function("locate", p, text)), phrase)
-
-
-def _least_context(limit: Column, unique) -> Column:
-    """Least k in 1..limit with ``unique(k)``, else null.
-
-    More context never makes a unique phrase ambiguous, so the largest ambiguous k
-    is found bit by bit.
-    """
-    bits = F.reverse(F.transform(F.sequence(F.lit(0), F.ceil(F.log2(limit + 1)).cast("int")),
-                                 lambda b: F.call_function("shiftleft", F.lit(1), b)))
-    last_bad = F.aggregate(bits, F.lit(0), lambda acc, b: F.when(
-        (acc + b <= limit) & ~unique(acc + b), acc + b).otherwise(acc))
-    return let(lambda k: F.when(k < limit, k + 1), last_bad)
+        positions(phrase, tokens))
 
 
 def anchor_edits(df: DataFrame, a: str, b: str, ops: str, *key: str) -> DataFrame:
@@ -65,41 +31,35 @@ def anchor_edits(df: DataFrame, a: str, b: str, ops: str, *key: str) -> DataFram
 
     ``anchor`` is ``self`` (old phrase is unique), ``before`` or ``after`` (unique with
     ``context`` kept tokens on that side) or ``full`` (the whole text must be replaced).
-    Inserts have no old phrase and need context.
+    Inserts have no old phrase and need context.  More context never makes a unique phrase
+    ambiguous, so the least unique length from the phrase's start, or up to its end, tells the
+    least context: two look-ups an edit, whatever the text repeats.
     """
+    # Longer than the name of any column beside them.
+    starts, ends = ("_".join([*key, ops, name]) for name in ("starts", "ends"))
+    from_place, to_place = unique_lengths(a)
+    ranked = df.select(*key, ops, from_place.alias(starts), to_place.alias(ends))
 
-    def per_row(a, ops, text):
+    def per_row(ops, starts, ends):
         def edit(op, i):
-            phrase = marked(span(a, op["i1"], op["i2"]))
             prev, nxt = F.get(ops, i - 1), F.get(ops, i + 1)
+            size = op["i2"] - op["i1"]
+            before = F.get(ends, op["i2"]) - size
+            after = F.get(starts, op["i1"]) - size
 
-            def room(o):
+            def kept(o):
                 return F.coalesce(F.when(o["tag"] == "equal", o["i2"] - o["i1"]), F.lit(0))
 
-            def search(ph):
-                self_ok = _once(text, ph)
-                before = _least_context(room(prev), lambda k: _once(
-                    text, F.concat(marked(span(a, op["i1"] - k, op["i1"])), ph)))
-                after = _least_context(room(nxt), lambda k: _once(
-                    text, F.concat(ph, marked(span(a, op["i2"], op["i2"] + k)))))
-
-                def choose(k_before):
-                    later = let(lambda k: F.struct(
-                        F.when(k.isNotNull(), "after").otherwise("full").alias("anchor"),
-                        F.coalesce(k, F.lit(0)).alias("context")), after)
-                    return F.when(k_before.isNotNull(), F.struct(
-                        F.lit("before").alias("anchor"), k_before.alias("context"))).otherwise(
-                        later)
-
-                return F.when(self_ok, F.struct(F.lit("self").alias("anchor"),
-                                                F.lit(0).alias("context"))).otherwise(
-                    let(choose, before))
+            def named(how, context):
+                return F.struct(F.lit(how).alias("anchor"), context.cast("int").alias("context"))
 
-            return F.struct(i.alias("edit"), op["tag"].alias("tag"), op["i1"].alias("at"),
-                            let(search, phrase).alias("found"))
+            found = (F.when((size > 0) & (after <= 0), named("self", F.lit(0)))
+                     .when(before <= kept(prev), named("before", before))
+                     .when(after <= kept(nxt), named("after", after))
+                     .otherwise(named("full", F.lit(0))))
+            return F.struct(i.alias("edit"), op["tag"].alias("tag"), op["i1"].alias("at"), found.alias("found"))
 
         return F.filter(F.transform(ops, edit), lambda e: e["tag"] != "equal")
 
-    rows = let(lambda a, ops: let(lambda text: per_row(a, ops, text), marked(a)), a, ops)
-    return (df.select(*key, F.inline(rows))
+    return (ranked.select(*key, F.inline(once(let(per_row, ops, starts, ends))))
             .select(*key, "edit", "tag", "at", "found.anchor", "found.context"))
