@@ -16,9 +16,10 @@ suffix array of the whole corpus:
    A string at offset j before the trigger equals another phrase's iff both agree in j bytes
    before and ``length`` - j bytes after it, which the two arrays tell for all phrases at
    once; the parse tells which of the equal ones comes first in the corpus.
-4. A context with more phrases than a task's share is cut into slices.  A slice settles its
+4. A context with more phrases than a task's share is hot.  Its first occurrences are found
+   dealt by phrase, of which a batch has one row, and its snippets are cut into slices.  A slice settles its
    own repeats; the strings that are first in their slice then meet by content, at most one
-   per slice, so neither step gathers the context.
+   per slice, so no step gathers the context.
 5. Repeats are merged into spans per document and cut out.
 
 Deviation from the textbook method: strings are only ordered to depth ``length`` and only
@@ -40,6 +41,8 @@ from .common import hot_keys, materialize, parts, whole
 GRAM = 8
 #: Phrases resolved at once; a larger trigger context is resolved by itself.
 RESOLVE_ROWS = 40_000
+#: A context is hot from 1 / (HOT_SHARE * partitions) of all phrases on.
+HOT_SHARE = 4
 
 
 def layout(length: int) -> tuple[int, int]:
@@ -82,19 +85,59 @@ def parse(buf: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.nda
             "hs": mix(outer.of(a, b + length) ^ (t - a).astype(U))}
 
 
+def _parsed(batch: pa.RecordBatch, length: int) -> dict[str, np.ndarray] | None:
+    """The phrases of a batch's texts, as ``parse`` gives them; None if there are none."""
+    buf, off = buffers(batch.column("_text"))
+    found = []
+    for i, j in chunks(off):
+        p = parse(buf[off[i]:off[j]], off[i:j + 1] - off[i], length)
+        p["doc"] = p["doc"] + i
+        found.append(p)
+    if not any(len(p["doc"]) for p in found):
+        return None
+    return {k: np.concatenate([f[k] for f in found]) for k in found[0]}
+
+
+def _fresh(p: dict[str, np.ndarray]) -> np.ndarray:
+    """Of phrases in order of key and hs: which differ from the one before."""
+    fresh = np.ones(len(p["key"]), bool)
+    fresh[1:] = (p["key"][1:] != p["key"][:-1]) | (p["hs"][1:] != p["hs"][:-1])
+    return fresh
+
+
+def hot_contexts(rows: DataFrame, length: int) -> DataFrame:
+    """(key): contexts with more than 1 / (HOT_SHARE * partitions) of the phrases, repeats in a batch not counted.
+
+    A context with twice that share has half of it in some batch, and only such counts leave a
+    batch.  At most HOT_SHARE keys a partition come out.  What is hot decides where rows meet,
+    not what is found.
+    """
+    share = 1 / (HOT_SHARE * parts(rows.sparkSession))
+
+    def count(batches):
+        for batch in batches:
+            p = _parsed(batch, length)
+            if p is None:
+                continue
+            order = np.lexsort((p["hs"], p["key"]))
+            p = {k: p[k][order] for k in ("key", "hs")}
+            key, n = np.unique(p["key"][_fresh(p)], return_counts=True)
+            many = (n > 1) & (n >= share / 2 * n.sum())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.append(key[many].view(np.int64), 0)), pa.array(np.append(n[many], n.sum())),
+                pa.array(np.append(np.zeros(many.sum(), bool), True))], ["key", "n", "all"])
+
+    counts = materialize(rows.select("_text").mapInArrow(count, "key bigint, n bigint, all boolean")
+                         .groupBy("key", "all").agg(F.sum("n").alias("n")), "contexts")
+    total = counts.where("all").agg(F.sum("n")).first()[0] or 0
+    return counts.where(~F.col("all") & (F.col("n") > total * share)).select("key")
+
+
 def _phrases(length: int):
     def run(batches):
         for batch in batches:
-            buf, off = buffers(batch.column("_text"))
-            found = []
-            for i, j in chunks(off):
-                p = parse(buf[off[i]:off[j]], off[i:j + 1] - off[i], length)
-                p["doc"] = p["doc"] + i
-                found.append(p)
-            if not found:
-                continue
-            p = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
-            if not len(p["doc"]):
+            p = _parsed(batch, length)
+            if p is None:
                 continue
             # Repeats of a phrase inside the batch are settled here, so a phrase that a third
             # of the corpus has is one row a batch; a settled row moves under a key of its own.
@@ -110,8 +153,7 @@ def _phrases(length: int):
             rank[np.asarray(sorted_ids)] = np.cumsum(~alike)
             order = np.lexsort((p["t"], rank[p["doc"]], p["hs"], p["key"]))
             p = {k: x[order] for k, x in p.items()}
-            fresh = np.ones(len(order), bool)
-            fresh[1:] = (p["key"][1:] != p["key"][:-1]) | (p["hs"][1:] != p["hs"][:-1])
+            fresh = _fresh(p)
             first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
             place = rank[p["doc"]]
             again = (place != place[first]) | (p["t"] != p["t"][first])
@@ -249,10 +291,14 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     rows = keyed if keyed is not None else with_keys(docs, id_col, text_col)
     kind = rows.schema["_id"].dataType.simpleString()
     phrases = rows.mapInArrow(_phrases(length), f"key bigint, hs bigint, _id {kind}, _td bigint, t int, hi smallint, lo smallint, again boolean")
-    variant = Window.partitionBy("key", "hs").orderBy("again", F.col("_id").asc_nulls_first(), "_td", "t")
-    context = Window.partitionBy("key")
+    hot = hot_contexts(rows, length).withColumn("hot", F.lit(True))
+    dealt = phrases.join(F.broadcast(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    # A hot context is dealt by phrase; it has several phrases for certain.
+    dealt = dealt.withColumn("at", F.when(F.col("hot"), F.xxhash64("key", "hs")).otherwise(F.col("key"))).repartition("at")
+    variant = Window.partitionBy("at", "key", "hs").orderBy("again", F.col("_id").asc_nulls_first(), "_td", "t")
+    context = Window.partitionBy("at", "key")
     live = F.when(~F.col("again"), F.col("hs"))
-    told = (phrases.repartition("key")
+    told = (dealt
             .withColumn("first_id", F.first("_id").over(variant)).withColumn("first_td", F.first("_td").over(variant))
             .withColumn("first_t", F.first("t").over(variant))
             .withColumn("lo_hs", F.min(live).over(context)).withColumn("hi_hs", F.max(live).over(context)))
@@ -261,7 +307,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             & (F.col("t") == F.col("first_t")))
     repeat = F.col("again") | ~same
     told = materialize(told.select("key", "_id", "_td", "t", "hi", "lo", repeat.alias("repeat"),
-                                   (F.col("lo_hs") != F.col("hi_hs")).alias("mixed"))
+                                   (F.col("hot") | (F.col("lo_hs") != F.col("hi_hs"))).alias("mixed"))
                        .where("repeat OR mixed"), "phrases")
     whole_phrases = told.where("repeat").select(
         "_id", "_td", (F.col("t") - F.col("hi")).cast("long").alias("from"),

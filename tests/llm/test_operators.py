@@ -262,6 +262,21 @@ def test_repeated_strings_settles_contexts_across_batches(spark, monkeypatch):
     assert {r.doc_id: (r.n_removed, bytes(r.kept)) for r in got} == {i: (v[1], v[3]) for (i, _), v in want.items()}
 
 
+def test_repeated_strings_deals_hot_contexts_by_phrase(spark, monkeypatch):
+    """Every context with two phrases in a batch is hot: the same answer."""
+    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 10**6)
+    rng = random.Random(6)
+    shared = prose(rng, 40)
+    rows = [(i, prose(rng, 9) + shared[:rng.randint(150, len(shared))] + prose(rng, i % 9)) for i in range(40)]
+    rows += [(100 + i, rows[i][1]) for i in range(10)] + [(None, rows[3][1]), (200, None), (201, "")]
+    d = docs(spark, rows).repartition(4).cache()
+    keyed = suffix_dedup.with_keys(d, "doc_id", "text")
+    assert suffix_dedup.hot_contexts(keyed, 64).count() > 1
+    want = cut(brute_repeats(rows, 64), 64)
+    got = suffix_dedup.remove_repeats(d, 64, with_text=True, min_slice=2).collect()
+    assert {r.doc_id: (r.n_removed, bytes(r.kept)) for r in got} == {i: (v[1], v[3]) for (i, _), v in want.items()}
+
+
 # --- token files ----------------------------------------------------------------------------
 
 def test_rans_round_trip_checkpoints_and_checksum():
