@@ -12,13 +12,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import as_col, let
+from ..functions import as_col
 from ..functions.draws import draw
 from ..functions.text import (normalize_for_match, normalize_tokens_for_match, strip, words)
 from ..layout import by_key
 from ..markers import KEYWORD_WEIGHT, OTHER_WEIGHT
 from ..session import materialize
-from .grams import as_set, bind_orders, gram_total, place_bits, shared, shared_items, shared_without
+from .overlaps import item_hashes, matched_places, net_matches, pair_matches
 
 ORDERS = (1, 2, 3, 4)
 EPSILON, ALPHA, K = 0.1, 5.0, 5.0  # fixed values: smoothing constants
@@ -35,34 +35,25 @@ def pair_stats(preds: DataFrame, keys: list[str], hyp: Column | str, ref: Column
 
     A projection: rows stay where they are.
     """
-    def build(hs, rs):
-        h, r = hs[0].grams, rs[0].grams
-        cols = [F.size(h).alias("hyp_len"), F.size(r).alias("ref_len")]
-        for n in orders:
-            cols += [shared(hs[n - 1], rs[n - 1]).alias(f"m{n}"),
-                     gram_total(h, n).alias(f"h{n}"), gram_total(r, n).alias(f"r{n}")]
-        if keywords is None:
-            return F.struct(*cols)
-
-        # Every token weighs OTHER_WEIGHT, a keyword that much more.
-        def weighted(kh, kr, m1):
-            extra = KEYWORD_WEIGHT - OTHER_WEIGHT
-            return F.struct(*cols, *[
-                (F.lit(OTHER_WEIGHT) * of + F.lit(extra) * kw).alias(name) for name, of, kw in (
-                    ("wm", m1, shared_items(kh, kr)), ("wr", F.size(r), F.size(kr)))])
-
-        def only(tokens):
-            return F.filter(tokens, lambda t: t.isin(*[F.xxhash64(F.lit(k)) for k in keywords]))
-
-        return let(weighted, only(h), only(r), shared(hs[0], rs[0]))
-
-    return _per_row(preds, keys, build, max(orders), hyp, ref)
-
-
-def _per_row(df: DataFrame, keys: list[str], build, orders: int, *sides) -> DataFrame:
-    """keys plus the fields of ``build``; a generator, so it is evaluated once."""
-    none = F.array().cast("array<string>")
-    stats = bind_orders(build, orders, *[F.coalesce(as_col(s), none) for s in sides])
+    top = max(orders)
+    hashed = preds.select(*keys, item_hashes(hyp, keywords).alias("_h"), item_hashes(ref, keywords).alias("_r"))
+    made = _fields(hashed, keys, pair_matches(F.col("_h"), F.col("_r"), top, keywords is not None))
+
+    def rest(length, n):
+        return F.greatest(F.col(f"{length}") - (n - 1), F.lit(0))
+
+    cols = [F.col("hyp_len"), F.col("ref_len")]
+    for n in orders:
+        cols += [F.col(f"m{n}"), rest("hyp_len", n).alias(f"h{n}"), rest("ref_len", n).alias(f"r{n}")]
+    # Every token weighs OTHER_WEIGHT, a keyword that much more.
+    if keywords is not None:
+        cols += [(F.lit(OTHER_WEIGHT) * F.col(f"{of}") + F.lit(KEYWORD_WEIGHT - OTHER_WEIGHT) * F.col(f"{kw}")).alias(name)
+                 for name, of, kw in (("wm", "m1", "mk"), ("wr", "ref_len", "rk"))]
+    return made.select(*keys, *cols)
+
+
+def _fields(df: DataFrame, keys: list[str], stats: Column) -> DataFrame:
+    """keys plus the fields of ``stats``; a generator, so it is evaluated once."""
     return df.select(*keys, F.inline(F.array(stats)))
 
 
@@ -71,28 +62,16 @@ def multi_ref_stats(preds: DataFrame, refs: DataFrame, key: str, hyp: Column | s
     """As ``pair_stats`` with several references per row.
 
     An n-gram matches up to its largest count in any reference: with repeats numbered, the
-    matches are the union over references of the hypothesis' and the reference's sets.  The
-    hypothesis' set is made once, a reference leaves a bitmap of its matched places, and
-    bitmaps are united word by word: no n-gram leaves its row, and only the texts are shuffled.
+    matches are the union over references of the hypothesis' places they match.  A reference
+    leaves a bitmap of those places, and bitmaps are united word by word: no n-gram leaves its
+    row, and only texts and their tokens' hashes are shuffled.
     ``ref_len`` is the shortest and ``close_len`` the closest reference length.
     """
-    none = F.array().cast("array<string>")
-    hyps, places = [f"_h{n}" for n in ORDERS], [f"_p{n}" for n in ORDERS]
-
-    def sets(bags):
-        return F.struct(F.size(bags[0].grams).cast("long").alias("len"),
-                        *[as_set(bag).alias(name) for bag, name in zip(bags, hyps)])
-
-    own = by_key(preds, key).select(key, F.inline(F.array(bind_orders(
-        sets, max(ORDERS), F.coalesce(as_col(hyp), none))))).withColumnRenamed("len", "hyp_len")
-    each = by_key(refs, key).select(key, F.coalesce(as_col(ref), none).alias("_r"))
-
-    def bits(bags):
-        return F.struct(F.size(bags[0].grams).cast("long").alias("len"), *[
-            let(place_bits, h, F.array_intersect(h, as_set(bag))).alias(p)
-            for bag, h, p in zip(bags, hyps, places)])
-
-    paired = each.join(own, key).select(key, "hyp_len", F.inline(F.array(bind_orders(bits, max(ORDERS), F.col("_r")))))
+    places = [f"p{n}" for n in ORDERS]
+    own = by_key(preds, key).select(key, item_hashes(hyp).alias("_h"))
+    each = by_key(refs, key).select(key, item_hashes(ref).alias("_r"))
+    sized = each.join(own, key).withColumn("hyp_len", F.size("_h").cast("long"))
+    paired = _fields(sized, [key, "hyp_len"], matched_places(F.col("_h"), F.col("_r"), max(ORDERS)))
 
     def entry(n, word, mask, size):
         return F.struct(F.lit(n).alias("n"), word.alias("word"), mask.alias("mask"), size.cast("long").alias("len"))
@@ -118,14 +97,12 @@ def gleu_stats(preds: DataFrame, keys: list[str], src: Column | str, hyp: Column
                ref: Column | str) -> DataFrame:
     """Per row: lengths and per order ``g`` = matches with the reference less matches with
     source n-grams the reference does not have, not below 0; ``d`` = hypothesis n-grams."""
-    def build(ss, hs, rs):
-        cols = [F.size(hs[0].grams).alias("hyp_len"), F.size(rs[0].grams).alias("ref_len")]
-        for n, s, h, r in zip(ORDERS, ss, hs, rs):
-            net = shared(h, r) - shared_without(h, s, r)
-            cols += [F.greatest(net, F.lit(0)).alias(f"g{n}"), gram_total(hs[0].grams, n).alias(f"d{n}")]
-        return F.struct(*cols)
-
-    return _per_row(preds, keys, build, max(ORDERS), src, hyp, ref)
+    hashed = preds.select(*keys, item_hashes(src).alias("_s"), item_hashes(hyp).alias("_h"), item_hashes(ref).alias("_r"))
+    made = _fields(hashed, keys, net_matches(F.col("_s"), F.col("_h"), F.col("_r"), max(ORDERS)))
+    cols = [F.col("hyp_len"), F.col("ref_len")]
+    for n in ORDERS:
+        cols += [F.col(f"g{n}"), F.greatest(F.col("hyp_len") - (n - 1), F.lit(0)).alias(f"d{n}")]
+    return made.select(*keys, *cols)
 
 
 def total(stats: DataFrame, *slices: str, exprs: dict[str, Column] | None = None,

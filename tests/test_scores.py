@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -106,3 +107,21 @@ def test_composite_with_missing_part_is_null(spark):
     one_row = spark.createDataFrame([(0.5,)], "score double")
     parts = {"a": one_row, "b": one_row.withColumn("score", F.lit(None).cast("double"))}
     assert S.composite(parts, {"a": 0.5, "b": 0.5}).first()["composite"] is None
+
+
+def test_row_statistics_of_long_repetitive_sides_are_not_quadratic(spark):
+    """Every n-gram twice on both sides: looking each repeat up in a list of all n-grams took minutes."""
+    df = spark.range(1).select(F.col("id").alias("k"), F.transform(
+        F.sequence(F.lit(0), F.lit(119999)), lambda i: (i % 60000).cast("string")).alias("h"))
+    start = time.time()
+    got = S.gleu_stats(df.withColumn("s", F.slice("h", 1, 7)).withColumn("r", F.slice("h", 60000, 10)), ["k"], "h", "h", "r").first()
+    assert got["hyp_len"] == 120000 and got["g1"] == 0 and got["d4"] == 119997
+    assert time.time() - start < 30
+
+
+def test_row_statistics_are_counted_in_batches(spark):
+    df = spark.range(3).select(F.col("id").alias("k"), F.array(F.lit("a"), F.lit("b"), F.lit("a")).alias("h"))
+    for stats in (S.pair_stats(df, ["k"], "h", "h", ["a"]), S.gleu_stats(df, ["k"], "h", "h", "h")):
+        assert "ArrowEvalPython" in stats._jdf.queryExecution().executedPlan().toString()
+    assert {(r["m1"], r["m2"], round(r["wm"], 6), round(r["wr"], 6)) for r in S.pair_stats(df, ["k"], "h", "h", ["a"]).collect()} == {
+        (3, 2, 2.2, 2.2)}
