@@ -95,3 +95,9 @@ def test_streamed_score_equals_batch(spark, tmp_path):
     got = {r["s"]: r["bleu"] for r in jobs.read_scores(spark, str(tmp_path / "sums"), "s").collect()}
     want = {r["s"]: r["bleu"] for r in corpus_bleu(df, "k", words("h"), words("r"), "s").collect()}
     assert got == pytest.approx(want)
+
+
+def test_numbering_shuffles_no_line(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x\ny\n")
+    plan = numbered_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan and "SortMergeJoin" not in plan
