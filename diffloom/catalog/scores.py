@@ -266,14 +266,13 @@ query("keyword_lookup", f"""WITH {PREDICTIONS}, {BENCH_WORDS}, t AS (
 
 
 def features(spark, sf):
-    def side(col, name):
-        return let(lambda t: F.transform(t, lambda w, i: F.struct(
-            F.lit(name).alias("side"), F.concat_ws(" ", w, F.get(t, i + 1)).alias("sig"),
-            (i % 3).alias("depth"))), col)
+    def sigs(col):
+        return let(lambda t: F.transform(t, lambda w, i: F.concat_ws(" ", w, F.get(t, i + 1))), col)
 
     p = predictions(spark, sf).select(
         "row_id", "lang", gold_words().alias("gold"), pred_words().alias("pred"))
-    return p.select("row_id", "lang", F.inline(F.concat(side("gold", "ref"), side("pred", "cand"))))
+    return p.select("row_id", "lang", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("side"), sigs(col).alias("sigs")) for name, col in (("ref", "gold"), ("cand", "pred"))])))
 
 
 def _sql_sigs(col, side):
@@ -288,15 +287,13 @@ FEATURES = f"""{PREDICTIONS}, features AS ({_sql_sigs('gold', 'ref')} UNION ALL
 query("structure_match", f"""WITH {FEATURES} SELECT lang,
     coalesce(sum(r) FILTER (c > 0), 0)::BIGINT AS matched, sum(r)::BIGINT AS total,
     round(coalesce(sum(r) FILTER (c > 0), 0)::DOUBLE / sum(r), 6) AS score FROM sigs GROUP BY lang""")(
-    lambda spark, sf: rounded(S.structure_match(features(spark, sf), "row_id", "side", "sig", "lang"),
+    lambda spark, sf: rounded(S.structure_match(features(spark, sf), "row_id", "side", "sigs", "lang"),
                               "score"))
 
 query("containment_join", f"""WITH {FEATURES} SELECT lang, count(*) AS n FROM features f
     WHERE side = 'ref' AND EXISTS (SELECT 1 FROM features g WHERE g.side = 'cand'
         AND g.row_id = f.row_id AND g.sig = f.sig) GROUP BY lang""")(
-    lambda spark, sf: (lambda f: f.where("side = 'ref'").join(
-        f.where("side = 'cand'").select("row_id", "sig"), ["row_id", "sig"], "left_semi")
-        .groupBy("lang").agg(F.count("*").alias("n")))(features(spark, sf)))
+    lambda spark, sf: S.containment(features(spark, sf), "row_id", "side", "sigs", "lang"))
 
 
 def edges(spark, sf):
@@ -306,13 +303,14 @@ def edges(spark, sf):
 
 def flows(p):
     """Every word of ``ref`` and ``cand`` feeds the next one."""
-    def side(col):
+    def feeds(col):
         return let(lambda t: F.transform(t, lambda w, i: F.struct(
-            F.lit(col).alias("side"), i.alias("pos"), w.alias("name"), F.lit("comesFrom").alias("rel"),
+            i.alias("pos"), w.alias("name"), F.lit("comesFrom").alias("rel"),
             F.when(i > 0, F.array(F.get(t, i - 1))).otherwise(
                 F.array().cast("array<string>")).alias("parents"))), col)
 
-    return p.select("row_id", F.inline(F.concat(side("ref"), side("cand"))))
+    return p.select("row_id", F.inline(F.array(*[
+        F.struct(F.lit(col).alias("side"), feeds(col).alias("edges")) for col in ("ref", "cand")])))
 
 
 def _sql_flow(col):
@@ -353,7 +351,7 @@ def _composite(spark, sf):
 
     sides = p.select("row_id", gold_words().alias("ref"), pred_words().alias("cand"))
     parts = {"ngram": part("e_"), "keyword": part("k_"),
-             "structure": S.structure_match(features(spark, sf), "row_id", "side", "sig"),
+             "structure": S.structure_match(features(spark, sf), "row_id", "side", "sigs"),
              "flow": S.flow_match(flows(sides), "row_id", "side")}
     out = S.composite(parts, dict.fromkeys(parts, 0.25))
     return rounded(out, *out.columns)

@@ -167,3 +167,58 @@ def matched_places(hyp: Column, ref: Column, orders: int) -> Column:
         return pa.StructArray.from_arrays([pa.array(np.concatenate([none, *lengths]), pa.int64()), *lists], ["len", *names])
 
     return places(hyp, ref)
+
+
+def contained(items: Column, among: Column) -> Column:
+    """How many of the hashed ``items``, repeats counted, occur in ``among``."""
+    def count(sides):
+        grams = next(grams_of(sides, 1))
+        return [grams.per_row(np.where(grams.counts[1] > 0, grams.counts[0], 0))]
+
+    return _counted(["n"], count)(items, among)["n"]
+
+
+def _first_seen(codes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For each item the number, from 1, of its code in order of first appearance within its row; codes tell rows apart."""
+    first, back = np.unique(codes, return_index=True, return_inverse=True)[1:]
+    order = np.argsort(first)
+    rank = np.empty(len(first), np.int64)
+    rank[order] = np.arange(len(first))
+    # Rows come in order, so the codes of a row have ranks in a row.
+    opens = np.concatenate([[True], rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, bool)
+    least = rank[back][opens]
+    return rank[back] - np.repeat(least, np.diff(np.append(np.flatnonzero(opens), len(rows)))) + 1
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def normalized_edges(rel: pa.Array, sizes: pa.Array, names: pa.Array) -> pa.Array:
+    """A hash per edge, told by its relation and its names numbered by first appearance in the row.
+
+    Per row and in reading order: the edges' relations, how many names each has, and all names.
+    """
+    edge_values, edges = _lists(rel)
+    relation = np.asarray(edge_values.to_numpy(zero_copy_only=False), np.int64)
+    width = np.asarray(_lists(sizes)[0].to_numpy(zero_copy_only=False), np.int64)
+    parts = []
+    name_values, cuts = _lists(names)
+    tokens = np.asarray(name_values.to_numpy(zero_copy_only=False), np.int64)
+    for start, stop in _runs(cuts):
+        lo, hi = cuts[start], cuts[stop]
+        rows = _rows_of(cuts[start:stop + 1] - lo)
+        codes = _dense(rows, np.unique(tokens[lo:hi], return_inverse=True)[1])
+        own = width[edges[start]:edges[stop]]
+        begins = np.concatenate([[0], np.cumsum(own)[:-1]]).astype(np.int64)
+        # The last name is the variable, told apart from its parents by the place 0.
+        place = np.arange(hi - lo) - np.repeat(begins, own) + 1
+        place[begins + own - 1] = 0
+        mixed = _mixed(_first_seen(codes, rows).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _mixed(place.astype(np.uint64) + np.uint64(1)))
+        whole = np.add.reduceat(mixed, begins) if len(own) else np.zeros(0, np.uint64)
+        parts.append(_mixed(whole ^ relation[edges[start]:edges[stop]].astype(np.uint64)).astype(np.int64))
+    flat = np.concatenate([np.zeros(0, np.int64), *parts])
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat, pa.int64()))

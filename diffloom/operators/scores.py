@@ -10,15 +10,14 @@ import math
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import as_col
 from ..functions.draws import draw
 from ..functions.text import (normalize_for_match, normalize_tokens_for_match, strip, words)
 from ..layout import by_key
 from ..markers import KEYWORD_WEIGHT, OTHER_WEIGHT
-from ..session import materialize
-from .overlaps import item_hashes, matched_places, net_matches, pair_matches
+from .overlaps import contained, item_hashes, matched_places, net_matches, normalized_edges, pair_matches
 
 ORDERS = (1, 2, 3, 4)
 EPSILON, ALPHA, K = 0.1, 5.0, 5.0  # fixed values: smoothing constants
@@ -269,43 +268,66 @@ def keyword_recall(preds: DataFrame, key: str, hyp, ref, keywords: list[str], *s
     return smoothed_form(total(stats, *slices, exprs=keyword_inputs(true_length)))
 
 
-def structure_match(features: DataFrame, key: str, side: str, sig: str, *slices: str) -> DataFrame:
-    """(slices, matched, total, score): share of reference feature rows whose signature
-    the candidate also has, however often.  One aggregate per (row, signature), no join."""
-    per_sig = features.groupBy(key, *slices, sig).agg(
-        F.count_if(F.col(side) == "ref").alias("r"), F.count_if(F.col(side) == "cand").alias("c"))
-    return per_sig.groupBy(*slices).agg(
-        F.sum(F.when(F.col("c") > 0, F.col("r")).otherwise(0)).alias("matched"),
-        F.sum("r").alias("total")).withColumn("score", F.try_divide("matched", "total"))
+def by_side(df: DataFrame, keys: list[str], side: str, items: Column) -> DataFrame:
+    """(keys, ref, cand): the array ``items`` of both sides' rows, one after the other."""
+    packed = df.select(*keys, F.col(side).alias("_side"), items.alias("_items"))
+    return packed.groupBy(*keys).agg(*[
+        F.flatten(F.collect_list(F.when(F.col("_side") == name, F.col("_items")))).alias(name) for name in ("ref", "cand")])
+
+
+def structure_match(features: DataFrame, key: str, side: str, sigs: str, *slices: str) -> DataFrame:
+    """(slices, matched, total, score): share of reference features whose signature
+    the candidate also has, however often.  A feature row holds an array of signatures, so
+    what is grouped is a row per text; features meet inside their row as 64-bit hashes."""
+    paired = by_side(features, [key, *slices], side, item_hashes(sigs))
+    counted = paired.select(*slices, contained(F.col("ref"), F.col("cand")).alias("_hit"), F.size("ref").alias("_all"))
+    return counted.groupBy(*slices).agg(F.sum("_hit").alias("matched"), F.sum("_all").alias("total")).withColumn(
+        "score", F.try_divide("matched", "total"))
+
+
+def containment(features: DataFrame, key: str, side: str, sigs: str, *slices: str) -> DataFrame:
+    """(slices, n): reference features that the candidate side of the same key has; rows without a key match none.
+
+    A join of the sides by key: what meets is a row per text, and signatures meet inside it as 64-bit hashes.
+    """
+    def hashed(name):
+        return features.where(F.col(side) == name).select(key, *slices, item_hashes(sigs).alias(name))
+
+    cands = hashed("cand").groupBy(key).agg(F.flatten(F.collect_list("cand")).alias("cand"))
+    counted = hashed("ref").join(cands, key).select(*slices, contained(F.col("ref"), F.col("cand")).alias("_hit"))
+    return counted.where("_hit > 0").groupBy(*slices).agg(F.sum("_hit").cast("long").alias("n"))
 
 
 def normalize_flow(edges: DataFrame, key: str, side: str) -> DataFrame:
-    """(key, side, edge): edges with variables numbered by first appearance.
+    """(key, ref, cand): hashes of edges with variables numbered by first appearance.
 
-    Input rows: ``pos``, ``name``, ``rel``, ``parents`` (names).  A text's parents count
-    as seen before the variable they feed.
+    Input rows hold an array ``edges`` of ``pos``, ``name``, ``rel``, ``parents`` (names), in
+    order of ``pos``.  A text's parents count as seen before the variable they feed.  Null
+    names are left out, and rows without a key.
     """
-    ids = edges.select(key, side, "pos", "name", "rel", "parents", F.monotonically_increasing_id().alias("_e"))
-    ids = materialize(by_key(ids, key, side), "edges")
+    def nodes(e):
+        return F.filter(F.concat(e["parents"], F.array(e["name"])), lambda x: x.isNotNull())
+
     # Every name of an edge in reading order: parents first, then the variable itself.
-    names = ids.select(key, side, "pos", "_e", "rel", F.posexplode(
-        F.concat(F.col("parents"), F.array("name"))).alias("_at", "_name"))
-    seen = names.groupBy(key, side, "_name").agg(F.min(F.struct("pos", "_e", "_at")).alias("_first"))
-    number = F.row_number().over(W.partitionBy(key, side).orderBy("_first")).cast("string")
-    numbered_names = seen.select(key, side, "_name", number.alias("_no"))
-    edge = names.join(numbered_names, [key, side, "_name"]).groupBy(key, side, "_e", "rel").agg(
-        F.sort_array(F.collect_list(F.struct("_at", "_no")))["_no"].alias("_nos"))
-    last = F.element_at("_nos", -1)
-    return edge.select(key, side, F.concat_ws("|", last, "rel", F.array_join(
-        F.slice("_nos", F.lit(1), F.size("_nos") - 1), ",")).alias("edge"))
+    named = F.filter(F.transform("edges", lambda e: F.struct(
+        e["pos"].alias("pos"), F.xxhash64(e["rel"]).alias("rel"),
+        F.transform(nodes(e), lambda x: F.xxhash64(x)).alias("nodes"))), lambda e: F.size(e["nodes"]) > 0)
+    packed = edges.where(F.col(key).isNotNull()).select(key, side, named.alias("_e")).groupBy(key, side).agg(
+        F.collect_list("_e").alias("_all"))
+    # Only texts that share a key need their edges put in one order.
+    ordered = packed.select(key, side, F.when(F.size("_all") == 1, F.get("_all", F.lit(0))).otherwise(
+        F.array_sort(F.flatten("_all"))).alias("_e"))
+    flat = ordered.select(key, side, F.col("_e.rel").alias("_rel"), F.transform("_e", lambda e: F.size(e["nodes"])).alias("_n"),
+                          F.flatten("_e.nodes").alias("_names"))
+    made = flat.select(key, side, normalized_edges(F.col("_rel"), F.col("_n"), F.col("_names")).alias("_edges"))
+    return by_side(made, [key], side, F.col("_edges"))
 
 
 def flow_match(edges: DataFrame, key: str, side: str) -> DataFrame:
     """(matched, total, score): clipped overlap of normalised edges; 0 without reference edges."""
-    per_edge = normalize_flow(edges, key, side).groupBy(key, "edge").agg(
-        F.count_if(F.col(side) == "ref").alias("r"), F.count_if(F.col(side) == "cand").alias("c"))
-    return per_edge.agg(F.coalesce(F.sum(F.least("r", "c")), F.lit(0)).alias("matched"),
-                        F.coalesce(F.sum("r"), F.lit(0)).alias("total")).withColumn(
+    sums = _fields(normalize_flow(edges, key, side), [key], pair_matches(F.col("cand"), F.col("ref"), 1, False))
+    return sums.agg(F.coalesce(F.sum("m1"), F.lit(0)).alias("matched"),
+                    F.coalesce(F.sum("ref_len"), F.lit(0)).alias("total")).withColumn(
         "score", F.coalesce(F.try_divide("matched", "total"), F.lit(0.0)))
 
 

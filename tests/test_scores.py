@@ -125,3 +125,21 @@ def test_row_statistics_are_counted_in_batches(spark):
         assert "ArrowEvalPython" in stats._jdf.queryExecution().executedPlan().toString()
     assert {(r["m1"], r["m2"], round(r["wm"], 6), round(r["wr"], 6)) for r in S.pair_stats(df, ["k"], "h", "h", ["a"]).collect()} == {
         (3, 2, 2.2, 2.2)}
+
+
+def test_features_and_edges_meet_inside_their_row(spark):
+    """One row per text: no exploded feature or edge is shuffled, whatever a text repeats."""
+    rows = [(1, "x", "ref", ["a", "a", "b", "c"]), (1, "x", "cand", ["a", "c", "d"]), (2, "x", "ref", ["a"]), (None, "y", "ref", ["a"]),
+            (None, "y", "cand", ["a"])]
+    df = spark.createDataFrame(rows, "k int, lang string, side string, sigs array<string>")
+    got = {r["lang"]: (r["matched"], r["total"]) for r in S.structure_match(df, "k", "side", "sigs", "lang").collect()}
+    assert got == {"x": (3, 5), "y": (1, 1)}
+    assert [tuple(r) for r in S.containment(df, "k", "side", "sigs", "lang").collect()] == [("x", 3)]
+
+    edge = "array<struct<pos int, name string, rel string, parents array<string>>>".replace(" int", ":int").replace(
+        " string", ":string").replace(" array", ":array")
+    flow = spark.createDataFrame([(1, "ref", [(0, "u", "r", []), (1, "v", "r", ["u"]), (2, "u", "r", ["v"])]),
+                                  (1, "cand", [(0, "p", "r", []), (1, "q", "r", ["p"]), (2, "q", "s", ["p"])])],
+                                 f"k int, side string, edges {edge}")
+    assert tuple(S.flow_match(flow, "k", "side").first())[:2] == (2, 3)
+    assert tuple(S.flow_match(flow.where("side = 'cand'"), "k", "side").first()) == (0, 0, 0.0)
