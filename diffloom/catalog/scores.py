@@ -309,7 +309,8 @@ def flows(p):
             F.when(i > 0, F.array(F.get(t, i - 1))).otherwise(
                 F.array().cast("array<string>")).alias("parents"))), col)
 
-    return p.select("row_id", F.inline(F.array(*[
+    both = p.where(F.col("ref").isNotNull() & F.col("cand").isNotNull())
+    return both.select("row_id", F.inline(F.array(*[
         F.struct(F.lit(col).alias("side"), feeds(col).alias("edges")) for col in ("ref", "cand")])))
 
 

@@ -312,11 +312,18 @@ def normalize_flow(edges: DataFrame, key: str, side: str) -> DataFrame:
     named = F.filter(F.transform("edges", lambda e: F.struct(
         e["pos"].alias("pos"), F.xxhash64(e["rel"]).alias("rel"),
         F.transform(nodes(e), lambda x: F.xxhash64(x)).alias("nodes"))), lambda e: F.size(e["nodes"]) > 0)
-    packed = edges.where(F.col(key).isNotNull()).select(key, side, named.alias("_e")).groupBy(key, side).agg(
-        F.collect_list("_e").alias("_all"))
-    # Only texts that share a key need their edges put in one order.
-    ordered = packed.select(key, side, F.when(F.size("_all") == 1, F.get("_all", F.lit(0))).otherwise(
-        F.array_sort(F.flatten("_all"))).alias("_e"))
+    rows = edges.where(F.col(key).isNotNull()).select(
+        key, side, F.struct(F.monotonically_increasing_id().alias("row"), named.alias("e")).alias("_r"))
+    packed = rows.groupBy(key, side).agg(F.collect_list("_r").alias("_all"))
+
+    def placed(r):
+        return F.transform(r["e"], lambda e, i: F.struct(
+            e["pos"].alias("pos"), r["row"].alias("row"), i.alias("i"), e["rel"].alias("rel"), e["nodes"].alias("nodes")))
+
+    # Texts that share a key are read as one, by place and then in the order of the rows.
+    merged = F.transform(F.array_sort(F.flatten(F.transform("_all", placed))), lambda x: F.struct(
+        x["pos"].alias("pos"), x["rel"].alias("rel"), x["nodes"].alias("nodes")))
+    ordered = packed.select(key, side, F.when(F.size("_all") == 1, F.get("_all", F.lit(0))["e"]).otherwise(merged).alias("_e"))
     flat = ordered.select(key, side, F.col("_e.rel").alias("_rel"), F.transform("_e", lambda e: F.size(e["nodes"])).alias("_n"),
                           F.flatten("_e.nodes").alias("_names"))
     made = flat.select(key, side, normalized_edges(F.col("_rel"), F.col("_n"), F.col("_names")).alias("_edges"))
