@@ -4,10 +4,11 @@ The longest block of equal tokens (first in the old side, then in the new) split
 what is left of it and what is right of it are split again.  Tokens that fill more than one
 hundredth of a new side of 200 or more do not start a block, they only extend one.
 
-As Spark jobs: equal tokens of a pair are joined, diagonals are folded into runs by
-gaps-and-islands, and all open intervals of all pairs are resolved together, several rounds a
-job, every job's intervals a written table.  Runs stay narrow rows; no pair is handled in one
-Python call and none is too long.
+A pair with up to ``pairs.EQUAL`` equal tokens (one of each side) is resolved in its row, in numpy
+over Arrow batches.  Pairs with more are Spark jobs: equal tokens of a pair are joined, diagonals
+are folded into runs by gaps-and-islands, and all open intervals of all pairs are resolved
+together, several rounds a job, every job's intervals a written table.  Runs stay narrow rows; no
+such pair is handled in one Python call and none is too long.
 """
 
 from __future__ import annotations
@@ -17,10 +18,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import let
 from ..functions.text import lines
 from ..session import materialize
+from .pairs import EDITS, POPULAR_FROM, POPULAR_SHARE, edits_by_blocks
 from .scripts import common_prefix, hunks_of, script_of, span
 
-#: New sides from this length on have popular tokens: more than 1 + length / POPULAR_SHARE of one token.
-POPULAR_FROM, POPULAR_SHARE = 200, 100
 #: Rounds of splitting in one job.
 ROUNDS = 4
 PAIR = ["_p", "_q"]
@@ -102,8 +102,8 @@ def _split(state: DataFrame) -> DataFrame:
     return state.select(*PAIR, F.inline(F.when(F.col("found"), own).otherwise(F.filter(moved, lambda r: r["n"] > 0))))
 
 
-def matching_blocks(sides: DataFrame) -> DataFrame:
-    """(pair, i, j, n): the matching blocks of sides (pair, a, b)."""
+def split_blocks(sides: DataFrame) -> DataFrame:
+    """(pair, i, j, n): the matching blocks of sides (pair, a, b), all open intervals in one job."""
     whole = sides.select(*PAIR, F.size("a").alias("ahi"), F.size("b").alias("bhi"))
     state = matching_runs(sides).join(whole, PAIR).select(
         *PAIR, F.lit(False).alias("found"), F.lit(0).alias("alo"), "ahi", F.lit(0).alias("blo"), "bhi", "i", "j", "n", "fi", "fn")
@@ -120,15 +120,9 @@ def matching_blocks(sides: DataFrame) -> DataFrame:
             return done
 
 
-def block_edits(df: DataFrame, a: str, b: str, out: str = "edits") -> DataFrame:
-    """Add ``out``: array<struct(i1, i2, j1, j2)>, what differs between the matching blocks, in order.
-
-    Equal pairs of sides are computed once.  Null if a side is null.
-    """
-    keyed = _pairs_by_content(df, a, b)
-    sides = materialize(keyed.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-                        .select(*PAIR, F.col(a).alias("a"), F.col(b).alias("b")).dropDuplicates(PAIR), "sides")
-    blocks = matching_blocks(sides).groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct("i", "j", "n"))).alias("blocks"))
+def _split_edits(sides: DataFrame) -> DataFrame:
+    """(pair, edits) of sides (pair, a, b) by ``split_blocks``."""
+    blocks = split_blocks(sides).groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct("i", "j", "n"))).alias("blocks"))
 
     def gaps(a, b, blocks):
         def gap(k):
@@ -146,15 +140,38 @@ def block_edits(df: DataFrame, a: str, b: str, out: str = "edits") -> DataFrame:
         return F.filter(F.transform(F.sequence(F.lit(0), F.size(blocks)), gap), lambda e: (e["i1"] < e["i2"]) | (e["j1"] < e["j2"]))
 
     none = F.array().cast("array<struct<i:int,j:int,n:int>>")
-    edits = sides.join(blocks, PAIR, "left").select(*PAIR, let(gaps, "a", "b", F.coalesce("blocks", none)).alias(out))
+    return sides.join(blocks, PAIR, "left").select(*PAIR, let(gaps, "a", "b", F.coalesce("blocks", none)).cast(EDITS).alias("edits"))
+
+
+def matching_blocks(sides: DataFrame) -> DataFrame:
+    """(pair, edits): what differs between the matching blocks of sides (pair, a, b), in order; null if a side is null."""
+    made = sides.withColumn("edits", edits_by_blocks("a", "b"))
+    # Tokens are written only of the pairs that are left.
+    left = F.col("edits").isNull() & F.col("a").isNotNull() & F.col("b").isNotNull()
+    made = materialize(made.select(*PAIR, "edits", left.alias("left"), *[F.when(left, F.col(c)).alias(c) for c in ("a", "b")]), "edits")
+    done, rest = made.where("NOT left").select(*PAIR, "edits"), made.where("left").select(*PAIR, "a", "b")
+    return done if rest.isEmpty() else done.unionByName(_split_edits(rest))
+
+
+def block_edits(df: DataFrame, a: str, b: str, out: str = "edits") -> DataFrame:
+    """Add ``out``: array<struct(i1, i2, j1, j2)>, what differs between the matching blocks, in order.
+
+    Equal pairs of sides are computed once.  Null if a side is null.
+    """
+    keyed = _pairs_by_content(df, a, b).withColumn("_both", F.col(a).isNotNull() & F.col(b).isNotNull())
+    # Missing sides stay in: a condition on them would be pushed below what computes the tokens.
+    sides = keyed.select(*PAIR, F.col(a).alias("a"), F.col(b).alias("b")).dropDuplicates(PAIR)
+    edits = matching_blocks(sides).withColumnRenamed("edits", out)
     # One row a content: rows that share one find it by a join whose hot keys Spark splits.
-    joined = keyed.join(edits.withColumn("_has", F.lit(True)), PAIR, "left")
-    return joined.withColumn(out, F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(out))).drop(*PAIR, "_has")
+    joined = keyed.join(edits, PAIR, "left")
+    return joined.withColumn(out, F.when(F.col("_both"), F.col(out))).drop(*PAIR, "_both")
 
 
 def with_block_script(df: DataFrame, a: str, b: str, out: str = "ops") -> DataFrame:
     """Add the longest-matching-block edit script of array columns ``a`` and ``b``."""
-    return block_edits(df, a, b, out).withColumn(out, script_of(F.col(out), F.size(a), F.size(b)))
+    # Sizes are taken before rows meet their edits, so sides that are not asked for are not shuffled.
+    sized = df.withColumns({"_n": F.size(a), "_m": F.size(b)})
+    return block_edits(sized, a, b, out).withColumn(out, script_of(F.col(out), F.col("_n"), F.col("_m"))).drop("_n", "_m")
 
 
 def block_hunks(pairs: DataFrame, old: str = "old_contents", new: str = "new_contents", context: int = 3) -> DataFrame:
