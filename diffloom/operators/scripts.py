@@ -12,6 +12,7 @@ from ..functions import as_col, let, once
 from ..markers import (DELETE, DELETE_END, INSERT, INSERT_END, KEEP, KEEP_END, REPLACE_END,
                        REPLACE_NEW, REPLACE_OLD)
 from ..schemas import OPCODES
+from .pairs import edits_by_anchors
 
 STRINGS = "array<string>"
 #: Keywords of token and command streams.
@@ -61,89 +62,14 @@ def trim_script(a, b) -> Column:
         a, b)
 
 
-def _unique_pairs(a: Column, b: Column) -> Column:
-    """array<struct(i, j)> of tokens that occur once on each side, by ``i``: one sort, then neighbours."""
-    def tagged(x, side):
-        return F.transform(x, lambda t, i: F.struct(t.alias("t"), F.lit(side).alias("side"), i.alias("at")))
-
-    def pick(s):
-        def token(k):
-            return F.get(s, k)["t"]
-
-        def once(k):
-            return ((F.get(s, k)["side"] == 0) & (F.get(s, k + 1)["side"] == 1) & (token(k) == token(k + 1))
-                    & ((k == 0) | (token(k - 1) != token(k)))
-                    & ((k + 2 >= F.size(s)) | (token(k + 2) != token(k))))
-
-        at = F.filter(F.when(F.size(s) > 1, F.sequence(F.lit(0), F.size(s) - 2)).otherwise(
-            F.array().cast("array<int>")), once)
-        return F.array_sort(F.transform(at, lambda k: F.struct(
-            F.get(s, k)["at"].alias("i"), F.get(s, k + 1)["at"].alias("j"))))
-
-    return let(pick, F.array_sort(F.concat(tagged(a, 0), tagged(b, 1))))
-
-
-def _in_order(pairs: Column) -> Column:
-    """The pairs that cross no other pair: the running maximum of ``j`` from the left and the
-    running minimum from the right both equal their own ``j``.
-
-    Running values are taken over blocks of about the square root of the length, so nothing
-    is copied per element.
-    """
-    def keep(pairs, j, width):
-        blocks = F.sequence(F.lit(0), F.floor((F.size(j) - 1) / width).cast("int"))
-
-        def block(g):
-            return F.slice(j, g * width + 1, width)
-
-        def test(highest, lowest):
-            def ok(x, k):
-                g = F.floor(k / width).cast("int")
-                before = F.greatest(F.array_max(F.slice(highest, F.lit(1), g)),
-                                    F.array_max(F.slice(j, g * width + 1, k - g * width + 1)))
-                after = F.least(F.array_min(F.slice(lowest, g + 2, F.size(lowest))),
-                                F.array_min(F.slice(j, k + 1, width - (k - g * width))))
-                return (before == x["j"]) & (after == x["j"])
-
-            return F.filter(pairs, ok)
-
-        return let(test, F.transform(blocks, lambda g: F.array_max(block(g))),
-                   F.transform(blocks, lambda g: F.array_min(block(g))))
-
-    return let(lambda pairs: F.when(F.size(pairs) == 0, pairs).otherwise(
-        let(keep, pairs, pairs["j"], F.ceil(F.sqrt(F.size(pairs))).cast("int"))), pairs)
-
-
 def anchored_edits(a, b) -> Column:
     """array<struct(i1, i2, j1, j2)>: the parts that differ, in order; one algorithm for all sizes.
 
     Tokens that occur once on each side and cross no other such token are anchors; between
     neighbouring anchors, what is left after the common prefix and suffix is one edit.
+    A Python function of whole columns, so it cannot stand inside a lambda.
     """
-    def gaps(a, b, anchors):
-        def edit(k):
-            last, here = F.get(anchors, k - 1), F.get(anchors, k)
-            i1, j1 = F.coalesce(last["i"] + 1, F.lit(0)), F.coalesce(last["j"] + 1, F.lit(0))
-            i2, j2 = F.coalesce(here["i"], F.size(a)), F.coalesce(here["j"], F.size(b))
-
-            def trim(x, y, i1, j1, i2, j2):
-                def cut(p):
-                    def rest(z):
-                        return F.reverse(F.slice(z, p + 1, F.size(z)))
-
-                    return let(lambda s: F.struct((i1 + p).alias("i1"), (i2 - s).alias("i2"),
-                                                  (j1 + p).alias("j1"), (j2 - s).alias("j2")),
-                               let(common_prefix, rest(x), rest(y)))
-
-                return let(cut, common_prefix(x, y))
-
-            return F.when((i1 < i2) | (j1 < j2), let(trim, span(a, i1, i2), span(b, j1, j2), i1, j1, i2, j2))
-
-        # Index -1 and the one after the last anchor are the texts' ends.
-        return F.filter(F.transform(F.sequence(F.lit(0), F.size(anchors)), edit),
-                        lambda e: e.isNotNull() & ((e["i1"] < e["i2"]) | (e["j1"] < e["j2"])))
-
-    return let(lambda a, b: let(lambda anchors: gaps(a, b, anchors), _in_order(_unique_pairs(a, b))), a, b)
+    return edits_by_anchors(as_col(a), as_col(b))
 
 
 def script_of(edits, n, m) -> Column:
@@ -170,7 +96,7 @@ def script_of(edits, n, m) -> Column:
 
 def anchored_script(a, b) -> Column:
     """The anchored edit script of two token arrays."""
-    return let(lambda a, b: script_of(anchored_edits(a, b), F.size(a), F.size(b)), a, b)
+    return script_of(anchored_edits(a, b), F.size(a), F.size(b))
 
 
 def with_script(df: DataFrame, a: str, b: str, out: str = "ops") -> DataFrame:
@@ -205,7 +131,8 @@ def hunks_of(a, b, edits, context: int = 3) -> Column:
         return let(lambda starts: F.transform(starts, lambda s, g: hunk(
             s, F.coalesce(F.get(starts, g + 1), F.size(edits)))), starts)
 
-    return let(lambda a, b, e: F.when(F.size(e) == 0, F.array().cast(STRINGS)).otherwise(build(a, b, e)), a, b, edits)
+    # The edits are bound first, outside of any lambda.
+    return let(lambda e, a, b: F.when(F.size(e) == 0, F.array().cast(STRINGS)).otherwise(build(a, b, e)), edits, a, b)
 
 
 def _labelled(label: str, tokens: Column) -> Column:
