@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions import as_col, let
 from ..functions.draws import numbers
-from ..functions.text import ngrams
-from ..layout import by_key
+from ..layout import by_key, by_repeats
+from .suffixes import _lists, _runs
 
 MAX_ORDER = 4
 SEP = "\u001f"
@@ -24,33 +28,57 @@ def gram_counts(df: DataFrame, keys: list[str], sides: dict[str, Column | str],
     """Rows (keys, n, gram, <side>...) with the count of each n-gram on each side.
 
     Sides may be expressions over raw text (``words("pred")``): they are evaluated after
-    the rows are laid out by key, so only the text is shuffled.
+    the rows are laid out by key, so only the text is shuffled.  The n-grams of a row are
+    counted over its Arrow batch; only rows that share their keys are grouped after that.
 
     Order 0 carries one row per key with the token counts of the sides, so rows
     without any n-gram stay in the result.
     """
     names = list(sides)
 
-    def one_side(side: int):
-        def build(tokens):
-            def entry(n, gram, cnt):
-                return F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), gram.alias("gram"),
-                                cnt.cast("long").alias("cnt"))
-
-            def runs(n):
-                return F.transform(ngrams(tokens, n, sep=SEP), lambda g: entry(n, g, F.lit(1)))
-
-            return F.concat(F.array(entry(0, F.lit(""), F.size(tokens))),
-                            *[runs(n) for n in range(1, max_order + 1)])
-
-        return let(build, F.coalesce(F.col(f"_s{side}"), F.array().cast("array<string>")))
-
-    staged = by_key(df, *keys).select(
-        *keys, *[as_col(c).alias(f"_s{i}") for i, c in enumerate(sides.values())])
-    flat = staged.select(*keys, F.inline(F.concat(*[one_side(i) for i in range(len(names))])))
-    return flat.groupBy(*keys, "n", "gram").agg(*[
-        F.sum(F.when(F.col("side") == i, F.col("cnt")).otherwise(0)).alias(name)
-        for i, name in enumerate(names)])
+    def counted(rows):
+        staged = rows.select(*keys, *[F.coalesce(as_col(c), F.array().cast("array<string>")).alias(f"_s{i}")
+                                      for i, c in enumerate(sides.values())])
+        schema = StructType([*staged.schema[:len(keys)], StructField("n", IntegerType()), StructField("gram", StringType()),
+                             *[StructField(name, LongType()) for name in names]])
+        return staged.mapInArrow(_row_grams(len(keys), names, max_order), schema)
+
+    once, again = by_repeats(by_key(df, *keys), *keys)
+    return counted(once).unionByName(counted(again).groupBy(*keys, "n", "gram").agg(*[F.sum(c).alias(c) for c in names]))
+
+
+def _row_grams(n_keys: int, names: list[str], max_order: int):
+    """Batches (keys, sides) to batches (keys, n, gram, counts), one row per key row and gram."""
+    def grams(batches):
+        for batch in batches:
+            sides = [_lists(c) for c in batch.columns[n_keys:]]
+            for start, stop in _runs(sum(o for _, o in sides)):
+                own = batch.slice(start, stop - start).select(range(n_keys))
+                sizes = [np.diff(o[start:stop + 1]) for _, o in sides]
+                tokens = [v.slice(o[start], o[stop] - o[start]) for v, o in sides]
+                yield table(own, 0, np.arange(stop - start), pa.array([""] * (stop - start), pa.string()), sizes)
+                for n in range(1, max_order + 1):
+                    found = [runs(t, size, n) for t, size in zip(tokens, sizes)]
+                    rows, side = np.concatenate([r for r, _ in found]), np.repeat(np.arange(len(found)), [len(r) for r, _ in found])
+                    coded = pa.concat_arrays([g for _, g in found]).dictionary_encode()
+                    code = np.asarray(coded.indices.to_numpy(zero_copy_only=False), np.int64)
+                    pairs, at = np.unique((rows << 32) | code, return_inverse=True)
+                    yield table(own, n, pairs >> 32, coded.dictionary.take(pa.array(pairs & 0xffffffff)),
+                                [np.bincount(at[side == s], minlength=len(pairs)) for s in range(len(found))])
+
+    def runs(tokens, sizes, n):
+        """Rows and texts of the runs of ``n`` tokens; null tokens are skipped in a text."""
+        many = np.maximum(sizes - (n - 1), 0)
+        rows = np.repeat(np.arange(len(sizes)), many)
+        at = np.arange(len(rows)) + np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(many) - many), many)
+        return rows, pc.binary_join_element_wise(*[tokens.take(pa.array(at + k)) for k in range(n)], SEP, null_handling="skip")
+
+    def table(own, n, rows, texts, counts):
+        return pa.RecordBatch.from_arrays(
+            [*[c.take(pa.array(rows)) for c in own.columns], pa.array(np.full(len(rows), n, np.int32)), texts.cast(pa.string()),
+             *[pa.array(c.astype(np.int64)) for c in counts]], [*own.schema.names, "n", "gram", *names])
+
+    return grams
 
 
 class Bag(NamedTuple):

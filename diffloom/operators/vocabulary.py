@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from ..functions import as_col
-from ..layout import by_key
 from ..markers import EOS, PAD, UNK
+from .suffixes import _lists
 
 LABEL_IGNORE = -100
 
@@ -28,21 +32,43 @@ def build_vocab(df: DataFrame, tokens: str, size: int, specials: list[str]) -> D
     return fixed.unionByName(ranked)
 
 
+def _looked_up(vocab: DataFrame, of: str, into: str, kind, default=None):
+    """A function from arrays of ``of`` to as many entries of ``into``; ``default`` for those the vocabulary has not.
+
+    A vocabulary is bounded by its size, so it goes to the tasks whole.
+    """
+    known = vocab.where(F.col(of).isNotNull()).select(of, into).orderBy(of).collect()
+    sought = pa.array([r[of] for r in known], pa.string() if of == "token" else pa.int32())
+    found = pa.array([r[into] for r in known], pa.int32() if into == "id" else pa.string())
+
+    @F.arrow_udf(ArrayType(kind))
+    def look(items: pa.Array) -> pa.Array:
+        flat, offsets = _lists(items)
+        out = found.take(pc.index_in(flat, value_set=sought, skip_nulls=True))
+        if default is not None:
+            out = pc.if_else(pc.and_(out.is_null(), flat.is_valid()), default, out)
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), out)
+
+    return look
+
+
+def _by_place(parts: str, flat: Column) -> Column:
+    """``flat``, entries of all arrays of ``parts`` one after the other, without nulls and by their place in their array."""
+    places = F.flatten(F.transform(parts, lambda p: F.transform(p, lambda _, i: i)))
+    merged = F.sort_array(F.zip_with(places, flat, lambda i, x: F.struct(i.alias("i"), x.alias("x"))))
+    return F.array_compact(F.when(F.size(parts) == 1, flat).otherwise(merged["x"]))
+
+
 def lookup_ids(df: DataFrame, key: str, tokens: str, vocab: DataFrame, specials: list[str],
                out: str = "ids") -> DataFrame:
     """(key, ids): the ids of all tokens in order, then one end marker.
 
-    The lookup is an ordinary join: adaptive execution broadcasts a vocabulary it has
-    measured to be small and shuffles tokens for a larger one.
+    Tokens are looked up in their row, so what is grouped is one row of ids a text.
     """
     eos, unk = specials.index(EOS), specials.index(UNK)
-    flat = (by_key(df.select(key, F.col(tokens).alias("_t")), key)
-            .select(key, F.posexplode_outer("_t").alias("_pos", "token")))
-    known = flat.join(vocab, "token", "left")
-    gathered = known.groupBy(key).agg(F.sort_array(F.collect_list(
-        F.when(F.col("token").isNotNull(),
-               F.struct("_pos", F.coalesce("id", F.lit(unk)).alias("id"))))).alias("_p"))
-    return gathered.select(key, F.concat(F.col("_p.id"), F.array(F.lit(eos))).alias(out))
+    ids = df.select(key, _looked_up(vocab, "token", "id", IntegerType(), unk)(tokens).alias("_i"))
+    return ids.groupBy(key).agg(F.collect_list("_i").alias("_p")).select(
+        key, F.concat(_by_place("_p", F.flatten("_p")), F.array(F.lit(eos))).alias(out))
 
 
 def encode(df: DataFrame, key: str, tokens: str, vocab: DataFrame, length: int,
@@ -62,12 +88,9 @@ def ignore_labels(ids) -> Column:
 
 def decode(df: DataFrame, key: str, ids: str, vocab: DataFrame, specials: list[str]) -> DataFrame:
     """(key, tokens): ids back to tokens, specials skipped."""
-    flat = (by_key(df.select(key, ids), key)
-            .select(key, F.posexplode_outer(ids).alias("_pos", "id")))
-    known = flat.join(vocab.where(F.col("id") >= len(specials)), "id", "left")
-    return known.groupBy(key).agg(F.sort_array(F.collect_list(
-        F.when(F.col("token").isNotNull(), F.struct("_pos", "token")))).alias("_p")).select(
-        key, F.col("_p.token").alias("tokens"))
+    look = _looked_up(vocab.where(F.col("id") >= len(specials)), "id", "token", StringType())
+    parts = df.select(key, F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("_i")).groupBy(key).agg(F.collect_list("_i").alias("_p"))
+    return parts.withColumn("_t", look(F.flatten("_p"))).select(key, _by_place("_p", F.col("_t")).alias("tokens"))
 
 
 def truncation_report(lengths: DataFrame, limits: DataFrame, task: str = "task") -> DataFrame:

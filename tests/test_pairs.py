@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from diffloom.operators import blocks, pairs, suffixes
 from diffloom.operators.blocks import with_block_script
+from diffloom.operators.grams import gram_counts
 from diffloom.operators.scripts import with_script
+from diffloom.operators.vocabulary import decode, lookup_ids
 from test_blocks import sides
 from test_changes import opcodes
 
@@ -70,3 +72,33 @@ def test_anchored_scripts_sort_nothing_in_expressions(spark):
     assert "array_sort" not in plan
     for r in df.withColumn("old", F.size("a")).collect():
         assert (r.ops and [tuple(o) for o in r.ops]) == (None if r.a is None or r.b is None else opcodes(r.a, r.b))
+
+
+def test_grams_of_rows_that_share_a_key(spark):
+    """Grams are counted per key: rows that share one are summed, rows of a null key too."""
+    rng = random.Random(9)
+    rows = [(rng.choice([None, *range(30)]), [rng.choice("abc") for _ in range(rng.randint(0, 9))], rng.choice([None, ["a", "b"]])) for _ in range(60)]
+    want = {}
+    for k, *texts in rows:
+        for side, t in enumerate(texts):
+            want.setdefault((k, 0, ""), [0, 0])[side] += len(t or [])
+            for n in (1, 2, 3):
+                for i in range(len(t or []) - n + 1):
+                    want.setdefault((k, n, "\x1f".join(t[i:i + n])), [0, 0])[side] += 1
+    df = gram_counts(spark.createDataFrame(rows, SCHEMA).repartition(5), ["k"], {"a": "a", "b": "b"}, 3)
+    got = df.collect()
+    found = {(r.k, r.n, r.gram): [r.a, r.b] for r in got}
+    assert len(got) == len(found) and found == want
+    # Rows per gram come counted from their batch.
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ids_and_tokens_of_rows_that_share_a_key(spark):
+    rows = [(1, ["a", "b", "x"]), (2, None), (3, ["b", "zz", None, "a"]), (1, ["b", "a"]), (None, ["a"]), (4, [])]
+    vocab = spark.createDataFrame([("<unk>", 0), ("</s>", 1), ("a", 2), ("b", 3)], "token string, id int")
+    df = spark.createDataFrame(rows, "k int, t array<string>")
+    ids = lookup_ids(df, "k", "t", vocab, ["<unk>", "</s>"])
+    assert "Generate" not in ids._jdf.queryExecution().executedPlan().toString()  # no row per token
+    assert {r.k: r.ids for r in ids.collect()} == {1: [2, 3, 2, 3, 0, 1], 2: [1], 3: [3, 0, 2, 1], None: [2, 1], 4: [1]}
+    assert {r.k: r.tokens for r in decode(ids, "k", "ids", vocab, ["<unk>", "</s>"]).collect()} == {
+        1: ["a", "b", "a", "b"], 2: [], 3: ["b", "a"], None: ["a"], 4: []}
