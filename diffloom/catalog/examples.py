@@ -128,19 +128,19 @@ def corrupt_sql(seed: str, replace: bool = False, src: str = "token_pairs", name
 
 _ctes, _inp = keep_span_sql("e4")
 query("keep_span_example", f"WITH {TOKEN_PAIRS}, {_ctes} {both(_inp, 'b', 'n')}")(
-    example(lambda: X.keep_span_example(*A, "ops", "e4", "doc_id")))
+    example(lambda: X.keep_span_example(*A, "ops", "e4", "doc_id", batched=True)))
 
 # As published: the code keeps the length of its masked form but none of its masks.
 _len = f"len({sql_collapse('a', chr(40) + 'substr(c_m, 1, p) || repeat(' + chr(39) + '0' + chr(39) + ', dn) || substr(c_m, p + 1)' + chr(41))})"
 query("keep_span_example_compat", f"""WITH {TOKEN_PAIRS}, {_ctes}, x AS (SELECT *, a[1:{_len}] AS body FROM n)
     {both(sql_collapse(framed('body'), "('0' || n_m || '0' || repeat('0', len(body)))"), 'b', 'x')}""")(
-    example(lambda: X.keep_span_example(*A, "ops", "e4", "doc_id", compat=True)))
+    example(lambda: X.keep_span_example(*A, "ops", "e4", "doc_id", compat=True, batched=True)))
 
 for _name, _replace in (("corrupted_example", False), ("corrupted_example_replace", True)):
     _cte, _body = corrupt_sql("e5", _replace)
     query(_name, f"""WITH {TOKEN_PAIRS}, {_cte}
         {both(framed(_body), "['<' || lang || '>'] || b", 'cor')}""")(
-        example(lambda r=_replace: X.corrupted_example(*A, "e5", "doc_id", r)))
+        example(lambda r=_replace: X.corrupted_example(*A, "e5", "doc_id", r, batched=True)))
 
 _ctes6, _inp6 = target_sql("e6")
 query("target_example", f"WITH {TOKEN_PAIRS}, {_ctes6} {both(_inp6, 'b', 'n')}")(
@@ -173,14 +173,14 @@ _m10 = (f"coalesce(array_to_string(list_transform(a, lambda x, i: CASE WHEN {_LA
         "THEN '1' ELSE '0' END), ''), '')")
 query("edit_content_example", f"""WITH {TOKEN_PAIRS}, {_n10}, x AS (SELECT *, {_m10} AS am FROM n)
     {both(sql_collapse(framed('a'), "('0' || n_m || '0' || am)"), 'b', 'x')}""")(
-    example(lambda: X.edit_content_example(*A, "ops", "e10", "doc_id")))
+    example(lambda: X.edit_content_example(*A, "ops", "e10", "doc_id", batched=True)))
 
 _first_stay = f"list_position(list_transform(range(1, dn + 1), lambda i: {_U10} >= 0.5), true)"
 query("edit_content_example_compat", f"""WITH {TOKEN_PAIRS}, {_n10}, x AS (SELECT *,
         coalesce({_first_stay} - 1, dn) AS hit FROM n)
     {both(sql_collapse(framed('a'), "('0' || n_m || '0' || repeat('0', p) || repeat('1', hit) || repeat('0', n - p - hit))"),
           'b', 'x')}""")(
-    example(lambda: X.edit_content_example(*A, "ops", "e10", "doc_id", compat=True)))
+    example(lambda: X.edit_content_example(*A, "ops", "e10", "doc_id", compat=True, batched=True)))
 
 _PLAN = """(CASE mid WHEN 'replace' THEN ['<REPLACE_OLD>'] || gone || ['<REPLACE_NEW>'] || came || ['<REPLACE_END>']
     WHEN 'insert' THEN ['<INSERT>'] || came || ['<INSERT_END>']

@@ -1,7 +1,10 @@
 """Training examples: masking objectives, mixtures and assembly.
 
 Every builder is a column expression ``struct(input, target)`` of token arrays, so a
-mixture is one projection over the edit-script table: no shuffle, no Python.
+mixture is one projection over the edit-script table: no shuffle.  With ``batched`` masks are
+drawn and collapsed in numpy over Arrow batches (``operators.masked``) instead of token by token
+in lambdas.  Tokens and ops must then be columns of a table: Spark plans no Python function
+whose arguments hold lambdas that use variables of outer ones, as scripts do.
 """
 
 from __future__ import annotations
@@ -17,14 +20,17 @@ from ..functions.text import strip
 from ..markers import (CHANGED_MARK, CORRUPT_TAG, GENERATE_TAG, JAVA_KEYWORDS, KEEP,
                        KEEP_SPAN_TAG, MSG_TAG, SEGMENT_TAG, STATE_TAG, UPDATED_TAG)
 from ..operators.filters import STATE_TYPE
+from ..operators.masked import (changed_runs, collapse_and_cut, collapse_runs, corrupt, kept_runs, noise_runs,
+                                shifted)
 from ..operators.scripts import edit_streams, prefix_sums, side_labels
 
 # Shares and bands.
-KEEP_SHARE = 0.3
+KEEP_SHARE, MESSAGE_SHARE = 0.3, 0.2
 DELETE_BAND, INSERT_BAND = 0.495, 0.71
 KEEP_SPAN_SHARE, CORRUPT_SHARE = 0.33, 0.66
 TAG_KEPT, TAG_CHANGED, MASK_CHANGED = 0.2, 0.5, 0.5
 SIDE_LIMIT = 250
+RUNS = "array<struct<lo:int,hi:int>>"
 
 
 def _tag(*names: str) -> Column:
@@ -50,6 +56,21 @@ def framed_mask(nl_mask, body_mask) -> Column:
     return F.concat(zero, nl_mask, zero, body_mask)
 
 
+def _head(nl) -> Column:
+    """How many tokens of ``framed`` stand before the code."""
+    return F.lit(1) if nl is None else F.size(as_col(nl)) + 2
+
+
+def framed_runs(nl, seed: str, key, body_runs=None) -> Column:
+    """Masked runs of the message, and of the code if given, as runs of ``framed``."""
+    body = F.array().cast(RUNS) if body_runs is None else shifted(body_runs, _head(nl))
+    if nl is None:
+        return body
+    n = F.size(as_col(nl))
+    runs = noise_runs(F.when(n <= 5, 0).otherwise(n), MESSAGE_SHARE, seed + "-nl", key)
+    return F.concat(shifted(runs, F.lit(1)), body)
+
+
 def example(input_: Column, target: Column) -> Column:
     return F.struct(input_.alias("input"), target.alias("target"))
 
@@ -74,12 +95,19 @@ def kept_span_mask(ops, seed: str, key) -> Column:
                                prefix_sums(F.transform(ops, kept))), as_col(ops))
 
 
-def keep_span_example(nl, lang, old, new, ops, seed: str, key, compat: bool = False) -> Column:
+def keep_span_example(nl, lang, old, new, ops, seed: str, key, compat: bool = False,
+                      batched: bool = False) -> Column:
     """Kept code spans and message words are masked; the target is the new code.
 
     ``compat`` repeats published data, where the code comes out unmasked, cut to the
     length its masked form would have had.
     """
+    if batched:
+        tokens, runs = framed(nl, lang, old), kept_runs(ops, KEEP_SHARE, seed, key)
+        if compat:
+            return example(collapse_and_cut(tokens, framed_runs(nl, seed, key), shifted(runs, _head(nl)), _head(nl)), as_col(new))
+        return example(collapse_runs(tokens, framed_runs(nl, seed, key, runs)), as_col(new))
+
     def build(old, code_mask):
         body = F.slice(old, F.lit(1), F.size(collapse_masks(old, code_mask))) if compat else old
         mask = let(lambda b: F.array_repeat(F.lit(0), F.size(b)), body) if compat else code_mask
@@ -89,11 +117,14 @@ def keep_span_example(nl, lang, old, new, ops, seed: str, key, compat: bool = Fa
     return let(build, old, kept_span_mask(ops, seed, key))
 
 
-def corrupt_tokens(tokens, seed: str, key, replace: bool = False) -> Column:
+def corrupt_tokens(tokens, seed: str, key, replace: bool = False, batched: bool = False) -> Column:
     """Per token: dropped, preceded by a sentinel, or kept; at most 99 sentinels.
 
     ``replace`` turns the otherwise kept band into sentinels as well.
     """
+    if batched:
+        return corrupt(tokens, DELETE_BAND, INSERT_BAND, replace, seed, key)
+
     def band(u):
         return (F.when(u < DELETE_BAND, 2).when(u < INSERT_BAND, 1)
                 .otherwise(3 if replace else 0))
@@ -118,8 +149,8 @@ def corrupt_tokens(tokens, seed: str, key, replace: bool = False) -> Column:
     return let(lambda t, b: let(lambda r: build(t, b, r), ranked(b)), tokens, bands)
 
 
-def corrupted_example(nl, lang, old, new, seed: str, key, replace: bool = False) -> Column:
-    return example(framed(nl, lang, corrupt_tokens(old, seed, key, replace)),
+def corrupted_example(nl, lang, old, new, seed: str, key, replace: bool = False, batched: bool = False) -> Column:
+    return example(framed(nl, lang, corrupt_tokens(old, seed, key, replace, batched)),
                    F.concat(F.array(lang_tag(lang)), as_col(new)))
 
 
@@ -159,11 +190,16 @@ def edit_tag_example(nl, lang, old, ops, seed: str, key) -> Column:
                old, side_labels(ops, "old"))
 
 
-def edit_content_example(nl, lang, old, new, ops, seed: str, key, compat: bool = False) -> Column:
+def edit_content_example(nl, lang, old, new, ops, seed: str, key, compat: bool = False,
+                         batched: bool = False) -> Column:
     """Half of the changed tokens are masked.
 
     ``compat`` stops at the first changed token that is drawn to stay.
     """
+    if batched:
+        changed = changed_runs(ops, MASK_CHANGED, seed, key, first=compat)
+        return example(collapse_runs(framed(nl, lang, old), framed_runs(nl, seed, key, changed)), as_col(new))
+
     def mask(labels):
         if not compat:
             return F.transform(labels, lambda l, i: (
