@@ -180,19 +180,22 @@ def batch_phrases(batch: pa.RecordBatch, length: int) -> dict[str, np.ndarray] |
     return p
 
 
-def _phrases(length: int):
+def _phrases(length: int, hot):
+    """Phrases as rows; ``hot`` is a broadcast of the keys of the hot contexts."""
     def run(batches):
         for batch in batches:
             p = batch_phrases(batch, length)
             if p is None:
                 continue
+            is_hot = np.isin(p["key"].view(np.int64), hot.value)
             # What is settled here moves under a key of its own, so no phrase is a hot spot.
             alone = mix(p["hs"] ^ mix((p["place"].astype(U) << U(32)) ^ p["t"].astype(U)))
             key, at = np.where(p["again"], alone, p["key"]), pa.array(p["doc"])
             table = pa.table({"key": pa.array(key.view(np.int64)), "hs": pa.array(p["hs"].view(np.int64)),
                               "_id": batch.column("_id").take(at), "_td": batch.column("_td").take(at),
                               "t": pa.array(p["t"].astype(np.int32)), "hi": pa.array(p["hi"].astype(np.int16)),
-                              "lo": pa.array(p["lo"].astype(np.int16)), "again": pa.array(p["again"])})
+                              "lo": pa.array(p["lo"].astype(np.int16)), "again": pa.array(p["again"]),
+                              "hot": pa.array(is_hot & ~p["again"])})
             yield from table.to_batches(max_chunksize=50_000)
 
     return run
@@ -294,11 +297,12 @@ def shard_repeats(length: int):
 def repeated_runs(rows: DataFrame, length: int, shard: int = SHARD) -> DataFrame:
     """(_id, _td, from, to): spans of words covered by windows that also start earlier; they may overlap."""
     kind = rows.schema["_id"].dataType.simpleString()
-    phrases = rows.mapInArrow(_phrases(length), f"key bigint, hs bigint, _id {kind}, _td bigint, t int, hi smallint, lo smallint, again boolean")
-    hot = hot_contexts(rows, length).withColumn("hot", F.lit(True))
-    dealt = phrases.join(F.broadcast(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    # At most HOT_SHARE * partitions keys; every phrase is told where it is made, without a join of all of them.
+    hot = np.asarray(hot_contexts(rows, length).toArrow().column("key"), np.int64)
+    phrases = rows.mapInArrow(_phrases(length, rows.sparkSession.sparkContext.broadcast(hot)),
+                              f"key bigint, hs bigint, _id {kind}, _td bigint, t int, hi smallint, lo smallint, again boolean, hot boolean")
     # A hot context is dealt by phrase; it has several phrases for certain.
-    dealt = dealt.withColumn("at", F.when(F.col("hot"), F.xxhash64("key", "hs")).otherwise(F.col("key"))).repartition("at")
+    dealt = phrases.withColumn("at", F.when(F.col("hot"), F.xxhash64("key", "hs")).otherwise(F.col("key"))).repartition("at")
     place = F.struct("again", F.col("_id").isNotNull().alias("has"), "_id", "_td", "t")
     variant = Window.partitionBy("at", "key", "hs").orderBy(place)
     told = dealt.withColumn("first", F.first(F.struct("_id", "_td", "t")).over(variant))

@@ -137,6 +137,23 @@ def test_hot_contexts_are_dealt_by_phrase(spark, monkeypatch):
     assert {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got} == {(i, *v) for (i, _), v in want.items()}
 
 
+def test_phrases_are_told_hot_without_a_join(spark, monkeypatch):
+    monkeypatch.setattr(automata_dedup, "HOT_SHARE", 50)
+    plans, write = {}, automata_dedup.materialize
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(automata_dedup, "materialize", seen)
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, f"{words} a{i} b{i} {words}") for i in range(60)]
+    keyed = automata_dedup.with_keys(docs(spark, rows), "doc_id", "text")
+    assert automata_dedup.hot_contexts(keyed, 20).count() > 0
+    automata_dedup.repeated_runs(keyed, 20)
+    assert "Join" not in plans["phrases"]
+
+
 def test_runs_of_empty_table_and_short_length(spark):
     assert automata_dedup.remove_repeated_runs(docs(spark, [])).collect() == []
     with pytest.raises(ValueError):
