@@ -11,7 +11,10 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
+import json
+import unicodedata
 import zlib
 from dataclasses import dataclass
 
@@ -21,31 +24,119 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import scratch_path
-from .bytes_np import buffers
+from .bytes_np import buffers, chunks
 from .common import materialize, parts, whole
 from .rans import Table, decode, encode, normalize
 
 BLOCK_IDS = 1 << 18
 CACHE = 1_000_000
+#: Bytes of text encoded at once; a longer text is encoded by itself.
+RUN = 1 << 21
+
+
+#: Kinds of characters as the pre-tokenizer tells them apart. ROUGH: apostrophes and whatever Unicode
+#: versions may class differently; GAP: white space other than the six of ASCII.
+LETTER, NUMBER, MARK, ROUGH, GAP, BREAK, BLANK = range(7)
+
+
+@functools.cache
+def kinds() -> np.ndarray:
+    """The kind of every code point; once per Python worker."""
+    kind = np.full(0x110000, ROUGH, np.uint8)
+    major = {"L": LETTER, "N": NUMBER, "M": MARK, "P": MARK, "S": MARK}
+    old = unicodedata.ucd_3_2_0
+    for n, c in enumerate(map(chr, range(0x20000))):
+        a, b = unicodedata.category(c)[0], old.category(c)[0]
+        if c.isspace() or "Z" in (a, b):
+            kind[n] = GAP
+        elif a in major and b in major and major[a] == major[b]:
+            kind[n] = major[a]
+    kind[ord("'")] = ROUGH
+    kind[[*b"\t\n\v\f\r"]] = BREAK
+    kind[ord(" ")] = BLANK
+    return kind
+
+
+def byte_alphabet() -> np.ndarray:
+    """The character that stands for each byte in a byte-level vocabulary; a space for 0xFF, which UTF-8 never holds."""
+    chars = np.arange(256, dtype="<u4")
+    hidden = np.r_[0:33, 127:161, 173]
+    chars[hidden] = 256 + np.arange(len(hidden))
+    chars[255] = ord(" ")
+    return chars
+
+
+def encodes_atoms(settings: dict) -> bool:
+    """Whether a text's ids are those of its atoms: plain byte-level BPE whose special tokens hold ``<|``."""
+    pre, model = settings["pre_tokenizer"] or {}, settings["model"]
+    return (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"]
+            and not any(settings.get(k) for k in ("normalizer", "truncation", "padding"))
+            and model["type"] == "BPE"
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+            and all("<|" in t["content"] for t in settings["added_tokens"])
+            and set(map(chr, byte_alphabet()[:255])) <= set(model["vocab"]))
+
+
+def atoms(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places where texts may be cut without a change of their ids: (starts, number per text, odd texts).
+
+    Texts are cut as the byte-level pre-tokenizer does it: a space goes with what follows it, other white
+    space is a run and its last character, and the rest is runs of letters, of numbers and of other
+    characters.  What stands between white space is not cut further if it has a rough character.  Odd texts
+    (a special token is possible, or a gap stands beside white space or an end) are to be taken whole.
+    """
+    points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4")
+    place = np.flatnonzero((raw & 0xC0) != 0x80) if len(points) < len(raw) else None
+    first = offsets if place is None else np.searchsorted(place, offsets)
+    n, odd = len(points), np.zeros(len(offsets) - 1, bool)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(len(odd), np.int64), odd
+    kind = kinds()[points]
+    head = np.zeros(n + 1, bool)  # first characters of texts, and the end
+    head[first] = True
+    white = kind >= BREAK
+    # No character before a text or after it is its neighbour.
+    before, after = np.append(False, white[:-1]) & ~head[:-1], np.append(white[1:], False) & ~head[1:]
+    hard = head[:-1] | white & ~(before & (after | head[1:]))
+    hard[1:] |= before[1:] & ~white[1:] & (kind[:-1] == BREAK)
+    cut = hard.copy()
+    cut[1:] |= (kind[1:] != kind[:-1]) & ~white[1:] & ~white[:-1]
+    rough = np.flatnonzero((kind == ROUGH) | (kind == GAP))
+    starts = np.flatnonzero(cut)
+    if len(rough):
+        units = hard[starts]
+        soft = np.zeros(int(units.sum()), bool)
+        soft[np.searchsorted(starts[units], rough, "right") - 1] = True
+        starts = starts[units | ~soft[np.cumsum(units) - 1]]
+    gap = rough[kind[rough] == GAP]
+    gap = gap[before[gap] | after[gap] | head[gap] | head[gap + 1]]
+    special = np.flatnonzero((points[:-1] == ord("<")) & (points[1:] == ord("|")))
+    odd[np.searchsorted(first[:-1], np.append(gap, special), "right") - 1] = True
+    return starts if place is None else place[starts], np.diff(np.searchsorted(starts, first)), odd
 
 
 class WordCachedEncoder:
     """Ids of texts by the tokenizers library, with a memo of words.
 
-    The tokenizer is byte-level BPE whose pre-tokenizer always breaks before a single space
-    between two other characters, so a text's ids are those of its space-separated pieces.
-    A text with other spacing around a piece, or one that could hold a special token, is
-    encoded as a whole.
+    With byte-level BPE a text's ids are those of its atoms (see ``atoms``), each encoded once
+    by the library.  Odd texts, and all texts of another tokenizer, are encoded as a whole.
     """
 
     def __init__(self, path: str, limit: int = CACHE):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
+        self.cuts = encodes_atoms(json.loads(self.tokenizer.to_str()))
+        # The same model without its pre-tokenizer, for atoms that need none.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        self.alphabet = byte_alphabet()
+        vocab = self.tokenizer.get_vocab()
+        self.id_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.id_bytes[list(vocab.values())] = [len(t) for t in vocab]
         self.limit = limit
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.clear()
 
     def clear(self):
@@ -59,62 +150,74 @@ class WordCachedEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not texts:
             return []
+        ids, sizes = self.encode_array(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(sizes)[:-1])
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, their number per text)."""
         if len(self.memo) > self.limit:
             self.clear()
-        pieces, counts = [], []
-        for t in texts:
-            p = t.split(" ")
-            p[0] = " " + p[0]  # no space stands before it; see _learn
-            pieces += p
-            counts.append(len(p))
-        known = len(self.memo)
-        at = np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces))
+        raw, offsets = buffers(texts)
+        begin, counts, odd = atoms(raw, offsets)
+        odd |= not self.cuts
+        words = pa.Array.from_buffers(pa.string(), len(begin), [
+            None, pa.py_buffer(np.append(begin, len(raw)).astype(np.int32)), pa.py_buffer(raw)])
+        if odd.any():
+            words, counts = words.filter(pa.array(np.repeat(~odd, counts))), np.where(odd, 0, counts)
+        coded = words.dictionary_encode()
+        known, keys = len(self.memo), coded.dictionary.to_numpy(zero_copy_only=False)
+        at = np.fromiter(map(self.memo.__getitem__, keys), np.int64, len(keys))
         self._learn(known)
+        at = at[np.asarray(coded.indices)]
         n = self.lens[at]
-        begin = np.cumsum(counts) - counts
-        unsafe = np.minimum.reduceat(n, begin) < 0
-        n = np.maximum(n, 0)
         ends = np.cumsum(n)
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[at] - (ends - n), n)]
-        sizes = np.add.reduceat(n, begin)
-        out = np.split(ids, np.cumsum(sizes)[:-1])
-        whole_texts = np.flatnonzero(unsafe)
-        for i, e in zip(whole_texts, self._direct([texts[i] for i in whole_texts])):
-            out[i] = np.array(e.ids, self.dtype)
-        return out
+        ids = self.flat[np.arange(n.sum()) + np.repeat(self.starts[at] - (ends - n), n)]
+        sizes = np.diff(np.append(0, ends)[np.append(0, np.cumsum(counts))])
+        if odd.any():
+            apart = np.split(ids, np.cumsum(sizes)[:-1])
+            whole_texts = np.flatnonzero(odd)
+            for i, e in zip(whole_texts, self._direct(texts.take(pa.array(whole_texts)).to_pylist())):
+                apart[i] = np.array(e.ids, self.dtype)
+            ids, sizes = np.concatenate(apart), np.array([len(x) for x in apart])
+        return ids, sizes
+
+    @staticmethod
+    def _rough(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which words hold a rough character; no word is empty."""
+        kind = kinds()[np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4")]
+        at = np.flatnonzero((kind == ROUGH) | (kind == GAP))
+        rough = np.zeros(len(offsets) - 1, bool)
+        rough[np.searchsorted(offsets, np.flatnonzero((raw & 0xC0) != 0x80)[at], "right") - 1] = True
+        return rough
 
     def _learn(self, known: int):
-        """Ids of pieces numbered from ``known`` on; a length of -1 marks one whose neighbours may matter.
-
-        Pieces hold no space, so a leading one says that none stands before the piece.
-        """
+        """Ids of the words numbered from ``known`` on."""
         fresh = self.memo.since(known)
         if not fresh:
             return
-        bare = [k[1:] if k[:1] == " " else k for k in fresh]
-        ok = [bool(w) and not w[0].isspace() and not w[-1].isspace() and "<|" not in w for w in bare]
-        # Pieces without a line break are encoded as lines of one text: a line break between two
-        # of them is a token of its own and does not change its neighbours.
-        lines, single = [], []
-        for n, (k, w, good) in enumerate(zip(fresh, bare, ok)):
-            if good:
-                (single if "\n" in w else lines).append((n, w if k[:1] == " " else " " + w))
-        lens, parts = np.full(len(fresh), -1, np.int64), []
-        place = np.zeros(len(fresh), np.int64)
-        at = 0
-        for block in (lines[i:i + 1000] for i in range(0, len(lines), 1000)):
-            ids = np.array(self._direct(["\n".join(t for _, t in block)])[0].ids, self.dtype)
-            ends = np.append(np.flatnonzero(ids == self.line_break), len(ids))
-            begin = np.concatenate([[0], ends[:-1] + 1])
-            who = np.array([n for n, _ in block])
-            place[who], lens[who] = at + begin, ends - begin
+        lens, place, parts, at = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64), [], 0
+        raw, offsets = buffers(pa.array(fresh, pa.string()))
+        rough = self._rough(raw, offsets)
+        plain = np.flatnonzero(~rough)
+        for who in (plain[i:i + 1000] for i in range(0, len(plain), 1000)):
+            joined = np.frombuffer(b"\xff".join([fresh[i].encode() for i in who]), np.uint8)
+            text = self.alphabet[joined].tobytes().decode("utf-32-le")
+            ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            # Ids are whole parts of words, so their bytes tell where words end.
+            read, ends = np.cumsum(self.id_bytes[ids]), np.cumsum(offsets[who + 1] - offsets[who])
+            last = np.searchsorted(read, ends)
+            if last[-1] + 1 != len(ids) or (read[last] != ends).any():
+                raise ValueError("the vocabulary is not byte-level")
+            begin = np.append(0, last[:-1] + 1)
+            place[who], lens[who] = at + begin, last + 1 - begin
             parts.append(ids)
             at += len(ids)
-        for (n, _), e in zip(single, self._direct([t for _, t in single])):
-            place[n], lens[n] = at, len(e)
+        apart = np.flatnonzero(rough)
+        for i, e in zip(apart, self._direct([fresh[i] for i in apart])):
+            place[i], lens[i] = at, len(e)
             parts.append(np.array(e.ids, self.dtype))
             at += len(e)
-        ids = np.concatenate(parts) if parts else np.zeros(0, self.dtype)
+        ids = np.concatenate(parts)
         end, size = self.used + len(ids), known + len(fresh)
         if end > len(self.flat):
             self.flat = np.concatenate([self.flat[:self.used], np.zeros(end, self.dtype)])
@@ -167,15 +270,18 @@ def stage_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
     def tokenise(batches):
         enc, part, row = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for b in batches:
-            texts = b.column("_text").to_pylist()
-            for i in range(0, len(texts), 256):
-                ids = [np.append(x, x.dtype.type(end_id)) for x in enc.encode(texts[i:i + 256])]
-                n = len(ids)
+            if not b.num_rows:
+                continue
+            for i, end in chunks(buffers(b.column("_text"))[1], RUN):
+                ids, sizes = enc.encode_array(b.column("_text").slice(i, end - i))
+                ids, n = np.insert(ids, np.cumsum(sizes), end_id), end - i
+                ids = ids.astype("<u2" if ids.itemsize == 2 else "<u4", copy=False)
+                ends = (np.append(0, np.cumsum(sizes + 1)) * ids.itemsize).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("_id").slice(i, n), pa.array(np.full(n, part, np.int32)),
-                     pa.array(np.arange(row, row + n)), pa.array([len(x) for x in ids], pa.int32()),
-                     pa.array([x.astype("<u2" if x.itemsize == 2 else "<u4").tobytes() for x in ids], pa.binary()),
-                     pa.array(np.full(n, ids[0].itemsize, np.int32))], ["_id", "part", "row", "n", "ids", "width"])
+                     pa.array(np.arange(row, row + n)), pa.array((sizes + 1).astype(np.int32)),
+                     pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(ids)]),
+                     pa.array(np.full(n, ids.itemsize, np.int32))], ["_id", "part", "row", "n", "ids", "width"])
                 row += n
 
     staged = rows.mapInArrow(tokenise, f"_id {kind}, part int, row bigint, n int, ids binary, width int")

@@ -308,6 +308,36 @@ def test_word_memo_equals_the_library():
         assert [x.tolist() for x in got] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_are_encoded_once_whatever_stands_beside_them():
+    enc = token_files.WordCachedEncoder(tokenizer_path())
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcdeé") for _ in range(8)) for _ in range(100)]
+    beside = ["%s.", "%s,", "(%s)", "%s!!", "%s.\n%s", "%s\n\n\t%s", "  %s", "%s12", "\"%s\""]
+    texts = [" ".join(f.replace("%s", rng.choice(base)) for f in beside for _ in range(30)) for _ in range(20)]
+    enc._direct = lambda texts: [] if not texts else pytest.fail("a text or word went through the pre-tokenizer")
+    got = enc.encode(texts)
+    assert [x.tolist() for x in got] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(enc.memo) <= 2 * len(base) + 20  # with and without a space before, and what stands beside
+
+
+def test_characters_of_all_kinds_equal_the_library():
+    enc = token_files.WordCachedEncoder(tokenizer_path(), limit=5000)
+    rng = random.Random(7)
+    chars = [chr(c) for c in [*range(0x500), *rng.sample([c for c in range(0x500, 0x110000) if not 0xD800 <= c < 0xE000], 1500)]]
+    odd = [" ", "\n", "\r\n", "\t", "\x0b", "'", "'s", "<|", "<|endoftext|>", "\x1c", "\x85", "\xa0", "\u2028", "\u3000", "\u0301", "a", "B", "1", "²", "."]
+    texts = [f % c for c in chars for f in ("a%sb", "1%s2", "!%s ?", "a %s", "\n%sx", "%s")]
+    texts += ["".join(rng.choice(odd) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    for some in (texts[i:i + 700] for i in range(0, len(texts), 700)):
+        want = [e.ids for e in enc.tokenizer.encode_batch(some, add_special_tokens=False)]
+        assert [x.tolist() for x in enc.encode(some)] == want
+
+
+def test_other_tokenizers_take_texts_whole():
+    enc = token_files.WordCachedEncoder(tokenizer_path("word_bpe_49k.json"))
+    texts = ["", "A word,  a Word\nand e\u0301 12", "x <|endoftext|> y", " it's "]
+    assert [x.tolist() for x in enc.encode(texts)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer_path())
