@@ -111,3 +111,20 @@ def test_metrics_written_twice_count_once(spark, tmp_path):
     compact_metrics(spark, f"{tmp_path}/log", f"{tmp_path}/small")
     for path in ("log", "small"):
         assert sorted(map(str, read_metrics(spark, f"{tmp_path}/{path}").collect())) == sorted(map(str, rows.collect() * 2))
+
+
+def test_edit_script_query_finds_longest_blocks(spark, tmp_path):
+    """Words that repeat leave no anchors; the query's script is the library's all the same."""
+    import __spark_entry__ as entry
+    from diffloom.catalog.base import changes
+    rng = random.Random(4)
+    rows = [(k, "\n".join(" ".join(rng.choice("abcd") for _ in range(6)) for _ in range(rng.randint(0, 25))), "en", "s")
+            for k in range(40)] + [(100, None, "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in entry.queries()["edit_script"](spark, str(tmp_path)).collect():
+        got.setdefault(r.doc_id, []).append((r.tag, r.i1, r.i2, r.j1, r.j2))
+    for r in changes(spark, str(tmp_path)).where("old_contents IS NOT NULL").collect():
+        want = difflib.SequenceMatcher(None, r.old_contents.split(), r.new_contents.split()).get_opcodes()
+        assert sorted(got.pop(r.doc_id, []), key=lambda o: o[1:]) == sorted(want, key=lambda o: o[1:]), r.doc_id
+    assert not got
