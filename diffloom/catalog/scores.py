@@ -417,7 +417,8 @@ query("edit_bundle", f"""WITH {GRAMS}, {_sql_gleu_rows()}
 
 query("ngram_document_frequency", f"""WITH {GRAMS} SELECT n, replace(gram, chr(31), ' ') AS gram,
     count(*) AS df FROM grams WHERE r > 0 GROUP BY ALL""")(
-    lambda spark, sf: document_frequency(gram_counts(predictions(spark, sf), ["row_id"], {"r": gold_words()}), "r")
+    lambda spark, sf: document_frequency(
+        gram_counts(predictions(spark, sf), ["row_id"], {"r": gold_words()}, nested=True), "r")
     .select("n", F.replace("gram", F.lit("\u001f"), F.lit(" ")).alias("gram"), "df"))
 
 query("ngram_normalizer", f"""WITH {GRAMS}, f AS (SELECT n, gram, count(*) AS df FROM grams WHERE r > 0 GROUP BY ALL),

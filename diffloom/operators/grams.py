@@ -17,6 +17,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from ..functions import as_col, let
 from ..functions.draws import numbers
 from ..layout import by_key, by_repeats
+from . import runs
 from .suffixes import _lists, _runs
 
 MAX_ORDER = 4
@@ -24,7 +25,7 @@ SEP = "\u001f"
 
 
 def gram_counts(df: DataFrame, keys: list[str], sides: dict[str, Column | str],
-                max_order: int = MAX_ORDER) -> DataFrame:
+                max_order: int = MAX_ORDER, nested: bool = False) -> DataFrame:
     """Rows (keys, n, gram, <side>...) with the count of each n-gram on each side.
 
     Sides may be expressions over raw text (``words("pred")``): they are evaluated after
@@ -33,18 +34,33 @@ def gram_counts(df: DataFrame, keys: list[str], sides: dict[str, Column | str],
 
     Order 0 carries one row per key with the token counts of the sides, so rows
     without any n-gram stay in the result.
+
+    ``nested`` tells which n-grams a row has, with a row a place instead of one an order: rows
+    (keys, n, least, gram, part, <side>) of the one side stand for the first ``least`` to n tokens of
+    ``gram`` (see ``runs``); the count is that of the places with this longest run.
     """
     names = list(sides)
 
-    def counted(rows):
-        staged = rows.select(*keys, *[F.coalesce(as_col(c), F.array().cast("array<string>")).alias(f"_s{i}")
+    def staged_rows(rows):
+        return rows.select(*keys, *[F.coalesce(as_col(c), F.array().cast("array<string>")).alias(f"_s{i}")
                                       for i, c in enumerate(sides.values())])
+
+    def counted(rows):
+        staged = staged_rows(rows)
         schema = StructType([*staged.schema[:len(keys)], StructField("n", IntegerType()), StructField("gram", StringType()),
                              *[StructField(name, LongType()) for name in names]])
         return staged.mapInArrow(_row_grams(len(keys), names, max_order), schema)
 
     once, again = by_repeats(by_key(df, *keys), *keys)
-    return counted(once).unionByName(counted(again).groupBy(*keys, "n", "gram").agg(*[F.sum(c).alias(c) for c in names]))
+    grouped = counted(again).groupBy(*keys, "n", "gram").agg(*[F.sum(c).alias(c) for c in names])
+    if not nested:
+        return counted(once).unionByName(grouped)
+    if len(names) != 1:
+        raise ValueError("nested n-grams are of one side")
+    staged = staged_rows(once)
+    schema = StructType([*staged.schema[:len(keys)], *runs.FIELDS, StructField(names[0], LongType())])
+    return (staged.mapInArrow(runs.row_runs(len(keys), names[0], max_order), schema)
+            .unionByName(runs.as_runs(grouped, keys, names[0])))
 
 
 def _row_grams(n_keys: int, names: list[str], max_order: int):
@@ -58,7 +74,7 @@ def _row_grams(n_keys: int, names: list[str], max_order: int):
                 tokens = [v.slice(o[start], o[stop] - o[start]) for v, o in sides]
                 yield table(own, 0, np.arange(stop - start), pa.array([""] * (stop - start), pa.string()), sizes)
                 for n in range(1, max_order + 1):
-                    found = [runs(t, size, n) for t, size in zip(tokens, sizes)]
+                    found = [texts_of(t, size, n) for t, size in zip(tokens, sizes)]
                     rows, side = np.concatenate([r for r, _ in found]), np.repeat(np.arange(len(found)), [len(r) for r, _ in found])
                     coded = pa.concat_arrays([g for _, g in found]).dictionary_encode()
                     code = np.asarray(coded.indices.to_numpy(zero_copy_only=False), np.int64)
@@ -66,7 +82,7 @@ def _row_grams(n_keys: int, names: list[str], max_order: int):
                     yield table(own, n, pairs >> 32, coded.dictionary.take(pa.array(pairs & 0xffffffff)),
                                 [np.bincount(at[side == s], minlength=len(pairs)) for s in range(len(found))])
 
-    def runs(tokens, sizes, n):
+    def texts_of(tokens, sizes, n):
         """Rows and texts of the runs of ``n`` tokens; null tokens are skipped in a text."""
         many = np.maximum(sizes - (n - 1), 0)
         rows = np.repeat(np.arange(len(sizes)), many)
@@ -202,6 +218,8 @@ def gram_total(tokens: Column, n: int) -> Column:
 
 
 def document_frequency(counts: DataFrame, side: str) -> DataFrame:
-    """In how many rows an n-gram of ``side`` occurs."""
-    return (counts.where((F.col("n") > 0) & (F.col(side) > 0))
-            .groupBy("n", "gram").agg(F.count("*").alias("df")))
+    """In how many rows an n-gram of ``side`` occurs; ``counts`` may be nested, which moves far less."""
+    some = counts.where((F.col("n") > 0) & (F.col(side) > 0))
+    if "least" in counts.columns:
+        return runs.frequencies(some)
+    return (some.groupBy("n", "gram").agg(F.count("*").alias("df")))

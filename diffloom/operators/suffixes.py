@@ -75,11 +75,11 @@ def least_unique(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return longest + 1
 
 
-def _runs(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about ``TOKENS`` tokens."""
+def _runs(offsets: np.ndarray, tokens: int = 0) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``tokens`` tokens (``TOKENS`` by default)."""
     start = 0
     while start < len(offsets) - 1:
-        stop = int(np.searchsorted(offsets, offsets[start] + TOKENS, "right")) - 1
+        stop = int(np.searchsorted(offsets, offsets[start] + (tokens or TOKENS), "right")) - 1
         stop = max(start + 1, stop)
         yield start, stop
         start = stop
