@@ -428,9 +428,7 @@ query("ngram_normalizer", f"""WITH {GRAMS}, f AS (SELECT n, gram, count(*) AS df
 
 
 def _normalizer(p):
-    """Grams are told apart by 128 bits, so that no text of one is shuffled."""
-    counts = gram_counts(p, ["row_id"], {"r": gold_words()}).withColumn(
-        "gram", F.struct(F.xxhash64("gram").alias("x"), F.xxhash64(F.lit(7), "gram").alias("y")))
+    counts = gram_counts(p, ["row_id"], {"r": gold_words()}, nested=True)
     per_order = document_frequency(counts, "r").groupBy("n").agg(F.count("*").alias("n_grams"), F.sum("df").alias("_df"))
     rows = p.select("row_id").distinct().count()
     return per_order.select("n", "n_grams", F.round(F.col("_df") / F.lit(rows), 4).alias("weight"))

@@ -64,7 +64,7 @@ def test_batches_do_not_matter(monkeypatch, chunk):
     assert len(got) == len(set(g[:2] for g in got)) and {g[:2]: g[2] for g in got} == want(data)
 
 
-@pytest.mark.parametrize("name", ["ngram_document_frequency"])
+@pytest.mark.parametrize("name", ["ngram_document_frequency", "ngram_normalizer"])
 def test_no_gram_of_each_order_is_shuffled(spark, name):
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(part" in plan and not re.search(r"hashpartitioning\(n#\d+, gram", plan)
