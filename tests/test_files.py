@@ -1,15 +1,20 @@
 """Readers, writers and streams on small files."""
 
+import hashlib
 import json
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from diffloom import schemas
 from diffloom.functions.text import words
 from diffloom.operators.hunks import extract_hunks, with_hunks_only
 from diffloom.operators.scores import corpus_bleu
 from diffloom.sources.readers import numbered_lines, read_commits, read_json_records
-from diffloom.sources.tasks import load_task
+from diffloom.session import scratch_root
+from diffloom.sources.tasks import READERS, load_task
 from diffloom.streaming import jobs
 
 
@@ -101,3 +106,23 @@ def test_numbering_shuffles_no_line(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x\ny\n")
     plan = numbered_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "row_number" not in plan and "SortMergeJoin" not in plan
+
+
+def test_paired_lines_are_shaped_before_they_meet(spark, tmp_path):
+    _pair(tmp_path, "valid.code-review", "a  b\n\nc\nextra\n", "x\ny \nz\n", ("buggy", "fixed"))
+    read = load_task(spark, "review", str(tmp_path), "valid", F.md5)
+    assert sorted(map(tuple, read.select("source", "target").collect())) == sorted(
+        (hashlib.md5(a.encode()).hexdigest(), hashlib.md5(b.encode()).hexdigest()) for a, b in (("a b", "x"), ("", "y"), ("c", "z")))
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan[:plan.index("Join")] and plan.count("md5") == 2
+
+
+def test_task_files_are_there_only_while_they_are_read(spark, tmp_path):
+    rows = [(k, "en", "s", None if k == 7 else f"first {k}\n\tline  {k % 4}\n") for k in range(230)] + [(3, "en", "s", "again"), (None, "en", "s", "x")]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    root = scratch_root(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    tasks = entry.queries()["load_task"](spark, str(tmp_path)).groupBy("task").count().collect()
+    # Patches are joined by document: 3 meets itself, a missing number meets nothing; a missing text leaves no patch.
+    assert {r["task"]: r["count"] for r in tasks} == {t: 228 + 4 if t == "comment-patch" else len(rows) for t in READERS}
+    assert {x.split("-")[0] for x in os.listdir(root) if x not in before and os.listdir(f"{root}/{x}")} == {"task"}
